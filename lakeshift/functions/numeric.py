@@ -12,8 +12,13 @@ def nan_to_null(c: Column) -> Column:
 
 
 def round_even(c: Column, places: int = 4) -> Column:
-    """Half-to-even rounding (numpy semantics)."""
-    return F.bround(c, places)
+    """numpy's ``round``: ``rint(x * 10**n) / 10**n`` (half to even on the scaled double).
+
+    ``bround`` rounds the exact binary value instead and disagrees on cases
+    such as 123.135 (numpy: 123.14, ``bround``: 123.13).
+    """
+    scale = F.lit(float(10 ** places))
+    return F.rint(c * scale) / scale
 
 
 def py_float_text(c: Column) -> Column:
@@ -36,8 +41,8 @@ def _fix_trailing_dot(s: Column) -> Column:
 
 def interval_text(lower: Column, upper: Column) -> Column:
     """``'<lower> : <upper>'`` with each bound rounded half-even to 2 places."""
-    lo = _fix_trailing_dot(py_float_text(F.bround(lower, 2)))
-    hi = _fix_trailing_dot(py_float_text(F.bround(upper, 2)))
+    lo = _fix_trailing_dot(py_float_text(round_even(lower, 2)))
+    hi = _fix_trailing_dot(py_float_text(round_even(upper, 2)))
     return F.concat_ws(" : ", lo, hi)
 
 
@@ -59,13 +64,19 @@ def clip_value(c: Column | None, default: float = 0.0, lo: float = -50.0, hi: fl
     return F.least(F.greatest(filled, F.lit(float(lo))), F.lit(float(hi)))
 
 
+def round_half_up(c: Column, places: int = 4) -> Column:
+    """``round(x * 10**n) / 10**n`` half away from zero on the scaled double."""
+    scale = F.lit(float(10 ** places))
+    return F.round(c * scale, 0) / scale
+
+
 def round_output(df, places: int = 4):
     """Round every DOUBLE column half-up to ``places`` (report output only)."""
     from pyspark.sql.types import DoubleType, FloatType
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f.name), places).alias(f.name))
+            cols.append(round_half_up(F.col(f.name), places).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..family import DATE, ID, Family, detect_family
-from ..functions.numeric import nan_to_null
+from ..functions.numeric import nan_to_null, round_even
 
 NORM = "_norm"
 
@@ -36,7 +36,7 @@ def area_sum(family: Family) -> Column:
 
 def add_area(df: DataFrame, family: Family | None = None) -> DataFrame:
     """``area_data`` (plain sum: one NULL class -> NULL total), lake max and
-    ``area_nodata = bround(max - area_data, 4)``."""
+    ``area_nodata = round(max - area_data, 4)`` (numpy rounding)."""
     family = family or detect_family(df)
     # ordered by date with a whole-lake frame: the (id, date) sort it needs
     # is the one the rolling windows downstream need, so Spark sorts once
@@ -44,22 +44,23 @@ def add_area(df: DataFrame, family: Family | None = None) -> DataFrame:
                                                                Window.unboundedFollowing)
     return (df.withColumn("area_data", area_sum(family))
               .withColumn("max_area", F.max("area_data").over(by_lake))
-              .withColumn("area_nodata", F.bround(F.col("max_area") - F.col("area_data"), 4)))
+              .withColumn("area_nodata", round_even(F.col("max_area") - F.col("area_data"), 4)))
 
 
 def prepare(df: DataFrame, family: Family | None = None, mask: bool = True,
             nodata_max: float = 0.0, limits: dict | None = None,
-            keep_raw: bool = True) -> DataFrame:
+            keep_raw: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Area, normalisation and masking in one pass.
 
     Output: id, date, raw classes, area_data, area_nodata, max_area, the same
     values divided by max_area with suffix ``_norm``, and ``valid``. When
     ``mask`` is true, every value column of an invalid row is NULL.
+    ``carry`` names extra input columns passed through unchanged.
     """
     family = family or detect_family(df)
     limits = family.limits if limits is None else limits
     variables = list(family.classes) + ["area_data", "area_nodata"]
-    base = add_area(df.select(ID, DATE, *family.classes), family)
+    base = add_area(df.select(ID, DATE, *family.classes, *carry), family)
     mx = F.col("max_area")
     normed = {v: F.try_divide(F.col(v), mx) for v in variables}
     ok = normed["area_nodata"] <= F.lit(float(nodata_max))
@@ -73,7 +74,7 @@ def prepare(df: DataFrame, family: Family | None = None, mask: bool = True,
         cols += [keep(F.col(v)).alias(v) for v in variables]
     cols += [F.col("max_area")]
     cols += [keep(normed[v]).alias(norm(v)) for v in variables]
-    cols += [F.col("valid")]
+    cols += [F.col("valid")] + [F.col(c) for c in carry]
     return out.select(*cols)
 
 

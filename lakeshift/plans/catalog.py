@@ -13,8 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from ..family import DW, JRC
 from ..functions.numeric import round_output
 from ..operators.breaks import simple_breaks
+from ..operators.nrt import nrt_breaks
 from ..operators.panel import prepare
+from ..operators.stats import counts_matrix, history_stats
+from ..operators.views import ranked_drained
 from ..sources.derived import planted_jrc, planted_panel, ship_panel
+from .nrt_jobs import nrt_month, nrt_range, nrt_range_counts
+
+# Fixed query parameters of the registered NRT queries.
+NRT_DATE = "2019-06"
+SHIP_NRT_DATE = "1998-06"
+RANGE_START, RANGE_END = "2018-01", "2021-12"
 
 
 def q_simple_breaks(spark: SparkSession, sf_dir: str, method: str = "median") -> DataFrame:
@@ -32,10 +41,55 @@ def q_simple_breaks_ship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_output(simple_breaks(prepared, DW, window=3, method="median", threshold=-0.25))
 
 
+def q_nrt(spark, sf_dir, period="all", keep_nans=False):
+    prepared = prepare(planted_panel(spark, sf_dir), DW)
+    return round_output(nrt_breaks(prepared, DW, NRT_DATE, period=period, keep_nans=keep_nans))
+
+
+def q_nrt_ship(spark, sf_dir):
+    prepared = prepare(ship_panel(spark, sf_dir), DW, nodata_max=1.0)
+    return round_output(nrt_breaks(prepared, DW, SHIP_NRT_DATE))
+
+
+def q_history_stats(spark, sf_dir):
+    prepared = prepare(planted_panel(spark, sf_dir), DW)
+    return round_output(history_stats(prepared, DW, before="2019-06-01"))
+
+
+def q_drained_month(spark, sf_dir):
+    return round_output(nrt_month(planted_panel(spark, sf_dir), NRT_DATE, DW))
+
+
+def q_nrt_range(spark, sf_dir):
+    return round_output(nrt_range(planted_panel(spark, sf_dir), RANGE_START, RANGE_END, DW))
+
+
+def q_monthly_counts(spark, sf_dir):
+    return nrt_range_counts(planted_panel(spark, sf_dir), RANGE_START, RANGE_END, DW)
+
+
+def q_counts_matrix(spark, sf_dir):
+    return round_output(counts_matrix(q_monthly_counts(spark, sf_dir)))
+
+
+def q_ranked_drained(spark, sf_dir):
+    return round_output(ranked_drained(nrt_range(planted_panel(spark, sf_dir), RANGE_START, RANGE_END, DW)))
+
+
 QUERIES = {
     "simple_breaks": q_simple_breaks,
     "simple_breaks_mean": lambda s, d: q_simple_breaks(s, d, "mean"),
     "simple_breaks_max": lambda s, d: q_simple_breaks(s, d, "max"),
     "simple_breaks_jrc": q_simple_breaks_jrc,
     "simple_breaks_ship": q_simple_breaks_ship,
+    "nrt_ar1": q_nrt,
+    "nrt_monthly_period": lambda s, d: q_nrt(s, d, period="monthly"),
+    "nrt_keep_nans": lambda s, d: q_nrt(s, d, keep_nans=True),
+    "nrt_ship": q_nrt_ship,
+    "history_stats": q_history_stats,
+    "drained_month": q_drained_month,
+    "nrt_range": q_nrt_range,
+    "monthly_counts": q_monthly_counts,
+    "counts_matrix": q_counts_matrix,
+    "ranked_drained": q_ranked_drained,
 }

@@ -18,9 +18,16 @@ STATS = ("mean", "median", "std", "min", "max")
 _AGG = {"mean": "avg", "median": "median", "std": "stddev_samp", "min": "min", "max": "max"}
 
 
+def rnd(expr: str, places: int = 4) -> str:
+    """numpy rounding: half to even on the scaled double."""
+    scale = f"{10 ** places}.0e0"
+    return f"(round_even(({expr}) * {scale}, 0) / {scale})"
+
+
 def rounded(sql: str, cols, places: int = 4) -> str:
     """Wrap ``sql`` and round the listed DOUBLE columns half away from zero."""
-    rep = ", ".join(f"round({c}, {places}) AS {c}" for c in cols)
+    scale = f"{10 ** places}.0e0"
+    rep = ", ".join(f"round({c} * {scale}, 0) / {scale} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) q" if cols else sql
 
 
@@ -76,7 +83,7 @@ def ship_panel() -> str:
            FROM sp_rows GROUP BY id_geohash, date)"""
 
 
-def prepared(family: str = "dw", nodata_max: str = "0.0e0", mask: bool = True) -> str:
+def prepared(family: str = "dw", nodata_max: str = "0.0e0", mask: bool = True, src: str = "panel") -> str:
     """CTEs ``pr_a``..``prep`` on top of ``panel``: area, max, nodata, norm, valid."""
     if family == "dw":
         total, classes, limits = DW_SUM, DW_COLUMNS, " AND snow_and_ice / max_area <= 0.05e0"
@@ -86,14 +93,15 @@ def prepared(family: str = "dw", nodata_max: str = "0.0e0", mask: bool = True) -
         limits = ""
     variables = list(classes) + ["area_data", "area_nodata"]
     valid = f"coalesce(area_nodata / max_area <= {nodata_max}{limits}, false)" if mask else "true"
+    water = "water" if family == "dw" else "area_water_permanent"
     raw = ", ".join(f"CASE WHEN valid THEN {v} END AS {v}" for v in variables)
     nrm = ", ".join(f"CASE WHEN valid THEN {v} / max_area END AS {v}_norm" for v in variables)
     return f""",
- pr_a AS (SELECT *, {total} AS area_data FROM panel),
+ pr_a AS (SELECT *, {total} AS area_data, {water} IS NOT NULL AS raw_ok FROM {src}),
  pr_b AS (SELECT *, max(area_data) OVER (PARTITION BY id_geohash) AS max_area FROM pr_a),
- pr_c AS (SELECT *, round_even(max_area - area_data, 4) AS area_nodata FROM pr_b),
+ pr_c AS (SELECT *, {rnd("max_area - area_data")} AS area_nodata FROM pr_b),
  pr_d AS (SELECT *, {valid} AS valid FROM pr_c),
- prep AS (SELECT id_geohash, date, {raw}, max_area, {nrm}, valid FROM pr_d)"""
+ prep AS (SELECT id_geohash, date, {raw}, max_area, {nrm}, valid, raw_ok FROM pr_d)"""
 
 
 # --------------------------------------------------------------------------- detectors
@@ -137,6 +145,166 @@ BREAK_DOUBLES = ([f"pre_break_{s}" for s in STATS] + [f"post_break_{s}" for s in
                  + ["water_change_ha", "water_change_perc"])
 
 
+# --------------------------------------------------------------------------- NRT
+
+Z90 = "1.6448536269514722e0"
+HIST = ("mean", "median", "std", "min", "max")
+NRT_VALUES = ["water_observed", "water_predicted", "water_residual", "water_predicted_lower_90",
+              "water_predicted_upper_90"] + [f"water_historical_{s}" for s in HIST]
+NRT_DOUBLES = NRT_VALUES + [f"{c}_absolute" for c in NRT_VALUES]
+
+
+def _norm_vars(family: str) -> str:
+    classes = DW_COLUMNS if family == "dw" else ("area_land", "area_water_seasonal", "area_water_permanent")
+    return ", ".join(f"{c}_norm" for c in list(classes) + ["area_data", "area_nodata"])
+
+
+def _ci(lo: str, hi: str) -> str:
+    return (f"coalesce(CAST({rnd(lo, 2)} AS VARCHAR), 'nan') || ' : ' || "
+            f"coalesce(CAST({rnd(hi, 2)} AS VARCHAR), 'nan')")
+
+
+def _nrt_finish(src: str, date_expr: str, valid: str) -> str:
+    """Final projection shared by the single-date and the range NRT SQL."""
+    absolutes = ", ".join(f"{c} * scale AS {c}_absolute" for c in NRT_VALUES)
+    hist = ", ".join(f"{rnd('h_' + s)} AS water_historical_{s}" for s in HIST)
+    return f"""
+ nf_p AS (SELECT *, CASE WHEN n_hist >= 3 THEN CASE WHEN ar_slope IS NOT NULL
+                      THEN ar_intercept + ar_slope * x_last ELSE x_last END END AS pred,
+                 CASE WHEN ar_slope IS NOT NULL THEN sqrt(greatest(ar_syy - ar_slope * ar_sxy, 0.0e0) / n_pairs)
+                      ELSE 0.0e0 END AS sigma
+          FROM {src}),
+ nf_q AS (SELECT id_geohash, {date_expr} AS date, scale, {valid} AS v_ok,
+                 {rnd(f"CASE WHEN {valid} THEN obs END")} AS water_observed,
+                 {rnd(f"CASE WHEN {valid} THEN pred END")} AS water_predicted,
+                 {rnd(f"CASE WHEN {valid} THEN pred - {Z90} * sigma END")} AS water_predicted_lower_90,
+                 {rnd(f"CASE WHEN {valid} THEN pred + {Z90} * sigma END")} AS water_predicted_upper_90,
+                 {hist}
+          FROM nf_p),
+ nf_r AS (SELECT *, {rnd("water_observed - water_predicted")} AS water_residual FROM nf_q),
+ nf_s AS (SELECT *, CASE WHEN v_ok THEN CAST(
+                   CAST(coalesce(water_residual < -0.25e0, false) AS INTEGER)
+                 + CAST(coalesce(water_observed < water_predicted_lower_90, false) AS INTEGER)
+                 + CAST(coalesce(water_observed < water_historical_min, false) AS INTEGER) AS INTEGER) END
+                   AS drainage_confidence,
+                 {absolutes}
+          FROM nf_r)
+SELECT id_geohash, date, {", ".join(NRT_VALUES[:5])}, {", ".join(NRT_VALUES[5:])}, drainage_confidence,
+       {", ".join(c + "_absolute" for c in NRT_VALUES)},
+       {_ci("water_predicted_lower_90", "water_predicted_upper_90")} AS water_predicted_ci,
+       {_ci("water_predicted_lower_90_absolute", "water_predicted_upper_90_absolute")} AS water_predicted_ci_absolute
+FROM nf_s"""
+
+
+def nrt(panel_ctes: str, water: str, d: str, family: str = "dw", period: str = "all",
+        keep_nans: bool = False) -> str:
+    """Single analysis date ``d`` ('YYYY-MM-DD')."""
+    in_hist = f"date < DATE '{d}'"
+    if period == "monthly":
+        in_hist += f" AND month(date) = month(DATE '{d}')"
+    where = "" if keep_nans else "WHERE valid_at"
+    return f"""WITH {panel_ctes},
+ nr_r AS (SELECT id_geohash, date, {water}_norm AS wn, area_data,
+                 coalesce({_norm_vars(family)}) IS NOT NULL AS any_value,
+                 CASE WHEN {in_hist} THEN {water}_norm END AS hw FROM prep),
+ nr_x AS (SELECT *, last_value(hw IGNORE NULLS) OVER (PARTITION BY id_geohash ORDER BY date
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS xp FROM nr_r),
+ nr_a AS (SELECT id_geohash,
+                 max(CASE WHEN date = DATE '{d}' THEN wn END) AS obs,
+                 coalesce(bool_or(CASE WHEN date = DATE '{d}' THEN any_value END), false) AS valid_at,
+                 max(area_data) AS scale,
+                 count(hw) AS n_hist, regr_count(hw, xp) AS n_pairs, regr_slope(hw, xp) AS ar_slope,
+                 regr_intercept(hw, xp) AS ar_intercept, regr_syy(hw, xp) AS ar_syy, regr_sxy(hw, xp) AS ar_sxy,
+                 max_by(hw, date) FILTER (WHERE hw IS NOT NULL) AS x_last,
+                 avg(hw) AS h_mean, median(hw) AS h_median, stddev_samp(hw) AS h_std,
+                 min(hw) AS h_min, max(hw) AS h_max
+          FROM nr_x GROUP BY id_geohash),
+ nr_b AS (SELECT * FROM nr_a {where}),""" + _nrt_finish("nr_b", f"CASE WHEN valid_at THEN DATE '{d}' END",
+                                                      "valid_at")
+
+
+def nrt_range(panel_ctes: str, water: str, start: str, end: str, family: str = "dw",
+              period: str = "all") -> str:
+    """Every date in [start, end]; the running mean is a left fold in date
+    order (as Spark's running sum), not a segment-tree sum."""
+    part = "id_geohash" if period == "all" else "id_geohash, month(date)"
+    b = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""WITH {panel_ctes},
+ rg_r AS (SELECT id_geohash, date, {water}_norm AS y, area_data, raw_ok,
+                 coalesce({_norm_vars(family)}) IS NOT NULL AS any_value,
+                 max(area_data) OVER (PARTITION BY id_geohash) AS scale FROM prep),
+ rg_x AS (SELECT *, last_value(y IGNORE NULLS) OVER (PARTITION BY {part} ORDER BY date {b}) AS xp FROM rg_r),
+ rg_s AS (SELECT id_geohash, date, y AS obs, any_value, raw_ok, scale,
+                 count(y) OVER w AS n_hist, regr_count(y, xp) OVER w AS n_pairs,
+                 regr_slope(y, xp) OVER w AS ar_slope, regr_intercept(y, xp) OVER w AS ar_intercept,
+                 regr_syy(y, xp) OVER w AS ar_syy, regr_sxy(y, xp) OVER w AS ar_sxy,
+                 last_value(y IGNORE NULLS) OVER w AS x_last,
+                 list_filter(list(y) OVER w, lambda v: v IS NOT NULL) AS hl,
+                 quantile_cont(y, 0.5) OVER w AS h_median,
+                 stddev_samp(y) OVER w AS h_std, min(y) OVER w AS h_min, max(y) OVER w AS h_max
+          FROM rg_x WINDOW w AS (PARTITION BY {part} ORDER BY date {b})),
+ rg_m AS (SELECT *, CASE WHEN len(hl) > 0 THEN list_reduce(hl, lambda a, b: a + b) / len(hl) END AS h_mean
+          FROM rg_s),
+ rg_f AS (SELECT * FROM rg_m WHERE any_value AND raw_ok AND date >= DATE '{start}' AND date <= DATE '{end}'),""" + \
+        _nrt_finish("rg_f", "date", "true")
+
+
+# --------------------------------------------------------------------------- NRT reports
+
+def _q(name: str) -> str:
+    return '"' + name + '"'
+
+
+def drained_month(d: str) -> str:
+    ctes = planted_panel() + f""",
+ panel_ok AS (SELECT * FROM panel WHERE id_geohash IN
+              (SELECT id_geohash FROM panel WHERE date = DATE '{d}' AND water IS NOT NULL))""" + \
+        prepared(src="panel_ok")
+    return (f"SELECT strftime(date, '%Y-%m') AS analysis_month, * FROM ({nrt(ctes, 'water', d)}) x "
+            f"WHERE water_residual < -0.25e0")
+
+
+def range_drained(start: str, end: str) -> str:
+    return (f"SELECT strftime(date, '%Y-%m') AS analysis_month, * FROM "
+            f"({nrt_range(planted_panel() + prepared(), 'water', start, end)}) x WHERE water_residual < -0.25e0")
+
+
+def monthly_counts(start: str, end: str) -> str:
+    return f"""WITH months AS (SELECT strftime(unnest(generate_series(DATE '{start}', DATE '{end}',
+                                                             INTERVAL 1 MONTH)), '%Y-%m') AS analysis_month),
+ d AS ({range_drained(start, end)})
+SELECT m.analysis_month, CAST(count(d.id_geohash) AS INTEGER) AS drained_lake_count
+FROM months m LEFT JOIN d ON d.analysis_month = m.analysis_month GROUP BY m.analysis_month"""
+
+
+def counts_matrix(start: str, end: str) -> str:
+    cols = ", ".join(f"coalesce(avg(n) FILTER (WHERE month = {m}), 0.0e0) AS m{m:02d}" for m in range(1, 13))
+    return f"""WITH c AS ({monthly_counts(start, end)}),
+ ym AS (SELECT CAST(substr(analysis_month, 1, 4) AS INTEGER) AS year,
+               CAST(substr(analysis_month, 6, 2) AS INTEGER) AS month,
+               CAST(drained_lake_count AS DOUBLE) AS n FROM c)
+SELECT year, {cols} FROM ym GROUP BY year"""
+
+
+def ranked_drained(start: str, end: str) -> str:
+    return f"""SELECT analysis_month, id_geohash, water_residual AS "Water Residual [%]", water_observed,
+       water_predicted, date,
+       CAST(row_number() OVER (PARTITION BY analysis_month ORDER BY water_residual ASC NULLS LAST, id_geohash)
+            AS INTEGER) AS rank
+FROM ({range_drained(start, end)}) r"""
+
+
+def history_stats(before: str) -> str:
+    return f"""WITH {planted_panel()}{prepared()}
+SELECT id_geohash, avg(water_norm) AS water_historical_mean, median(water_norm) AS water_historical_median,
+       stddev_samp(water_norm) AS water_historical_std, min(water_norm) AS water_historical_min,
+       max(water_norm) AS water_historical_max
+FROM prep WHERE date < DATE '{before}' GROUP BY id_geohash"""
+
+
+HIST_DOUBLES = [f"water_historical_{s}" for s in HIST]
+
+
 # --------------------------------------------------------------------------- registry
 
 def _breaks(panel: str, water: str, method: str = "median", family: str = "dw", nodata_max: str = "0.0e0"):
@@ -149,4 +317,17 @@ ORACLE: dict[str, str] = {
     "simple_breaks_max": _breaks(planted_panel(), "water", "max"),
     "simple_breaks_jrc": _breaks(planted_jrc(), "area_water_permanent", family="jrc"),
     "simple_breaks_ship": _breaks(ship_panel(), "water", nodata_max="1.0e0"),
+    "nrt_ar1": rounded(nrt(planted_panel() + prepared(), "water", "2019-06-01"), NRT_DOUBLES),
+    "nrt_monthly_period": rounded(nrt(planted_panel() + prepared(), "water", "2019-06-01", period="monthly"),
+                                  NRT_DOUBLES),
+    "nrt_keep_nans": rounded(nrt(planted_panel() + prepared(), "water", "2019-06-01", keep_nans=True),
+                             NRT_DOUBLES),
+    "nrt_ship": rounded(nrt(ship_panel() + prepared(nodata_max="1.0e0"), "water", "1998-06-01"), NRT_DOUBLES),
+    "history_stats": rounded(history_stats("2019-06-01"), HIST_DOUBLES),
+    "drained_month": rounded(drained_month("2019-06-01"), NRT_DOUBLES),
+    "nrt_range": rounded(range_drained("2018-01-01", "2021-12-01"), NRT_DOUBLES),
+    "monthly_counts": monthly_counts("2018-01-01", "2021-12-01"),
+    "counts_matrix": rounded(counts_matrix("2018-01-01", "2021-12-01"), [f"m{m:02d}" for m in range(1, 13)]),
+    "ranked_drained": rounded(ranked_drained("2018-01-01", "2021-12-01"),
+                              [_q("Water Residual [%]"), "water_observed", "water_predicted"]),
 }
