@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..family import DW, JRC
 from ..functions.numeric import round_output
+from pyspark.sql import functions as F
+
+from ..family import DATE, ID
 from ..operators.breaks import simple_breaks
+from ..operators.merge import merge_panels
+from ..operators.panel import gap_report
+from ..operators.rolling import rolling
+from ..operators.views import compare_sources, relative_percent, series_with_break, to_long, to_long_jrc
 from ..operators.nrt import nrt_breaks
 from ..operators.panel import prepare
 from ..operators.stats import counts_matrix, history_stats
@@ -76,6 +83,65 @@ def q_ranked_drained(spark, sf_dir):
     return round_output(ranked_drained(nrt_range(planted_panel(spark, sf_dir), RANGE_START, RANGE_END, DW)))
 
 
+def q_prepare_panel(spark, sf_dir):
+    return round_output(prepare(ship_panel(spark, sf_dir), DW, nodata_max=1.0))
+
+
+def q_mask_panel(spark, sf_dir):
+    p = prepare(planted_panel(spark, sf_dir), DW)
+    return round_output(p.select(ID, DATE, "water", "water_norm", "snow_and_ice_norm", "area_nodata", "valid"))
+
+
+def q_gap_report(spark, sf_dir):
+    # default mask (nodata_max = 0) on the ship panel leaves large gaps
+    return round_output(gap_report(prepare(ship_panel(spark, sf_dir), DW), "water"))
+
+
+def q_rolling(spark, sf_dir, method="median"):
+    p = prepare(ship_panel(spark, sf_dir), DW, nodata_max=1.0).filter(F.col("valid"))
+    v = F.col("water_norm")
+    return round_output(p.select(ID, DATE, v.alias("water_norm"),
+                                 rolling(v, method, 3).alias("roll_3"),
+                                 rolling(v, method, 5).alias("roll_5")))
+
+
+SPLIT_DATE_A, SPLIT_DATE_B = "1998-01-01", "1997-01-01"
+SPLIT_ID_A, SPLIT_ID_B = "sp000060", "sp000040"
+
+
+def q_merge(spark, sf_dir, how="both"):
+    panel = ship_panel(spark, sf_dir)
+    if how in ("both", "date"):
+        a = panel.filter(F.col(DATE) < F.lit(SPLIT_DATE_A).cast("date"))
+        b = panel.filter(F.col(DATE) >= F.lit(SPLIT_DATE_B).cast("date"))
+    else:
+        a = panel.filter(F.col(ID) < F.lit(SPLIT_ID_A))
+        b = panel.filter(F.col(ID) >= F.lit(SPLIT_ID_B))
+    return round_output(merge_panels(a, b, how=how))
+
+
+def q_to_long(spark, sf_dir):
+    return round_output(to_long(ship_panel(spark, sf_dir)))
+
+
+def q_relative_percent(spark, sf_dir):
+    panel = ship_panel(spark, sf_dir)
+    scale = prepare(panel, DW, nodata_max=1.0).groupBy(ID).agg(F.max("max_area").alias("max_area"))
+    return round_output(relative_percent(to_long(panel), scale))
+
+
+def q_compare_sources(spark, sf_dir):
+    dw = prepare(planted_panel(spark, sf_dir), DW)
+    jrc = prepare(planted_jrc(spark, sf_dir), JRC)
+    return round_output(compare_sources(to_long(dw), to_long_jrc(jrc)))
+
+
+def q_series_with_break(spark, sf_dir):
+    panel = planted_panel(spark, sf_dir)
+    breaks = simple_breaks(prepare(panel, DW), DW)
+    return round_output(series_with_break(panel.select(ID, DATE, "water"), breaks))
+
+
 QUERIES = {
     "simple_breaks": q_simple_breaks,
     "simple_breaks_mean": lambda s, d: q_simple_breaks(s, d, "mean"),
@@ -92,4 +158,17 @@ QUERIES = {
     "monthly_counts": q_monthly_counts,
     "counts_matrix": q_counts_matrix,
     "ranked_drained": q_ranked_drained,
+    "prepare_panel": q_prepare_panel,
+    "mask_panel": q_mask_panel,
+    "gap_report": q_gap_report,
+    "rolling_median": q_rolling,
+    "rolling_mean": lambda s, d: q_rolling(s, d, "mean"),
+    "rolling_max": lambda s, d: q_rolling(s, d, "max"),
+    "merge_both": q_merge,
+    "merge_date": lambda s, d: q_merge(s, d, "date"),
+    "merge_id": lambda s, d: q_merge(s, d, "id_geohash"),
+    "to_long": q_to_long,
+    "relative_percent": q_relative_percent,
+    "compare_sources": q_compare_sources,
+    "series_with_break": q_series_with_break,
 }

@@ -305,6 +305,107 @@ FROM prep WHERE date < DATE '{before}' GROUP BY id_geohash"""
 HIST_DOUBLES = [f"water_historical_{s}" for s in HIST]
 
 
+# --------------------------------------------------------------------------- panel operations
+
+PREP_DW_DOUBLES = (list(DW_COLUMNS) + ["area_data", "area_nodata", "max_area"]
+                   + [c + "_norm" for c in list(DW_COLUMNS) + ["area_data", "area_nodata"]])
+
+
+def prepare_panel() -> str:
+    return f"WITH {ship_panel()}{prepared(nodata_max='1.0e0')} SELECT * EXCLUDE (raw_ok) FROM prep"
+
+
+def mask_panel() -> str:
+    return (f"WITH {planted_panel()}{prepared()} SELECT id_geohash, date, water, water_norm, snow_and_ice_norm, "
+            f"area_nodata, valid FROM prep")
+
+
+def gap_report() -> str:
+    return f"""WITH {ship_panel()}{prepared()},
+ n AS (SELECT count(DISTINCT date) AS n_dates FROM prep),
+ g AS (SELECT id_geohash, count(water) AS n_present FROM prep GROUP BY id_geohash)
+SELECT id_geohash, CAST(n_dates - n_present AS BIGINT) AS missing_count,
+       (n_dates - (n_dates - n_present)) / n_dates * 100.0e0 AS completion_pct
+FROM g, n WHERE (n_dates - (n_dates - n_present)) / n_dates * 100.0e0 < 50.0e0"""
+
+
+def rolling_sql(method: str) -> str:
+    def stat(n):
+        fr = f"OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        if method == "mean":
+            # left fold in row order, as Spark's frame aggregate
+            return f"list_reduce(list(water_norm) {fr}, lambda a, b: a + b) / {n}"
+        if method == "max":
+            return f"max(water_norm) {fr}"
+        return f"quantile_cont(water_norm, 0.5) {fr}"
+    return f"""WITH {ship_panel()}{prepared(nodata_max='1.0e0')}
+SELECT id_geohash, date, water_norm,
+       CASE WHEN row_number() OVER w >= 3 THEN {stat(3)} END AS roll_3,
+       CASE WHEN row_number() OVER w >= 5 THEN {stat(5)} END AS roll_5
+FROM prep WHERE valid WINDOW w AS (PARTITION BY id_geohash ORDER BY date)"""
+
+
+def _split(how: str) -> str:
+    if how in ("both", "date"):
+        return """,
+ a AS (SELECT * FROM panel WHERE date < DATE '1998-01-01'),
+ b AS (SELECT * FROM panel WHERE date >= DATE '1997-01-01')"""
+    return """,
+ a AS (SELECT * FROM panel WHERE id_geohash < 'sp000060'),
+ b AS (SELECT * FROM panel WHERE id_geohash >= 'sp000040')"""
+
+
+def merge_sql(how: str) -> str:
+    cols = ", ".join(DW_COLUMNS)
+    if how == "both":
+        vals = ", ".join(f"coalesce(a.{c}, b.{c}) AS {c}" for c in DW_COLUMNS)
+        return f"""WITH {ship_panel()}{_split(how)}
+SELECT coalesce(a.id_geohash, b.id_geohash) AS id_geohash, coalesce(a.date, b.date) AS date, {vals}
+FROM a FULL OUTER JOIN b ON a.id_geohash = b.id_geohash AND a.date = b.date"""
+    return f"""WITH {ship_panel()}{_split(how)},
+ u AS (SELECT id_geohash, date, {cols}, 0 AS prio FROM a UNION ALL SELECT id_geohash, date, {cols}, 1 FROM b)
+SELECT id_geohash, date, {cols} FROM u
+QUALIFY row_number() OVER (PARTITION BY id_geohash, date ORDER BY prio DESC) = 1"""
+
+
+def long_dw(src: str, with_nodata: bool) -> str:
+    nd = ", area_nodata" if with_nodata else ""
+    return f"""SELECT id_geohash, date, variable, value FROM (SELECT id_geohash, date, water,
+        flooded_vegetation + grass + shrub_and_scrub + trees AS vegetation, crops, built, bare, snow_and_ice{nd}
+      FROM {src}) s
+      UNPIVOT INCLUDE NULLS (value FOR variable IN (water, vegetation, crops, built, bare, snow_and_ice{nd}))"""
+
+
+def to_long() -> str:
+    return f"WITH {ship_panel()} " + long_dw("panel", False)
+
+
+def relative_percent() -> str:
+    return f"""WITH {ship_panel()}{prepared(nodata_max='1.0e0')},
+ s AS (SELECT id_geohash, max(max_area) AS max_area FROM prep GROUP BY id_geohash),
+ l AS ({long_dw("panel", False)})
+SELECT l.id_geohash, l.date, l.variable, l.value, l.value / s.max_area * 100.0e0 AS value_pct
+FROM l LEFT JOIN s ON l.id_geohash = s.id_geohash"""
+
+
+def compare_sources() -> str:
+    dw = long_dw("prep", True)
+    jrc = """SELECT id_geohash, date, variable, value FROM (SELECT id_geohash, date, area_water_permanent,
+        area_water_seasonal, area_land, area_nodata, area_data + area_nodata AS area_total FROM prep) s
+      UNPIVOT INCLUDE NULLS (value FOR variable IN (area_water_permanent, area_water_seasonal, area_land,
+                                                    area_nodata, area_total))"""
+    return f"""WITH dw AS (WITH {planted_panel()}{prepared()} {dw}),
+ jrc AS (WITH {planted_jrc()}{prepared(family='jrc')} {jrc})
+SELECT *, 'dynamic_world' AS source FROM dw UNION ALL SELECT *, 'jrc' AS source FROM jrc"""
+
+
+def series_with_break() -> str:
+    return f"""WITH b AS ({simple_breaks(planted_panel() + prepared(), 'water')}),
+ p AS (WITH {planted_panel()} SELECT id_geohash, date, water FROM panel)
+SELECT p.id_geohash, p.date, p.water, b.date_break AS first_break
+FROM p LEFT JOIN b ON p.id_geohash = b.id_geohash"""
+
+
 # --------------------------------------------------------------------------- registry
 
 def _breaks(panel: str, water: str, method: str = "median", family: str = "dw", nodata_max: str = "0.0e0"):
@@ -330,4 +431,17 @@ ORACLE: dict[str, str] = {
     "counts_matrix": rounded(counts_matrix("2018-01-01", "2021-12-01"), [f"m{m:02d}" for m in range(1, 13)]),
     "ranked_drained": rounded(ranked_drained("2018-01-01", "2021-12-01"),
                               [_q("Water Residual [%]"), "water_observed", "water_predicted"]),
+    "prepare_panel": rounded(prepare_panel(), PREP_DW_DOUBLES),
+    "mask_panel": rounded(mask_panel(), ["water", "water_norm", "snow_and_ice_norm", "area_nodata"]),
+    "gap_report": rounded(gap_report(), ["completion_pct"]),
+    "rolling_median": rounded(rolling_sql("median"), ["water_norm", "roll_3", "roll_5"]),
+    "rolling_mean": rounded(rolling_sql("mean"), ["water_norm", "roll_3", "roll_5"]),
+    "rolling_max": rounded(rolling_sql("max"), ["water_norm", "roll_3", "roll_5"]),
+    "merge_both": rounded(merge_sql("both"), DW_COLUMNS),
+    "merge_date": rounded(merge_sql("date"), DW_COLUMNS),
+    "merge_id": rounded(merge_sql("id"), DW_COLUMNS),
+    "to_long": rounded(to_long(), ["value"]),
+    "relative_percent": rounded(relative_percent(), ["value", "value_pct"]),
+    "compare_sources": rounded(compare_sources(), ["value"]),
+    "series_with_break": rounded(series_with_break(), ["water"]),
 }
