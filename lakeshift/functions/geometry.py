@@ -37,18 +37,30 @@ def _all_rings(rings: Column) -> Column:
 
 def polygon_area(rings: Column) -> Column:
     """Planar area in squared coordinate units; holes subtract."""
+    first = F.element_at(F.element_at(F.element_at(rings, 1), 1), 1)
+    rings = _shift(rings, first["x"], first["y"])
     return F.aggregate(_all_rings(rings), F.lit(0.0),
                        lambda acc, r: acc + r["sign"] * F.abs(_ring_signed_area(r["ring"])))
 
 
+def _shift(rings: Column, ox: Column, oy: Column) -> Column:
+    return F.transform(rings, lambda poly: F.transform(poly, lambda ring: F.transform(
+        ring, lambda p: F.struct((p["x"] - ox).alias("x"), (p["y"] - oy).alias("y")))))
+
+
 def centroid(rings: Column) -> Column:
     """Area-weighted centroid as ``struct(x, y)``; holes weigh negative.
 
-    Zero area falls back to the mean of the vertices.
+    Moments are taken about the first vertex: with raw coordinates (|x| ~
+    165) the cross products cancel catastrophically for small lakes. Zero
+    area falls back to the mean of the vertices.
     """
-    parts = F.transform(_all_rings(rings), lambda r: F.struct(
+    first = F.element_at(F.element_at(F.element_at(rings, 1), 1), 1)
+    ox, oy = first["x"], first["y"]
+    local = _shift(rings, ox, oy)
+    parts = F.transform(_all_rings(local), lambda r: F.struct(
         (r["sign"] * F.abs(_ring_signed_area(r["ring"]))).alias("a"),
-        # signed moment sums, normalised to the ring's orientation
+        # moment sums, normalised to the ring's orientation
         (F.signum(_ring_signed_area(r["ring"])) * r["sign"]
          * _ring_terms(r["ring"], lambda p, q: (p["x"] + q["x"]) * _cross(p, q))).alias("mx"),
         (F.signum(_ring_signed_area(r["ring"])) * r["sign"]
@@ -57,14 +69,14 @@ def centroid(rings: Column) -> Column:
     a = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["a"])
     mx = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["mx"])
     my = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["my"])
-    verts = F.flatten(F.flatten(rings))
+    verts = F.flatten(F.flatten(local))
     n = F.size(verts).cast("double")
     vx = F.aggregate(verts, F.lit(0.0), lambda acc, v: acc + v["x"]) / n
     vy = F.aggregate(verts, F.lit(0.0), lambda acc, v: acc + v["y"]) / n
     nonzero = F.abs(a) > F.lit(0.0)
     cx = F.when(nonzero, mx / (F.lit(6.0) * F.when(nonzero, a))).otherwise(vx)
     cy = F.when(nonzero, my / (F.lit(6.0) * F.when(nonzero, a))).otherwise(vy)
-    return F.struct(cx.alias("x"), cy.alias("y"))
+    return F.struct((ox + cx).alias("x"), (oy + cy).alias("y"))
 
 
 def contains(rings: Column, x: Column, y: Column) -> Column:

@@ -19,6 +19,12 @@ from ..operators.breaks import simple_breaks
 from ..operators.merge import merge_panels
 from ..operators.panel import gap_report
 from ..operators.rolling import rolling
+from ..functions.geohash import geohash_decode, geohash_encode, geohash_label
+from ..functions.geometry import centroid, polygon_area
+from ..operators.geo import (bbox_area_km2, filter_bbox, grid_counts, lake_at_points, split_in_chunks,
+                             total_bounds)
+from ..operators.views import largest_lakes
+from ..sources.derived import square_lakes
 from ..operators.views import compare_sources, relative_percent, series_with_break, to_long, to_long_jrc
 from ..operators.nrt import nrt_breaks
 from ..operators.panel import prepare
@@ -142,6 +148,73 @@ def q_series_with_break(spark, sf_dir):
     return round_output(series_with_break(panel.select(ID, DATE, "water"), breaks))
 
 
+LAKE_ATTRS = ["Area_start_ha", "Area_end_ha", "NetChange_ha", "NetChange_perc"]
+
+
+def lakes_flat(lakes):
+    """Scalar view of polygons: id, key, attributes, centroid, planar area."""
+    c = centroid(F.col("rings"))
+    return lakes.select(ID, "lake_key", *LAKE_ATTRS, c["x"].alias("cx"), c["y"].alias("cy"),
+                        polygon_area(F.col("rings")).alias("area_deg2"))
+
+
+def q_square_lakes(spark, sf_dir):
+    return round_output(lakes_flat(square_lakes(spark, sf_dir)), 6)
+
+
+BBOX = dict(west=-164.5, south=61.0, east=-160.0, north=63.0)
+
+
+def q_bbox_filter(spark, sf_dir):
+    return round_output(lakes_flat(filter_bbox(square_lakes(spark, sf_dir), **BBOX)), 6)
+
+
+def q_grid_counts(spark, sf_dir):
+    return grid_counts(square_lakes(spark, sf_dir), dlon=1.0, dlat=0.5)
+
+
+def q_bounds(spark, sf_dir):
+    return round_output(total_bounds(square_lakes(spark, sf_dir)), 6)
+
+
+def q_bbox_area_km2(spark, sf_dir):
+    return round_output(bbox_area_km2(square_lakes(spark, sf_dir)), 2)
+
+
+def q_largest_lakes(spark, sf_dir):
+    top = largest_lakes(square_lakes(spark, sf_dir), n=20)
+    return top.select(ID, "lake_key", "Area_start_ha")
+
+
+def click_points(spark, sf_dir):
+    """One probe point per order near its customer's lake: inside for
+    offsets 0 and +-0.0013 degrees, outside for +-0.0026 and +-0.0039."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    k = F.col("o_custkey")
+    cx = F.lit(-165.0) + k.cast("double") * F.lit(0.01) + F.lit(0.002)
+    cy = F.lit(60.0) + (k % 100).cast("double") * F.lit(0.05) + F.lit(0.002)
+    dx = ((F.col("o_orderkey") % 7) - 3).cast("double") * F.lit(0.0013)
+    dy = ((F.col("o_orderkey") % 5) - 2).cast("double") * F.lit(0.0013)
+    return o.select(F.col("o_orderkey").alias("point_id"), (cy + dy).alias("lat"), (cx + dx).alias("lon"))
+
+
+def q_lake_at_points(spark, sf_dir):
+    return lake_at_points(click_points(spark, sf_dir), square_lakes(spark, sf_dir))
+
+
+def q_geohash_decode(spark, sf_dir):
+    lk = square_lakes(spark, sf_dir).select(ID)
+    d = geohash_decode(F.col(ID))
+    return round_output(lk.select(ID, d["lat"].alias("lat"), d["lon"].alias("lon"),
+                                  geohash_label(F.col(ID)).alias("label"),
+                                  geohash_encode(d["lat"], d["lon"], 12).alias("reencoded"),
+                                  geohash_encode(d["lat"], d["lon"], 5).alias("prefix5")), 6)
+
+
+def q_split_in_chunks(spark, sf_dir):
+    return split_in_chunks(square_lakes(spark, sf_dir).select(ID), size=100)
+
+
 QUERIES = {
     "simple_breaks": q_simple_breaks,
     "simple_breaks_mean": lambda s, d: q_simple_breaks(s, d, "mean"),
@@ -171,4 +244,13 @@ QUERIES = {
     "relative_percent": q_relative_percent,
     "compare_sources": q_compare_sources,
     "series_with_break": q_series_with_break,
+    "square_lakes": q_square_lakes,
+    "bbox_filter": q_bbox_filter,
+    "grid_counts": q_grid_counts,
+    "bounds": q_bounds,
+    "bbox_area_km2": q_bbox_area_km2,
+    "largest_lakes": q_largest_lakes,
+    "lake_at_points": q_lake_at_points,
+    "geohash_decode": q_geohash_decode,
+    "split_in_chunks": q_split_in_chunks,
 }

@@ -19,6 +19,7 @@ DEFAULT_CONF = {
     # groups stay small, but cap the batch for wide pixel groups.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

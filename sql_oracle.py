@@ -406,6 +406,139 @@ SELECT p.id_geohash, p.date, p.water, b.date_break AS first_break
 FROM p LEFT JOIN b ON p.id_geohash = b.id_geohash"""
 
 
+# --------------------------------------------------------------------------- geometry
+
+ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
+
+
+def geohash_encode(lat: str, lon: str, precision: int = 12) -> str:
+    """Geohash of (lat, lon) as a DuckDB expression (bits written out)."""
+    lon_bits, lat_bits = (5 * precision + 1) // 2, (5 * precision) // 2
+    qlon = (f"least(greatest(CAST(floor(({lon} - (-180.0e0)) / 360.0e0 * {float(1 << lon_bits)}e0) AS BIGINT), 0),"
+            f" {(1 << lon_bits) - 1})")
+    qlat = (f"least(greatest(CAST(floor(({lat} - (-90.0e0)) / 180.0e0 * {float(1 << lat_bits)}e0) AS BIGINT), 0),"
+            f" {(1 << lat_bits) - 1})")
+
+    def bit(i):
+        if i % 2 == 0:
+            return f"(({qlon} >> {lon_bits - 1 - i // 2}) & 1)"
+        return f"(({qlat} >> {lat_bits - 1 - (i - 1) // 2}) & 1)"
+
+    chars = []
+    for j in range(precision):
+        val = " + ".join(f"{bit(5 * j + t)} * {1 << (4 - t)}" for t in range(5))
+        chars.append(f"substr('{ALPHABET}', CAST({val} AS INTEGER) + 1, 1)")
+    return "(" + " || ".join(chars) + ")"
+
+
+def geohash_decode(gh: str, n_chars: int = 12) -> tuple[str, str]:
+    """(lat, lon) centre of a fixed-length geohash as DuckDB expressions."""
+    n_bits = 5 * n_chars
+    lon_bits, lat_bits = (n_bits + 1) // 2, n_bits // 2
+
+    def bit(i):
+        return f"(((strpos('{ALPHABET}', substr({gh}, {i // 5 + 1}, 1)) - 1) >> {4 - i % 5}) & 1)"
+
+    qlon = " + ".join(f"{bit(2 * j)} * {1 << (lon_bits - 1 - j)}" for j in range(lon_bits))
+    qlat = " + ".join(f"{bit(2 * j + 1)} * {1 << (lat_bits - 1 - j)}" for j in range(lat_bits))
+    lon = f"(-180.0e0 + (CAST({qlon} AS DOUBLE) + 0.5e0) * (360.0e0 / {float(1 << lon_bits)}e0))"
+    lat = f"(-90.0e0 + (CAST({qlat} AS DOUBLE) + 0.5e0) * (180.0e0 / {float(1 << lat_bits)}e0))"
+    return lat, lon
+
+
+def square_rows() -> str:
+    """CTE ``sq``: one square per customer with exact corner, centre and attributes."""
+    return f"""
+ sq0 AS (SELECT c_custkey AS k, -165.0e0 + CAST(c_custkey AS DOUBLE) * 0.01e0 AS x0,
+                60.0e0 + CAST(c_custkey % 100 AS DOUBLE) * 0.05e0 AS y0 FROM customer),
+ sq1 AS (SELECT *, x0 + 0.004e0 AS x1, y0 + 0.004e0 AS y1, x0 + 0.002e0 AS cx, y0 + 0.002e0 AS cy,
+                CAST(100 + (k % 7) * 10 AS DOUBLE) AS Area_start_ha FROM sq0),
+ sq AS (SELECT {geohash_encode("cy", "cx")} AS id_geohash, k AS lake_key, Area_start_ha,
+               Area_start_ha - CAST((k % 5) * 3 AS DOUBLE) AS Area_end_ha,
+               (Area_start_ha - CAST((k % 5) * 3 AS DOUBLE)) - Area_start_ha AS NetChange_ha,
+               ((Area_start_ha - CAST((k % 5) * 3 AS DOUBLE)) - Area_start_ha) / Area_start_ha * 100.0e0
+                   AS NetChange_perc,
+               x0, y0, x1, y1, cx, cy, (x1 - x0) * (y1 - y0) AS area_deg2 FROM sq1)"""
+
+
+LAKE_FLAT = "id_geohash, lake_key, Area_start_ha, Area_end_ha, NetChange_ha, NetChange_perc, cx, cy, area_deg2"
+LAKE_DOUBLES = ["Area_start_ha", "Area_end_ha", "NetChange_ha", "NetChange_perc", "cx", "cy", "area_deg2"]
+
+
+def square_lakes() -> str:
+    return f"WITH {square_rows()} SELECT {LAKE_FLAT} FROM sq"
+
+
+def bbox_filter(west, south, east, north) -> str:
+    return (f"WITH {square_rows()} SELECT {LAKE_FLAT} FROM sq WHERE cx >= {west}e0 AND cx <= {east}e0 "
+            f"AND cy >= {south}e0 AND cy <= {north}e0")
+
+
+def grid_counts(dlon: float, dlat: float) -> str:
+    return f"""WITH {square_rows()}
+SELECT -180.0e0 + floor((cx - (-180.0e0)) / {dlon}e0) * {dlon}e0 AS cell_lon,
+       60.0e0 + floor((cy - 60.0e0) / {dlat}e0) * {dlat}e0 AS cell_lat, count(*) AS n_lakes
+FROM sq GROUP BY ALL"""
+
+
+def total_bounds() -> str:
+    return f"""WITH {square_rows()}, b AS (SELECT min(x0) AS minx, min(y0) AS miny, max(x1) AS maxx, max(y1) AS maxy FROM sq)
+SELECT minx, miny, maxx, maxy, (minx + maxx) / 2 AS center_x, (miny + maxy) / 2 AS center_y FROM b"""
+
+
+def polar(lon: str, lat: str) -> tuple[str, str]:
+    import math
+    a, f = 6378137.0, 1.0 / 298.257223563
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+    phic = math.radians(71.0)
+    tc = math.tan(math.pi / 4 - phic / 2) / ((1 - e * math.sin(phic)) / (1 + e * math.sin(phic))) ** (e / 2)
+    mc = math.cos(phic) / math.sqrt(1 - e2 * math.sin(phic) ** 2)
+    phi = f"radians({lat})"
+    t = (f"(tan({math.pi / 4!r}e0 - {phi} / 2) / pow((1 - {e!r}e0 * sin({phi})) / (1 + {e!r}e0 * sin({phi})), "
+         f"{e / 2!r}e0))")
+    rho = f"({a * mc / tc!r}e0 * {t})"
+    return f"({rho} * sin(radians({lon})))", f"(-{rho} * cos(radians({lon})))"
+
+
+def bbox_area_km2() -> str:
+    px, py = polar("vx", "vy")
+    return f"""WITH {square_rows()},
+ v AS (SELECT x0 AS vx, y0 AS vy FROM sq UNION ALL SELECT x1, y0 FROM sq UNION ALL SELECT x1, y1 FROM sq
+       UNION ALL SELECT x0, y1 FROM sq),
+ p AS (SELECT {px} AS x, {py} AS y FROM v)
+SELECT (max(x) - min(x)) * (max(y) - min(y)) / 1000000.0e0 AS bbox_area_km2 FROM p"""
+
+
+def largest_lakes(n: int) -> str:
+    return (f"WITH {square_rows()} SELECT id_geohash, lake_key, Area_start_ha FROM sq "
+            f"ORDER BY Area_start_ha DESC, id_geohash LIMIT {n}")
+
+
+def lake_at_points() -> str:
+    return f"""WITH {square_rows()},
+ pts AS (SELECT o_orderkey AS point_id,
+                60.0e0 + CAST(o_custkey % 100 AS DOUBLE) * 0.05e0 + 0.002e0
+                    + CAST((o_orderkey % 5) - 2 AS DOUBLE) * 0.0013e0 AS lat,
+                -165.0e0 + CAST(o_custkey AS DOUBLE) * 0.01e0 + 0.002e0
+                    + CAST((o_orderkey % 7) - 3 AS DOUBLE) * 0.0013e0 AS lon FROM orders),
+ hit AS (SELECT point_id, min(sq.id_geohash) AS id_geohash FROM pts JOIN sq
+         ON pts.lon > sq.x0 AND pts.lon < sq.x1 AND pts.lat > sq.y0 AND pts.lat < sq.y1 GROUP BY point_id)
+SELECT pts.point_id, hit.id_geohash FROM pts LEFT JOIN hit ON pts.point_id = hit.point_id"""
+
+
+def geohash_decode_sql() -> str:
+    lat, lon = geohash_decode("id_geohash")
+    return f"""WITH {square_rows()}, d AS (SELECT id_geohash, {lat} AS lat, {lon} AS lon FROM sq)
+SELECT id_geohash, lat, lon, printf('%s | %.3f : %.3f', id_geohash, lat, lon) AS label,
+       {geohash_encode("lat", "lon", 12)} AS reencoded, {geohash_encode("lat", "lon", 5)} AS prefix5 FROM d"""
+
+
+def split_in_chunks(size: int) -> str:
+    return (f"WITH {square_rows()} SELECT id_geohash, CAST((row_number() OVER (ORDER BY id_geohash) - 1) "
+            f"// {size} + 1 AS INTEGER) AS chunk FROM sq")
+
+
 # --------------------------------------------------------------------------- registry
 
 def _breaks(panel: str, water: str, method: str = "median", family: str = "dw", nodata_max: str = "0.0e0"):
@@ -444,4 +577,13 @@ ORACLE: dict[str, str] = {
     "relative_percent": rounded(relative_percent(), ["value", "value_pct"]),
     "compare_sources": rounded(compare_sources(), ["value"]),
     "series_with_break": rounded(series_with_break(), ["water"]),
+    "square_lakes": rounded(square_lakes(), LAKE_DOUBLES, 6),
+    "bbox_filter": rounded(bbox_filter(-164.5, 61.0, -160.0, 63.0), LAKE_DOUBLES, 6),
+    "grid_counts": grid_counts(1.0, 0.5),
+    "bounds": rounded(total_bounds(), ["minx", "miny", "maxx", "maxy", "center_x", "center_y"], 6),
+    "bbox_area_km2": rounded(bbox_area_km2(), ["bbox_area_km2"], 2),
+    "largest_lakes": largest_lakes(20),
+    "lake_at_points": lake_at_points(),
+    "geohash_decode": rounded(geohash_decode_sql(), ["lat", "lon"], 6),
+    "split_in_chunks": split_in_chunks(100),
 }
