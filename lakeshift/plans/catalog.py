@@ -24,7 +24,9 @@ from ..functions.geometry import centroid, polygon_area
 from ..operators.geo import (bbox_area_km2, filter_bbox, grid_counts, lake_at_points, split_in_chunks,
                              total_bounds)
 from ..operators.views import largest_lakes
-from ..sources.derived import square_lakes
+from ..sources.derived import pixel_table, scene_table, square_lakes
+from ..operators.pixels import (best_scene_per_date, class_areas_dw, class_areas_jrc, monthly_mode,
+                                nearest_scene, range_mode, scene_dates, select_scenes)
 from ..operators.views import compare_sources, relative_percent, series_with_break, to_long, to_long_jrc
 from ..operators.nrt import nrt_breaks
 from ..operators.panel import prepare
@@ -215,6 +217,91 @@ def q_split_in_chunks(spark, sf_dir):
     return split_in_chunks(square_lakes(spark, sf_dir).select(ID), size=100)
 
 
+def q_monthly_mode(spark, sf_dir):
+    return round_output(monthly_mode(pixel_table(spark, sf_dir)))
+
+
+def q_range_mode(spark, sf_dir):
+    return round_output(range_mode(pixel_table(spark, sf_dir), "2024-01-08", "2024-01-22"))
+
+
+def q_class_areas(spark, sf_dir):
+    return round_output(class_areas_dw(monthly_mode(pixel_table(spark, sf_dir))), 6)
+
+
+def q_class_areas_jrc(spark, sf_dir):
+    return round_output(class_areas_jrc(pixel_table(spark, sf_dir), years=[2024]), 6)
+
+
+SCENE_WINDOWS = [("2024-01-03", "2024-01-10"), ("2024-01-15 12:00:00", "2024-01-25")]
+
+
+def q_select_scenes(spark, sf_dir):
+    sel = select_scenes(scene_table(spark, sf_dir), "2024-01-01", "2024-02-01", max_cloud=20.0,
+                        months=(1,), windows=SCENE_WINDOWS)
+    return round_output(sel)
+
+
+def q_best_scene(spark, sf_dir):
+    return best_scene_per_date(scene_table(spark, sf_dir))
+
+
+def q_scene_dates(spark, sf_dir):
+    return scene_dates(scene_table(spark, sf_dir))
+
+
+def scene_requests(spark, sf_dir):
+    """One imagery request per order: a lake of the pixel table and an hour in January 2024."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    at = (F.lit("2024-01-01").cast("timestamp")
+          + F.make_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") % 30).cast("int"),
+                            (F.col("o_orderkey") % 24).cast("int")))
+    return o.select(F.col("o_orderkey").alias("request_id"),
+                    F.concat(F.lit("px"), F.lpad((F.col("o_custkey") % 10).cast("string"), 6, "0")).alias(ID),
+                    at.alias("at"))
+
+
+def q_nearest_scene(spark, sf_dir):
+    return nearest_scene(scene_requests(spark, sf_dir), scene_table(spark, sf_dir))
+
+
+def q_bayes_breaks(spark, sf_dir):
+    from ..operators.bayes import bayes_breaks
+    return round_output(bayes_breaks(prepare(planted_panel(spark, sf_dir), DW), DW))
+
+
+def q_nrt_arima(spark, sf_dir):
+    prepared = prepare(planted_panel(spark, sf_dir), DW)
+    return round_output(nrt_breaks(prepared, DW, NRT_DATE, forecast="arima"))
+
+
+def q_user_detector(spark, sf_dir):
+    """A detector registered at run time (D10): first valid date whose water is
+    below half of the lake's first valid value."""
+    from ..operators.breaks import register_detector, run_detector
+
+    def half_drop(pdf):
+        import pandas as pd
+        hit = pdf[pdf["water_norm"] < pdf["water_norm"].iloc[0] / 2]
+        if hit.empty:
+            return pd.DataFrame({ID: pd.Series(dtype=str), "date_break": pd.Series(dtype="object"),
+                                 "date_before_break": pd.Series(dtype="object"),
+                                 "date_after_break": pd.Series(dtype="object")})
+        k = hit.index[0]
+        prev = pdf[DATE].iloc[k - 1] if k > 0 else None
+        nxt = pdf[DATE].iloc[k + 1] if k + 1 < len(pdf) else None
+        return pd.DataFrame({ID: [pdf[ID].iloc[0]], "date_break": [pdf[DATE].iloc[k]],
+                             "date_before_break": [prev], "date_after_break": [nxt]})
+
+    register_detector("half_drop", half_drop)
+    return round_output(run_detector(prepare(planted_panel(spark, sf_dir), DW), DW, "half_drop"))
+
+
+def q_spatial_chunks(spark, sf_dir):
+    from ..operators.geo import spatial_chunks
+    return spatial_chunks(square_lakes(spark, sf_dir), size=100)
+
+
 QUERIES = {
     "simple_breaks": q_simple_breaks,
     "simple_breaks_mean": lambda s, d: q_simple_breaks(s, d, "mean"),
@@ -253,4 +340,16 @@ QUERIES = {
     "lake_at_points": q_lake_at_points,
     "geohash_decode": q_geohash_decode,
     "split_in_chunks": q_split_in_chunks,
+    "monthly_mode": q_monthly_mode,
+    "range_mode": q_range_mode,
+    "class_areas": q_class_areas,
+    "class_areas_jrc": q_class_areas_jrc,
+    "select_scenes": q_select_scenes,
+    "best_scene": q_best_scene,
+    "scene_dates": q_scene_dates,
+    "nearest_scene": q_nearest_scene,
+    "bayes_breaks": q_bayes_breaks,
+    "nrt_arima": q_nrt_arima,
+    "user_detector": q_user_detector,
+    "spatial_chunks": q_spatial_chunks,
 }

@@ -539,6 +539,86 @@ def split_in_chunks(size: int) -> str:
             f"// {size} + 1 AS INTEGER) AS chunk FROM sq")
 
 
+# --------------------------------------------------------------------------- pixels and scenes
+
+LABELS = ("click", "error", "purchase", "signup", "view")
+
+
+def pixel_rows() -> str:
+    label = "CASE " + " ".join(f"WHEN event_type = '{n}' THEN {i}" for i, n in enumerate(LABELS)) + " END"
+    return f"""
+ px AS (SELECT 'px' || lpad(CAST(user_id % 10 AS VARCHAR), 6, '0') AS id_geohash, user_id AS pixel_id, ts,
+               CAST({label} AS INTEGER) AS label, value AS pixel_area_m2 FROM events),
+ scn AS (SELECT 'px' || lpad(CAST(user_id % 10 AS VARCHAR), 6, '0') AS id_geohash,
+                'sc' || CAST(event_id AS VARCHAR) AS scene_id, ts AS time,
+                CAST(event_id % 41 AS DOUBLE) AS cloud_pct, event_id % 7 AS missing_red FROM events)"""
+
+
+def _mode_sql(src: str, keys: str, label: str) -> str:
+    """Most frequent label per key group, ties to the smallest label."""
+    return f"""(SELECT {keys}, first(lb ORDER BY n DESC, lb ASC) AS label_mode, max(area) AS pixel_area_m2
+        FROM (SELECT {keys}, {label} AS lb, count(*) AS n, max(pixel_area_m2) AS area FROM {src}
+              WHERE label IS NOT NULL GROUP BY ALL) c GROUP BY {keys})"""
+
+
+def monthly_mode_sql() -> str:
+    src = "(SELECT *, CAST(date_trunc('month', ts) AS DATE) AS date FROM px)"
+    return f"WITH {pixel_rows()} SELECT * FROM {_mode_sql(src, 'id_geohash, pixel_id, date', 'label')} m"
+
+
+def range_mode_sql(start: str, end: str) -> str:
+    src = f"(SELECT * FROM px WHERE CAST(ts AS DATE) >= DATE '{start}' AND CAST(ts AS DATE) < DATE '{end}')"
+    return (f"WITH {pixel_rows()} SELECT *, DATE '{start}' AS date FROM "
+            f"{_mode_sql(src, 'id_geohash, pixel_id', 'label')} m")
+
+
+def class_areas_sql() -> str:
+    src = "(SELECT *, CAST(date_trunc('month', ts) AS DATE) AS date FROM px)"
+    cols = ", ".join(f"coalesce(sum(pixel_area_m2) FILTER (WHERE label_mode = {i}), 0.0e0) * 0.0001e0 AS {c}"
+                     for i, c in enumerate(DW_COLUMNS))
+    return (f"WITH {pixel_rows()}, m AS {_mode_sql(src, 'id_geohash, pixel_id, date', 'label')} "
+            f"SELECT id_geohash, date, {cols} FROM m GROUP BY id_geohash, date")
+
+
+def class_areas_jrc_sql(year: int) -> str:
+    src = f"(SELECT *, year(ts) AS year FROM px WHERE year(ts) = {year})"
+    names = ("area_nodata", "area_land", "area_water_seasonal", "area_water_permanent")
+    cols = ", ".join(f"coalesce(sum(pixel_area_m2) FILTER (WHERE label_mode = {i}), 0.0e0) * 0.0001e0 AS {c}"
+                     for i, c in enumerate(names) if c != "area_nodata")
+    return (f"WITH {pixel_rows()}, m AS {_mode_sql(src, 'id_geohash, pixel_id, year', 'label % 4')} "
+            f"SELECT id_geohash, make_date(CAST(year AS INTEGER), 1, 1) AS date, {cols} FROM m GROUP BY id_geohash, year")
+
+
+def select_scenes_sql() -> str:
+    return f"""WITH {pixel_rows()} SELECT * FROM scn
+WHERE time >= TIMESTAMP '2024-01-01' AND time < TIMESTAMP '2024-02-01' AND cloud_pct <= 20.0e0
+  AND month(time) IN (1)
+  AND ((time >= TIMESTAMP '2024-01-03' AND time <= TIMESTAMP '2024-01-10')
+       OR (time >= TIMESTAMP '2024-01-15 12:00:00' AND time <= TIMESTAMP '2024-01-25'))"""
+
+
+def best_scene_sql() -> str:
+    return f"""WITH {pixel_rows()} SELECT id_geohash, CAST(time AS DATE) AS day,
+       arg_min(scene_id, (missing_red, scene_id)) AS scene_id, min(missing_red) AS missing_red
+FROM scn GROUP BY id_geohash, CAST(time AS DATE)"""
+
+
+def scene_dates_sql() -> str:
+    return f"WITH {pixel_rows()} SELECT DISTINCT id_geohash, CAST(time AS DATE) AS day FROM scn"
+
+
+def nearest_scene_sql() -> str:
+    return f"""WITH {pixel_rows()},
+ req AS (SELECT o_orderkey AS request_id, 'px' || lpad(CAST(o_custkey % 10 AS VARCHAR), 6, '0') AS id_geohash,
+                TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 30 AS INTEGER))
+                    + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS "at" FROM orders),
+ pairs AS (SELECT r.request_id, r.id_geohash, r."at", s.scene_id, s.time,
+                  abs(epoch_us(r."at") - epoch_us(s.time)) AS d FROM req r JOIN scn s ON r.id_geohash = s.id_geohash)
+SELECT request_id, id_geohash, "at", arg_min(scene_id, (d, time, scene_id)) AS scene_id,
+       arg_min(time, (d, time, scene_id)) AS scene_time
+FROM pairs GROUP BY ALL"""
+
+
 # --------------------------------------------------------------------------- registry
 
 def _breaks(panel: str, water: str, method: str = "median", family: str = "dw", nodata_max: str = "0.0e0"):
@@ -586,4 +666,13 @@ ORACLE: dict[str, str] = {
     "lake_at_points": lake_at_points(),
     "geohash_decode": rounded(geohash_decode_sql(), ["lat", "lon"], 6),
     "split_in_chunks": split_in_chunks(100),
+    "monthly_mode": rounded(monthly_mode_sql(), ["pixel_area_m2"]),
+    "range_mode": rounded(range_mode_sql("2024-01-08", "2024-01-22"), ["pixel_area_m2"]),
+    "class_areas": rounded(class_areas_sql(), DW_COLUMNS, 6),
+    "class_areas_jrc": rounded(class_areas_jrc_sql(2024),
+                               ["area_land", "area_water_seasonal", "area_water_permanent"], 6),
+    "select_scenes": rounded(select_scenes_sql(), ["cloud_pct"]),
+    "best_scene": best_scene_sql(),
+    "scene_dates": scene_dates_sql(),
+    "nearest_scene": nearest_scene_sql(),
 }
