@@ -302,6 +302,53 @@ def q_spatial_chunks(spark, sf_dir):
     return spatial_chunks(square_lakes(spark, sf_dir), size=100)
 
 
+HIST_BBOX = dict(west=-164.9, east=-164.3)
+
+
+def q_historical_breaks(spark, sf_dir):
+    from .historical import historical_breaks
+    lakes = square_lakes(spark, sf_dir, source="supplier")
+    out = historical_breaks(planted_panel(spark, sf_dir), lakes, bbox=HIST_BBOX)
+    return round_output(out.drop("rings"))
+
+
+def q_gridded_nrt(spark, sf_dir):
+    from .gridded import gridded_nrt
+    panel = planted_panel(spark, sf_dir)
+    d = F.lit("2019-06-01").cast("date")
+    history, new_month = panel.filter(F.col(DATE) < d), panel.filter(F.col(DATE) == d)
+    lakes = square_lakes(spark, sf_dir, source="supplier")
+    return round_output(gridded_nrt(history, new_month, lakes, "2019-06-01", dlon=0.5, dlat=1.0))
+
+
+def _scratch(spark, name):
+    import uuid
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/queries/{name}-{uuid.uuid4().hex}"
+
+
+def q_clustered_roundtrip(spark, sf_dir):
+    """Write the lakes clustered by id with small row groups (K4), read back."""
+    from ..sinks.writers import cluster_by_key
+    path = _scratch(spark, "clustered")
+    cluster_by_key(square_lakes(spark, sf_dir), path, rows_per_group=200)
+    return round_output(lakes_flat(spark.read.parquet(path)), 6)
+
+
+def q_month_files_roundtrip(spark, sf_dir):
+    """Drained lakes of the range written as month partitions (K3), read back."""
+    from ..sinks.writers import write_nrt_month
+    from ..sources.readers import read_nrt_results
+    path = _scratch(spark, "months")
+    write_nrt_month(nrt_range(planted_panel(spark, sf_dir), RANGE_START, RANGE_END, DW), path)
+    return round_output(read_nrt_results(spark, path))
+
+
+def q_geojson_lines(spark, sf_dir):
+    from ..sinks.writers import geojson_lines
+    return geojson_lines(square_lakes(spark, sf_dir))
+
+
 QUERIES = {
     "simple_breaks": q_simple_breaks,
     "simple_breaks_mean": lambda s, d: q_simple_breaks(s, d, "mean"),
@@ -352,4 +399,9 @@ QUERIES = {
     "nrt_arima": q_nrt_arima,
     "user_detector": q_user_detector,
     "spatial_chunks": q_spatial_chunks,
+    "historical_breaks": q_historical_breaks,
+    "gridded_nrt": q_gridded_nrt,
+    "clustered_roundtrip": q_clustered_roundtrip,
+    "month_files_roundtrip": q_month_files_roundtrip,
+    "geojson_lines": q_geojson_lines,
 }

@@ -133,13 +133,17 @@ def scene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQUARE_SIDE = 0.004
 
 
-def square_lakes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One square lake per customer key k.
+def square_lakes(spark: SparkSession, sf_dir: str, source: str = "customer") -> DataFrame:
+    """One square lake per customer key k (or per supplier, for the planted panel).
 
-    Corner (-165 + k*0.01, 60 + (k % 100)*0.05), side 0.004; id is the
-    12-character geohash of the centre; attributes from integer formulas.
+    Corner (-165 + k*0.01, 60 + (k % 100)*0.05), side 0.004; the id is the
+    12-character geohash of the centre (customer) or the planted panel's
+    ``lk`` id (supplier); attributes from integer formulas.
     """
-    cu = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    if source == "customer":
+        cu = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    else:
+        cu = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     x0 = F.lit(-165.0) + F.col("k").cast("double") * F.lit(0.01)
     y0 = F.lit(60.0) + (F.col("k") % 100).cast("double") * F.lit(0.05)
     x1 = x0 + F.lit(SQUARE_SIDE)
@@ -155,8 +159,10 @@ def square_lakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = start - ((F.col("k") % 5) * 3).cast("double")
     cx = x0 + F.lit(SQUARE_SIDE / 2)
     cy = y0 + F.lit(SQUARE_SIDE / 2)
+    lake_id = geohash_encode(cy, cx, 12) if source == "customer" else \
+        F.concat(F.lit("lk"), F.lpad(F.col("k").cast("string"), 6, "0"))
     return cu.select(
-        geohash_encode(cy, cx, 12).alias(ID),
+        lake_id.alias(ID),
         F.col("k").alias("lake_key"),
         start.alias("Area_start_ha"),
         end.alias("Area_end_ha"),

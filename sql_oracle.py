@@ -446,14 +446,16 @@ def geohash_decode(gh: str, n_chars: int = 12) -> tuple[str, str]:
     return lat, lon
 
 
-def square_rows() -> str:
-    """CTE ``sq``: one square per customer with exact corner, centre and attributes."""
+def square_rows(source: str = "customer") -> str:
+    """CTE ``sq``: one square per customer (or supplier) with exact corner, centre and attributes."""
+    key, table = ("c_custkey", "customer") if source == "customer" else ("s_suppkey", "supplier")
+    lake_id = geohash_encode("cy", "cx") if source == "customer" else "'lk' || lpad(CAST(k AS VARCHAR), 6, '0')"
     return f"""
- sq0 AS (SELECT c_custkey AS k, -165.0e0 + CAST(c_custkey AS DOUBLE) * 0.01e0 AS x0,
-                60.0e0 + CAST(c_custkey % 100 AS DOUBLE) * 0.05e0 AS y0 FROM customer),
+ sq0 AS (SELECT {key} AS k, -165.0e0 + CAST({key} AS DOUBLE) * 0.01e0 AS x0,
+                60.0e0 + CAST({key} % 100 AS DOUBLE) * 0.05e0 AS y0 FROM {table}),
  sq1 AS (SELECT *, x0 + 0.004e0 AS x1, y0 + 0.004e0 AS y1, x0 + 0.002e0 AS cx, y0 + 0.002e0 AS cy,
                 CAST(100 + (k % 7) * 10 AS DOUBLE) AS Area_start_ha FROM sq0),
- sq AS (SELECT {geohash_encode("cy", "cx")} AS id_geohash, k AS lake_key, Area_start_ha,
+ sq AS (SELECT {lake_id} AS id_geohash, k AS lake_key, Area_start_ha,
                Area_start_ha - CAST((k % 5) * 3 AS DOUBLE) AS Area_end_ha,
                (Area_start_ha - CAST((k % 5) * 3 AS DOUBLE)) - Area_start_ha AS NetChange_ha,
                ((Area_start_ha - CAST((k % 5) * 3 AS DOUBLE)) - Area_start_ha) / Area_start_ha * 100.0e0
@@ -619,6 +621,29 @@ SELECT request_id, id_geohash, "at", arg_min(scene_id, (d, time, scene_id)) AS s
 FROM pairs GROUP BY ALL"""
 
 
+# --------------------------------------------------------------------------- plans
+
+def historical_breaks(west: float, east: float) -> str:
+    ctes = planted_panel() + f""",{square_rows("supplier")},
+ inbox AS (SELECT id_geohash FROM sq WHERE cx >= {west}e0 AND cx <= {east}e0),
+ panel_f AS (SELECT * FROM panel WHERE id_geohash IN (SELECT id_geohash FROM inbox))""" + prepared(src="panel_f")
+    brk = simple_breaks(ctes, "water")
+    return f"""WITH {square_rows("supplier")}, b AS ({brk})
+SELECT sq.id_geohash, sq.lake_key, sq.Area_start_ha, sq.Area_end_ha, sq.NetChange_ha, sq.NetChange_perc,
+       b.* EXCLUDE (id_geohash)
+FROM sq LEFT JOIN b ON sq.id_geohash = b.id_geohash WHERE sq.cx >= {west}e0 AND sq.cx <= {east}e0"""
+
+
+def gridded_nrt(d: str, dlon: float, dlat: float) -> str:
+    ctes = planted_panel() + f""",
+ panel_h AS (SELECT * FROM panel WHERE date <= DATE '{d}')""" + prepared(src="panel_h")
+    return f"""WITH {square_rows("supplier")},
+ cells AS (SELECT id_geohash, -180.0e0 + floor((cx - (-180.0e0)) / {dlon}e0) * {dlon}e0 AS cell_lon,
+                  60.0e0 + floor((cy - 60.0e0) / {dlat}e0) * {dlat}e0 AS cell_lat FROM sq),
+ r AS ({nrt(ctes, "water", d)})
+SELECT cells.cell_lon, cells.cell_lat, r.* FROM cells JOIN r ON cells.id_geohash = r.id_geohash"""
+
+
 # --------------------------------------------------------------------------- registry
 
 def _breaks(panel: str, water: str, method: str = "median", family: str = "dw", nodata_max: str = "0.0e0"):
@@ -675,4 +700,9 @@ ORACLE: dict[str, str] = {
     "best_scene": best_scene_sql(),
     "scene_dates": scene_dates_sql(),
     "nearest_scene": nearest_scene_sql(),
+    "historical_breaks": rounded(historical_breaks(-164.9, -164.3),
+                                 BREAK_DOUBLES + ["Area_start_ha", "Area_end_ha", "NetChange_ha", "NetChange_perc"]),
+    "gridded_nrt": rounded(gridded_nrt("2019-06-01", 0.5, 1.0), NRT_DOUBLES + ["cell_lon", "cell_lat"]),
+    "clustered_roundtrip": rounded(square_lakes(), LAKE_DOUBLES, 6),
+    "month_files_roundtrip": rounded(range_drained("2018-01-01", "2021-12-01"), NRT_DOUBLES),
 }
