@@ -129,29 +129,61 @@ def scene_dates(scenes: DataFrame) -> DataFrame:
     return scenes.select(ID, F.col("time").cast("date").alias("day")).distinct()
 
 
-def nearest_scene(requests: DataFrame, scenes: DataFrame, key: str = "request_id",
-                  at: str = "at") -> DataFrame:
+def nearest_scene(requests: DataFrame, scenes: DataFrame, key: str = "request_id", at: str = "at",
+                  bucket_seconds: int = 86400) -> DataFrame:
     """As-of join to the nearest scene on either side.
 
-    Requests and scenes are unioned and sorted once per lake; the last scene
-    before and the first scene after each request come from running
-    ``last``/``first`` windows (ignoring NULLs). No request x scene pairs are
-    formed. Ties: the earlier scene, then the smaller scene id.
+    Skew-safe and pair-free: time is cut into buckets, so a lake with a
+    third of all rows is still spread over many (lake, bucket) groups.
+
+    1. Inside each (lake, bucket) the unioned requests and scenes are sorted
+       once; the last scene at or before and the first scene at or after each
+       request come from growing-frame ``last``/``first`` windows (the "after"
+       side as a ``last`` over the reversed order, so both are O(n)).
+    2. Requests whose bucket has no scene on one side take the carry-in: the
+       last scene of any earlier bucket / first scene of any later bucket,
+       from a per-(lake, bucket) summary table (one row per bucket holding
+       scenes or requests; bounded by the time span, not by the data).
+    Ties: the earlier scene, then the smaller scene id.
     """
+    bucket = F.floor(F.unix_seconds(F.col("_t")) / F.lit(bucket_seconds)).cast("long")
+    scene_t = "struct<t:timestamp,s:string>"
     req = requests.select(ID, F.col(at).alias("_t"), F.col(key).alias("_req"),
-                          F.lit(None).cast("struct<t:timestamp,s:string>").alias("_scene"), F.lit(0).alias("_kind"))
+                          F.lit(None).cast(scene_t).alias("_sc"), F.lit(0).alias("_kind"))
     sc = scenes.select(ID, F.col("time").alias("_t"), F.lit(None).cast(requests.schema[key].dataType).alias("_req"),
-                       F.struct(F.col("time").alias("t"), F.col("scene_id").alias("s")).alias("_scene"),
+                       F.struct(F.col("time").alias("t"), F.col("scene_id").alias("s")).alias("_sc"),
                        F.lit(1).alias("_kind"))
-    u = req.unionByName(sc)
-    w = Window.partitionBy(ID).orderBy("_t", "_kind", F.col("_scene.s"))
-    before = F.last("_scene", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_scene", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    r = u.select(ID, "_t", "_req", "_kind", before.alias("b"), after.alias("a")).filter(F.col("_kind") == 0)
-    db = F.unix_micros(F.col("_t")) - F.unix_micros(F.col("b.t"))
-    da = F.unix_micros(F.col("a.t")) - F.unix_micros(F.col("_t"))
-    pick_b = F.col("a").isNull() | (F.col("b").isNotNull() & (db <= da))
-    best = F.when(pick_b, F.col("b")).otherwise(F.col("a"))
+    u = req.unionByName(sc).withColumn("_b", bucket)
+
+    # 1. within (lake, bucket). Equal times: the request sorts before scenes
+    # going forward and after them going backward, so a scene at exactly the
+    # request time counts as "after"; among scenes with equal times the
+    # smallest id is the one seen last in both orders.
+    fwd = Window.partitionBy(ID, "_b").orderBy("_t", "_kind", F.desc("_sc.s"))
+    bwd = Window.partitionBy(ID, "_b").orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_sc.s"))
+    grow = (Window.unboundedPreceding, 0)
+    inside = (u.withColumn("_before", F.last("_sc", ignorenulls=True).over(fwd.rowsBetween(*grow)))
+               .withColumn("_after", F.last("_sc", ignorenulls=True).over(bwd.rowsBetween(*grow)))
+               .filter(F.col("_kind") == 0))
+
+    # 2. carry-ins from other buckets (summary: one row per lake and bucket)
+    latest_key = F.struct(-F.unix_micros(F.col("_sc.t")), F.col("_sc.s"))
+    earliest_key = F.struct(F.unix_micros(F.col("_sc.t")), F.col("_sc.s"))
+    summary = (u.groupBy(ID, "_b")
+                .agg(F.min_by("_sc", F.when(F.col("_sc").isNotNull(), latest_key)).alias("_last_sc"),
+                     F.min_by("_sc", F.when(F.col("_sc").isNotNull(), earliest_key)).alias("_first_sc")))
+    earlier = Window.partitionBy(ID).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(ID).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (summary.withColumn("_carry_before", F.last("_last_sc", ignorenulls=True).over(earlier))
+                    .withColumn("_carry_after", F.last("_first_sc", ignorenulls=True).over(later))
+                    .select(ID, "_b", "_carry_before", "_carry_after"))
+    r = inside.join(carry, [ID, "_b"], "left")
+    b = F.coalesce(F.col("_before"), F.col("_carry_before"))
+    a = F.coalesce(F.col("_after"), F.col("_carry_after"))
+    db = F.unix_micros(F.col("_t")) - F.unix_micros(b["t"])
+    da = F.unix_micros(a["t"]) - F.unix_micros(F.col("_t"))
+    pick_b = a.isNull() | (b.isNotNull() & (db <= da))
+    best = F.when(pick_b, b).otherwise(a)
     return r.select(F.col("_req").alias(key), ID, F.col("_t").alias(at),
                     best["s"].alias("scene_id"), best["t"].alias("scene_time"))
 
