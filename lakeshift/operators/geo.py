@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from ..family import ID
 from ..functions.geohash import geohash_encode, geohash_neighbour_prefixes
-from ..functions.geometry import bounds, centroid, contains, polar_xy, vertices
+from ..functions.geometry import bounds, contains, polar_xy, vertices, with_shape_columns
 
 
 def with_centroid(lakes: DataFrame) -> DataFrame:
-    c = centroid(F.col("rings"))
-    return lakes.withColumn("cx", c["x"]).withColumn("cy", c["y"])
+    """Add ``cx, cy, area_deg2`` (vectorised Arrow kernel, computed once per row)."""
+    return with_shape_columns(lakes)
 
 
 def check_bbox(west=None, south=None, east=None, north=None) -> None:
@@ -34,17 +34,17 @@ def check_bbox(west=None, south=None, east=None, north=None) -> None:
 def filter_bbox(lakes: DataFrame, west=None, south=None, east=None, north=None) -> DataFrame:
     """Lakes whose centroid lies in the box, bounds inclusive, each optional (F1)."""
     check_bbox(west, south, east, north)
-    c = centroid(F.col("rings"))
+    cx, cy = F.col("cx"), F.col("cy")
     cond = F.lit(True)
     if west is not None:
-        cond = cond & (c["x"] >= F.lit(float(west)))
+        cond = cond & (cx >= F.lit(float(west)))
     if east is not None:
-        cond = cond & (c["x"] <= F.lit(float(east)))
+        cond = cond & (cx <= F.lit(float(east)))
     if south is not None:
-        cond = cond & (c["y"] >= F.lit(float(south)))
+        cond = cond & (cy >= F.lit(float(south)))
     if north is not None:
-        cond = cond & (c["y"] <= F.lit(float(north)))
-    return lakes.filter(cond)
+        cond = cond & (cy <= F.lit(float(north)))
+    return with_shape_columns(lakes).filter(cond).drop("cx", "cy", "area_deg2")
 
 
 def filter_panel_by_bbox(panel: DataFrame, lakes: DataFrame, **bbox) -> DataFrame:
@@ -96,11 +96,12 @@ def attach_geometry(breaks: DataFrame, lakes: DataFrame, how: str = "left") -> D
 def assign_grid_cell(lakes: DataFrame, dlon: float = 10.0, dlat: float = 2.0,
                      lon0: float = -180.0, lat0: float = 60.0) -> DataFrame:
     """Grid cell of each centroid by arithmetic (J10): half-open cells, no range join."""
-    c = centroid(F.col("rings"))
-    gx = F.floor((c["x"] - F.lit(lon0)) / F.lit(dlon))
-    gy = F.floor((c["y"] - F.lit(lat0)) / F.lit(dlat))
-    return lakes.withColumn("cell_lon", F.lit(lon0) + gx * F.lit(dlon)) \
-                .withColumn("cell_lat", F.lit(lat0) + gy * F.lit(dlat))
+    gx = F.floor((F.col("cx") - F.lit(lon0)) / F.lit(dlon))
+    gy = F.floor((F.col("cy") - F.lit(lat0)) / F.lit(dlat))
+    return (with_shape_columns(lakes)
+            .withColumn("cell_lon", F.lit(lon0) + gx * F.lit(dlon))
+            .withColumn("cell_lat", F.lit(lat0) + gy * F.lit(dlat))
+            .drop("cx", "cy", "area_deg2"))
 
 
 def grid_counts(lakes: DataFrame, dlon: float = 10.0, dlat: float = 2.0, lon0: float = -180.0,
@@ -208,9 +209,9 @@ def spatial_chunks(lakes: DataFrame, size: int, seed: int = 42) -> DataFrame:
     than ``size`` are cut into consecutive pieces (W7)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
-    c = centroid(F.col("rings"))
-    xy = polar_xy(c["x"], c["y"])
-    pts = lakes.select(ID, xy["x"].alias("px"), xy["y"].alias("py"))
+    shaped = with_shape_columns(lakes.select(ID, "rings"))
+    xy = polar_xy(F.col("cx"), F.col("cy"))
+    pts = shaped.select(ID, xy["x"].alias("px"), xy["y"].alias("py"))
     n = pts.count()
     k = max(1, n // size)
     feats = VectorAssembler(inputCols=["px", "py"], outputCol="features").transform(pts)

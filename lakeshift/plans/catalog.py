@@ -20,7 +20,6 @@ from ..operators.merge import merge_panels
 from ..operators.panel import gap_report
 from ..operators.rolling import rolling
 from ..functions.geohash import geohash_decode, geohash_encode, geohash_label
-from ..functions.geometry import centroid, polygon_area
 from ..operators.geo import (bbox_area_km2, filter_bbox, grid_counts, lake_at_points, split_in_chunks,
                              total_bounds)
 from ..operators.views import largest_lakes
@@ -155,9 +154,8 @@ LAKE_ATTRS = ["Area_start_ha", "Area_end_ha", "NetChange_ha", "NetChange_perc"]
 
 def lakes_flat(lakes):
     """Scalar view of polygons: id, key, attributes, centroid, planar area."""
-    c = centroid(F.col("rings"))
-    return lakes.select(ID, "lake_key", *LAKE_ATTRS, c["x"].alias("cx"), c["y"].alias("cy"),
-                        polygon_area(F.col("rings")).alias("area_deg2"))
+    from ..functions.geometry import with_shape_columns
+    return with_shape_columns(lakes).select(ID, "lake_key", *LAKE_ATTRS, "cx", "cy", "area_deg2")
 
 
 def q_square_lakes(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, FloatType, TimestampType
 
 from ..family import DATE, ID, Family, detect_family
-from ..functions.geometry import centroid
+from ..functions.geometry import with_shape_columns
 from ..functions.numeric import round_even
 
 # Property columns exported with each lake feature.
@@ -77,8 +77,8 @@ def geojson_lines(lakes: DataFrame, props=DEFAULT_TILE_PROPERTIES, points: bool
     valid = lakes.filter(F.col("rings").isNotNull() & (F.size(F.flatten(F.flatten("rings"))) > 0))
     properties = F.struct(*[_property(c, types[c]).alias(c) for c in keep])
     if points:
-        c = centroid(F.col("rings"))
-        geom = F.struct(F.lit("Point").alias("type"), F.array(c["x"], c["y"]).alias("coordinates"))
+        valid = with_shape_columns(valid)
+        geom = F.struct(F.lit("Point").alias("type"), F.array(F.col("cx"), F.col("cy")).alias("coordinates"))
     else:
         coords = F.transform("rings", lambda poly: F.transform(
             poly, lambda ring: F.transform(ring, lambda v: F.array(v["x"], v["y"]))))
