@@ -113,17 +113,20 @@ def q_rolling(spark, sf_dir, method="median"):
 
 
 SPLIT_DATE_A, SPLIT_DATE_B = "1998-01-01", "1997-01-01"
-SPLIT_ID_A, SPLIT_ID_B = "sp000060", "sp000040"
 
 
 def q_merge(spark, sf_dir, how="both"):
-    panel = ship_panel(spark, sf_dir)
+    """Two overlapping halves merged back: by date on the ship panel; by lake
+    on the planted panel (dense, so both halves share one date set)."""
     if how in ("both", "date"):
+        panel = ship_panel(spark, sf_dir)
         a = panel.filter(F.col(DATE) < F.lit(SPLIT_DATE_A).cast("date"))
         b = panel.filter(F.col(DATE) >= F.lit(SPLIT_DATE_B).cast("date"))
     else:
-        a = panel.filter(F.col(ID) < F.lit(SPLIT_ID_A))
-        b = panel.filter(F.col(ID) >= F.lit(SPLIT_ID_B))
+        panel = planted_panel(spark, sf_dir)
+        k = F.substring(ID, 3, 6).cast("int")
+        a = panel.filter((k % 2 == 0) | (k % 5 == 0))
+        b = panel.filter((k % 2 == 1) | (k % 5 == 0))
     return round_output(merge_panels(a, b, how=how))
 
 

@@ -351,8 +351,10 @@ def _split(how: str) -> str:
  a AS (SELECT * FROM panel WHERE date < DATE '1998-01-01'),
  b AS (SELECT * FROM panel WHERE date >= DATE '1997-01-01')"""
     return """,
- a AS (SELECT * FROM panel WHERE id_geohash < 'sp000060'),
- b AS (SELECT * FROM panel WHERE id_geohash >= 'sp000040')"""
+ a AS (SELECT * FROM panel WHERE CAST(substr(id_geohash, 3, 6) AS INTEGER) % 2 = 0
+                             OR CAST(substr(id_geohash, 3, 6) AS INTEGER) % 5 = 0),
+ b AS (SELECT * FROM panel WHERE CAST(substr(id_geohash, 3, 6) AS INTEGER) % 2 = 1
+                             OR CAST(substr(id_geohash, 3, 6) AS INTEGER) % 5 = 0)"""
 
 
 def merge_sql(how: str) -> str:
@@ -362,7 +364,8 @@ def merge_sql(how: str) -> str:
         return f"""WITH {ship_panel()}{_split(how)}
 SELECT coalesce(a.id_geohash, b.id_geohash) AS id_geohash, coalesce(a.date, b.date) AS date, {vals}
 FROM a FULL OUTER JOIN b ON a.id_geohash = b.id_geohash AND a.date = b.date"""
-    return f"""WITH {ship_panel()}{_split(how)},
+    source = ship_panel() if how == "date" else planted_panel()
+    return f"""WITH {source}{_split(how)},
  u AS (SELECT id_geohash, date, {cols}, 0 AS prio FROM a UNION ALL SELECT id_geohash, date, {cols}, 1 FROM b)
 SELECT id_geohash, date, {cols} FROM u
 QUALIFY row_number() OVER (PARTITION BY id_geohash, date ORDER BY prio DESC) = 1"""
