@@ -176,3 +176,37 @@ def drained(nrt: DataFrame, threshold: float = DRAIN_THRESHOLD) -> DataFrame:
 def with_month(nrt: DataFrame) -> DataFrame:
     """``analysis_month`` first, then id and the NRT columns."""
     return nrt.select(F.date_format("date", "yyyy-MM").alias("analysis_month"), *nrt.columns)
+
+
+ABSOLUTE = {c: f"{c}_absolute" for c in VALUE_COLS}
+
+
+def rescale_and_attach(nrt: DataFrame, raw_panel: DataFrame, lakes: DataFrame, family: Family,
+                       all_geoms: bool = True, add_ci: bool = True) -> DataFrame:
+    """Recompute absolutes from the raw panel and attach polygons.
+
+    Scale = the largest, over dates, sum of all variables of the raw panel
+    (a missing class counts 0). Lakes: left (all polygons) or right (only
+    lakes with a result) join; optional interval text; ordered by id.
+    """
+    total = None
+    for c in family.classes:
+        term = F.coalesce(F.col(c), F.lit(0.0))
+        total = term if total is None else total + term
+    scale = raw_panel.groupBy(ID).agg(F.max(total).alias("_scale"))
+    rel = nrt.select(ID, "date", *VALUE_COLS, "drainage_confidence")
+    scaled = rel.join(scale, ID, "left").select(
+        ID, "date", *VALUE_COLS, *[(F.col(c) * F.col("_scale")).alias(ABSOLUTE[c]) for c in VALUE_COLS],
+        "drainage_confidence")
+    joined = lakes.select(ID, "rings").join(scaled, ID, "left" if all_geoms else "right")
+    cols = [ID, "date", *VALUE_COLS]
+    abs_cols = [ABSOLUTE[c] for c in VALUE_COLS]
+    if add_ci:
+        joined = (joined.withColumn("water_predicted_ci", interval_text(F.col("water_predicted_lower_90"),
+                                                                        F.col("water_predicted_upper_90")))
+                        .withColumn("water_predicted_ci_absolute",
+                                    interval_text(F.col(ABSOLUTE["water_predicted_lower_90"]),
+                                                  F.col(ABSOLUTE["water_predicted_upper_90"]))))
+        cols.append("water_predicted_ci")
+        abs_cols.append("water_predicted_ci_absolute")
+    return joined.select(*cols, *abs_cols, "drainage_confidence", "rings").orderBy(ID)

@@ -78,6 +78,17 @@ def prepare(df: DataFrame, family: Family | None = None, mask: bool = True,
     return out.select(*cols)
 
 
+def normalize(df: DataFrame, family: Family | None = None) -> DataFrame:
+    """Every variable divided by the lake's maximum total area (P2), unmasked."""
+    return prepare(df, family, mask=False)
+
+
+def mask_invalid(df: DataFrame, family: Family | None = None, nodata_max: float = 0.0,
+                 limits: dict | None = None, enabled: bool = True) -> DataFrame:
+    """P1-P3 with the masking switch of the reference (``mask_data``)."""
+    return prepare(df, family, mask=enabled, nodata_max=nodata_max, limits=limits)
+
+
 def normalize_rows(df: DataFrame, exclude: tuple[str, ...] = ("year", "month", "reducer")) -> DataFrame:
     """Divide each value by (area_data + area_nodata) of the same row (P5)."""
     denom = F.col("area_data") + F.col("area_nodata")

@@ -39,6 +39,11 @@ def to_long_jrc(df: DataFrame) -> DataFrame:
     return df.unpivot([ID, DATE], names, "variable", "value")
 
 
+def pick_variables(long: DataFrame, names) -> DataFrame:
+    """Keep chosen variables of a long table."""
+    return long.filter(F.col("variable").isin(list(names)))
+
+
 def relative_percent(long: DataFrame, scale: DataFrame | None = None) -> DataFrame:
     """value / lake max area * 100 (P8); max from ``scale(id, max_area)`` or the
     lake's largest ``area_data + area_nodata`` in the long table."""

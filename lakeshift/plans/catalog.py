@@ -350,6 +350,30 @@ def q_geojson_lines(spark, sf_dir):
     return geojson_lines(square_lakes(spark, sf_dir))
 
 
+def q_rescale_attach(spark, sf_dir):
+    from ..operators.nrt import rescale_and_attach
+    panel = planted_panel(spark, sf_dir)
+    nrt = nrt_breaks(prepare(panel, DW), DW, NRT_DATE)
+    lakes = square_lakes(spark, sf_dir, source="supplier")
+    return round_output(rescale_and_attach(nrt, panel, lakes, DW).drop("rings"))
+
+
+def q_valid_keys(spark, sf_dir):
+    """Data-quality flags over lake ids, months and probe coordinates."""
+    from ..functions.validators import is_geohash, is_lat, is_lon, is_month
+    pts = click_points(spark, sf_dir)
+    lakes = square_lakes(spark, sf_dir).select(ID)
+    month = F.date_format(F.col("o_orderdate"), "yyyy-MM")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    flags = (pts.join(orders, pts["point_id"] == orders["o_orderkey"])
+                .select("point_id", is_lat(F.col("lat")).alias("lat_ok"), is_lon(F.col("lon")).alias("lon_ok"),
+                        is_month(month).alias("month_ok"), is_month(F.col("o_orderkey").cast("string")).alias("key_is_month")))
+    ids = lakes.select(ID, is_geohash(F.col(ID)).alias("id_ok"),
+                       is_geohash(F.concat(F.col(ID), F.lit("x"))).alias("id13_ok"))
+    return flags.groupBy("lat_ok", "lon_ok", "month_ok", "key_is_month").count().unionByName(
+        ids.groupBy("id_ok", "id13_ok").count(), allowMissingColumns=True)
+
+
 QUERIES = {
     "simple_breaks": q_simple_breaks,
     "simple_breaks_mean": lambda s, d: q_simple_breaks(s, d, "mean"),
@@ -405,4 +429,6 @@ QUERIES = {
     "clustered_roundtrip": q_clustered_roundtrip,
     "month_files_roundtrip": q_month_files_roundtrip,
     "geojson_lines": q_geojson_lines,
+    "rescale_attach": q_rescale_attach,
+    "valid_keys": q_valid_keys,
 }

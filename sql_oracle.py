@@ -647,6 +647,39 @@ def gridded_nrt(d: str, dlon: float, dlat: float) -> str:
 SELECT cells.cell_lon, cells.cell_lat, r.* FROM cells JOIN r ON cells.id_geohash = r.id_geohash"""
 
 
+def rescale_attach(d: str) -> str:
+    total = " + ".join(f"coalesce({c}, 0.0e0)" for c in DW_COLUMNS)
+    absolutes = ", ".join(f"r.{c} * s.scale AS {c}_absolute" for c in NRT_VALUES)
+    return f"""WITH {square_rows("supplier")},
+ s AS (WITH {planted_panel()} SELECT id_geohash, max({total}) AS scale FROM panel GROUP BY id_geohash),
+ r AS ({nrt(planted_panel() + prepared(), "water", d)})
+SELECT sq.id_geohash, r.date, {", ".join("r." + c for c in NRT_VALUES)}, {absolutes},
+       {_ci("r.water_predicted_lower_90", "r.water_predicted_upper_90")} AS water_predicted_ci,
+       {_ci("r.water_predicted_lower_90 * s.scale", "r.water_predicted_upper_90 * s.scale")}
+           AS water_predicted_ci_absolute,
+       r.drainage_confidence
+FROM sq LEFT JOIN r ON sq.id_geohash = r.id_geohash LEFT JOIN s ON sq.id_geohash = s.id_geohash"""
+
+
+def valid_keys() -> str:
+    return f"""WITH {square_rows()},
+ pts AS (SELECT o_orderkey AS point_id, o_orderdate,
+                60.0e0 + CAST(o_custkey % 100 AS DOUBLE) * 0.05e0 + 0.002e0
+                    + CAST((o_orderkey % 5) - 2 AS DOUBLE) * 0.0013e0 AS lat,
+                -165.0e0 + CAST(o_custkey AS DOUBLE) * 0.01e0 + 0.002e0
+                    + CAST((o_orderkey % 7) - 3 AS DOUBLE) * 0.0013e0 AS lon FROM orders),
+ f AS (SELECT coalesce(lat BETWEEN -90 AND 90, false) AS lat_ok, coalesce(lon BETWEEN -180 AND 180, false) AS lon_ok,
+              coalesce(regexp_full_match(strftime(o_orderdate, '%Y-%m'), '\\d{{4}}-\\d{{2}}'), false) AS month_ok,
+              coalesce(regexp_full_match(CAST(point_id AS VARCHAR), '\\d{{4}}-\\d{{2}}'), false) AS key_is_month
+       FROM pts),
+ g AS (SELECT coalesce(regexp_full_match(id_geohash, '[0-9a-zA-Z]{{1,12}}'), false) AS id_ok,
+              coalesce(regexp_full_match(id_geohash || 'x', '[0-9a-zA-Z]{{1,12}}'), false) AS id13_ok FROM sq)
+SELECT lat_ok, lon_ok, month_ok, key_is_month, NULL::BOOLEAN AS id_ok, NULL::BOOLEAN AS id13_ok, count(*) AS count
+FROM f GROUP BY ALL
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, id_ok, id13_ok, count(*) FROM g GROUP BY ALL"""
+
+
 # --------------------------------------------------------------------------- registry
 
 def _breaks(panel: str, water: str, method: str = "median", family: str = "dw", nodata_max: str = "0.0e0"):
@@ -708,4 +741,6 @@ ORACLE: dict[str, str] = {
     "gridded_nrt": rounded(gridded_nrt("2019-06-01", 0.5, 1.0), NRT_DOUBLES + ["cell_lon", "cell_lat"]),
     "clustered_roundtrip": rounded(square_lakes(), LAKE_DOUBLES, 6),
     "month_files_roundtrip": rounded(range_drained("2018-01-01", "2021-12-01"), NRT_DOUBLES),
+    "rescale_attach": rounded(rescale_attach("2019-06-01"), NRT_DOUBLES),
+    "valid_keys": valid_keys(),
 }
