@@ -31,10 +31,6 @@ from .breaks import BREAK_COLUMNS, break_statistics
 from .panel import norm
 
 
-def _lgamma(a: np.ndarray) -> np.ndarray:
-    return np.vectorize(math.lgamma, otypes=[float])(a)
-
-
 def segment_loglik(x: np.ndarray, mu0: float, kappa0: float = 0.01, alpha0: float = 1.0,
                    beta0: float = 1e-3) -> np.ndarray:
     """log marginal likelihood of every segment x[i..j] (inclusive), NaN ignored; shape (n, n).
@@ -59,7 +55,9 @@ def segment_loglik(x: np.ndarray, mu0: float, kappa0: float = 0.01, alpha0: floa
     kn = kappa0 + m
     an = alpha0 + m / 2.0
     bn = beta0 + 0.5 * dev2 + kappa0 * m * mean ** 2 / (2.0 * kn)
-    ll = (_lgamma(an) - math.lgamma(alpha0) + alpha0 * math.log(beta0) - an * np.log(bn)
+    # an = alpha0 + m / 2 takes only n + 1 values: look lgamma up in a table
+    table = np.array([math.lgamma(alpha0 + k / 2.0) for k in range(n + 1)])
+    ll = (table[m.astype(int)] - math.lgamma(alpha0) + alpha0 * math.log(beta0) - an * np.log(bn)
           + 0.5 * (math.log(kappa0) - np.log(kn)) - 0.5 * m * math.log(2 * math.pi))
     return np.where(j >= i, ll, -np.inf)
 

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..family import ID
-from ..functions.geohash import geohash_encode, geohash_neighbour_prefixes
 from ..functions.geometry import bounds, contains, polar_xy, vertices, with_shape_columns
 
 
@@ -121,22 +120,42 @@ def lonlat_grid(spark, lon_range=(-180.0, 180.0), lat_range=(60.0, 80.0), dlon=1
     return g.distinct() if nx and ny else g.limit(0)
 
 
+def _cell4(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Integer (lon, lat) index of the precision-4 geohash cell (10 bits each)."""
+    qlon = F.floor((lon - F.lit(-180.0)) / F.lit(360.0) * F.lit(1024.0)).cast("int")
+    qlat = F.floor((lat - F.lit(-90.0)) / F.lit(180.0) * F.lit(1024.0)).cast("int")
+    clamp = lambda q: F.least(F.greatest(q, F.lit(0)), F.lit(1023))
+    return clamp(qlon), clamp(qlat)
+
+
 def lake_at_points(points: DataFrame, lakes: DataFrame, lat: str = "lat", lon: str = "lon",
                    key: str = "point_id") -> DataFrame:
     """Lake containing each point (J8): ``(key, id_geohash or NULL)``.
 
-    The lake id is its geohash, so candidates are the lakes whose id starts
-    with the precision-4 cell of the point or one of its 8 neighbours: an
-    equi join on that 4-character prefix, refined inside the join by the
-    lake's bounding box, then by ray casting. First match = smallest id.
+    The lake id is its geohash, so candidate lakes are those whose first 4
+    characters name the point's precision-4 cell or one of its 8 neighbours.
+    Both sides are keyed by the integer cell index (the lake's from its id
+    prefix, the point's by arithmetic, neighbours by index +-1 with
+    longitude wrap), an equi join refined inside the join by the lake's
+    bounding box, then by ray casting. First match = smallest id.
     """
+    from ..functions.geohash import geohash_decode
     pts = points.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    probes = pts.select("*", F.explode(geohash_neighbour_prefixes(F.col("_lat"), F.col("_lon"))).alias("_cell"))
+    plon, plat = _cell4(F.col("_lat"), F.col("_lon"))
+    offsets = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"))
+                        for dj in (-1, 0, 1) for di in (-1, 0, 1)])
+    probes = (pts.select("*", plon.alias("_qlon"), plat.alias("_qlat"), F.explode(offsets).alias("_o"))
+                 .select(key, "_lat", "_lon",
+                         F.pmod(F.col("_qlon") + F.col("_o.di"), F.lit(1024)).alias("_clon"),
+                         F.least(F.greatest(F.col("_qlat") + F.col("_o.dj"), F.lit(0)), F.lit(1023)).alias("_clat"))
+                 .distinct())
     b = bounds(F.col("rings"))
-    cand = lakes.select(ID, F.substring(ID, 1, 4).alias("_cell"), "rings",
+    centre = geohash_decode(F.substring(ID, 1, 4))
+    llon, llat = _cell4(centre["lat"], centre["lon"])
+    cand = lakes.select(ID, "rings", llon.alias("_clon"), llat.alias("_clat"),
                         b["minx"].alias("_minx"), b["maxx"].alias("_maxx"),
                         b["miny"].alias("_miny"), b["maxy"].alias("_maxy"))
-    cond = ((probes["_cell"] == cand["_cell"])
+    cond = ((probes["_clon"] == cand["_clon"]) & (probes["_clat"] == cand["_clat"])
             & (probes["_lon"] >= cand["_minx"]) & (probes["_lon"] <= cand["_maxx"])
             & (probes["_lat"] >= cand["_miny"]) & (probes["_lat"] <= cand["_maxy"]))
     hits = (probes.join(cand, cond, "inner")

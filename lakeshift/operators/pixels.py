@@ -57,14 +57,12 @@ def range_mode(pixels: DataFrame, start=None, end=None, year: int | None = None,
 def class_areas_dw(modes: DataFrame) -> DataFrame:
     """Hectares per DW class (labels 0..8) for each lake and date, as a panel.
 
-    Explicit pivot values: no extra job to find them, every class column
-    exists (0 ha when no pixel has it).
+    A conditional sum per class (one aggregate, one shuffle; ``pivot`` would
+    plan two); every class column exists, 0 ha when no pixel has it.
     """
-    wide = (modes.groupBy(ID, "date")
-                 .pivot("label_mode", list(range(len(DW_COLUMNS))))
-                 .agg(F.sum("pixel_area_m2")))
-    return wide.select(ID, "date", *[(F.coalesce(F.col(str(i)), F.lit(0.0)) * F.lit(M2_TO_HA)).alias(name)
-                                     for i, name in enumerate(DW_COLUMNS)])
+    return modes.groupBy(ID, "date").agg(*[
+        (F.coalesce(F.sum(F.when(F.col("label_mode") == i, F.col("pixel_area_m2"))), F.lit(0.0))
+         * F.lit(M2_TO_HA)).alias(name) for i, name in enumerate(DW_COLUMNS)])
 
 
 def class_areas_jrc(pixels: DataFrame, years: list[int] | None = None) -> DataFrame:
@@ -77,10 +75,10 @@ def class_areas_jrc(pixels: DataFrame, years: list[int] | None = None) -> DataFr
         px = px.filter(yr.isin([int(y) for y in years]))
     modes = (px.groupBy(ID, "pixel_id", yr.alias("year"))
                .agg(_mode(F.col("label") % 4).alias("label_mode"), F.max("pixel_area_m2").alias("pixel_area_m2")))
-    wide = modes.groupBy(ID, "year").pivot("label_mode", list(range(4))).agg(F.sum("pixel_area_m2"))
-    cols = {name: (F.coalesce(F.col(str(i)), F.lit(0.0)) * F.lit(M2_TO_HA)) for i, name in enumerate(JRC_CLASSES)}
-    return wide.select(ID, F.make_date(F.col("year"), F.lit(1), F.lit(1)).alias("date"),
-                       *[cols[c].alias(c) for c in JRC_COLUMNS])
+    cols = {name: (F.coalesce(F.sum(F.when(F.col("label_mode") == i, F.col("pixel_area_m2"))), F.lit(0.0))
+                   * F.lit(M2_TO_HA)) for i, name in enumerate(JRC_CLASSES)}
+    wide = modes.groupBy(ID, "year").agg(*[cols[c].alias(c) for c in JRC_COLUMNS])
+    return wide.select(ID, F.make_date(F.col("year"), F.lit(1), F.lit(1)).alias("date"), *JRC_COLUMNS)
 
 
 def areas_to_panel(*parts: DataFrame) -> DataFrame:

@@ -65,6 +65,7 @@ def counts_matrix(counts: DataFrame) -> DataFrame:
     ym = counts.select(F.substring("analysis_month", 1, 4).cast("int").alias("year"),
                        F.substring("analysis_month", 6, 2).cast("int").alias("month"),
                        F.col("drained_lake_count").cast("double").alias("n"))
-    wide = ym.groupBy("year").pivot("month", list(range(1, 13))).agg(F.avg("n"))
-    return (wide.select("year", *[F.coalesce(F.col(str(m)), F.lit(0.0)).alias(f"m{m:02d}") for m in range(1, 13)])
-                .orderBy(F.desc("year")))
+    wide = ym.groupBy("year").agg(*[
+        F.coalesce(F.avg(F.when(F.col("month") == m, F.col("n"))), F.lit(0.0)).alias(f"m{m:02d}")
+        for m in range(1, 13)])
+    return wide.orderBy(F.desc("year"))
