@@ -62,6 +62,13 @@ def segment_loglik(x: np.ndarray, mu0: float, kappa0: float = 0.01, alpha0: floa
     return np.where(j >= i, ll, -np.inf)
 
 
+def _logsumexp(v: np.ndarray) -> float:
+    m = v.max()
+    if not np.isfinite(m):
+        return m
+    return m + math.log(np.exp(v - m).sum())
+
+
 def changepoint_probability(x: np.ndarray, p: float | None = None) -> np.ndarray:
     """P(a segment starts at t | x) for t = 0..n-1 (0 at t = 0)."""
     n = len(x)
@@ -73,19 +80,21 @@ def changepoint_probability(x: np.ndarray, p: float | None = None) -> np.ndarray
     mu0 = float(np.nanmean(x))
     L = segment_loglik(x, mu0)
     # forward: A[j] = log sum over segmentations of x[0..j-1] ending at j-1
+    idx = np.arange(n + 1)
+    start_pen = np.where(idx > 0, lp, 0.0)   # a segment after a boundary pays p
     A = np.full(n + 1, -np.inf)
     A[0] = 0.0
     for jend in range(1, n + 1):
-        starts = np.arange(0, jend)
-        terms = A[starts] + L[starts, jend - 1] + lq * (jend - starts - 1) + np.where(starts > 0, lp, 0.0)
-        A[jend] = np.logaddexp.reduce(terms)
+        terms = A[:jend] + L[:jend, jend - 1] + lq * (jend - 1 - idx[:jend]) + start_pen[:jend]
+        A[jend] = _logsumexp(terms)
     # backward: B[i] = log sum over segmentations of x[i..n-1] given a segment starts at i
     B = np.full(n + 1, -np.inf)
     B[n] = 0.0
+    end_pen = np.where(idx < n, lp, 0.0)     # a boundary after the segment pays p
     for ist in range(n - 1, -1, -1):
-        ends = np.arange(ist + 1, n + 1)
-        terms = L[ist, ends - 1] + lq * (ends - ist - 1) + np.where(ends < n, lp, 0.0) + B[ends]
-        B[ist] = np.logaddexp.reduce(terms)
+        ends = idx[ist + 1:]
+        terms = L[ist, ist:n] + lq * (ends - ist - 1) + end_pen[ist + 1:] + B[ist + 1:]
+        B[ist] = _logsumexp(terms)
     z = A[n]
     # a segment starts at t (t >= 1): previous segment ends at t-1, boundary prob p
     t = np.arange(1, n)
@@ -96,9 +105,18 @@ def changepoint_probability(x: np.ndarray, p: float | None = None) -> np.ndarray
 PROB_SCHEMA = f"{ID} string, {DATE} date, proba double"
 
 
-def changepoint_probabilities(rows: DataFrame, value: str, p: float | None = None) -> DataFrame:
-    """``applyInPandas`` over lakes of ``(id, date, value)``; one probability per row."""
+def changepoint_probabilities(rows: DataFrame, value: str, p: float | None = None,
+                              partitions: int | None = None) -> DataFrame:
+    """``applyInPandas`` over lakes of ``(id, date, value)``; one probability per row.
+
+    The task count comes from the input's partitioning by lake: prepare the
+    panel with ``prepare(..., partitions=kernel_partitions(spark))`` so its
+    single exchange is sized for the Python work (``partitions`` here adds a
+    repartition of the thin frame instead, for inputs not partitioned by lake).
+    """
     slim = rows.select(ID, DATE, F.col(value).alias("v"))
+    if partitions:
+        slim = slim.repartition(int(partitions), ID)
 
     def per_lake(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DATE)

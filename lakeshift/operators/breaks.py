@@ -122,7 +122,11 @@ def all_breaks(panel: DataFrame, method: str = "simple", family: Family | None =
                mask: bool = True, **kwargs) -> DataFrame:
     """Every lake of a panel in one job (D3): prepare, then the chosen detector."""
     family = family or detect_family(panel)
-    prepared = prepare(panel, family, mask=mask)
+    if method == "simple":
+        prepared = prepare(panel, family, mask=mask)
+    else:  # Python kernels: fixed task count for the one exchange
+        from ..session import kernel_partitions
+        prepared = prepare(panel, family, mask=mask, partitions=kernel_partitions(panel.sparkSession))
     if method == "simple":
         return simple_breaks(prepared, family, **kwargs)
     if method in ("bayes", "beast"):

@@ -95,9 +95,17 @@ ARIMA_SCHEMA = (f"{ID} string, water_predicted double, water_predicted_lower_90
                 "water_predicted_upper_90 double, forecast_method string")
 
 
-def arima_forecast(history: DataFrame, value: str, min_length: int = MIN_LENGTH) -> DataFrame:
-    """Per-lake forecast through ``applyInPandas`` on ``(id, date, value)`` only."""
+def arima_forecast(history: DataFrame, value: str, min_length: int = MIN_LENGTH,
+                   partitions: int | None = None) -> DataFrame:
+    """Per-lake forecast through ``applyInPandas`` on ``(id, date, value)`` only.
+
+    The task count comes from the input's partitioning by lake (see
+    ``prepare(..., partitions=...)``); ``partitions`` adds a repartition of the
+    thin frame for inputs not partitioned by lake.
+    """
     slim = history.select(ID, DATE, F.col(value).alias("v")).filter(F.col("v").isNotNull())
+    if partitions:
+        slim = slim.repartition(int(partitions), ID)
 
     def per_lake(pdf: pd.DataFrame) -> pd.DataFrame:
         vals = pdf.sort_values(DATE)["v"].to_numpy(dtype=float)

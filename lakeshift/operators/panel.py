@@ -49,18 +49,24 @@ def add_area(df: DataFrame, family: Family | None = None) -> DataFrame:
 
 def prepare(df: DataFrame, family: Family | None = None, mask: bool = True,
             nodata_max: float = 0.0, limits: dict | None = None,
-            keep_raw: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+            keep_raw: bool = True, carry: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
     """Area, normalisation and masking in one pass.
 
     Output: id, date, raw classes, area_data, area_nodata, max_area, the same
     values divided by max_area with suffix ``_norm``, and ``valid``. When
     ``mask`` is true, every value column of an invalid row is NULL.
     ``carry`` names extra input columns passed through unchanged.
+    ``partitions`` fixes the task count of the one exchange (a repartition by
+    lake that AQE does not coalesce): use it before CPU-heavy grouped pandas
+    kernels, whose thin input AQE would otherwise pack into a few tasks.
     """
     family = family or detect_family(df)
     limits = family.limits if limits is None else limits
     variables = list(family.classes) + ["area_data", "area_nodata"]
-    base = add_area(df.select(ID, DATE, *family.classes, *carry), family)
+    src = df.select(ID, DATE, *family.classes, *carry)
+    if partitions:
+        src = src.repartition(int(partitions), ID)
+    base = add_area(src, family)
     mx = F.col("max_area")
     normed = {v: F.try_divide(F.col(v), mx) for v in variables}
     ok = normed["area_nodata"] <= F.lit(float(nodata_max))

@@ -266,13 +266,19 @@ def q_nearest_scene(spark, sf_dir):
     return nearest_scene(scene_requests(spark, sf_dir), scene_table(spark, sf_dir))
 
 
+def _kernel_prepared(spark, sf_dir):
+    """Planted panel prepared with a fixed task count for the Python kernels."""
+    from ..session import kernel_partitions
+    return prepare(planted_panel(spark, sf_dir), DW, partitions=kernel_partitions(spark))
+
+
 def q_bayes_breaks(spark, sf_dir):
     from ..operators.bayes import bayes_breaks
-    return round_output(bayes_breaks(prepare(planted_panel(spark, sf_dir), DW), DW))
+    return round_output(bayes_breaks(_kernel_prepared(spark, sf_dir), DW))
 
 
 def q_nrt_arima(spark, sf_dir):
-    prepared = prepare(planted_panel(spark, sf_dir), DW)
+    prepared = _kernel_prepared(spark, sf_dir)
     return round_output(nrt_breaks(prepared, DW, NRT_DATE, forecast="arima"))
 
 
@@ -295,7 +301,7 @@ def q_user_detector(spark, sf_dir):
                              "date_before_break": [prev], "date_after_break": [nxt]})
 
     register_detector("half_drop", half_drop)
-    return round_output(run_detector(prepare(planted_panel(spark, sf_dir), DW), DW, "half_drop"))
+    return round_output(run_detector(_kernel_prepared(spark, sf_dir), DW, "half_drop"))
 
 
 def q_spatial_chunks(spark, sf_dir):

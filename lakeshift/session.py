@@ -20,6 +20,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Every keyed operation here is partitioned by lake id (high cardinality,
+    # one row per date): joins on (id, date) may reuse that partitioning
+    # instead of reshuffling both sides on the full key.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -71,3 +75,17 @@ def cut_lineage(df):
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kernel_partitions(spark: SparkSession, partitions: int | None = None) -> int:
+    """Task count for CPU-bound grouped pandas kernels.
+
+    AQE sizes shuffle partitions by bytes; a thin (id, date, value) frame
+    would be packed into a few tasks although each lake costs milliseconds
+    of Python. An explicit count (never coalesced) keeps every core busy:
+    the larger of the shuffle partitions and the default parallelism.
+    """
+    if partitions:
+        return int(partitions)
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, spark.sparkContext.defaultParallelism)
