@@ -41,13 +41,15 @@ def change_stats(df: DataFrame, zero_as_null: bool = True) -> DataFrame:
     if zero_as_null:
         pre = F.when(pre != 0, pre)
         post = F.when(post != 0, post)
-    return (df.withColumn("pre_break_median", pre)
-              .withColumn("post_break_median", post)
-              .withColumn("date_break_year", F.year("date_break"))
-              .withColumn("date_break_month", F.month("date_break"))
-              .withColumn("water_change_ha", F.col("post_break_median") - F.col("pre_break_median"))
-              .withColumn("water_change_perc",
-                          F.try_divide(F.col("water_change_ha"), F.col("pre_break_median")) * F.lit(100.0)))
+    # one projection (chained withColumn calls re-analyse the plan each time)
+    return df.withColumns({
+        "pre_break_median": pre,
+        "post_break_median": post,
+        "date_break_year": F.year("date_break"),
+        "date_break_month": F.month("date_break"),
+        "water_change_ha": post - pre,
+        "water_change_perc": F.try_divide(post - pre, pre) * F.lit(100.0),
+    })
 
 
 def simple_breaks(prepared: DataFrame, family: Family, window: int = 3, method: str = "median",
@@ -69,10 +71,9 @@ def simple_breaks(prepared: DataFrame, family: Family, window: int = 3, method:
     v = F.col("wn")
     hit_p = F.coalesce(v - rolling(v, method, window, rn) < F.lit(threshold), F.lit(False))
     hit_s = F.coalesce(v - rolling(v, method, window + 2, rn) < F.lit(threshold), F.lit(False))
-    flagged = (rows.withColumn("hit_p", hit_p).withColumn("hit_s", hit_s)
-                   .withColumn("is_break", F.col("hit_p") & F.lead("hit_s", 1, False).over(w))
-                   .withColumn("prev_date", F.lag(DATE, 1).over(w))
-                   .withColumn("next_date", F.lead(DATE, 1).over(w)))
+    flagged = (rows.withColumns({"hit_p": hit_p, "hit_s": hit_s, "prev_date": F.lag(DATE, 1).over(w),
+                                 "next_date": F.lead(DATE, 1).over(w)})
+                   .withColumn("is_break", F.col("hit_p") & F.lead("hit_s", 1, False).over(w)))
     whole_lake = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     with_brk = (flagged.withColumn("brk", F.min(F.when(F.col("is_break"), F.col(DATE))).over(whole_lake))
                        .filter(F.col("brk").isNotNull()))

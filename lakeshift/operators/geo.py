@@ -140,15 +140,18 @@ def lake_at_points(points: DataFrame, lakes: DataFrame, lat: str = "lat", lon: s
     bounding box, then by ray casting. First match = smallest id.
     """
     from ..functions.geohash import geohash_decode
-    pts = points.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    from ..session import spread
+    pts = spread(points.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")))
     plon, plat = _cell4(F.col("_lat"), F.col("_lon"))
     offsets = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"))
                         for dj in (-1, 0, 1) for di in (-1, 0, 1)])
+    # rows past a pole are dropped (clamping would repeat a cell); the
+    # longitude wrap never repeats one, so no distinct/shuffle is needed
     probes = (pts.select("*", plon.alias("_qlon"), plat.alias("_qlat"), F.explode(offsets).alias("_o"))
                  .select(key, "_lat", "_lon",
                          F.pmod(F.col("_qlon") + F.col("_o.di"), F.lit(1024)).alias("_clon"),
-                         F.least(F.greatest(F.col("_qlat") + F.col("_o.dj"), F.lit(0)), F.lit(1023)).alias("_clat"))
-                 .distinct())
+                         (F.col("_qlat") + F.col("_o.dj")).alias("_clat"))
+                 .filter(F.col("_clat").between(0, 1023)))
     b = bounds(F.col("rings"))
     centre = geohash_decode(F.substring(ID, 1, 4))
     llon, llat = _cell4(centre["lat"], centre["lon"])

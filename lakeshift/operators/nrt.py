@@ -57,15 +57,16 @@ def _finish(df: DataFrame, observed: Column, pred: Column, lower: Column, upper:
     ).withColumn("water_residual", r(F.col("water_observed") - F.col("water_predicted")))
     conf = drainage_confidence(F.col("water_residual"), F.col("water_observed"),
                                F.col("water_predicted_lower_90"), F.col("water_historical_min"))
-    out = out.withColumn("drainage_confidence", F.when(F.col("_valid"), conf).cast("int"))
-    for c in VALUE_COLS:
-        out = out.withColumn(f"{c}_absolute", F.col(c) * F.col("scale"))
-    out = (out.withColumn("water_predicted_ci",
-                          interval_text(F.col("water_predicted_lower_90"), F.col("water_predicted_upper_90")))
-              .withColumn("water_predicted_ci_absolute",
-                          interval_text(F.col("water_predicted_lower_90_absolute"),
-                                        F.col("water_predicted_upper_90_absolute"))))
-    return out.select(ID, *NRT_COLUMNS)
+    absolute = {f"{c}_absolute": F.col(c) * F.col("scale") for c in VALUE_COLS}
+    # one projection for confidence, absolutes and interval text
+    return out.select(
+        ID, "date", *VALUE_COLS, F.when(F.col("_valid"), conf).cast("int").alias("drainage_confidence"),
+        *[e.alias(k) for k, e in absolute.items()],
+        interval_text(F.col("water_predicted_lower_90"), F.col("water_predicted_upper_90"))
+        .alias("water_predicted_ci"),
+        interval_text(absolute["water_predicted_lower_90_absolute"], absolute["water_predicted_upper_90_absolute"])
+        .alias("water_predicted_ci_absolute"),
+    ).select(ID, *NRT_COLUMNS)
 
 
 def nrt_breaks(prepared: DataFrame, family: Family, analysis_date, period: str = "all",
@@ -91,9 +92,8 @@ def nrt_breaks(prepared: DataFrame, family: Family, analysis_date, period: str =
     w = Window.partitionBy(ID).orderBy(DATE)
     rows = (prepared.select(ID, DATE, wn.alias("wn"), F.col("area_data"),
                             F.coalesce(*[F.col(v) for v in variables]).isNotNull().alias("any_value"))
-                    .withColumn("hw", F.when(in_hist, F.col("wn")))
-                    .withColumn("xp", F.last("hw", ignorenulls=True).over(
-                        w.rowsBetween(Window.unboundedPreceding, -1))))
+                    .withColumn("hw", F.when(in_hist, F.col("wn"))))
+    rows = rows.withColumn("xp", F.last("hw", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     at = F.col(DATE) == d
     agg = rows.groupBy(ID).agg(
         F.max(F.when(at, F.col("wn"))).alias("obs"),
@@ -139,8 +139,8 @@ def nrt_all_dates(prepared: DataFrame, family: Family, start=None, end=None,
     if row_filter is not None:
         usable = usable & F.coalesce(row_filter, F.lit(False))
     rows = (prepared.select(ID, DATE, wn.alias("wn"), F.col("area_data"), usable.alias("any_value"))
-                    .withColumn("scale", F.max("area_data").over(whole))
-                    .withColumn("xp", F.last("wn", ignorenulls=True).over(before)))
+                    .withColumns({"scale": F.max("area_data").over(whole),
+                                  "xp": F.last("wn", ignorenulls=True).over(before)}))
     # each row carries its pair (xp, y); the frame [.., -1] of an analysis
     # row therefore sees exactly the pairs of its history
     y, xp = F.col("wn"), F.col("xp")

@@ -42,9 +42,9 @@ def add_area(df: DataFrame, family: Family | None = None) -> DataFrame:
     # is the one the rolling windows downstream need, so Spark sorts once
     by_lake = Window.partitionBy(ID).orderBy(DATE).rowsBetween(Window.unboundedPreceding,
                                                                Window.unboundedFollowing)
-    return (df.withColumn("area_data", area_sum(family))
-              .withColumn("max_area", F.max("area_data").over(by_lake))
-              .withColumn("area_nodata", round_even(F.col("max_area") - F.col("area_data"), 4)))
+    total = area_sum(family)
+    staged = df.withColumns({"area_data": total, "max_area": F.max(total).over(by_lake)})
+    return staged.withColumn("area_nodata", round_even(F.col("max_area") - F.col("area_data"), 4))
 
 
 def prepare(df: DataFrame, family: Family | None = None, mask: bool = True,

@@ -89,3 +89,11 @@ def kernel_partitions(spark: SparkSession, partitions: int | None = None) -> int
         return int(partitions)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(shuffle, spark.sparkContext.defaultParallelism)
+
+
+def spread(df):
+    """Round-robin ``df`` over all cores when its scan has fewer splits than
+    cores (small inputs read as one split). Large inputs already arrive in
+    many splits and are returned unchanged: no shuffle is added at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
