@@ -45,7 +45,12 @@ def ar1_prediction(min_length: int = MIN_LENGTH) -> tuple[Column, Column, Column
     has_slope = F.col("ar_slope").isNotNull()
     pred = F.when(enough, F.when(has_slope, F.col("ar_intercept") + F.col("ar_slope") * F.col("x_last"))
                   .otherwise(F.col("x_last")))
-    sse = F.greatest(F.col("ar_syy") - F.col("ar_slope") * F.col("ar_sxy"), F.lit(0.0))
+    # residual sum of squares; an exact fit (two pairs, or a remainder below
+    # floating resolution) is exactly zero rather than +-1e-17 of rounding noise
+    raw = F.col("ar_syy") - F.col("ar_slope") * F.col("ar_sxy")
+    sse = (F.when(F.col("n_pairs") <= 2, F.lit(0.0))
+            .when(raw <= F.lit(1e-12) * F.col("ar_syy"), F.lit(0.0))
+            .otherwise(raw))
     sigma = F.when(has_slope, F.sqrt(sse / F.col("n_pairs"))).otherwise(F.lit(0.0))
     half = F.lit(Z90) * sigma
     return pred, F.when(enough, pred - half), F.when(enough, pred + half)

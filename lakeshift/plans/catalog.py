@@ -78,6 +78,12 @@ def q_nrt_range(spark, sf_dir):
     return round_output(nrt_range(planted_panel(spark, sf_dir), RANGE_START, RANGE_END, DW))
 
 
+def q_nrt_range_monthly(spark, sf_dir):
+    """Range job with same-calendar-month history (``period='monthly'``)."""
+    return round_output(nrt_range(planted_panel(spark, sf_dir), RANGE_START, RANGE_END, DW, period="monthly",
+                                  drained_only=False))
+
+
 def q_monthly_counts(spark, sf_dir):
     return nrt_range_counts(planted_panel(spark, sf_dir), RANGE_START, RANGE_END, DW)
 
@@ -393,6 +399,7 @@ QUERIES = {
     "history_stats": q_history_stats,
     "drained_month": q_drained_month,
     "nrt_range": q_nrt_range,
+    "nrt_range_monthly": q_nrt_range_monthly,
     "monthly_counts": q_monthly_counts,
     "counts_matrix": q_counts_matrix,
     "ranked_drained": q_ranked_drained,

@@ -171,8 +171,10 @@ def _nrt_finish(src: str, date_expr: str, valid: str) -> str:
     return f"""
  nf_p AS (SELECT *, CASE WHEN n_hist >= 3 THEN CASE WHEN ar_slope IS NOT NULL
                       THEN ar_intercept + ar_slope * x_last ELSE x_last END END AS pred,
-                 CASE WHEN ar_slope IS NOT NULL THEN sqrt(greatest(ar_syy - ar_slope * ar_sxy, 0.0e0) / n_pairs)
-                      ELSE 0.0e0 END AS sigma
+                 CASE WHEN ar_slope IS NULL THEN 0.0e0
+                      WHEN n_pairs <= 2 THEN 0.0e0
+                      WHEN ar_syy - ar_slope * ar_sxy <= 1e-12 * ar_syy THEN 0.0e0
+                      ELSE sqrt((ar_syy - ar_slope * ar_sxy) / n_pairs) END AS sigma
           FROM {src}),
  nf_q AS (SELECT id_geohash, {date_expr} AS date, scale, {valid} AS v_ok,
                  {rnd(f"CASE WHEN {valid} THEN obs END")} AS water_observed,
@@ -701,6 +703,10 @@ ORACLE: dict[str, str] = {
     "history_stats": rounded(history_stats("2019-06-01"), HIST_DOUBLES),
     "drained_month": rounded(drained_month("2019-06-01"), NRT_DOUBLES),
     "nrt_range": rounded(range_drained("2018-01-01", "2021-12-01"), NRT_DOUBLES),
+    "nrt_range_monthly": rounded(
+        f"SELECT strftime(date, '%Y-%m') AS analysis_month, * FROM "
+        f"({nrt_range(planted_panel() + prepared(), 'water', '2018-01-01', '2021-12-01', period='monthly')}) x",
+        NRT_DOUBLES),
     "monthly_counts": monthly_counts("2018-01-01", "2021-12-01"),
     "counts_matrix": rounded(counts_matrix("2018-01-01", "2021-12-01"), [f"m{m:02d}" for m in range(1, 13)]),
     "ranked_drained": rounded(ranked_drained("2018-01-01", "2021-12-01"),
