@@ -210,20 +210,12 @@ def lake_at_point(lakes: DataFrame, lat: float, lon: float) -> DataFrame:
 def split_in_chunks(df: DataFrame, size: int, order: str = ID, n_ranges: int | None = None) -> DataFrame:
     """Consecutive blocks of ``size`` rows in ``order``: block = position // size + 1.
 
-    Dense positions without a single-partition window: range-partition by
-    the key, number rows inside each partition, and add the row count of all
-    earlier partitions (a table with one row per partition, broadcast).
+    Dense positions come from ``dense_position`` (range partitions plus
+    offsets), not from a single-partition window.
     """
-    spark = df.sparkSession
-    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
-    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(order)))
-    sizes = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    # one row per partition: bounded by n, safe to broadcast
-    out = numbered.join(F.broadcast(offsets), "_pid")
-    pos = F.col("_off") + F.col("_rn") - 1
-    return out.withColumn("chunk", (F.floor(pos / F.lit(size)) + 1).cast("int")).drop("_pid", "_rn", "_off")
+    from .ordering import dense_position
+    pos = dense_position(df, [], [order], "_pos", partitions=n_ranges)
+    return pos.withColumn("chunk", (F.floor((F.col("_pos") - 1) / F.lit(size)) + 1).cast("int")).drop("_pos")
 
 
 def spatial_chunks(lakes: DataFrame, size: int, seed: int = 42) -> DataFrame:
@@ -239,6 +231,10 @@ def spatial_chunks(lakes: DataFrame, size: int, seed: int = 42) -> DataFrame:
     feats = VectorAssembler(inputCols=["px", "py"], outputCol="features").transform(pts)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(feats)
     assigned = model.transform(feats).select(ID, "cluster")
-    w = Window.partitionBy("cluster").orderBy(ID)
-    piece = F.floor((F.row_number().over(w) - 1) / F.lit(size)).cast("int")
-    return assigned.withColumn("piece", piece).withColumn("chunk", F.concat_ws("-", "cluster", "piece"))
+    # a big cluster is cut into pieces of <= size; positions without a
+    # one-task window per cluster (a cluster may hold most lakes)
+    from .ordering import dense_position
+    pos = dense_position(assigned, ["cluster"], [ID], "_pos")
+    piece = F.floor((F.col("_pos") - 1) / F.lit(size)).cast("int")
+    return (pos.withColumns({"piece": piece})
+               .withColumn("chunk", F.concat_ws("-", "cluster", "piece")).drop("_pos"))

@@ -83,8 +83,11 @@ def ranked_drained(drained_rows: DataFrame) -> DataFrame:
     cols = [c for c in ["id_geohash", "water_residual", "water_observed", "water_predicted", "date",
                         "water_change_ha", "water_change_perc"] if c in drained_rows.columns]
     key = "water_change_ha" if "water_change_ha" in drained_rows.columns else "water_residual"
-    w = Window.partitionBy("analysis_month").orderBy(F.col(key).asc_nulls_last(), F.col(ID))
-    out = drained_rows.select("analysis_month", *cols).withColumn("rank", F.row_number().over(w))
+    # rank inside each month without a one-task window per month
+    from .ordering import dense_position
+    out = dense_position(drained_rows.select("analysis_month", *cols), ["analysis_month"],
+                         [F.col(key).asc_nulls_last(), F.col(ID)], "rank")
+    out = out.withColumn("rank", F.col("rank").cast("int"))
     if key == "water_change_ha":
         out = (out.withColumnRenamed("water_change_ha", "Water Change [ha]")
                   .withColumnRenamed("water_change_perc", "Water Change [%]"))

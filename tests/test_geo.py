@@ -103,3 +103,20 @@ def test_clustered_layout(spark):
         cluster_by_key(lakes, out, in_path=out)
     with pytest.raises(ValueError):
         cluster_by_key(lakes, out + "x", key="nope")
+
+
+def test_spatial_chunks_bounded(spark):
+    from lakeshift.operators.geo import spatial_chunks
+    out = spatial_chunks(square_lakes(spark, SF_SMALL), size=20)
+    sizes = [r["count"] for r in out.groupBy("chunk").count().collect()]
+    assert sum(sizes) == 150 and max(sizes) <= 20
+
+
+def test_dense_position_in_groups(spark):
+    from lakeshift.operators.ordering import dense_position
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id"))
+    rows = dense_position(df, ["g"], ["id"], "pos", partitions=7).collect()
+    for g in range(3):
+        ids = sorted(r.id for r in rows if r.g == g)
+        pos = {r.id: r.pos for r in rows if r.g == g}
+        assert [pos[i] for i in ids] == list(range(1, len(ids) + 1))
