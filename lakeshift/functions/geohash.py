@@ -85,6 +85,8 @@ def geohash_encode(lat: Column, lon: Column, precision: int = 12) -> Column:
     """
     if not 1 <= precision <= 12:
         raise ValueError("precision must be 1..12")
+    from ..session import ship_to_active
+    ship_to_active()
     if precision not in _ENCODERS:
         @F.pandas_udf("string")
         def enc(la: pd.Series, lo: pd.Series) -> pd.Series:
@@ -101,6 +103,8 @@ def _decode(gh: pd.Series) -> pd.DataFrame:
 
 def geohash_decode(gh: Column) -> Column:
     """Centre of the geohash cell (1..12 characters) as ``struct(lat, lon)``."""
+    from ..session import ship_to_active
+    ship_to_active()
     if "decode" not in _ENCODERS:  # UDFs are built lazily: they need a live session
         _ENCODERS["decode"] = F.pandas_udf(_decode, "lat double, lon double")
     d = _ENCODERS["decode"](gh)

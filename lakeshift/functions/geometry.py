@@ -221,6 +221,8 @@ def with_shape_columns(lakes, rings_col: str = "rings"):
     flattened vertex buffers of each Arrow batch, no shuffle, partitioning kept."""
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, StructField, StructType
+    from ..session import ship_package
+    ship_package(lakes.sparkSession)
     schema = StructType(lakes.schema.fields + [StructField(c, DoubleType()) for c in ("cx", "cy", "area_deg2")])
 
     def fn(batches):

@@ -114,6 +114,8 @@ def changepoint_probabilities(rows: DataFrame, value: str, p: float | None = Non
     single exchange is sized for the Python work (``partitions`` here adds a
     repartition of the thin frame instead, for inputs not partitioned by lake).
     """
+    from ..session import ship_package
+    ship_package(rows.sparkSession)
     slim = rows.select(ID, DATE, F.col(value).alias("v"))
     if partitions:
         slim = slim.repartition(int(partitions), ID)

@@ -167,6 +167,8 @@ register_detector("none", no_break)
 
 
 def run_detector(prepared: DataFrame, family: Family, name: str) -> DataFrame:
+    from ..session import ship_package
+    ship_package(prepared.sparkSession)
     fn, schema = _DETECTORS[name]
     wa, wn = family.water_col, norm(family.water_col)
     rows = prepared.filter(F.col("valid")).select(ID, DATE, F.col(wa).alias("water"), F.col(wn).alias("water_norm"))

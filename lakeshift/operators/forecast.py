@@ -108,6 +108,8 @@ def arima_forecast(history: DataFrame, value: str, min_length: int = MIN_LENGTH,
     ``prepare(..., partitions=...)``); ``partitions`` adds a repartition of the
     thin frame for inputs not partitioned by lake.
     """
+    from ..session import ship_package
+    ship_package(history.sparkSession)
     slim = history.select(ID, DATE, F.col(value).alias("v")).filter(F.col("v").isNotNull())
     if partitions:
         slim = slim.repartition(int(partitions), ID)

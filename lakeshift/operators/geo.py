@@ -228,9 +228,12 @@ def spatial_chunks(lakes: DataFrame, size: int, seed: int = 42) -> DataFrame:
     pts = shaped.select(ID, xy["x"].alias("px"), xy["y"].alias("py"))
     n = pts.count()
     k = max(1, n // size)
-    feats = VectorAssembler(inputCols=["px", "py"], outputCol="features").transform(pts)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(feats)
-    assigned = model.transform(feats).select(ID, "cluster")
+    if k == 1:  # one cluster: Spark's KMeans needs k >= 2
+        assigned = pts.select(ID, F.lit(0).alias("cluster"))
+    else:
+        feats = VectorAssembler(inputCols=["px", "py"], outputCol="features").transform(pts)
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(feats)
+        assigned = model.transform(feats).select(ID, "cluster")
     # a big cluster is cut into pieces of <= size; positions without a
     # one-task window per cluster (a cluster may hold most lakes)
     from .ordering import dense_position

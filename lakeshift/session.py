@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -97,3 +98,38 @@ def spread(df):
     many splits and are returned unchanged: no shuffle is added at scale."""
     par = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lakeshift`` importable in the Python workers (once per context).
+
+    Pandas UDFs, ``applyInPandas`` and ``mapInArrow`` functions defined in the
+    package are pickled by reference, so the workers must import it. Like
+    ``spark-submit --py-files``, the package is zipped on the driver and
+    distributed by Spark with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    fd, archive = tempfile.mkstemp(prefix="lakeshift-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
+def ship_to_active() -> None:
+    """``ship_package`` for the active session (for Column-level helpers)."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
