@@ -45,13 +45,27 @@ def merge_conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def merge_both(a: DataFrame, b: DataFrame, validate: bool = True) -> DataFrame:
     """Full outer merge on (id, date) (J2): equal or one-sided values are kept,
-    conflicting values raise ``MergeError`` (checked with one small action)."""
+    conflicting values fail the job with ``raise_error``.
+
+    The conflict test rides along in the merge as a filter, so the check
+    costs no extra pass over the data; the error surfaces when the result is
+    computed. ``merge_conflicts`` lists the offending keys.
+    """
     cols = _value_columns(a, b)
-    if validate and merge_conflicts(a, b).limit(1).count() > 0:
-        raise MergeError("datasets hold conflicting values for the same id and date")
     n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     j = a.repartition(n, ID).alias("a").join(b.repartition(n, ID).alias("b"), [ID, DATE], "full_outer")
-    return j.select(ID, DATE, *[F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in cols])
+    values = [F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in cols]
+    if validate:
+        differs = None
+        for c in cols:
+            d = F.col(f"a.{c}").isNotNull() & F.col(f"b.{c}").isNotNull() & (F.col(f"a.{c}") != F.col(f"b.{c}"))
+            differs = d if differs is None else differs | d
+        msg = F.concat(F.lit("datasets hold conflicting values for id "), F.col(ID), F.lit(" on "),
+                       F.col(DATE).cast("string"))
+        # a filter that is always true or fails: unlike a projected column it
+        # is never pruned, so even count() checks every key
+        j = j.filter(F.when(differs, F.raise_error(msg)).otherwise(F.lit(True)))
+    return j.select(ID, DATE, *[v.alias(c) for v, c in zip(values, cols)])
 
 
 def _same_keys(a: DataFrame, b: DataFrame, key: str) -> bool:
