@@ -9,7 +9,6 @@ time and skipping cells already written; here the cell is just a column
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..family import ID, Family, detect_family
 from ..operators.geo import assign_grid_cell

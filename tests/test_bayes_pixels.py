@@ -9,7 +9,7 @@ from lakeshift.operators.forecast import arima_one_step
 from lakeshift.operators.panel import prepare
 from lakeshift.operators.pixels import monthly_mode, nearest_scene
 from lakeshift.plans.catalog import scene_requests
-from lakeshift.sources.derived import pixel_table, planted_panel, scene_table
+from lakeshift.sources.derived import planted_panel, scene_table
 
 
 def test_kernel_finds_a_drop():
