@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..family import DATE, ID, Family
-from .breaks import BREAK_COLUMNS, break_statistics
+from .breaks import BREAK_COLUMNS, change_stats
 from .panel import norm
 
 
@@ -106,27 +106,32 @@ PROB_SCHEMA = f"{ID} string, {DATE} date, proba double"
 
 
 def changepoint_probabilities(rows: DataFrame, value: str, p: float | None = None,
-                              partitions: int | None = None) -> DataFrame:
+                              partitions: int | None = None, carry: str | None = None) -> DataFrame:
     """``applyInPandas`` over lakes of ``(id, date, value)``; one probability per row.
 
     The task count comes from the input's partitioning by lake: prepare the
     panel with ``prepare(..., partitions=kernel_partitions(spark))`` so its
     single exchange is sized for the Python work (``partitions`` here adds a
     repartition of the thin frame instead, for inputs not partitioned by lake).
+    ``carry`` names one DOUBLE column passed through unchanged.
     """
     from ..session import ship_package
     ship_package(rows.sparkSession)
-    slim = rows.select(ID, DATE, F.col(value).alias("v"))
+    extra = [F.col(carry).alias("_carry")] if carry else []
+    slim = rows.select(ID, DATE, F.col(value).alias("v"), *extra)
     if partitions:
         slim = slim.repartition(int(partitions), ID)
+    schema = PROB_SCHEMA + (f", {carry} double" if carry else "")
 
     def per_lake(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DATE)
         x = pdf["v"].to_numpy(dtype=float, na_value=np.nan)
-        return pd.DataFrame({ID: pdf[ID].to_numpy(), DATE: pdf[DATE].to_numpy(),
-                             "proba": changepoint_probability(x, p)})
+        out = {ID: pdf[ID].to_numpy(), DATE: pdf[DATE].to_numpy(), "proba": changepoint_probability(x, p)}
+        if carry:
+            out[carry] = pdf["_carry"].to_numpy(dtype=float, na_value=np.nan)
+        return pd.DataFrame(out)
 
-    return slim.groupBy(ID).applyInPandas(per_lake, schema=PROB_SCHEMA)
+    return slim.groupBy(ID).applyInPandas(per_lake, schema=schema)
 
 
 def bayes_breaks(prepared: DataFrame, family: Family, threshold: float = 0.5,
@@ -135,20 +140,31 @@ def bayes_breaks(prepared: DataFrame, family: Family, threshold: float = 0.5,
 
     Output: the break columns plus ``break_number`` (1 = most probable) and
     ``proba``; neighbours are calendar neighbours (NULL at the ends).
+
+    One pass: the kernel carries the absolute water along, and calendar
+    neighbours and running pre/post statistics are windows over its output
+    (masked water is NULL and skipped), so no second read and no join.
     """
     wn, wa = norm(family.water_col), family.water_col
-    probs = changepoint_probabilities(prepared, wn, p)
+    probs = changepoint_probabilities(prepared, wn, p, carry=wa)
     w = Window.partitionBy(ID).orderBy(DATE)
-    cal = probs.select(ID, DATE, "proba",
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    x = F.col(wa)
+    stats = {
+        "pre_break_mean": F.avg(x).over(upto), "pre_break_median": F.percentile(x, F.lit(0.5)).over(upto),
+        "pre_break_std": F.stddev_samp(x).over(upto), "pre_break_min": F.min(x).over(upto),
+        "pre_break_max": F.max(x).over(upto),
+        "post_break_mean": F.avg(x).over(after), "post_break_median": F.percentile(x, F.lit(0.5)).over(after),
+        "post_break_std": F.stddev_samp(x).over(after), "post_break_min": F.min(x).over(after),
+        "post_break_max": F.max(x).over(after),
+    }
+    cal = probs.select(ID, F.col(DATE).alias("date_break"), "proba",
                        F.lag(DATE).over(w).alias("date_before_break"),
-                       F.lead(DATE).over(w).alias("date_after_break"))
+                       F.lead(DATE).over(w).alias("date_after_break"),
+                       *[e.alias(k) for k, e in stats.items()])
     hits = cal.filter(F.col("proba") > F.lit(threshold))
-    rank = Window.partitionBy(ID).orderBy(F.desc("proba"), F.col(DATE))
-    found = hits.select(ID, F.col(DATE).alias("date_break"), "date_before_break", "date_after_break",
-                        F.lit("bayes").alias("break_method"),
-                        F.row_number().over(rank).cast("int").alias("break_number"), "proba")
-    # every calendar row (masked water is NULL and skipped by the aggregates),
-    # so a break on a masked date still finds its running statistics
-    stats_rows = prepared.select(ID, DATE, F.col(wa).alias("water"))
-    out = break_statistics(stats_rows, "water", found)
-    return out.select(*BREAK_COLUMNS, "break_number", "proba")
+    rank = Window.partitionBy(ID).orderBy(F.desc("proba"), F.col("date_break"))
+    found = hits.withColumns({"break_method": F.lit("bayes"),
+                              "break_number": F.row_number().over(rank).cast("int")})
+    return change_stats(found).select(*BREAK_COLUMNS, "break_number", "proba")
