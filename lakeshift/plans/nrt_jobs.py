@@ -13,9 +13,17 @@ from ..operators.stats import month_spine, monthly_counts
 
 
 def month_date(panel: DataFrame, month: str):
-    """First panel date inside ``month`` ('YYYY-MM') as a scalar subquery column."""
+    """First panel date inside ``month`` ('YYYY-MM').
+
+    One small aggregate (the date filter prunes year partitions of a written
+    panel); the result is a single scalar. A month missing from the panel
+    raises, as the reference does.
+    """
     first = F.lit(parse_analysis_date(month)).cast("date")
-    return panel.filter(F.trunc(F.col(DATE), "month") == first).select(F.min(DATE)).scalar()
+    d = panel.filter(F.trunc(F.col(DATE), "month") == first).agg(F.min(DATE)).first()[0]
+    if d is None:
+        raise ValueError(f"Analysis date {month} is not available in the dataset.")
+    return F.lit(d)
 
 
 def nrt_month(panel: DataFrame, month: str, family: Family | None = None,
