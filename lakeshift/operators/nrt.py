@@ -71,17 +71,22 @@ def _finish(df: DataFrame, observed: Column, pred: Column, lower: Column, upper:
 
 def nrt_breaks(prepared: DataFrame, family: Family, analysis_date, period: str = "all",
                keep_nans: bool = False, ids: DataFrame | None = None, forecast: str = "ar1",
-               min_length: int = 3) -> DataFrame:
+               min_length: int = 3, check_date: bool = True) -> DataFrame:
     """NRT result for one analysis date: id + 24 columns.
 
     ``prepared`` comes from ``prepare``. Valid lakes (any variable present
     at the date) are returned; with ``keep_nans`` the other lakes too, with
-    history statistics only.
+    history statistics only. A date absent from the panel raises
+    (``check_date``).
     """
     if period not in ("all", "monthly"):
         raise ValueError("data_aggregation_period must be 'all' or 'monthly'")
     d = analysis_date if isinstance(analysis_date, Column) else \
         F.lit(parse_analysis_date(analysis_date)).cast("date")
+    if check_date and not isinstance(analysis_date, Column):
+        # one pushed-down probe, as the reference refuses a date it does not hold
+        if prepared.filter(F.col(DATE) == d).limit(1).count() == 0:
+            raise ValueError(f"Analysis date {analysis_date} is not available in the dataset.")
     if ids is not None:
         prepared = prepared.join(ids.select(ID).distinct(), ID, "left_semi")
     wn = F.col(norm(family.water_col))

@@ -78,3 +78,8 @@ def test_arima_forecast_runs(prepared):
     out = nrt_breaks(prepared, DW, "2019-06", forecast="arima")
     assert out.count() == 88
     assert out.filter(F.col("water_predicted").isNull()).count() == 0
+
+
+def test_missing_date_raises(prepared):
+    with pytest.raises(ValueError):
+        nrt_breaks(prepared, DW, "2031-01")
