@@ -106,9 +106,10 @@ def gap_report(df: DataFrame, variable: str = "water", threshold: float = 50.0)
     """Missing count and completion % per lake over the panel's dates.
 
     Dates absent for a lake count as missing: the denominator is the number
-    of distinct dates of the whole panel, a scalar subquery evaluated once.
+    of distinct dates of the whole panel, computed first as one scalar (a
+    scalar subquery would be re-run at each of its uses in the expressions).
     """
-    n_dates = df.select(F.countDistinct(DATE)).scalar()
+    n_dates = F.lit(df.select(F.countDistinct(DATE)).first()[0] or 0)
     per_lake = df.groupBy(ID).agg(F.count(F.col(variable)).alias("n_present"))
     missing = n_dates - F.col("n_present")
     out = per_lake.select(
