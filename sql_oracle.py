@@ -684,8 +684,10 @@ SELECT NULL, NULL, NULL, NULL, id_ok, id13_ok, count(*) FROM g GROUP BY ALL"""
 
 # --------------------------------------------------------------------------- registry
 
-def _breaks(panel: str, water: str, method: str = "median", family: str = "dw", nodata_max: str = "0.0e0"):
-    return rounded(simple_breaks(panel + prepared(family, nodata_max), water, method=method), BREAK_DOUBLES)
+def _breaks(panel: str, water: str, method: str = "median", family: str = "dw", nodata_max: str = "0.0e0",
+            threshold: str = "-0.25e0"):
+    return rounded(simple_breaks(panel + prepared(family, nodata_max), water, method=method, threshold=threshold),
+                   BREAK_DOUBLES)
 
 
 ORACLE: dict[str, str] = {
@@ -693,7 +695,7 @@ ORACLE: dict[str, str] = {
     "simple_breaks_mean": _breaks(planted_panel(), "water", "mean"),
     "simple_breaks_max": _breaks(planted_panel(), "water", "max"),
     "simple_breaks_jrc": _breaks(planted_jrc(), "area_water_permanent", family="jrc"),
-    "simple_breaks_ship": _breaks(ship_panel(), "water", nodata_max="1.0e0"),
+    "simple_breaks_ship": _breaks(ship_panel(), "water", nodata_max="1.0e0", threshold="-0.1e0"),
     "nrt_ar1": rounded(nrt(planted_panel() + prepared(), "water", "2019-06-01"), NRT_DOUBLES),
     "nrt_monthly_period": rounded(nrt(planted_panel() + prepared(), "water", "2019-06-01", period="monthly"),
                                   NRT_DOUBLES),
