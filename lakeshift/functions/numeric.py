@@ -21,6 +21,11 @@ def round_even(c: Column, places: int = 4) -> Column:
     return F.rint(c * scale) / scale
 
 
+def round_even_sql(expr: str, places: int = 4) -> str:
+    """``round_even`` as Spark SQL text (for projections built with selectExpr)."""
+    return f"(rint(({expr}) * {float(10 ** places)!r}D) / {float(10 ** places)!r}D)"
+
+
 def py_float_text(c: Column) -> Column:
     """Text of a double as Python's ``str(float)`` prints it; NULL -> ``'nan'``.
 

@@ -9,11 +9,11 @@ hash exchange) plus row-local expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..family import DATE, ID, Family, detect_family
-from ..functions.numeric import nan_to_null, round_even
+from ..functions.numeric import nan_to_null, round_even_sql
 
 NORM = "_norm"
 
@@ -34,17 +34,24 @@ def area_sum(family: Family) -> Column:
     return expr
 
 
+def _q(name: str) -> str:
+    return f"`{name}`"
+
+
 def add_area(df: DataFrame, family: Family | None = None) -> DataFrame:
     """``area_data`` (plain sum: one NULL class -> NULL total), lake max and
-    ``area_nodata = round(max - area_data, 4)`` (numpy rounding)."""
+    ``area_nodata = round(max - area_data, 4)`` (numpy rounding).
+
+    The lake window is ordered by date with a whole-lake frame: the (id, date)
+    sort it needs is the one the rolling windows downstream need, so Spark
+    sorts once. Built as SQL text: one projection call, not one per column.
+    """
     family = family or detect_family(df)
-    # ordered by date with a whole-lake frame: the (id, date) sort it needs
-    # is the one the rolling windows downstream need, so Spark sorts once
-    by_lake = Window.partitionBy(ID).orderBy(DATE).rowsBetween(Window.unboundedPreceding,
-                                                               Window.unboundedFollowing)
-    total = area_sum(family)
-    staged = df.withColumns({"area_data": total, "max_area": F.max(total).over(by_lake)})
-    return staged.withColumn("area_nodata", round_even(F.col("max_area") - F.col("area_data"), 4))
+    total = " + ".join(_q(c) for c in family.sum_order)
+    frame = (f"PARTITION BY {_q(ID)} ORDER BY {_q(DATE)} "
+             "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
+    staged = df.selectExpr("*", f"{total} AS area_data", f"max({total}) OVER ({frame}) AS max_area")
+    return staged.selectExpr("*", f"{round_even_sql('max_area - area_data', 4)} AS area_nodata")
 
 
 def prepare(df: DataFrame, family: Family | None = None, mask: bool = True,
@@ -67,21 +74,19 @@ def prepare(df: DataFrame, family: Family | None = None, mask: bool = True,
     if partitions:
         src = src.repartition(int(partitions), ID)
     base = add_area(src, family)
-    mx = F.col("max_area")
-    normed = {v: F.try_divide(F.col(v), mx) for v in variables}
-    ok = normed["area_nodata"] <= F.lit(float(nodata_max))
+    normed = {v: f"try_divide({_q(v)}, max_area)" for v in variables}
+    ok = f"{normed['area_nodata']} <= {float(nodata_max)!r}D"
     for c, lim in limits.items():
-        ok = ok & (normed[c] <= F.lit(float(lim)))
-    valid = F.coalesce(ok, F.lit(False)) if mask else F.lit(True)
-    out = base.withColumn("valid", valid)
-    keep = (lambda e: F.when(F.col("valid"), e)) if mask else (lambda e: e)
-    cols = [F.col(ID), F.col(DATE)]
+        ok += f" AND {normed[c]} <= {float(lim)!r}D"
+    with_valid = base.selectExpr("*", f"{'coalesce(' + ok + ', false)' if mask else 'true'} AS valid")
+    keep = (lambda e: f"CASE WHEN valid THEN {e} END") if mask else (lambda e: e)
+    cols = [_q(ID), _q(DATE)]
     if keep_raw:
-        cols += [keep(F.col(v)).alias(v) for v in variables]
-    cols += [F.col("max_area")]
-    cols += [keep(normed[v]).alias(norm(v)) for v in variables]
-    cols += [F.col("valid")] + [F.col(c) for c in carry]
-    return out.select(*cols)
+        cols += [f"{keep(_q(v))} AS {_q(v)}" for v in variables]
+    cols += ["max_area"]
+    cols += [f"{keep(normed[v])} AS {_q(norm(v))}" for v in variables]
+    cols += ["valid"] + [_q(c) for c in carry]
+    return with_valid.selectExpr(*cols)
 
 
 def normalize(df: DataFrame, family: Family | None = None) -> DataFrame:
