@@ -90,20 +90,26 @@ def read_lakes_in(lakes: DataFrame, ids: DataFrame) -> DataFrame:
 
 def read_break_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Merge result files (S6): union by name across schemas, corrupt files
-    skipped, files without an id column dropped with a message; error if none."""
-    frames = []
+    skipped, files without an id column dropped with a message; error if none.
+
+    Files are grouped by schema (read from their footers) and each group is
+    read in one scan, so thousands of files make a handful of scans, not a
+    union of thousands of plans.
+    """
+    groups: dict[tuple, list[str]] = {}
     for p in paths:
         try:
-            df = spark.read.option("ignoreCorruptFiles", "true").parquet(p)
+            cols = tuple(spark.read.parquet(p).columns)
         except Exception as exc:  # noqa: BLE001 -- unreadable file: skip, as the reference does
             print(f"skipping {p}: {exc}")
             continue
-        if ID not in df.columns:
+        if ID not in cols:
             print(f"skipping {p}: no '{ID}' column")
             continue
-        frames.append(df)
-    if not frames:
+        groups.setdefault(cols, []).append(p)
+    if not groups:
         raise FileNotFoundError(f"No valid parquet files containing '{ID}' were loaded.")
+    frames = [spark.read.option("ignoreCorruptFiles", "true").parquet(*ps) for ps in groups.values()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
