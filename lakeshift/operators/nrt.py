@@ -144,8 +144,12 @@ def nrt_all_dates(prepared: DataFrame, family: Family, start=None, end=None,
     if row_filter is not None:
         usable = usable & F.coalesce(row_filter, F.lit(False))
     rows = (prepared.select(ID, DATE, wn.alias("wn"), F.col("area_data"), usable.alias("any_value"))
-                    .withColumns({"scale": F.max("area_data").over(whole),
-                                  "xp": F.last("wn", ignorenulls=True).over(before)}))
+                    .withColumn("scale", F.max("area_data").over(whole)))
+    if end is not None:
+        # rows after the range are neither analysed nor history of an analysed
+        # row; only the scale (computed above) needed them
+        rows = rows.filter(F.col(DATE) <= F.lit(parse_analysis_date(end)).cast("date"))
+    rows = rows.withColumn("xp", F.last("wn", ignorenulls=True).over(before))
     # each row carries its pair (xp, y); the frame [.., -1] of an analysis
     # row therefore sees exactly the pairs of its history
     y, xp = F.col("wn"), F.col("xp")
