@@ -5,13 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshift.llm import simhash
+from lakeshift.llm import linededup, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents labelled as good: the target of the quality rules."""
+    return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of 50 words or more that occur earlier."""
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
+    return found.select("doc_id", "n_lines", "n_cut", "text")
+
+
+OP7_SQL = """
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line, parts[i] AS s,
+         len(regexp_extract_all(parts[i], '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
+placed AS (
+  SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS after
+  FROM lines WHERE words > 0),
+runs AS (
+  SELECT doc_id, line AS first, max(line) OVER w AS last, list(s) OVER w AS k, sum(words) OVER w AS n
+  FROM (SELECT *, after - words AS before FROM placed)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, min(line) OVER w AS first, line AS last, list(s) OVER w AS k, sum(words) OVER w AS n
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+full_runs AS (
+  SELECT *, min(struct_pack(d := doc_id, f := first)) OVER (PARTITION BY k) AS low FROM runs WHERE n >= 50),
+cut AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM full_runs
+  WHERE doc_id > low.d OR (doc_id = low.d AND first > low.f)),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(c.line) AS n_cut,
+         coalesce(string_agg(l.s, chr(10) ORDER BY l.line) FILTER (WHERE c.line IS NULL), '') AS text
+  FROM lines l LEFT JOIN cut c ON l.doc_id = c.doc_id AND l.line = c.line GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_cut, 0) AS n_cut, k.text
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    found = quality.assess(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                        "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seed=42, max_bits=2)
@@ -20,8 +68,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_line_dedup": op7_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 #: DuckDB twins, where SQL can express the whole result.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_line_dedup": OP7_SQL,
+}
