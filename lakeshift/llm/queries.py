@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshift.llm import linededup, quality, simhash
+from lakeshift.llm import licenses, linededup, pseudonyms, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,22 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+#: The key of the registered query. A real run takes it from a secret store.
+DEMO_KEY = "lakeshift demonstration key"
+
+
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms of the same format."""
+    found = pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), DEMO_KEY)
+    return found.select("doc_id", "n_pseudonyms", "kinds", "text")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of 50 words or more that occur earlier."""
     found = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
@@ -68,6 +84,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
