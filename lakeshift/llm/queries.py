@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshift.llm import licenses, linededup, pseudonyms, quality, simhash
+from lakeshift.llm import licenses, linededup, packing, pseudonyms, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of 2048 tokens."""
+    found = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                         capacity=2048, end_id=0)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 #: The key of the registered query. A real run takes it from a secret store.
 DEMO_KEY = "lakeshift demonstration key"
 
@@ -85,6 +93,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
