@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshift.llm import licenses, linededup, packing, pseudonyms, quality, simhash
+from lakeshift.llm import licenses, linededup, packing, pseudonyms, quality, simhash, wavelet
+from lakeshift.llm.common import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,13 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_pseudonyms", "kinds", "text")
 
 
+def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to wavelet shards and read back."""
+    shards = wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  shared_path(spark, "wavelet"), end_id=0)
+    return wavelet.read_shards(shards).withColumnRenamed("id", "doc_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of 50 words or more that occur earlier."""
     found = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
@@ -95,6 +103,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
+    "op6_wavelet_shards": op6_wavelet_shards,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
