@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshift.llm import licenses, linededup, packing, pseudonyms, quality, simhash, wavelet
+from lakeshift.llm import licenses, linededup, packing, pseudonyms, quality, simhash, toxicity, wavelet
 from lakeshift.llm.common import shared_path
 
 
@@ -99,6 +99,19 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fifth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+
+    def held_out(doc_id):
+        return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+    weights, bias = toxicity.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return toxicity.score(docs, weights, bias).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
@@ -107,6 +120,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_subword_toxicity": op10_subword_toxicity,
 }
 
 #: DuckDB twins, where SQL can express the whole result.
