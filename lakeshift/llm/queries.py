@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshift.llm import licenses, linededup, packing, pseudonyms, quality, simhash, toxicity, wavelet
+from lakeshift.llm import licenses, linededup, packing, pseudonyms, quality, simhash, toxicity, warc, wavelet
 from lakeshift.llm.common import shared_path
 
 
@@ -19,6 +19,20 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
 
 
+def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives in segments and read back."""
+    path = shared_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, segment_bytes=16384, min_bytes=1000)
+    found = warc.read_archives(spark, path)
+    body = F.coalesce("payload", F.lit("").cast("binary"))
+    revisit = F.col("record_type") == "revisit"
+    return found.select(
+        F.col("row_id").alias("page_id"),
+        F.when(revisit, F.col("payload_length")).otherwise(F.octet_length(body).cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.col("digest")).otherwise(F.sha1(body)).alias("payload_digest"), "record_type",
+        "refers_to", (F.col("digest").eqNullSafe(F.sha1(body)) | revisit).alias("verified"), "error")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of every document."""
     found = licenses.scan(table(spark, sf_dir, "documents"))
@@ -113,6 +127,7 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_roundtrip": op1_warc_roundtrip,
     "op2_license_scan": op2_license_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
