@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshift.llm import licenses, linededup, packing, pseudonyms, quality, simhash, toxicity, warc, wavelet
+from lakeshift.llm import decontaminate, licenses, linededup, packing, pseudonyms, quality, simhash, toxicity, warc, wavelet
 from lakeshift.llm.common import shared_path
 
 
@@ -39,6 +39,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of 2048 tokens."""
     found = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
@@ -129,6 +135,7 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
     "op2_license_scan": op2_license_scan,
+    "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op6_wavelet_shards": op6_wavelet_shards,

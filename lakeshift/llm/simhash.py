@@ -221,8 +221,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def of(chosen: DataFrame) -> DataFrame:
         kept = chosen.select(F.col("id").alias("kept_id"), F.col("hash").alias("kept_hash"))
         same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_hash"))
-        return docs.join(kept, same, "left_semi")
+        return docs.join(kept.hint("shuffle_hash"), same, "left_semi")  # texts are shuffled, not sorted
 
+    if firsts.filter("n > 1").isEmpty():
+        return of(firsts)
     again = of(firsts.filter("n > 1"))
     one = (again.groupBy(F.col(id_col).alias("kept_id"), F.xxhash64(text).alias("kept_hash"))
            .agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
