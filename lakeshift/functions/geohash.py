@@ -28,9 +28,9 @@ _CHAR_INDEX[_ALPHA_BYTES] = np.arange(32)
 
 
 def encode_arrays(lat: np.ndarray, lon: np.ndarray, precision: int) -> np.ndarray:
-    """Vectorised geohash text of coordinate arrays (NaN -> None)."""
+    """Vectorised geohash text of coordinate arrays (NaN or out of range -> None)."""
     lon_bits, lat_bits = _bits(precision)
-    bad = np.isnan(lat) | np.isnan(lon)
+    bad = ~((np.abs(lat) <= 90.0) & (np.abs(lon) <= 180.0))
     la = np.where(bad, 0.0, lat)
     lo = np.where(bad, 0.0, lon)
     qlon = np.clip(np.floor((lo + 180.0) / 360.0 * float(1 << lon_bits)), 0, (1 << lon_bits) - 1).astype(np.int64)
@@ -47,9 +47,9 @@ def encode_arrays(lat: np.ndarray, lon: np.ndarray, precision: int) -> np.ndarra
 
 
 def decode_arrays(gh: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Vectorised cell centres (lat, lon) of geohash texts (None -> NaN)."""
-    valid = gh.notna().to_numpy()
-    s = gh.fillna("").str.lower().str.slice(0, 12)
+    """Vectorised cell centres (lat, lon) of geohash texts (None, or longer than 12 characters -> NaN)."""
+    valid = gh.notna().to_numpy() & (gh.fillna("").str.len() <= 12).to_numpy()
+    s = gh.fillna("").where(valid, "").str.lower()
     n = s.str.len().to_numpy()
     padded = s.str.ljust(12, "0")
     raw = np.frombuffer("".join(padded).encode("ascii", "replace"), dtype=np.uint8).reshape(-1, 12)

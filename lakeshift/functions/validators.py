@@ -44,11 +44,11 @@ def valid_years(years, family: str = "dw") -> list[int]:
     if years is None:
         return list(range(lo, hi + 1))
     if not isinstance(years, (list, tuple, range)):
-        raise ValueError("Years must be provided as a list or range, or None for the default years")
+        raise ValueError("years is a list, a range or None")
     kept = []
     for y in years:
         if isinstance(y, int) and lo <= y <= hi:
             kept.append(y)
         else:
-            print(f"Year {y} is invalid, must be between {lo} and {hi} and will be skipped!")
+            print(f"left out year {y!r}: not in {lo}..{hi}")
     return kept

@@ -102,11 +102,30 @@ def changepoint_probability(x: np.ndarray, p: float | None = None) -> np.ndarray
     return np.clip(out, 0.0, 1.0)
 
 
+def valid_probability(x: np.ndarray, p: float | None = None, min_sep: int = 1) -> np.ndarray:
+    """``changepoint_probability`` over the values that are there; 0 at missing ones.
+
+    A change inside a gap so belongs to the first value after it. Of several
+    changes less than ``min_sep`` values apart the most probable stays.
+    """
+    there = ~np.isnan(x)
+    found = changepoint_probability(x[there], p)
+    for t in np.lexsort((np.arange(len(found)), -found)):
+        if min_sep > 1 and found[t] > 0:
+            near = slice(max(0, t - min_sep + 1), t + min_sep)
+            peak, found[near] = found[t], 0.0
+            found[t] = peak
+    out = np.zeros(len(x))
+    out[there] = found
+    return out
+
+
 PROB_SCHEMA = f"{ID} string, {DATE} date, proba double"
 
 
 def changepoint_probabilities(rows: DataFrame, value: str, p: float | None = None,
-                              partitions: int | None = None, carry: str | None = None) -> DataFrame:
+                              partitions: int | None = None, carry: str | None = None,
+                              min_sep: int = 1) -> DataFrame:
     """``applyInPandas`` over lakes of ``(id, date, value)``; one probability per row.
 
     The task count comes from the input's partitioning by lake: prepare the
@@ -126,7 +145,7 @@ def changepoint_probabilities(rows: DataFrame, value: str, p: float | None = Non
     def per_lake(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DATE)
         x = pdf["v"].to_numpy(dtype=float, na_value=np.nan)
-        out = {ID: pdf[ID].to_numpy(), DATE: pdf[DATE].to_numpy(), "proba": changepoint_probability(x, p)}
+        out = {ID: pdf[ID].to_numpy(), DATE: pdf[DATE].to_numpy(), "proba": valid_probability(x, p, min_sep)}
         if carry:
             out[carry] = pdf["_carry"].to_numpy(dtype=float, na_value=np.nan)
         return pd.DataFrame(out)
@@ -135,8 +154,8 @@ def changepoint_probabilities(rows: DataFrame, value: str, p: float | None = Non
 
 
 def bayes_breaks(prepared: DataFrame, family: Family, threshold: float = 0.5,
-                 p: float | None = None) -> DataFrame:
-    """Change points with probability above ``threshold``, ranked per lake.
+                 p: float | None = None, min_sep: int = 1) -> DataFrame:
+    """Change points with probability above ``threshold``, ranked per lake (D2), ``min_sep`` valid dates apart.
 
     Output: the break columns plus ``break_number`` (1 = most probable) and
     ``proba``; neighbours are calendar neighbours (NULL at the ends).
@@ -146,7 +165,7 @@ def bayes_breaks(prepared: DataFrame, family: Family, threshold: float = 0.5,
     (masked water is NULL and skipped), so no second read and no join.
     """
     wn, wa = norm(family.water_col), family.water_col
-    probs = changepoint_probabilities(prepared, wn, p, carry=wa)
+    probs = changepoint_probabilities(prepared, wn, p, carry=wa, min_sep=min_sep)
     w = Window.partitionBy(ID).orderBy(DATE)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = w.rowsBetween(1, Window.unboundedFollowing)

@@ -58,40 +58,44 @@ def ar1_prediction(min_length: int = MIN_LENGTH) -> tuple[Column, Column, Column
 
 # --------------------------------------------------------------------------- arima kernel
 
-def _fit_ar(z: np.ndarray, p: int):
-    """Conditional least squares AR(p) with intercept; returns (coef, sigma2, aic)."""
-    n = len(z) - p
-    if n < p + 2:
+def _fit_ar(z: np.ndarray, p: int, m: int):
+    """Least squares AR(p) with intercept on the last ``m`` values; (coef, sigma2, aic) or None."""
+    if m < p + 2:
         return None
-    cols = [np.ones(n)] + [z[p - k - 1: len(z) - k - 1] for k in range(p)]
-    X = np.column_stack(cols)
-    y = z[p:]
+    start = len(z) - m
+    X = np.column_stack([np.ones(m)] + [z[start - k - 1: len(z) - k - 1] for k in range(p)])
+    y = z[start:]
     coef, *_ = np.linalg.lstsq(X, y, rcond=None)
-    resid = y - X @ coef
-    sigma2 = float(resid @ resid) / n
-    aic = n * np.log(max(sigma2, 1e-300)) + 2 * (p + 2)
-    return coef, sigma2, aic
+    sse = float(((y - X @ coef) ** 2).sum())
+    if sse <= 1e-12 * max(float(((y - y.mean()) ** 2).sum()), float((y ** 2).sum()), 1e-300):
+        return coef, 0.0, -np.inf  # an exact fit, but for rounding
+    return coef, sse / m, m * np.log(sse / m) + 2 * (p + 2)
 
 
-def arima_one_step(values: np.ndarray) -> tuple[float, float, float, str]:
-    """Forecast the next value: best ARIMA(p, d, 0), p <= 2, d <= 1, by AIC."""
+def arima_one_step(values: np.ndarray, max_p: int = 2, max_d: int = 1) -> tuple[float, float, float, str]:
+    """Forecast the next value: best ARIMA(p, d, 0) with p <= ``max_p``, d <= ``max_d``, by AIC.
+
+    All orders are fitted to the same last values, so that their criteria
+    compare; the largest orders are given up where too few values remain.
+    Ties go to the smaller order.
+    """
     best = None
-    for d in (0, 1):
-        z = np.diff(values) if d else values
-        if d == 1 and np.allclose(z, 0):
-            continue
-        for p in (0, 1, 2):
-            fit = _fit_ar(z, p)
-            if fit is None:
-                continue
-            if best is None or fit[2] < best[0]:
+    while max_p + max_d and len(values) - max_p - max_d < max_p + 2:
+        max_p, max_d = (max_p - 1, max_d) if max_p else (0, max_d - 1)
+    m = len(values) - max_p - max_d
+    for d in range(max_d + 1):
+        z = np.diff(values, d) if d else values
+        for p in range(max_p + 1):
+            fit = _fit_ar(z, p, m)
+            if fit is not None and (best is None or fit[2] < best[0]):
                 best = (fit[2], d, p, fit[0], fit[1], z)
     if best is None or np.var(values) == 0:
         last = float(values[-1])
         return last, last, last, "naive"
     _, d, p, coef, sigma2, z = best
-    nxt = coef[0] + sum(coef[k + 1] * z[-k - 1] for k in range(p))
-    pred = float(values[-1] + nxt) if d else float(nxt)
+    pred = float(coef[0] + sum(coef[k + 1] * z[-k - 1] for k in range(p)))
+    for k in range(d - 1, -1, -1):  # undo the differences
+        pred += float((np.diff(values, k) if k else values)[-1])
     half = Z90 * np.sqrt(sigma2)
     return pred, pred - half, pred + half, f"arima({p},{d},0)"
 
@@ -101,7 +105,7 @@ ARIMA_SCHEMA = (f"{ID} string, water_predicted double, water_predicted_lower_90
 
 
 def arima_forecast(history: DataFrame, value: str, min_length: int = MIN_LENGTH,
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, max_p: int = 2, max_d: int = 1) -> DataFrame:
     """Per-lake forecast through ``applyInPandas`` on ``(id, date, value)`` only.
 
     The task count comes from the input's partitioning by lake (see
@@ -120,7 +124,7 @@ def arima_forecast(history: DataFrame, value: str, min_length: int = MIN_LENGTH,
         if len(vals) < min_length:
             return pd.DataFrame({ID: [lake], "water_predicted": [None], "water_predicted_lower_90": [None],
                                  "water_predicted_upper_90": [None], "forecast_method": [None]})
-        pred, lo, hi, how = arima_one_step(vals)
+        pred, lo, hi, how = arima_one_step(vals, max_p, max_d)
         return pd.DataFrame({ID: [lake], "water_predicted": [pred], "water_predicted_lower_90": [lo],
                              "water_predicted_upper_90": [hi], "forecast_method": [how]})
 

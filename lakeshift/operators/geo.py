@@ -140,8 +140,7 @@ def lake_at_points(points: DataFrame, lakes: DataFrame, lat: str = "lat", lon: s
     bounding box, then by ray casting. First match = smallest id.
     """
     from ..functions.geohash import geohash_decode
-    from ..session import spread
-    pts = spread(points.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")))
+    pts = points.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
     plon, plat = _cell4(F.col("_lat"), F.col("_lon"))
     offsets = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"))
                         for dj in (-1, 0, 1) for di in (-1, 0, 1)])
@@ -218,26 +217,51 @@ def split_in_chunks(df: DataFrame, size: int, order: str = ID, n_ranges: int | N
     return pos.withColumn("chunk", (F.floor((F.col("_pos") - 1) / F.lit(size)) + 1).cast("int")).drop("_pos")
 
 
-def spatial_chunks(lakes: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """k-means on projected centroids, k = max(1, n // size); clusters larger
-    than ``size`` are cut into consecutive pieces (W7)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+#: The projected square that the curve covers: the hemisphere north of the equator lies inside.
+CURVE_HALF_SIDE = 12_500_000.0
+CURVE_BITS = 16
+
+
+def curve_key(px: Column, py: Column) -> Column:
+    """Z-order number of a projected point: the bits of its two cell numbers in turn."""
+    def cell(v: Column) -> Column:
+        top = (1 << CURVE_BITS) - 1
+        share = (v + F.lit(CURVE_HALF_SIDE)) / F.lit(2 * CURVE_HALF_SIDE)
+        return F.least(F.greatest(F.floor(share * F.lit(float(1 << CURVE_BITS))), F.lit(0)), F.lit(top)).cast("long")
+
+    def spaced(v: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return v
+
+    return spaced(cell(px)).bitwiseOR(F.shiftleft(spaced(cell(py)), 1))
+
+
+def spatial_chunks(lakes: DataFrame, size: int, k: int | None = None, seed: int = 42) -> DataFrame:
+    """Spatially compact chunks of at most ``size`` lakes.
+
+    Lakes are put in the order of a space-filling curve over their projected
+    centroids and cut into consecutive chunks: one sort, no state that grows
+    with the data, and the same chunks on every run. With ``k`` the lakes are
+    first clustered by k-means into ``k`` clusters (``k`` centres on the
+    driver) and each cluster is cut by id.
+    """
+    from .ordering import dense_position
     shaped = with_shape_columns(lakes.select(ID, "rings"))
     xy = polar_xy(F.col("cx"), F.col("cy"))
     pts = shaped.select(ID, xy["x"].alias("px"), xy["y"].alias("py"))
-    n = pts.count()
-    k = max(1, n // size)
-    if k == 1:  # one cluster: Spark's KMeans needs k >= 2
-        assigned = pts.select(ID, F.lit(0).alias("cluster"))
+    if k is None:
+        keyed = pts.select(ID, F.lit(0).alias("cluster"), curve_key(F.col("px"), F.col("py")).alias("_curve"))
+        pos = dense_position(keyed, [], ["_curve", ID], "_pos")
     else:
-        feats = VectorAssembler(inputCols=["px", "py"], outputCol="features").transform(pts)
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(feats)
-        assigned = model.transform(feats).select(ID, "cluster")
-    # a big cluster is cut into pieces of <= size; positions without a
-    # one-task window per cluster (a cluster may hold most lakes)
-    from .ordering import dense_position
-    pos = dense_position(assigned, ["cluster"], [ID], "_pos")
-    piece = F.floor((F.col("_pos") - 1) / F.lit(size)).cast("int")
-    return (pos.withColumns({"piece": piece})
-               .withColumn("chunk", F.concat_ws("-", "cluster", "piece")).drop("_pos"))
+        if k == 1:  # Spark's KMeans needs k >= 2
+            assigned = pts.select(ID, F.lit(0).alias("cluster"))
+        else:
+            from pyspark.ml.clustering import KMeans
+            from pyspark.ml.feature import VectorAssembler
+            feats = VectorAssembler(inputCols=["px", "py"], outputCol="features").transform(pts)
+            model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(feats)
+            assigned = model.transform(feats).select(ID, "cluster")
+        pos = dense_position(assigned, ["cluster"], [ID], "_pos")
+    piece = F.floor((F.col("_pos") - 1) / F.lit(size)).cast("int").alias("piece")
+    return pos.select(ID, "cluster", piece).withColumn("chunk", F.concat_ws("-", "cluster", "piece"))

@@ -13,6 +13,7 @@ one job instead of one job per month.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +32,11 @@ DRAIN_THRESHOLD = -0.25
 
 
 def parse_analysis_date(analysis) -> str:
-    """``'YYYY-MM'`` -> first of that month; other text is used as a date."""
-    s = str(analysis)
-    if len(s) == 7 and s[4] == "-":
-        return f"{s}-01"
-    return s[:10]
+    """A date, or text that names one, as ISO date; text without a day means the first of its month."""
+    try:
+        return pd.Timestamp(analysis).date().isoformat()
+    except (ValueError, TypeError) as exc:
+        raise ValueError(f"{analysis!r} is no analysis date") from exc
 
 
 def _hist_stats(c: Column) -> list[Column]:
@@ -86,7 +87,7 @@ def nrt_breaks(prepared: DataFrame, family: Family, analysis_date, period: str =
     if check_date and not isinstance(analysis_date, Column):
         # one pushed-down probe, as the reference refuses a date it does not hold
         if prepared.filter(F.col(DATE) == d).limit(1).count() == 0:
-            raise ValueError(f"Analysis date {analysis_date} is not available in the dataset.")
+            raise ValueError(f"the panel has no rows of {analysis_date}")
     if ids is not None:
         prepared = prepared.join(ids.select(ID).distinct(), ID, "left_semi")
     wn = F.col(norm(family.water_col))

@@ -9,6 +9,8 @@ hash exchange) plus row-local expressions.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,14 +109,17 @@ def normalize_rows(df: DataFrame, exclude: tuple[str, ...] = ("year", "month", "
     return df.select(*[F.col(c) if c in keep else F.try_divide(F.col(c), denom).alias(c) for c in df.columns])
 
 
-def gap_report(df: DataFrame, variable: str = "water", threshold: float = 50.0) -> DataFrame:
-    """Missing count and completion % per lake over the panel's dates.
+def gap_report(df: DataFrame, variable: str = "water", threshold: float = 50.0,
+               ids: DataFrame | None = None) -> DataFrame:
+    """Missing count and completion % per lake over the panel's dates (P11), of all lakes or those in ``ids``.
 
     Dates absent for a lake count as missing: the denominator is the number
     of distinct dates of the whole panel, computed first as one scalar (a
     scalar subquery would be re-run at each of its uses in the expressions).
     """
     n_dates = F.lit(df.select(F.countDistinct(DATE)).first()[0] or 0)
+    if ids is not None:
+        df = df.join(ids.select(ID).distinct(), ID, "left_semi")
     per_lake = df.groupBy(ID).agg(F.count(F.col(variable)).alias("n_present"))
     missing = n_dates - F.col("n_present")
     out = per_lake.select(
@@ -158,10 +163,22 @@ def valid_lakes_at(df: DataFrame, analysis_date, variables: list[str]) -> DataFr
 
 
 def filter_ids(df: DataFrame, ids: DataFrame, on_missing: str = "warn") -> tuple[DataFrame, DataFrame]:
-    """Keep lakes listed in ``ids`` (F3). Returns (kept rows, requested ids not present)."""
+    """Keep lakes listed in ``ids`` (F3). Returns (kept rows, requested ids not present).
+
+    ``on_missing``: ``warn`` warns where some ids are absent and raises where
+    all are, ``error`` raises where any is, ``ignore`` does not look.
+    """
+    if on_missing not in ("warn", "error", "ignore"):
+        raise ValueError("on_missing is warn, error or ignore")
     ids = ids.select(ID).distinct()
     kept = df.join(ids, ID, "left_semi")
     missing = ids.join(df.select(ID), ID, "left_anti")
+    if on_missing != "ignore":
+        absent, wanted = missing.count(), ids.count()
+        if absent and (on_missing == "error" or absent == wanted):
+            raise ValueError(f"{absent} of {wanted} requested lakes are not in the panel")
+        if absent:
+            warnings.warn(f"{absent} of {wanted} requested lakes are not in the panel", stacklevel=2)
     return kept, missing
 
 

@@ -66,15 +66,16 @@ def class_areas_dw(modes: DataFrame) -> DataFrame:
 
 
 def class_areas_jrc(pixels: DataFrame, years: list[int] | None = None) -> DataFrame:
-    """Yearly JRC panel: per pixel the year's most frequent class (label % 4),
-    hectares per class, date = 1 January (X4). ``area_nodata`` is dropped
-    (the panel recomputes it)."""
+    """Yearly JRC panel: per pixel the year's most frequent label, hectares per
+    class whose code equals it, date = 1 January (X4). Pixels of any other
+    label count in no class. ``area_nodata`` is dropped (the panel recomputes
+    it)."""
     yr = F.year("ts")
     px = pixels.filter(F.col("label").isNotNull())
     if years:
         px = px.filter(yr.isin([int(y) for y in years]))
     modes = (px.groupBy(ID, "pixel_id", yr.alias("year"))
-               .agg(_mode(F.col("label") % 4).alias("label_mode"), F.max("pixel_area_m2").alias("pixel_area_m2")))
+               .agg(_mode(F.col("label")).alias("label_mode"), F.max("pixel_area_m2").alias("pixel_area_m2")))
     cols = {name: (F.coalesce(F.sum(F.when(F.col("label_mode") == i, F.col("pixel_area_m2"))), F.lit(0.0))
                    * F.lit(M2_TO_HA)) for i, name in enumerate(JRC_CLASSES)}
     wide = modes.groupBy(ID, "year").agg(*[cols[c].alias(c) for c in JRC_COLUMNS])

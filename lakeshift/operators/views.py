@@ -62,12 +62,16 @@ def compare_sources(dw_long: DataFrame, jrc_long: DataFrame) -> DataFrame:
                    .unionByName(jrc_long.withColumn("source", F.lit("jrc"))))
 
 
-def series_with_break(df: DataFrame, breaks: DataFrame) -> DataFrame:
-    """Series plus the lake's first break date (P10).
+def series_with_break(df: DataFrame, breaks: DataFrame | None = None, break_date=None) -> DataFrame:
+    """Series plus the lake's first break date (P10), or plus ``break_date`` for every lake.
 
     ``breaks(id, date_break[, break_number])``: the first break is the one
     with the smallest break number, else the earliest date.
     """
+    if (breaks is None) == (break_date is None):
+        raise ValueError("give breaks or break_date")
+    if break_date is not None:
+        return df.withColumn("first_break", F.lit(str(break_date)).cast("date"))
     order = F.struct(F.col("break_number") if "break_number" in breaks.columns else F.lit(0),
                      F.col("date_break"))
     first = breaks.groupBy(ID).agg(F.min_by("date_break", order).alias("first_break"))

@@ -23,7 +23,8 @@ from ..functions.geohash import geohash_decode, geohash_encode, geohash_label
 from ..operators.geo import (bbox_area_km2, filter_bbox, grid_counts, lake_at_points, split_in_chunks,
                              total_bounds)
 from ..operators.views import largest_lakes
-from ..sources.derived import pixel_table, scene_table, square_lakes
+from ..sources.derived import (jrc_pixel_table, padded, pixel_table, scene_table, square_corner,
+                               square_lakes)
 from ..operators.pixels import (best_scene_per_date, class_areas_dw, class_areas_jrc, monthly_mode,
                                 nearest_scene, range_mode, scene_dates, select_scenes)
 from ..operators.views import compare_sources, relative_percent, series_with_break, to_long, to_long_jrc
@@ -135,7 +136,7 @@ def q_merge(spark, sf_dir, how="both"):
         b = panel.filter(F.col(DATE) >= F.lit(SPLIT_DATE_B).cast("date"))
     else:
         panel = planted_panel(spark, sf_dir)
-        k = F.substring(ID, 3, 6).cast("int")
+        k = F.expr(f"substring({ID}, 3)").cast("long")
         a = panel.filter((k % 2 == 0) | (k % 5 == 0))
         b = panel.filter((k % 2 == 1) | (k % 5 == 0))
     return round_output(merge_panels(a, b, how=how))
@@ -205,8 +206,8 @@ def click_points(spark, sf_dir):
     offsets 0 and +-0.0013 degrees, outside for +-0.0026 and +-0.0039."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     k = F.col("o_custkey")
-    cx = F.lit(-165.0) + k.cast("double") * F.lit(0.01) + F.lit(0.002)
-    cy = F.lit(60.0) + (k % 100).cast("double") * F.lit(0.05) + F.lit(0.002)
+    x0, y0 = square_corner(k)
+    cx, cy = x0 + F.lit(0.002), y0 + F.lit(0.002)
     dx = ((F.col("o_orderkey") % 7) - 3).cast("double") * F.lit(0.0013)
     dy = ((F.col("o_orderkey") % 5) - 2).cast("double") * F.lit(0.0013)
     return o.select(F.col("o_orderkey").alias("point_id"), (cy + dy).alias("lat"), (cx + dx).alias("lon"))
@@ -242,7 +243,7 @@ def q_class_areas(spark, sf_dir):
 
 
 def q_class_areas_jrc(spark, sf_dir):
-    return round_output(class_areas_jrc(pixel_table(spark, sf_dir), years=[2024]), 6)
+    return round_output(class_areas_jrc(jrc_pixel_table(spark, sf_dir), years=[2024]), 6)
 
 
 SCENE_WINDOWS = [("2024-01-03", "2024-01-10"), ("2024-01-15 12:00:00", "2024-01-25")]
@@ -269,7 +270,7 @@ def scene_requests(spark, sf_dir):
           + F.make_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") % 30).cast("int"),
                             (F.col("o_orderkey") % 24).cast("int")))
     return o.select(F.col("o_orderkey").alias("request_id"),
-                    F.concat(F.lit("px"), F.lpad((F.col("o_custkey") % 10).cast("string"), 6, "0")).alias(ID),
+                    F.concat(F.lit("px"), padded(F.col("o_custkey") % 10)).alias(ID),
                     at.alias("at"))
 
 
@@ -288,6 +289,13 @@ def q_bayes_breaks(spark, sf_dir):
     return round_output(bayes_breaks(_kernel_prepared(spark, sf_dir), DW))
 
 
+def q_bayes_first_break(spark, sf_dir):
+    """The most probable change of each lake (D2), with its calendar neighbours and statistics."""
+    from ..operators.bayes import bayes_breaks
+    found = bayes_breaks(_kernel_prepared(spark, sf_dir), DW, min_sep=3)
+    return round_output(found.filter("break_number = 1").drop("proba", "break_number"))
+
+
 def q_nrt_arima(spark, sf_dir):
     prepared = _kernel_prepared(spark, sf_dir)
     return round_output(nrt_breaks(prepared, DW, NRT_DATE, forecast="arima"))
@@ -362,6 +370,70 @@ def q_month_files_roundtrip(spark, sf_dir):
     return round_output(read_nrt_results(spark, path))
 
 
+def q_wkb_roundtrip(spark, sf_dir):
+    """Lakes written as WKB GeoParquet columns, read back (S3, K2)."""
+    from ..functions.wkb import rings_to_wkb
+    from ..sources.readers import read_lakes
+    path = _scratch(spark, "wkb")
+    rings_to_wkb(square_lakes(spark, sf_dir)).write.parquet(path)
+    return round_output(lakes_flat(read_lakes(spark, path)), 6)
+
+
+def q_geojson_roundtrip(spark, sf_dir):
+    """Features of both polygon kinds written as GeoJSON lines, read back (S3, K5)."""
+    from ..functions.geometry import with_shape_columns
+    from ..sources.readers import read_lakes
+    path = _scratch(spark, "geojson")
+    lakes = square_lakes(spark, sf_dir)
+    coords = F.transform("rings", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"]))))
+    props = F.struct(ID, "lake_key").alias("properties")
+    many = F.struct(F.lit("MultiPolygon").alias("type"), coords.alias("coordinates")).alias("geometry")
+    one = F.struct(F.lit("Polygon").alias("type"), coords[0].alias("coordinates")).alias("geometry")
+    kind = F.lit("Feature").alias("type")
+    odd = lakes.filter("lake_key % 2 = 1").select(F.to_json(F.struct(kind, props, many)).alias("value"))
+    even = lakes.filter("lake_key % 2 = 0").select(F.to_json(F.struct(kind, props, one)).alias("value"))
+    odd.union(even).write.text(path)
+    back = with_shape_columns(read_lakes(spark, path, fmt="json"))
+    return round_output(back.select(ID, "lake_key", "cx", "cy", "area_deg2"), 6)
+
+
+def q_break_files_union(spark, sf_dir):
+    """Break tables of two detectors and of other column types, merged by name."""
+    from ..sources.readers import read_break_files
+    base = _scratch(spark, "breaks")
+    prepared = prepare(planted_panel(spark, sf_dir), DW)
+    cols = [ID, "date_break", "break_method", "water_change_ha"]
+    simple_breaks(prepared, DW).select(*cols).write.parquet(f"{base}/a")
+    coarse = simple_breaks(prepared, DW, window=5).select(
+        *cols[:3], F.round("water_change_ha").cast("int").alias("water_change_ha"), "date_break_year")
+    coarse.write.parquet(f"{base}/b")
+    return round_output(read_break_files(spark, [f"{base}/a", f"{base}/b"]))
+
+
+def q_nrt_job_rerun(spark, sf_dir):
+    """The written range job run three times, resumed and from scratch: counts per month."""
+    from .nrt_jobs import run_nrt_range
+    out = _scratch(spark, "rerun")
+    panel = planted_panel(spark, sf_dir)
+    run_nrt_range(panel, "2019-03", "2019-06", out, DW)
+    run_nrt_range(panel, "2019-03", "2019-08", out, DW)
+    return run_nrt_range(panel, "2019-03", "2019-08", out, DW, resume=False)
+
+
+def q_stream_replay(spark, sf_dir):
+    """Two months as stream batches, each delivered twice: counts per month (T4)."""
+    from ..streaming.monthly_stream import process_batch
+    out = _scratch(spark, "stream")
+    panel = planted_panel(spark, sf_dir)
+    month = F.date_format(DATE, "yyyy-MM")
+    panel.filter(month < "2019-05").write.parquet(f"{out}/history")
+    for k, m in enumerate(("2019-05", "2019-06")):
+        for _ in range(2):
+            process_batch(panel.filter(month == m), f"{out}/history", out, DW, batch_id=k)
+    from .nrt_jobs import read_counts
+    return read_counts(spark, f"{out}/counts")
+
+
 def q_geojson_lines(spark, sf_dir):
     from ..sinks.writers import geojson_lines
     return geojson_lines(square_lakes(spark, sf_dir))
@@ -439,6 +511,7 @@ QUERIES = {
     "scene_dates": q_scene_dates,
     "nearest_scene": q_nearest_scene,
     "bayes_breaks": q_bayes_breaks,
+    "bayes_first_break": q_bayes_first_break,
     "nrt_arima": q_nrt_arima,
     "user_detector": q_user_detector,
     "spatial_chunks": q_spatial_chunks,
@@ -446,6 +519,11 @@ QUERIES = {
     "gridded_nrt": q_gridded_nrt,
     "clustered_roundtrip": q_clustered_roundtrip,
     "month_files_roundtrip": q_month_files_roundtrip,
+    "wkb_roundtrip": q_wkb_roundtrip,
+    "geojson_roundtrip": q_geojson_roundtrip,
+    "break_files_union": q_break_files_union,
+    "nrt_job_rerun": q_nrt_job_rerun,
+    "stream_replay": q_stream_replay,
     "geojson_lines": q_geojson_lines,
     "rescale_attach": q_rescale_attach,
     "valid_keys": q_valid_keys,

@@ -19,12 +19,12 @@ from ..operators.panel import prepare
 
 def gridded_nrt(history: DataFrame, new_month: DataFrame, lakes: DataFrame, analysis_date: str,
                 dlon: float = 10.0, dlat: float = 2.0, family: Family | None = None,
-                done_cells: DataFrame | None = None, validate: bool = False) -> DataFrame:
+                done_cells: DataFrame | None = None, validate: bool = False, forecast: str = "ar1") -> DataFrame:
     family = family or detect_family(history)
     cells = assign_grid_cell(lakes.select(ID, "rings"), dlon, dlat).select(ID, "cell_lon", "cell_lat")
     if done_cells is not None:
         cells = cells.join(done_cells.select("cell_lon", "cell_lat"), ["cell_lon", "cell_lat"], "left_anti")
     panel = merge_append(history, new_month, how="date", validate=validate)
     panel = panel.join(cells.select(ID), ID, "left_semi")
-    result = nrt_breaks(prepare(panel, family), family, analysis_date)
+    result = nrt_breaks(prepare(panel, family), family, analysis_date, forecast=forecast)
     return cells.join(result, ID, "inner").select("cell_lon", "cell_lat", *result.columns)

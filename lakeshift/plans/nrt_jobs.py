@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from ..operators.nrt import (DRAIN_THRESHOLD, drained, nrt_all_dates, nrt_breaks
                              with_month)
 from ..operators.panel import prepare
 from ..operators.stats import month_spine, monthly_counts
+from ..session import cut_lineage
+from ..sinks.writers import write_nrt_month
 
 
 def month_date(panel: DataFrame, month: str):
@@ -22,13 +25,13 @@ def month_date(panel: DataFrame, month: str):
     first = F.lit(parse_analysis_date(month)).cast("date")
     d = panel.filter(F.trunc(F.col(DATE), "month") == first).agg(F.min(DATE)).first()[0]
     if d is None:
-        raise ValueError(f"Analysis date {month} is not available in the dataset.")
+        raise ValueError(f"the panel has no date in {month}")
     return F.lit(d)
 
 
 def nrt_month(panel: DataFrame, month: str, family: Family | None = None,
               threshold: float = DRAIN_THRESHOLD, period: str = "all", ids: DataFrame | None = None,
-              drained_only: bool = True) -> DataFrame:
+              drained_only: bool = True, forecast: str = "ar1") -> DataFrame:
     """Drained lakes of one month with ``analysis_month`` first, sorted by id.
 
     Only lakes whose raw water is present at the analysis date take part
@@ -43,7 +46,7 @@ def nrt_month(panel: DataFrame, month: str, family: Family | None = None,
     whole = Window.partitionBy(ID).orderBy(DATE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     raw_ok = F.max(F.when(F.col(DATE) == d, F.col(family.water_col).isNotNull())).over(whole)
     usable = panel.withColumn("_raw_ok", raw_ok).filter(F.col("_raw_ok")).drop("_raw_ok")
-    result = nrt_breaks(prepare(usable, family), family, d, period=period)
+    result = nrt_breaks(prepare(usable, family), family, d, period=period, forecast=forecast)
     if drained_only:
         result = drained(result, threshold)
     return with_month(result).sortWithinPartitions(ID)
@@ -69,40 +72,55 @@ def nrt_range_counts(panel: DataFrame, start: str, end: str, family: Family | No
     return monthly_counts(rows, month_spine(panel.sparkSession, start, end))
 
 
+def read_counts(spark, counts_path: str) -> DataFrame | None:
+    """The written counts table, or None if nothing was written; any other failure is raised."""
+    try:
+        return spark.read.schema("analysis_month string, drained_lake_count int").parquet(counts_path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def pending_months(spark, start: str, end: str, counts_path: str | None) -> DataFrame:
     """Months of the range not yet in the written counts table."""
     months = month_spine(spark, start, end)
-    if counts_path is None:
-        return months
-    try:
-        done = spark.read.parquet(counts_path).select("analysis_month")
-    except Exception:  # noqa: BLE001 -- nothing written yet
-        return months
-    return months.join(done, "analysis_month", "left_anti")
+    done = read_counts(spark, counts_path) if counts_path is not None else None
+    return months if done is None else months.join(done, "analysis_month", "left_anti")
+
+
+def write_counts(counts: DataFrame, counts_path: str) -> None:
+    """One partition per month, so that a month written again replaces itself."""
+    (counts.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("analysis_month").parquet(counts_path))
 
 
 def run_nrt_range(panel: DataFrame, start: str, end: str, out_dir: str, family: Family | None = None,
                   threshold: float = DRAIN_THRESHOLD, resume: bool = True) -> DataFrame:
-    """Write drained lakes partitioned by month plus a counts table; skip done months."""
+    """Write drained lakes partitioned by month plus a counts table; skip done months.
+
+    Only the span of the pending months is analysed. Months are replaced as a
+    whole, also by nothing, so that a run may be repeated.
+    """
     spark = panel.sparkSession
     counts_path = f"{out_dir}/counts"
-    todo = pending_months(spark, start, end, counts_path if resume else None)
-    rows = nrt_range(panel, start, end, family, threshold)
-    # the month list is bounded by the range length (12 per year): safe to broadcast
-    rows = rows.join(F.broadcast(todo), "analysis_month", "left_semi")
-    # no repartition by month: a busy month would land in one task; each
-    # task writes its own sorted file per month instead
-    (rows.sortWithinPartitions("analysis_month", ID)
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("analysis_month").parquet(f"{out_dir}/breaks"))
-    written = spark.read.parquet(f"{out_dir}/breaks").join(F.broadcast(todo), "analysis_month", "left_semi")
-    counts = monthly_counts(written, todo)
-    counts.write.mode("append").parquet(counts_path)
-    return spark.read.parquet(counts_path)
-
-
-def consolidate(out_dir: str, spark) -> tuple[DataFrame, DataFrame]:
-    """All months in one table and the counts table (K6)."""
+    # twelve rows a year
+    todo = sorted(r[0] for r in pending_months(spark, start, end, counts_path if resume else None).collect())
+    if todo:
+        rows = nrt_range(panel, todo[0], todo[-1], family, threshold).filter(F.col("analysis_month").isin(todo))
+        write_nrt_month(cut_lineage(rows), f"{out_dir}/breaks", todo)
+        written = spark.read.parquet(f"{out_dir}/breaks").filter(F.col("analysis_month").isin(todo))
+        spine = month_spine(spark, todo[0], todo[-1]).filter(F.col("analysis_month").isin(todo))
+        write_counts(monthly_counts(written, spine), counts_path)
+    return read_counts(spark, counts_path)
+
+
+def consolidate(out_dir: str, spark, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """All months in one table and the counts table (K6); written under ``path`` if given."""
     breaks = spark.read.option("mergeSchema", "true").parquet(f"{out_dir}/breaks")
-    counts = spark.read.parquet(f"{out_dir}/counts")
+    counts = read_counts(spark, f"{out_dir}/counts")
+    if path is not None:
+        breaks.repartitionByRange("analysis_month", ID).write.mode("overwrite").parquet(f"{path}/breaks")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+        breaks, counts = spark.read.parquet(f"{path}/breaks"), spark.read.parquet(f"{path}/counts")
     return breaks, counts

@@ -54,9 +54,9 @@ def get_session(master: str | None = None, app: str = "lakeshift",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local runs, tests) do we create a
-    folder of our own and register it; on a cluster the setting must point
-    at shared storage.
+    Only when the setting is absent and the master is local (tests) do we
+    create a folder of our own and register it; on a cluster the setting must
+    point at shared storage, and a run without it is refused.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -66,6 +66,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="lakeshift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -92,14 +94,6 @@ def kernel_partitions(spark: SparkSession, partitions: int | None = None) -> int
     return max(shuffle, spark.sparkContext.defaultParallelism)
 
 
-def spread(df):
-    """Round-robin ``df`` over all cores when its scan has fewer splits than
-    cores (small inputs read as one split). Large inputs already arrive in
-    many splits and are returned unchanged: no shuffle is added at scale."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
-
-
 _SHIPPED: set = set()
 
 

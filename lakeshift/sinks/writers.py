@@ -40,12 +40,23 @@ def write_breaks(breaks: DataFrame, lakes: DataFrame | None, path: str, geometry
     out.write.mode("overwrite").parquet(path)
 
 
-def write_nrt_month(df: DataFrame, out_dir: str) -> None:
+def write_nrt_month(df: DataFrame, out_dir: str, months: list[str] | None = None) -> None:
     """Month files (K3): dynamic overwrite of the ``analysis_month`` partitions
-    present in ``df``; rows sorted by id inside each file."""
-    (df.sortWithinPartitions("analysis_month", ID)
+    present in ``df``; rows sorted by id inside each file.
+
+    With ``months``, each of them without a row in ``df`` gets a file without
+    rows, which replaces what an earlier run left there. Rows are ranged by
+    (month, id): a busy month is split over tasks, a quiet one is one file.
+    """
+    (df.repartitionByRange("analysis_month", ID).sortWithinPartitions("analysis_month", ID)
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("analysis_month").parquet(out_dir))
+    if months:
+        # the months of a range: twelve a year
+        found = {r[0] for r in df.select("analysis_month").distinct().collect()}
+        empty = df.sparkSession.createDataFrame([], df.drop("analysis_month").schema).coalesce(1)
+        for month in sorted(set(months) - found):
+            empty.write.mode("overwrite").parquet(f"{out_dir}/analysis_month={month}")
 
 
 def cluster_by_key(df: DataFrame, out_path: str, key: str = ID, rows_per_group: int = 2000,

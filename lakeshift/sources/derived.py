@@ -27,6 +27,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def padded(key: Column, width: int = 6) -> Column:
+    """Digits of ``key`` with zeros in front up to ``width``; longer keys stay whole."""
+    text = key.cast("string")
+    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(width) - F.length(text), F.lit(0))), text)
+
+
 N_MONTHS = 60
 PANEL_START = "2017-01-01"
 JRC_START_YEAR = 1962
@@ -52,7 +58,7 @@ def planted_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     vals = {name: zero for name in DW_COLUMNS}
     vals.update(water=c["water"], bare=c["bare"], snow_and_ice=c["snow"])
     return rows.select(
-        F.concat(F.lit("lk"), F.lpad(F.col("k").cast("string"), 6, "0")).alias(ID),
+        F.concat(F.lit("lk"), padded(F.col("k"))).alias(ID),
         F.add_months(F.lit(PANEL_START).cast("date"), F.col("m")).alias("date"),
         *[vals[name].alias(name) for name in DW_COLUMNS],
     )
@@ -64,7 +70,7 @@ def planted_jrc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sup.select("k", F.explode(F.sequence(F.lit(0), F.lit(N_MONTHS - 1))).alias("m"))
     c = _planted_columns(F.col("k"), F.col("m"))
     return rows.select(
-        F.concat(F.lit("lk"), F.lpad(F.col("k").cast("string"), 6, "0")).alias(ID),
+        F.concat(F.lit("lk"), padded(F.col("k"))).alias(ID),
         F.make_date(F.lit(JRC_START_YEAR) + F.col("m"), F.lit(1), F.lit(1)).alias("date"),
         c["bare"].alias("area_land"),
         c["snow"].alias("area_water_seasonal"),
@@ -80,7 +86,7 @@ def ship_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_shipdate")
     grouped = li.select(
-        F.concat(F.lit("sp"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias(ID),
+        F.concat(F.lit("sp"), padded(F.col("l_suppkey"))).alias(ID),
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date"),
         (F.col("l_partkey") % 9).cast("int").alias("cls"),
         "l_quantity",
@@ -107,7 +113,7 @@ def pixel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixels(id_geohash, pixel_id, ts, label, pixel_area_m2) from events."""
     ev = _table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
     return ev.select(
-        F.concat(F.lit("px"), F.lpad((F.col("user_id") % 10).cast("string"), 6, "0")).alias(ID),
+        F.concat(F.lit("px"), padded(F.col("user_id") % 10)).alias(ID),
         F.col("user_id").alias("pixel_id"),
         F.col("ts"),
         event_label(F.col("event_type")).alias("label"),
@@ -115,11 +121,16 @@ def pixel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def jrc_pixel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixel table with its five labels folded into the four codes of the JRC classes."""
+    return pixel_table(spark, sf_dir).withColumn("label", F.col("label") % 4)
+
+
 def scene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scenes(id_geohash, scene_id, time, cloud_pct, missing_red) from events."""
     ev = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
     return ev.select(
-        F.concat(F.lit("px"), F.lpad((F.col("user_id") % 10).cast("string"), 6, "0")).alias(ID),
+        F.concat(F.lit("px"), padded(F.col("user_id") % 10)).alias(ID),
         F.concat(F.lit("sc"), F.col("event_id").cast("string")).alias("scene_id"),
         F.col("ts").alias("time"),
         (F.col("event_id") % 41).cast("double").alias("cloud_pct"),
@@ -130,19 +141,32 @@ def scene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQUARE_SIDE = 0.004
 
 
+def square_corner(k: Column) -> tuple[Column, Column]:
+    """Lower-left corner of key ``k``: (-165 + k*0.01, 60 + (k % 100)*0.05), and every 33,000 keys, where
+    the longitude would pass 165, one of ten rows 0.005 degrees further north, then a band of five degrees.
+
+    Corners differ for all keys below 1,650,000; beyond, the latitude would pass 85 and the query fails.
+    """
+    lap = F.floor(k / F.lit(33000))
+    x = F.lit(-165.0) + (k % 33000).cast("double") * F.lit(0.01)
+    y = (F.lit(60.0) + (k % 100).cast("double") * F.lit(0.05) + (lap % 10).cast("double") * F.lit(0.005)
+         + F.floor(lap / F.lit(10)).cast("double") * F.lit(5.0))
+    too_far = F.raise_error(F.lit("square lakes end at key 1649999")).cast("double")
+    return x, F.when(k < 1650000, y).otherwise(too_far)
+
+
 def square_lakes(spark: SparkSession, sf_dir: str, source: str = "customer") -> DataFrame:
     """One square lake per customer key k (or per supplier, for the planted panel).
 
-    Corner (-165 + k*0.01, 60 + (k % 100)*0.05), side 0.004; the id is the
-    12-character geohash of the centre (customer) or the planted panel's
-    ``lk`` id (supplier); attributes from integer formulas.
+    Corners from ``square_corner``, side 0.004; the id is the 12-character
+    geohash of the centre (customer) or the planted panel's ``lk`` id
+    (supplier); attributes from integer formulas.
     """
     if source == "customer":
         cu = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     else:
         cu = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    x0 = F.lit(-165.0) + F.col("k").cast("double") * F.lit(0.01)
-    y0 = F.lit(60.0) + (F.col("k") % 100).cast("double") * F.lit(0.05)
+    x0, y0 = square_corner(F.col("k"))
     x1 = x0 + F.lit(SQUARE_SIDE)
     y1 = y0 + F.lit(SQUARE_SIDE)
     ring = F.array(
@@ -157,7 +181,7 @@ def square_lakes(spark: SparkSession, sf_dir: str, source: str = "customer") ->
     cx = x0 + F.lit(SQUARE_SIDE / 2)
     cy = y0 + F.lit(SQUARE_SIDE / 2)
     lake_id = geohash_encode(cy, cx, 12) if source == "customer" else \
-        F.concat(F.lit("lk"), F.lpad(F.col("k").cast("string"), 6, "0"))
+        F.concat(F.lit("lk"), padded(F.col("k")))
     return cu.select(
         lake_id.alias(ID),
         F.col("k").alias("lake_key"),

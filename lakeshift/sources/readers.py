@@ -7,11 +7,17 @@ Everything is ``spark.read``; Hadoop file systems cover remote paths
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (ArrayType, ByteType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType,
+                               ShortType, StringType, StructField, StructType, TimestampType)
 
 from ..family import DATE, ID, Family, detect_family
+from ..functions.wkb import wkb_to_rings
 from ..operators.panel import clean_nan
 
 REMOTE_SCHEMES = ("s3://", "s3a://", "gs://", "gcs://", "abfs://", "abfss://", "http://", "https://", "hdfs://")
@@ -50,31 +56,61 @@ def read_panel(spark: SparkSession, path: str, family: Family | None = None, fmt
 
 
 def read_lakes(spark: SparkSession, path: str, fmt: str | None = None, order_by_area: bool = False) -> DataFrame:
-    """Lake polygons (S3): rows with NULL or empty geometry dropped, largest
-    first on request. GeoJSON features are parsed from JSON lines."""
+    """Lake polygons (S3): Parquet with ``rings`` or WKB ``geometry``, GeoJSON lines or collections.
+
+    Rows with NULL or empty geometry are dropped, largest first on request; a
+    polygon that cannot be parsed fails the job.
+    """
     f = _reader_format(path, fmt)
-    df = spark.read.format(f).load(path)
-    if "rings" not in df.columns and "geometry" in df.columns and f == "json":
-        df = geojson_features_to_lakes(df)
+    if f == "json":
+        df = read_geojson(spark, path)
+    else:
+        df = spark.read.format(f).load(path)
+        if "rings" not in df.columns and dict(df.dtypes).get("geometry") == "binary":
+            df = wkb_to_rings(df)
     df = df.filter(F.col("rings").isNotNull() & (F.size(F.flatten(F.flatten("rings"))) > 0))
     if order_by_area and "Area_start_ha" in df.columns:
         df = df.orderBy(F.desc("Area_start_ha"))
     return df
 
 
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """Features of GeoJSON lines, or of a FeatureCollection on any number of lines.
+
+    Only the properties' types are inferred. Coordinates are read as JSON
+    text, whose nesting then depends on each feature's own geometry type.
+    """
+    lines = spark.read.json(path).schema
+    collection = "geometry" not in lines.names
+    if collection:
+        lines = spark.read.option("multiLine", "true").json(path).schema["features"].dataType.elementType
+    feature = StructType([StructField("properties", lines["properties"].dataType),
+                          StructField("geometry", StructType([StructField("type", StringType()),
+                                                              StructField("coordinates", StringType())]))])
+    if collection:
+        whole = StructType([StructField("features", ArrayType(feature))])
+        found = (spark.read.schema(whole).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+                 .select(F.explode("features").alias("f")).select("f.*"))
+    else:
+        found = spark.read.schema(feature).option("mode", "FAILFAST").json(path)
+    return geojson_features_to_lakes(found)
+
+
 def geojson_features_to_lakes(features: DataFrame) -> DataFrame:
-    """GeoJSON Feature rows (Polygon / MultiPolygon) -> id, properties, rings."""
-    coords = F.col("geometry.coordinates")
-    # Polygon coordinates are ring -> vertex -> [x, y]; MultiPolygon adds a level.
-    as_json = F.to_json(coords)
-    poly_t = "array<array<array<double>>>"
-    multi_t = "array<array<array<array<double>>>>"
-    is_multi = F.col("geometry.type") == "MultiPolygon"
-    multi = F.when(is_multi, F.from_json(as_json, multi_t)).otherwise(F.array(F.from_json(as_json, poly_t)))
+    """Feature rows (``geometry.coordinates`` as JSON text) -> properties and ``rings``."""
+    # a polygon is ring -> vertex -> [x, y]; a multi-polygon adds a level
+    poly_t, multi_t = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    multi = (F.when(kind == "MultiPolygon", F.from_json(text, multi_t))
+             .when(kind == "Polygon", F.array(F.from_json(text, poly_t))))
     rings = F.transform(multi, lambda poly: F.transform(poly, lambda ring: F.transform(
         ring, lambda v: F.struct(v[0].alias("x"), v[1].alias("y")))))
-    props = [F.col(f"properties.{c}").alias(c) for c in features.select("properties.*").columns]
-    return features.select(*props, rings.alias("rings"))
+    broken = F.col("geometry").isNotNull() & text.isNotNull() & F.coalesce(
+        F.exists(rings, lambda p: p.isNull()), rings.isNull())
+    checked = F.when(broken, F.raise_error(F.concat(F.lit("no polygon: "), F.coalesce(kind, F.lit("?")), F.lit(" "),
+                                                    F.substring(text, 1, 200)))).otherwise(rings)
+    props = [F.col(f"properties.`{c}`").alias(c) for c in features.schema["properties"].dataType.names]
+    return features.select(*props, checked.alias("rings"))
 
 
 def read_lake(lakes_path_or_df, lake_id: str, spark: SparkSession | None = None) -> DataFrame:
@@ -89,33 +125,59 @@ def read_lakes_in(lakes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def read_break_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Merge result files (S6): union by name across schemas, corrupt files
-    skipped, files without an id column dropped with a message; error if none.
+    """Merge result files (S6): union by name, types widened, empty files passed over.
 
-    Files are grouped by schema (read from their footers) and each group is
-    read in one scan, so thousands of files make a handful of scans, not a
-    union of thousands of plans.
+    Files are grouped by their whole schema and each group is one scan, so
+    thousands of files make a handful of scans. A column whose type differs
+    between groups takes the wider numeric type, or text. Files without an
+    id column and unreadable files are reported and left out; none left is
+    an error.
     """
-    groups: dict[tuple, list[str]] = {}
+    groups: dict[str, list[str]] = {}
+    schemas: dict[str, StructType] = {}
     for p in paths:
         try:
-            cols = tuple(spark.read.parquet(p).columns)
-        except Exception as exc:  # noqa: BLE001 -- unreadable file: skip, as the reference does
-            print(f"skipping {p}: {exc}")
+            schema = spark.read.parquet(p).schema
+        except (PySparkException, Py4JJavaError) as exc:
+            warnings.warn(f"{p} is left out: {str(exc).splitlines()[0]}", stacklevel=2)
             continue
-        if ID not in cols:
-            print(f"skipping {p}: no '{ID}' column")
+        if ID not in schema.names:
+            warnings.warn(f"{p} is left out: it has no column {ID}", stacklevel=2)
             continue
-        groups.setdefault(cols, []).append(p)
+        key = schema.json()
+        groups.setdefault(key, []).append(p)
+        schemas[key] = schema
     if not groups:
-        raise FileNotFoundError(f"No valid parquet files containing '{ID}' were loaded.")
-    frames = [spark.read.option("ignoreCorruptFiles", "true").parquet(*ps) for ps in groups.values()]
+        raise FileNotFoundError(f"none of {len(paths)} files has a column {ID}")
+    kinds: dict[str, list] = {}
+    for schema in schemas.values():
+        for f in schema:
+            kinds.setdefault(f.name, []).append(f.dataType)
+    frames = []
+    for key, ps in groups.items():
+        part = spark.read.schema(schemas[key]).parquet(*ps)
+        frames.append(part.select(*[F.col(f"`{c}`").cast(wider(kinds[c])).alias(c) for c in part.columns]))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
 
 
+def wider(kinds: list) -> DataType:
+    """The type that holds values of all ``kinds``."""
+    distinct = list(dict.fromkeys(kinds))
+    if len(distinct) == 1:
+        return distinct[0]
+    order = [ByteType(), ShortType(), IntegerType(), LongType(), FloatType(), DoubleType()]
+    if all(k in order for k in distinct):
+        top = max(distinct, key=order.index)
+        # neither a long nor an int fits a float
+        return DoubleType() if top == FloatType() and {IntegerType(), LongType()} & {*distinct} else top
+    if {*distinct} == {DateType(), TimestampType()}:
+        return TimestampType()
+    return StringType()
+
+
 def read_nrt_results(spark: SparkSession, path: str) -> DataFrame:
     """NRT results (S7): one file or a month-partitioned directory; the
     month is derived from ``date`` (or ``date_break``) when absent."""
@@ -126,6 +188,12 @@ def read_nrt_results(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def counts_of_results(results: DataFrame, confident: bool = False) -> DataFrame:
+    """Lakes per month derived from result rows, where no counts table was written."""
+    rows = results.filter(F.col("drainage_confidence") > 0) if confident else results
+    return rows.groupBy("analysis_month").agg(F.countDistinct(ID).cast("int").alias("drained_lake_count"))
+
+
 # --------------------------------------------------------------------------- date lists
 
 def monthly_dates(spark: SparkSession, years, months) -> DataFrame:
@@ -151,7 +219,9 @@ def dates_from_options(spark: SparkSession, years=None, months=None, date_list=N
 
 
 def annual_dates(spark: SparkSession, years=None, date_list=None) -> DataFrame:
-    """1 January of each year; default 2000..2021."""
+    """1 January of each year (default 2000..2021), or ``date_list`` instead."""
+    if date_list is not None and years is not None:
+        raise ValueError("give years or date_list, not both")
     if date_list is not None:
         return dates_from_options(spark, date_list=date_list)
     years = list(years) if years is not None else list(range(2000, 2022))

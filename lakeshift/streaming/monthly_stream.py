@@ -1,44 +1,72 @@
 """New months as a file-source stream (T4).
 
 New panel rows (any number of lakes, one or more months) land as Parquet
-files in a folder. Each micro-batch is appended to the history table and the
+files in a folder. Each micro-batch is added to the history table and the
 months it carries are analysed with the range NRT job (one Spark job for all
-months of the batch), drained lakes written as month partitions and the
-counts table appended. No streaming state is needed: the history table is
-the state, and the checkpoint folder makes a restart resume after the last
-committed batch (exactly the "skip done months" behaviour of the batch CLI).
+months of the batch).
+
+A batch may be delivered again after a failure. Everything it writes is
+therefore keyed: the history by batch, results and counts by month, and a
+second delivery replaces the first. Rows of one lake and date in several
+batches count once, the latest batch deciding. No streaming state is needed:
+the history table is the state, and the checkpoint folder makes a restart
+resume after the last committed batch.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..family import DATE, Family, detect_family
+from ..family import DATE, ID, Family, detect_family
 from ..operators.nrt import DRAIN_THRESHOLD
 from ..operators.stats import monthly_counts
-from ..plans.nrt_jobs import nrt_range
+from ..plans.nrt_jobs import nrt_range, write_counts
+from ..session import cut_lineage
 from ..sinks.writers import write_nrt_month
 
 
+def batches_path(history_path: str) -> str:
+    """Where batches are added, beside a history that was there before the stream."""
+    return f"{history_path.rstrip('/')}_batches"
+
+
+def read_history(spark: SparkSession, history_path: str) -> DataFrame:
+    """The first history and all batches, one row per lake and date."""
+    rows = spark.read.parquet(batches_path(history_path))
+    try:
+        rows = rows.unionByName(spark.read.parquet(history_path).withColumn("batch", F.lit(-1)))
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+    values = [c for c in rows.columns if c not in (ID, DATE, "batch")]
+    latest = rows.groupBy(ID, DATE).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return latest.select(ID, DATE, "v.*")
+
+
 def process_batch(batch: DataFrame, history_path: str, out_dir: str, family: Family | None = None,
-                  threshold: float = DRAIN_THRESHOLD) -> None:
-    """Append the batch to the history and analyse the months it carries."""
+                  threshold: float = DRAIN_THRESHOLD, batch_id: int = 0) -> None:
+    """Add batch ``batch_id`` to the history and analyse the months it carries."""
     spark = batch.sparkSession
-    if batch.isEmpty():
-        return
     family = family or detect_family(batch)
-    batch.write.mode("append").parquet(history_path)
-    panel = spark.read.parquet(history_path)
-    # the months of one batch: a handful of rows, bounded by the batch's date span
-    span = batch.agg(F.min(DATE).alias("lo"), F.max(DATE).alias("hi")).first()
-    start, end = span["lo"].strftime("%Y-%m"), span["hi"].strftime("%Y-%m")
-    drained = nrt_range(panel, start, end, family, threshold)
-    write_nrt_month(drained, f"{out_dir}/breaks")
-    months = batch.select(F.date_format(DATE, "yyyy-MM").alias("analysis_month")).distinct()
-    written = spark.read.parquet(f"{out_dir}/breaks").join(months, "analysis_month", "left_semi")
-    monthly_counts(written, months).write.mode("append").parquet(f"{out_dir}/counts")
+    batch.persist()
+    try:
+        # the months of one batch: a handful of rows
+        months = sorted(r[0] for r in batch.select(F.date_format(DATE, "yyyy-MM")).distinct().collect())
+        if not months:
+            return
+        (batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(batches_path(history_path)))
+    finally:
+        batch.unpersist()
+    panel = read_history(spark, history_path)
+    drained = cut_lineage(nrt_range(panel, months[0], months[-1], family, threshold)
+                          .filter(F.col("analysis_month").isin(months)))
+    write_nrt_month(drained, f"{out_dir}/breaks", months)
+    spine = spark.range(1).select(F.explode(F.array(*[F.lit(m) for m in months])).alias("analysis_month"))
+    write_counts(monthly_counts(drained, spine), f"{out_dir}/counts")
 
 
 def start_monthly_stream(spark: SparkSession, incoming_dir: str, schema: StructType, history_path: str,
@@ -47,7 +75,7 @@ def start_monthly_stream(spark: SparkSession, incoming_dir: str, schema: StructT
     """Start the stream; with ``available_now`` it drains the folder and stops."""
     stream = spark.readStream.schema(schema).parquet(incoming_dir)
     writer = (stream.writeStream
-              .foreachBatch(lambda df, _epoch: process_batch(df, history_path, out_dir, family, threshold))
+              .foreachBatch(lambda df, epoch: process_batch(df, history_path, out_dir, family, threshold, epoch))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")
     return writer.start()

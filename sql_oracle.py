@@ -49,7 +49,7 @@ def planted_rows() -> str:
 def planted_panel() -> str:
     """CTE list defining ``panel`` (DW) from supplier x 60 months."""
     return planted_rows() + """,
- panel AS (SELECT 'lk' || lpad(CAST(k AS VARCHAR), 6, '0') AS id_geohash,
+ panel AS (SELECT 'lk' || lpad(CAST(k AS VARCHAR), CAST(greatest(length(CAST(k AS VARCHAR)), 6) AS INTEGER), '0') AS id_geohash,
                   CAST(DATE '2017-01-01' + to_months(CAST(m AS INTEGER)) AS DATE) AS date,
                   water, 0.0e0 AS trees, 0.0e0 AS grass, 0.0e0 AS flooded_vegetation, 0.0e0 AS crops,
                   0.0e0 AS shrub_and_scrub, 0.0e0 AS built,
@@ -61,7 +61,7 @@ def planted_panel() -> str:
 def planted_jrc() -> str:
     """CTE list defining ``panel`` (JRC twin)."""
     return planted_rows() + """,
- panel AS (SELECT 'lk' || lpad(CAST(k AS VARCHAR), 6, '0') AS id_geohash,
+ panel AS (SELECT 'lk' || lpad(CAST(k AS VARCHAR), CAST(greatest(length(CAST(k AS VARCHAR)), 6) AS INTEGER), '0') AS id_geohash,
                   make_date(CAST(1962 + m AS INTEGER), 1, 1) AS date,
                   CASE WHEN (k + m * 5) % 23 = 0 THEN 0.0e0 ELSE total - water - snow END AS area_land,
                   snow AS area_water_seasonal,
@@ -75,7 +75,7 @@ def ship_panel() -> str:
         f"  coalesce(sum(CASE WHEN cls = {i} THEN l_quantity END), 0.0e0) AS {c}"
         for i, c in enumerate(DW_COLUMNS))
     return f"""
- sp_rows AS (SELECT 'sp' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS id_geohash,
+ sp_rows AS (SELECT 'sp' || lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(length(CAST(l_suppkey AS VARCHAR)), 6) AS INTEGER), '0') AS id_geohash,
                     CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
                     CAST(l_partkey % 9 AS INTEGER) AS cls, l_quantity FROM lineitem),
  panel AS (SELECT id_geohash, date,
@@ -353,10 +353,10 @@ def _split(how: str) -> str:
  a AS (SELECT * FROM panel WHERE date < DATE '1998-01-01'),
  b AS (SELECT * FROM panel WHERE date >= DATE '1997-01-01')"""
     return """,
- a AS (SELECT * FROM panel WHERE CAST(substr(id_geohash, 3, 6) AS INTEGER) % 2 = 0
-                             OR CAST(substr(id_geohash, 3, 6) AS INTEGER) % 5 = 0),
- b AS (SELECT * FROM panel WHERE CAST(substr(id_geohash, 3, 6) AS INTEGER) % 2 = 1
-                             OR CAST(substr(id_geohash, 3, 6) AS INTEGER) % 5 = 0)"""
+ a AS (SELECT * FROM panel WHERE CAST(substr(id_geohash, 3) AS BIGINT) % 2 = 0
+                             OR CAST(substr(id_geohash, 3) AS BIGINT) % 5 = 0),
+ b AS (SELECT * FROM panel WHERE CAST(substr(id_geohash, 3) AS BIGINT) % 2 = 1
+                             OR CAST(substr(id_geohash, 3) AS BIGINT) % 5 = 0)"""
 
 
 def merge_sql(how: str) -> str:
@@ -451,13 +451,21 @@ def geohash_decode(gh: str, n_chars: int = 12) -> tuple[str, str]:
     return lat, lon
 
 
+def square_x(key: str) -> str:
+    return f"(-165.0e0 + CAST({key} % 33000 AS DOUBLE) * 0.01e0)"
+
+
+def square_y(key: str) -> str:
+    return (f"(60.0e0 + CAST({key} % 100 AS DOUBLE) * 0.05e0 + CAST(({key} // 33000) % 10 AS DOUBLE) * 0.005e0"
+            f" + CAST({key} // 330000 AS DOUBLE) * 5.0e0)")
+
+
 def square_rows(source: str = "customer") -> str:
     """CTE ``sq``: one square per customer (or supplier) with exact corner, centre and attributes."""
     key, table = ("c_custkey", "customer") if source == "customer" else ("s_suppkey", "supplier")
-    lake_id = geohash_encode("cy", "cx") if source == "customer" else "'lk' || lpad(CAST(k AS VARCHAR), 6, '0')"
+    lake_id = geohash_encode("cy", "cx") if source == "customer" else "'lk' || lpad(CAST(k AS VARCHAR), CAST(greatest(length(CAST(k AS VARCHAR)), 6) AS INTEGER), '0')"
     return f"""
- sq0 AS (SELECT {key} AS k, -165.0e0 + CAST({key} AS DOUBLE) * 0.01e0 AS x0,
-                60.0e0 + CAST({key} % 100 AS DOUBLE) * 0.05e0 AS y0 FROM {table}),
+ sq0 AS (SELECT {key} AS k, {square_x(key)} AS x0, {square_y(key)} AS y0 FROM {table}),
  sq1 AS (SELECT *, x0 + 0.004e0 AS x1, y0 + 0.004e0 AS y1, x0 + 0.002e0 AS cx, y0 + 0.002e0 AS cy,
                 CAST(100 + (k % 7) * 10 AS DOUBLE) AS Area_start_ha FROM sq0),
  sq AS (SELECT {lake_id} AS id_geohash, k AS lake_key, Area_start_ha,
@@ -525,9 +533,9 @@ def largest_lakes(n: int) -> str:
 def lake_at_points() -> str:
     return f"""WITH {square_rows()},
  pts AS (SELECT o_orderkey AS point_id,
-                60.0e0 + CAST(o_custkey % 100 AS DOUBLE) * 0.05e0 + 0.002e0
+                {square_y("o_custkey")} + 0.002e0
                     + CAST((o_orderkey % 5) - 2 AS DOUBLE) * 0.0013e0 AS lat,
-                -165.0e0 + CAST(o_custkey AS DOUBLE) * 0.01e0 + 0.002e0
+                {square_x("o_custkey")} + 0.002e0
                     + CAST((o_orderkey % 7) - 3 AS DOUBLE) * 0.0013e0 AS lon FROM orders),
  hit AS (SELECT point_id, min(sq.id_geohash) AS id_geohash FROM pts JOIN sq
          ON pts.lon > sq.x0 AND pts.lon < sq.x1 AND pts.lat > sq.y0 AND pts.lat < sq.y1 GROUP BY point_id)
@@ -554,9 +562,9 @@ LABELS = ("click", "error", "purchase", "signup", "view")
 def pixel_rows() -> str:
     label = "CASE " + " ".join(f"WHEN event_type = '{n}' THEN {i}" for i, n in enumerate(LABELS)) + " END"
     return f"""
- px AS (SELECT 'px' || lpad(CAST(user_id % 10 AS VARCHAR), 6, '0') AS id_geohash, user_id AS pixel_id, ts,
+ px AS (SELECT 'px' || lpad(CAST(user_id % 10 AS VARCHAR), CAST(greatest(length(CAST(user_id % 10 AS VARCHAR)), 6) AS INTEGER), '0') AS id_geohash, user_id AS pixel_id, ts,
                CAST({label} AS INTEGER) AS label, value AS pixel_area_m2 FROM events),
- scn AS (SELECT 'px' || lpad(CAST(user_id % 10 AS VARCHAR), 6, '0') AS id_geohash,
+ scn AS (SELECT 'px' || lpad(CAST(user_id % 10 AS VARCHAR), CAST(greatest(length(CAST(user_id % 10 AS VARCHAR)), 6) AS INTEGER), '0') AS id_geohash,
                 'sc' || CAST(event_id AS VARCHAR) AS scene_id, ts AS time,
                 CAST(event_id % 41 AS DOUBLE) AS cloud_pct, event_id % 7 AS missing_red FROM events)"""
 
@@ -588,11 +596,11 @@ def class_areas_sql() -> str:
 
 
 def class_areas_jrc_sql(year: int) -> str:
-    src = f"(SELECT *, year(ts) AS year FROM px WHERE year(ts) = {year})"
+    src = f"(SELECT * REPLACE (label % 4 AS label), year(ts) AS year FROM px WHERE year(ts) = {year})"
     names = ("area_nodata", "area_land", "area_water_seasonal", "area_water_permanent")
     cols = ", ".join(f"coalesce(sum(pixel_area_m2) FILTER (WHERE label_mode = {i}), 0.0e0) * 0.0001e0 AS {c}"
                      for i, c in enumerate(names) if c != "area_nodata")
-    return (f"WITH {pixel_rows()}, m AS {_mode_sql(src, 'id_geohash, pixel_id, year', 'label % 4')} "
+    return (f"WITH {pixel_rows()}, m AS {_mode_sql(src, 'id_geohash, pixel_id, year', 'label')} "
             f"SELECT id_geohash, make_date(CAST(year AS INTEGER), 1, 1) AS date, {cols} FROM m GROUP BY id_geohash, year")
 
 
@@ -616,7 +624,7 @@ def scene_dates_sql() -> str:
 
 def nearest_scene_sql() -> str:
     return f"""WITH {pixel_rows()},
- req AS (SELECT o_orderkey AS request_id, 'px' || lpad(CAST(o_custkey % 10 AS VARCHAR), 6, '0') AS id_geohash,
+ req AS (SELECT o_orderkey AS request_id, 'px' || lpad(CAST(o_custkey % 10 AS VARCHAR), CAST(greatest(length(CAST(o_custkey % 10 AS VARCHAR)), 6) AS INTEGER), '0') AS id_geohash,
                 TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 30 AS INTEGER))
                     + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS "at" FROM orders),
  pairs AS (SELECT r.request_id, r.id_geohash, r."at", s.scene_id, s.time,
@@ -666,9 +674,9 @@ FROM sq LEFT JOIN r ON sq.id_geohash = r.id_geohash LEFT JOIN s ON sq.id_geohash
 def valid_keys() -> str:
     return f"""WITH {square_rows()},
  pts AS (SELECT o_orderkey AS point_id, o_orderdate,
-                60.0e0 + CAST(o_custkey % 100 AS DOUBLE) * 0.05e0 + 0.002e0
+                {square_y("o_custkey")} + 0.002e0
                     + CAST((o_orderkey % 5) - 2 AS DOUBLE) * 0.0013e0 AS lat,
-                -165.0e0 + CAST(o_custkey AS DOUBLE) * 0.01e0 + 0.002e0
+                {square_x("o_custkey")} + 0.002e0
                     + CAST((o_orderkey % 7) - 3 AS DOUBLE) * 0.0013e0 AS lon FROM orders),
  f AS (SELECT coalesce(lat BETWEEN -90 AND 90, false) AS lat_ok, coalesce(lon BETWEEN -180 AND 180, false) AS lon_ok,
               coalesce(regexp_full_match(strftime(o_orderdate, '%Y-%m'), '\\d{{4}}-\\d{{2}}'), false) AS month_ok,
@@ -690,6 +698,65 @@ def _breaks(panel: str, water: str, method: str = "median", family: str = "dw",
                    BREAK_DOUBLES)
 
 
+def user_detector() -> str:
+    """First valid date whose share is below half of the lake's first: the rolling rule replaced, the rest the same."""
+    base = simple_breaks(planted_panel() + prepared(), "water")
+    rule = "hit_p AND lead(hit_s, 1, false) OVER (PARTITION BY id_geohash ORDER BY date) AS is_break"
+    assert rule in base
+    own = "wn < first_value(wn) OVER (PARTITION BY id_geohash ORDER BY date) / 2 AS is_break"
+    return base.replace(rule, own).replace("'simple' AS break_method", "'half_drop' AS break_method")
+
+
+def bayes_first_break() -> str:
+    """Planted lakes break at their planted month, or at the first valid month after it; neighbours are calendar ones."""
+    pre = ", ".join(f"{_AGG[s]}(CASE WHEN date <= brk THEN wa END) AS pre_break_{s}" for s in STATS)
+    post = ", ".join(f"{_AGG[s]}(CASE WHEN date > brk THEN wa END) AS post_break_{s}" for s in STATS)
+    base = simple_breaks(planted_panel() + prepared(), "water")
+    head, tail = base[: base.index(" sb_r AS")], base[base.index("SELECT id_geohash, date_break, date_before_break"):]
+    return head + f""" sb_k AS (SELECT id_geohash, date, water AS wa, valid, CAST(substr(id_geohash, 3) AS BIGINT) AS k,
+                 lag(date) OVER w AS prev_date, lead(date) OVER w AS next_date
+          FROM prep WINDOW w AS (PARTITION BY id_geohash ORDER BY date)),
+ sb_h AS (SELECT *, min(CASE WHEN valid AND date >= DATE '2017-01-01' + to_months(CAST(20 + k % 20 AS INTEGER))
+                        THEN date END) OVER (PARTITION BY id_geohash) AS brk FROM sb_k WHERE k % 3 = 0),
+ sb_a AS (SELECT id_geohash, min(brk) AS date_break,
+                 max(CASE WHEN date = brk THEN prev_date END) AS date_before_break,
+                 max(CASE WHEN date = brk THEN next_date END) AS date_after_break,
+                 'bayes' AS break_method, {pre}, {post} FROM sb_h GROUP BY id_geohash)
+""" + tail
+
+
+def spatial_chunks(size: int) -> str:
+    px, py = polar("cx", "cy")
+
+    def cell(v: str) -> str:
+        return (f"CAST(least(greatest(floor((({v}) + 12500000.0e0) / 25000000.0e0 * 65536.0e0), 0), 65535) AS BIGINT)")
+
+    def spaced(v: str) -> str:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = f"(({v} | ({v} << {shift})) & {mask})"
+        return v
+
+    return f"""WITH {square_rows()},
+ c AS (SELECT id_geohash, {cell(px)} AS ix, {cell(py)} AS iy FROM sq),
+ k AS (SELECT id_geohash, {spaced("ix")} | ({spaced("iy")} << 1) AS curve FROM c),
+ p AS (SELECT id_geohash, row_number() OVER (ORDER BY curve, id_geohash) AS pos FROM k)
+SELECT id_geohash, 0 AS cluster, CAST((pos - 1) // {size} AS INTEGER) AS piece,
+       '0-' || CAST((pos - 1) // {size} AS VARCHAR) AS chunk FROM p"""
+
+
+def break_files_union() -> str:
+    a = _breaks(planted_panel(), "water")
+    b = simple_breaks(planted_panel() + prepared(), "water", window=5)
+    return f"""SELECT id_geohash, date_break, break_method, water_change_ha, CAST(NULL AS INTEGER) AS date_break_year
+FROM ({a}) a UNION ALL
+SELECT id_geohash, date_break, break_method, CAST(CAST(round(water_change_ha) AS INTEGER) AS DOUBLE), date_break_year
+FROM ({b}) b"""
+
+
+def geojson_roundtrip() -> str:
+    return f"SELECT id_geohash, lake_key, cx, cy, area_deg2 FROM ({square_lakes()}) x"
+
+
 ORACLE: dict[str, str] = {
     "simple_breaks": _breaks(planted_panel(), "water"),
     "simple_breaks_mean": _breaks(planted_panel(), "water", "mean"),
@@ -751,4 +818,12 @@ ORACLE: dict[str, str] = {
     "month_files_roundtrip": rounded(range_drained("2018-01-01", "2021-12-01"), NRT_DOUBLES),
     "rescale_attach": rounded(rescale_attach("2019-06-01"), NRT_DOUBLES),
     "valid_keys": valid_keys(),
+    "user_detector": rounded(user_detector(), BREAK_DOUBLES),
+    "bayes_first_break": rounded(bayes_first_break(), BREAK_DOUBLES),
+    "spatial_chunks": spatial_chunks(100),
+    "wkb_roundtrip": rounded(square_lakes(), LAKE_DOUBLES, 6),
+    "geojson_roundtrip": rounded(geojson_roundtrip(), ["cx", "cy", "area_deg2"], 6),
+    "break_files_union": rounded(break_files_union(), ["water_change_ha"]),
+    "nrt_job_rerun": monthly_counts("2019-03-01", "2019-08-01"),
+    "stream_replay": monthly_counts("2019-05-01", "2019-06-01"),
 }
