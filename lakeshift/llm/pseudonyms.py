@@ -38,7 +38,7 @@ DAYS = (189, 773)  # 400 Gregorian years
 
 #: Candidate patterns by kind, in the order in which they are tried (fixed values).
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?:password|passwd|secret|token|api_key|apikey)[=:][A-Za-z0-9]{8,}"
               r"|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{16,})(?![A-Za-z0-9])",
     "address": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
@@ -229,15 +229,17 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(text_col).cast("string")
     found = let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)),
                 lambda m: F.transform(m, lambda v: let(v, lambda x: pseudonym(x, key))))
-    gaps = F.split(text, CANDIDATE, -1)
-    woven = let(gaps, lambda g: F.array_join(F.transform(g, lambda s, i: F.concat(
-        s, F.coalesce(F.get(F.col("_found"), i)["value"], F.lit("")))), ""))
-    kinds = F.array_sort(F.array_distinct(F.filter(F.transform(F.col("_found"), lambda s: s["kind"]),
-                                                   lambda k: k.isNotNull())))
-    count = F.coalesce(F.size(F.filter(F.col("_found"), lambda s: s["kind"].isNotNull())), F.lit(0)).cast("long")
-    hit = text.rlike(CANDIDATE)
+
+    def made(f: Column) -> Column:
+        woven = let(F.split(text, CANDIDATE, -1), lambda g: F.array_join(F.transform(g, lambda s, i: F.concat(
+            s, F.coalesce(F.get(f, i)["value"], F.lit("")))), ""))
+        kinds = F.filter(F.transform(f, lambda s: s["kind"]), lambda k: k.isNotNull())
+        return F.struct(woven.alias("text"), F.size(kinds).cast("long").alias("n"),
+                        F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds"))
+
+    none = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"), F.lit("").alias("kinds"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"),
+                       F.when(text.rlike(CANDIDATE), let(found, made)).otherwise(none).alias("made"))
     kept = [c for c in docs.columns if c not in ("n_pseudonyms", "kinds")]
-    rows = docs.select(*kept, F.when(hit, found).alias("_found"))
-    return rows.select(*[F.when(F.col("_found").isNull(), text).otherwise(woven).alias(c) if c == text_col
-                         else F.col(c) for c in kept],
-                       count.alias("n_pseudonyms"), F.coalesce(F.array_join(kinds, ","), F.lit("")).alias("kinds"))
+    return rows.select(*[F.col("made.text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in kept],
+                       F.col("made.n").alias("n_pseudonyms"), F.col("made.kinds").alias("kinds"))

@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,10 +59,7 @@ def damped(n: int) -> float:
 
 def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their weights in its mean."""
-    words = WORD.findall((text or "").lower())
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
+    counts = Counter(WORD.findall((text or "").lower()))
     total = PRIOR + sum(damped(n) for n in counts.values())
     weights: dict[int, float] = {}
     for w, n in counts.items():
@@ -178,9 +176,7 @@ class Sums(dict):
 
 
 def logit(text: str | None, sums: Sums, bias: float) -> float:
-    counts: dict[str, int] = {}
-    for w in WORD.findall((text or "").lower()):
-        counts[w] = counts.get(w, 0) + 1
+    counts = Counter(WORD.findall((text or "").lower()))
     weights = [damped(n) for n in counts.values()]
     return bias + sum([a * sums[w] for a, w in zip(weights, counts)]) / (PRIOR + sum(weights))
 
