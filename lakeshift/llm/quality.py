@@ -8,15 +8,13 @@ fixed number of buckets. A document's score is the mean of
 ``ln p_target - ln p_raw`` over its n-grams, and every document is kept or
 rejected by one fixed threshold on that mean.
 
-Corpus counts shuffle one partial row per bucket and task. Scores join
-n-grams with the table of buckets, whose size is the parameter ``buckets``,
-and are summed per document before they are shuffled. The text statistics
-are computed inside each row.
+Corpus counts shuffle one partial row per bucket and task. The ratios, one
+number per bucket (parameter ``buckets``), become a literal, and statistics,
+score and verdict are computed inside each row.
 
 Null text has no words and no lines; a document without n-grams scores 0; an
-empty target gives every document 0, so that only the rules decide. Rows
-equal in id and text are one document for the score and stay rows of their
-own in the result.
+empty target gives every document 0, so that only the rules decide; repeated
+rows are counted and judged each; NULL ids are never trusted.
 """
 
 from __future__ import annotations
@@ -79,13 +77,14 @@ def statistics(text: Column) -> Column:
 
 def rules(docs: DataFrame, text_col: str = "text", min_words: int = 10, max_repeat_pct: int = 20) -> DataFrame:
     """``docs`` with struct ``rules``: the statistics and ``base_failed``."""
-    found = docs.withColumn("_s", statistics(F.col(text_col)))
-    n, repeat = F.col("_s.words.n_words"), F.col("_s.words.n_repeat_words")
-    failed = (n < min_words) | (100 * repeat > max_repeat_pct * n)
-    return found.withColumn("rules", F.struct(
-        n.alias("n_words"), F.col("_s.words.word_chars").alias("word_chars"),
-        F.col("_s.n_symbols").alias("n_symbols"), F.col("_s.n_dup_lines").alias("n_dup_lines"),
-        repeat.alias("n_repeat_words"), failed.alias("base_failed"))).drop("_s")
+    def judged(s: Column) -> Column:
+        n, repeat = s["words"]["n_words"], s["words"]["n_repeat_words"]
+        failed = (n < min_words) | (100 * repeat > max_repeat_pct * n)
+        return F.struct(n.alias("n_words"), s["words"]["word_chars"].alias("word_chars"),
+                        s["n_symbols"].alias("n_symbols"), s["n_dup_lines"].alias("n_dup_lines"),
+                        repeat.alias("n_repeat_words"), failed.alias("base_failed"))
+
+    return docs.withColumn("rules", let(statistics(F.col(text_col)), judged))
 
 
 def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
@@ -121,34 +120,37 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     return counts.select("bucket", (log_p("target") - log_p("raw")).alias("llr"))
 
 
-def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          buckets: int = BUCKETS) -> DataFrame:
-    """``(id, hash, llr)``: mean log-likelihood ratio of each document, ``hash`` of its text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"),
-                       F.explode(ngram_buckets(F.col(text_col), buckets)).alias("bucket"))
-    # at most ``buckets`` rows of twelve bytes
-    return (rows.join(F.broadcast(model), "bucket", "left").groupBy("id", "hash")
-            .agg((F.sum(F.coalesce("llr", F.lit(0.0))) / F.count("*")).alias("llr")))
+def weights(model: DataFrame, buckets: int = BUCKETS) -> list[float]:
+    """The ratio of every bucket, 0 for those that the corpus leaves empty; ``buckets`` numbers."""
+    found = [0.0] * buckets
+    for row in model.collect():
+        found[row.bucket] = round(row.llr, 9)
+    return found
+
+
+def mean_ratio(text: Column, ratios: list[float]) -> Column:
+    """Mean log-likelihood ratio of the n-grams of ``text``, looked up inside the row."""
+    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # folded to a literal
+
+    def mean(grams: Column) -> Column:
+        total = let(table, lambda m: F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(m, b)))
+        return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
+
+    return let(ngram_buckets(text, len(ratios)), mean)
 
 
 def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row ``id``, ``hash``, the rules' columns, ``llr`` and ``kept``."""
-    model = stored(fit(docs, trusted, id_col, text_col, buckets), "llr")
-    scores = score(docs, model, id_col, text_col, buckets)
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = (rules(thin).select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "rules.*"))
-    scores = scores.withColumnsRenamed({"id": "s_id", "hash": "s_hash"})
-    same = base.id.eqNullSafe(scores.s_id) & (base.hash == scores.s_hash)
-    llr = F.coalesce("llr", F.lit(0.0))
-    return (base.join(scores, same, "left")
-            .select(*base.columns, llr.alias("llr"), (~F.col("base_failed") & (llr >= threshold)).alias("kept")))
+    """``docs`` with struct ``rules``, ``llr`` and ``kept``, which replace columns of those names."""
+    ratios = weights(fit(docs, trusted, id_col, text_col, buckets), buckets)
+    found = rules(docs.withColumn("llr", mean_ratio(F.col(text_col).cast("string"), ratios)), text_col)
+    return found.withColumn("kept", ~F.col("rules.base_failed") & (F.col("llr") >= threshold))
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               **options) -> DataFrame:
     """The rows of ``docs`` that pass."""
-    good = (assess(docs, trusted, id_col, text_col, **options).filter("kept")
-            .select(F.col("id").alias("g_id"), F.col("hash").alias("g_hash")).distinct())
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(good, F.col(id_col).eqNullSafe(F.col("g_id")) & (text_hash == F.col("g_hash")), "left_semi")
+    own = F.struct(*docs.columns).alias("doc")
+    packed = docs.select(own, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return assess(packed, trusted.select(F.col(id_col).alias("id")), "id", "text", **options).filter("kept").select(
+        "doc.*")

@@ -107,9 +107,9 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
-    found = quality.assess(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                        "n_repeat_words", "base_failed", "kept", "llr")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.assess(docs, trusted(spark, sf_dir))
+    return found.select("doc_id", "rules.*", "kept", "llr")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
