@@ -82,6 +82,7 @@ def repeated(found: DataFrame) -> DataFrame:
     start = F.struct("id", "hash", "first")
     earliest = (matched.groupBy("print", "k1", "k2").agg(F.min(start).alias("low"), F.max(start).alias("high"))
                 .filter("low <> high").drop("high"))
+    earliest = stored(earliest, "earliest")  # so that a hot run is split in the join
     return (matched.withColumn("start", start).join(earliest, ["print", "k1", "k2"]).filter("start > low")
             .select("id", "hash", "first", "last"))
 
@@ -100,7 +101,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     inner = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("key_id"),
                         F.xxhash64(text).alias("key_hash"), text.alias("key_text"))
     same = inner.key_id.eqNullSafe(cuts.cut_id) & (inner.key_hash == cuts.cut_hash)
-    joined = inner.join(cuts, same, "left")
+    joined = inner.join(cuts.hint("shuffle_hash"), same, "left")  # texts are shuffled, not sorted
     lines = F.split("key_text", "\n", -1)
     size = F.coalesce(F.size(lines), F.lit(0))
     rest = let(lines, lambda a: F.array_join(F.transform(
