@@ -200,21 +200,21 @@ def normalised(text: Column) -> Column:
 
 
 def anchors(rules: list[Rule]) -> list[str]:
-    """Short strings of which the lower-cased text of any detection holds one."""
+    """Short strings of which the lower-cased text of any detection holds one, but for those of "cc by"."""
     def anchor(rule: Rule) -> str:
         must = rule.pattern[len("(?<= )(?:"): -len(")(?= )")]
         for group in (r"\(\?:[^()]*\)\?", r"\(\?:[^()]*\)"):  # optional parts, then alternatives
             while (rest := re.sub(group, " ", must)) != must:
                 must = rest
         return "licen" if "licen" in must and "|" not in must else max(rule.keyword.split(" "), key=len)
-    found = {anchor(r) for r in rules}
+    found = {anchor(r) for r in rules} - {"cc"}
     return sorted(a for a in found if not any(o != a and o in a for o in found))
 
 
 def gate(text: Column, rules: list[Rule]) -> Column:
     """Whether ``text`` may hold a detection."""
-    plain = [a for a in anchors(rules) if a != "cc"]
-    return let(F.lower(text), lambda t: F.exists(F.array(*[F.lit(a) for a in plain]), lambda a: F.contains(t, a))
+    plain = F.array(*[F.lit(a) for a in anchors(rules)])
+    return let(F.lower(text), lambda t: F.exists(plain, lambda a: F.contains(t, a))
                | t.rlike(f"cc{BETWEEN}by"))
 
 
