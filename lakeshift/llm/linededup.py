@@ -17,7 +17,7 @@ each line and one ends at each line, as far as the document goes.
    the whole passage down to its last line.
 4. Deletion: all lines of a run that occurs earlier in the corpus, in the
    order of (id, text hash, line number), are deleted. The first occurrence
-   stays.
+   stays, and with it a run that overlaps it in the same document.
 
 Null text stays NULL; a document deleted as a whole keeps its row with an
 empty text; rows equal in id and text are one document and get the same
@@ -79,12 +79,14 @@ def repeated(found: DataFrame) -> DataFrame:
     seeds = (found.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high"))
              .filter("low <> high").select("print"))
     matched = stored(found.join(seeds, "print", "left_semi"), "matched")
-    start = F.struct("id", "hash", "first")
+    start = F.struct("id", "hash", "first", "last")
     earliest = (matched.groupBy("print", "k1", "k2").agg(F.min(start).alias("low"), F.max(start).alias("high"))
                 .filter("low <> high").drop("high"))
     earliest = stored(earliest, "earliest")  # so that a hot run is split in the join
-    return (matched.withColumn("start", start).join(earliest, ["print", "k1", "k2"]).filter("start > low")
-            .select("id", "hash", "first", "last"))
+    # a run that overlaps the first occurrence is part of what stays
+    overlaps = (F.col("id").eqNullSafe(F.col("low.id")) & (F.col("hash") == F.col("low.hash"))
+                & (F.col("first") <= F.col("low.last")))
+    return (matched.join(earliest, ["print", "k1", "k2"]).filter(~overlaps).select("id", "hash", "first", "last"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:

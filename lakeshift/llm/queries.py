@@ -92,10 +92,10 @@ runs AS (
   SELECT doc_id, min(line) OVER w AS first, line AS last, list(s) OVER w AS k, sum(words) OVER w AS n
   FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
 full_runs AS (
-  SELECT *, min(struct_pack(d := doc_id, f := first)) OVER (PARTITION BY k) AS low FROM runs WHERE n >= 50),
+  SELECT *, min(struct_pack(d := doc_id, f := first, l := last)) OVER (PARTITION BY k) AS low FROM runs WHERE n >= 50),
 cut AS (
   SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM full_runs
-  WHERE doc_id > low.d OR (doc_id = low.d AND first > low.f)),
+  WHERE doc_id > low.d OR (doc_id = low.d AND first > low.l)),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(c.line) AS n_cut,
          coalesce(string_agg(l.s, chr(10) ORDER BY l.line) FILTER (WHERE c.line IS NULL), '') AS text

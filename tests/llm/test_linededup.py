@@ -28,11 +28,11 @@ def brute(docs, min_words):
                     rows.append((tuple(lines[k] for k in solid[a:b + 1]), d, solid[a], solid[b]))
                     break
     first = {}
-    for key, d, a, _ in sorted(rows, key=lambda r: (r[1], r[2])):
-        first.setdefault(key, (d, a))
+    for key, d, a, b in sorted(rows, key=lambda r: (r[1], r[2])):
+        first.setdefault(key, (d, b))
     cut = [set() for _ in docs]
     for key, d, a, b in rows:
-        if (d, a) > first[key]:
+        if (d, a) > first[key]:  # starts after the end of the first occurrence
             cut[d].update(range(a, b + 1))
     return ["\n".join(s for k, s in enumerate(t.split("\n")) if k not in cut[d]) for d, (_, t) in enumerate(docs)], cut
 
