@@ -16,10 +16,10 @@ last segment. Only segmented records are shuffled, and a group is one
 record. Chunk framing is then decoded. A record that fails a check is
 returned with ``error`` and without payload; nothing is dropped.
 
-The separator between records, an empty line and the version line, cannot
-occur inside a written block: the writer ends a chunk within any version
-line of the body. Foreign archives that hold one inside a block fail the
-length check of that record.
+The separator, the version line that starts each record, cannot occur inside
+a written block: the writer ends a chunk within any version line of the body.
+Foreign archives that hold one inside a block fail the length check of that
+record.
 
 Null payloads are empty bodies; a NULL url is written as an empty target;
 rows without id are written and read back without one; repeated rows are
@@ -153,7 +153,6 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 def parse(data: bytes) -> dict | None:
     """Fields of one record as the text reader splits it; None for what stands before the first record."""
-    data = data.removeprefix(VERSION + b"\r\n")
     head, _, rest = data.partition(b"\r\n\r\n")
     if not head.strip():
         return None
@@ -179,7 +178,9 @@ def parse(data: bytes) -> dict | None:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives under ``path``, segments apart."""
     ship_package(spark)
-    lines = (spark.read.option("lineSep", f"{END}{VERSION.decode()}\r\n").text(path)
+    # The separator must not begin with what may stand before it: a reader that starts inside a run of
+    # line ends could otherwise lose the record after it.
+    lines = (spark.read.option("lineSep", f"{VERSION.decode()}\r\n").text(path)
              .select(F.col("value").cast("binary").alias("data")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

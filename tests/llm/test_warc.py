@@ -74,3 +74,18 @@ def test_length_mismatch_is_reported():
 def test_empty_table(spark, folder):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert warc.read_archives(spark, folder).count() == 0
+
+
+def test_no_record_is_lost_at_splits(spark, folder):
+    pages = spark.createDataFrame([(i, "u", f"{i}\r\n" * (i % 97)) for i in range(600)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), folder, segment_bytes=150)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for size in ("997", "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = warc.read_archives(spark, folder).collect()
+            assert sorted(r.row_id for r in got) == list(range(600)) and all(r.error is None for r in got)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
