@@ -23,7 +23,7 @@ from ..functions.geohash import geohash_decode, geohash_encode, geohash_label
 from ..operators.geo import (bbox_area_km2, filter_bbox, grid_counts, lake_at_points, split_in_chunks,
                              total_bounds)
 from ..operators.views import largest_lakes
-from ..sources.derived import (jrc_pixel_table, padded, pixel_table, scene_table, square_corner,
+from ..sources.derived import (SQUARE_SIDE, jrc_pixel_table, padded, pixel_table, scene_table, square_corner,
                                square_lakes)
 from ..operators.pixels import (best_scene_per_date, class_areas_dw, class_areas_jrc, monthly_mode,
                                 nearest_scene, range_mode, scene_dates, select_scenes)
@@ -463,7 +463,99 @@ def q_valid_keys(spark, sf_dir):
         ids.groupBy("id_ok", "id13_ok").count(), allowMissingColumns=True)
 
 
+def q_panel_io(spark, sf_dir):
+    """A panel written by year, described and read back."""
+    from ..sinks.writers import describe_columns, write_panel
+    from ..sources.readers import read_panel
+    path = _scratch(spark, "panel")
+    write_panel(describe_columns(ship_panel(spark, sf_dir)), path)
+    return round_output(read_panel(spark, path).select(ID, DATE, *DW.classes))
+
+
+def q_lake_lookup(spark, sf_dir):
+    """Polygons of a set of ids from a clustered table (S5, K4): the lakes of customers with an order in 1995."""
+    from ..functions.geohash import geohash_encode
+    from ..sinks.writers import cluster_by_key
+    from ..sources.readers import read_lakes_in
+    path = _scratch(spark, "lookup")
+    cluster_by_key(square_lakes(spark, sf_dir), path, rows_per_group=200)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.year("o_orderdate") == 1995)
+    x, y = square_corner(F.col("o_custkey"))
+    ids = o.select(geohash_encode(y + F.lit(SQUARE_SIDE / 2), x + F.lit(SQUARE_SIDE / 2), 12).alias(ID))
+    return round_output(lakes_flat(read_lakes_in(spark.read.parquet(path), ids)), 6)
+
+
+def q_date_lists(spark, sf_dir):
+    """Orders on listed dates (S8, S9): first days of summer months, every tenth day of 1996, first days of years."""
+    from ..sources.readers import annual_dates, monthly_dates, stepped_dates
+    lists = (monthly_dates(spark, [1994, 1995], [6, 7, 8]).withColumn("list", F.lit("months"))
+             .unionByName(stepped_dates(spark, "1996-01-01", 10, end="1996-12-31").withColumn("list", F.lit("steps")))
+             .unionByName(annual_dates(spark, [1993, 1997]).withColumn("list", F.lit("years"))))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("day"))
+    n = o.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return (lists.join(n, lists[DATE] == n["day"], "left")
+                 .select("list", DATE, F.coalesce("n", F.lit(0)).alias("n_orders")))
+
+
+def q_row_shares(spark, sf_dir):
+    """Row-wise shares of one date and of all earlier ones."""
+    from ..operators.panel import normalize_rows, split_at
+    p = prepare(ship_panel(spark, sf_dir), DW, nodata_max=1.0).select(ID, DATE, "water", "area_data", "area_nodata")
+    at, before = split_at(normalize_rows(p), "1997-06-01")
+    return round_output(at.withColumn("part", F.lit("at")).unionByName(before.withColumn("part", F.lit("before"))))
+
+
+def q_break_views(spark, sf_dir):
+    """Breaks written with every lake's polygon, read back without stable lakes."""
+    from ..operators.views import hide_stable
+    from ..sinks.writers import write_breaks
+    path = _scratch(spark, "views")
+    lakes = square_lakes(spark, sf_dir, source="supplier")
+    write_breaks(simple_breaks(prepare(planted_panel(spark, sf_dir), DW), DW), lakes, path, all_lakes=True)
+    found = hide_stable(spark.read.parquet(path))
+    return found.select(ID, "lake_key", "Area_start_ha", "date_break", "date_break_year")
+
+
+def q_month_view(spark, sf_dir):
+    """One month of a written range, confident lakes only, with year and month."""
+    from ..operators.views import hide_stable, month_parts, pick_month
+    from ..sinks.writers import write_nrt_month
+    from ..sources.readers import read_nrt_results
+    path = _scratch(spark, "month")
+    write_nrt_month(nrt_range(planted_panel(spark, sf_dir), "2019-04", "2019-07", DW, drained_only=False), path)
+    month = hide_stable(pick_month(read_nrt_results(spark, path), NRT_DATE), "nrt")
+    return month_parts(month).select(ID, "analysis_month", "year", "month", "drainage_confidence")
+
+
+def q_availability(spark, sf_dir):
+    """Suppliers that ship in 1998: whether the ship panel of earlier years holds them."""
+    from ..operators.panel import availability, filter_ids
+    panel = ship_panel(spark, sf_dir)
+    earlier = panel.filter(F.col(DATE) < F.lit("1992-04-01").cast("date"))
+    later = panel.filter(F.col(DATE) >= F.lit("1998-01-01").cast("date")).select(ID).distinct()
+    kept, missing = filter_ids(earlier, later, on_missing="ignore")
+    rows = kept.groupBy(ID).agg(F.count(F.lit(1)).alias("n_rows"))
+    return availability(earlier, later).join(rows.unionByName(missing.withColumn("n_rows", F.lit(0))), ID)
+
+
+def q_area_tables(spark, sf_dir):
+    """Area tables of two halves of the pixels put together as one panel."""
+    from ..operators.pixels import areas_to_panel
+    modes = monthly_mode(pixel_table(spark, sf_dir))
+    parts = [class_areas_dw(modes.filter(cond)).withColumn("reducer", F.lit("mode"))
+             for cond in (f"{DATE} < '2024-01-15'", f"{DATE} >= '2024-01-15'")]
+    return round_output(areas_to_panel(*parts), 6)
+
+
 QUERIES = {
+    "panel_io": q_panel_io,
+    "lake_lookup": q_lake_lookup,
+    "date_lists": q_date_lists,
+    "row_shares": q_row_shares,
+    "break_views": q_break_views,
+    "month_view": q_month_view,
+    "availability": q_availability,
+    "area_tables": q_area_tables,
     "simple_breaks": q_simple_breaks,
     "simple_breaks_mean": lambda s, d: q_simple_breaks(s, d, "mean"),
     "simple_breaks_max": lambda s, d: q_simple_breaks(s, d, "max"),

@@ -757,7 +757,60 @@ def geojson_roundtrip() -> str:
     return f"SELECT id_geohash, lake_key, cx, cy, area_deg2 FROM ({square_lakes()}) x"
 
 
+def lake_lookup() -> str:
+    return (f"WITH {square_rows()} SELECT {LAKE_FLAT} FROM sq WHERE lake_key IN "
+            f"(SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995)")
+
+
+def date_lists() -> str:
+    return """WITH lists AS (
+  SELECT 'months' AS list, make_date(y, m, 1) AS date FROM (VALUES (1994), (1995)) a(y), (VALUES (6), (7), (8)) b(m)
+  UNION ALL SELECT 'steps', CAST(d AS DATE) FROM
+    (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 10 DAY)) AS d)
+  UNION ALL SELECT 'years', make_date(y, 1, 1) FROM (VALUES (1993), (1997)) c(y)),
+n AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)
+SELECT list, date, coalesce(n, 0) AS n_orders FROM lists LEFT JOIN n ON day = date"""
+
+
+def row_shares() -> str:
+    return f"""WITH {ship_panel() + prepared(nodata_max="1.0e0")}
+SELECT id_geohash, date, water / nullif(area_data + area_nodata, 0) AS water,
+       area_data / nullif(area_data + area_nodata, 0) AS area_data,
+       area_nodata / nullif(area_data + area_nodata, 0) AS area_nodata,
+       CASE WHEN date = DATE '1997-06-01' THEN 'at' ELSE 'before' END AS part
+FROM prep WHERE date <= DATE '1997-06-01'"""
+
+
+def break_views() -> str:
+    b = simple_breaks(planted_panel() + prepared(), "water")
+    return f"""SELECT b.id_geohash, CAST(substr(b.id_geohash, 3) AS BIGINT) AS lake_key,
+       CAST(100 + (CAST(substr(b.id_geohash, 3) AS BIGINT) % 7) * 10 AS DOUBLE) AS Area_start_ha,
+       date_break, date_break_year FROM ({b}) b"""
+
+
+def month_view() -> str:
+    r = nrt_range(planted_panel() + prepared(), "water", "2019-06-01", "2019-06-01")
+    return f"""SELECT id_geohash, '2019-06' AS analysis_month, 2019 AS year, 6 AS month, drainage_confidence
+FROM ({r}) r WHERE drainage_confidence > 0"""
+
+
+def availability() -> str:
+    return f"""WITH {ship_panel()},
+ early AS (SELECT id_geohash, count(*) AS n FROM panel WHERE date < DATE '1992-04-01' GROUP BY 1),
+ late AS (SELECT DISTINCT id_geohash FROM panel WHERE date >= DATE '1998-01-01')
+SELECT late.id_geohash, n IS NOT NULL AS available, coalesce(n, 0) AS n_rows
+FROM late LEFT JOIN early ON late.id_geohash = early.id_geohash"""
+
+
 ORACLE: dict[str, str] = {
+    "panel_io": rounded(f"WITH {ship_panel()} SELECT id_geohash, date, {', '.join(DW_COLUMNS)} FROM panel", DW_COLUMNS),
+    "lake_lookup": rounded(lake_lookup(), LAKE_DOUBLES, 6),
+    "date_lists": date_lists(),
+    "row_shares": rounded(row_shares(), ["water", "area_data", "area_nodata"]),
+    "break_views": break_views(),
+    "month_view": month_view(),
+    "availability": availability(),
+    "area_tables": rounded(class_areas_sql(), DW_COLUMNS, 6),
     "simple_breaks": _breaks(planted_panel(), "water"),
     "simple_breaks_mean": _breaks(planted_panel(), "water", "mean"),
     "simple_breaks_max": _breaks(planted_panel(), "water", "max"),
