@@ -14,13 +14,12 @@ from __future__ import annotations
 import json
 import os
 import re
-
-import numpy as np
+import struct
 
 #: White space other than space and line feed.
 OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Letters that are one code point in every normal form, perhaps followed by marks that stand alone as one piece.
-PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: A word with the space before it, white space up to the last before a word, or white space.
 BYTE_PIECES = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 LONGEST = 64
@@ -36,18 +35,35 @@ def byte_letters() -> dict[int, str]:
     return table
 
 
-class Encoder(dict):
-    """Maps a piece of text to its ids (little-endian unsigned 32-bit); ``ids(text)`` encodes a whole text."""
+class Pieces(dict):
+    """Ids of pieces (little-endian unsigned 32-bit), made where missing; emptied at ``limit`` entries."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, make, limit: int):
         super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.make(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+class Encoder:
+    """``ids(text)`` encodes a whole text; ``limit`` bounds the words kept (some 170 bytes each)."""
+
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.kind = limit, self.kind_of(path)
-        self.letters = byte_letters()
+        self.kind, self.letters = self.kind_of(path), byte_letters()
+        self.space, self.tokenize = self.letters[32], self.tokenizer.model.tokenize
+        self.bare = Pieces(self.make_bare, limit)
+        self.spaced = Pieces(self.make_spaced, limit)  # pieces after one space (byte-level files)
 
     @staticmethod
     def kind_of(path: str) -> str:
@@ -62,25 +78,45 @@ class Encoder(dict):
         return "other"
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        plain = PLAIN.fullmatch(piece) if len(piece) <= LONGEST else None
-        if plain is None:
-            found = self.whole(piece)
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def merged(self, word: str, space: str = "") -> bytes:
+        """The ids of letters that the file does not split further."""
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode()])
+        return packed([t.id for t in self.tokenize(space + word)])
+
+    def make_bare(self, piece: str) -> bytes:
+        if len(piece) > LONGEST:
+            return self.whole(piece)
+        if piece.isascii() and piece.isalpha():
+            word, marks = piece, ""
+        elif plain := PLAIN.fullmatch(piece):
+            word, marks = plain.groups()
         else:
-            space, word, marks = plain.groups()
-            if self.kind == "word":
-                space, word = "", word.lower()
-            parts = [space + word, marks] if marks else [space + word]
-            model, letters = self.tokenizer.model, self.letters
-            found = np.array([t.id for p in parts
-                              for t in model.tokenize("".join([letters[b] for b in p.encode()]))], "<u4").tobytes()
-        if len(piece) <= LONGEST:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = found
-        return found
+            parts = piece.split("\n")
+            if len(parts) > 1 and all(parts):
+                return self.bare["\n"].join(map(self.bare.__getitem__, parts))
+            return self.whole(piece) if piece else b""
+        if marks:
+            return self.bare[word] + self.bare[marks]
+        if self.kind == "word" and not word.islower():
+            return self.bare[low] if (low := word.lower()) != word else self.merged(word)
+        return self.merged(word)
+
+    def make_spaced(self, piece: str) -> bytes:
+        if len(piece) > LONGEST:
+            return self.whole(" " + piece)
+        if piece.isascii() and piece.isalpha():
+            return packed([t.id for t in self.tokenize(self.space + piece)])
+        if plain := PLAIN.fullmatch(piece):
+            word, marks = plain.groups()
+            return self.spaced[word] + self.bare[marks] if marks else self.merged(word, self.space)
+        parts = piece.split("\n")
+        if len(parts) > 1 and all(parts):
+            line_end = self.bare["\n"]
+            return line_end.join([self.spaced[parts[0]], *map(self.bare.__getitem__, parts[1:])])
+        return self.whole(" " + piece)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -88,10 +124,16 @@ class Encoder(dict):
         if self.kind == "other" or OTHER_SPACE.search(text):
             return self.whole(text)
         if self.kind == "word":
-            pieces = [p for p in text.replace("\n", " ").split(" ") if p]
-        else:
-            pieces = BYTE_PIECES.findall(text)
-        return b"".join(map(self.__getitem__, pieces))
+            return b"".join(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
+        if "  " in text or " \n" in text or "\n " in text:
+            return b"".join([self.spaced[p[1:]] if p[0] == " " and p != " " else self.bare[p]
+                             for p in BYTE_PIECES.findall(text)])
+        first, *rest = text.split(" ")
+        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _LOADED: dict[str, Encoder] = {}

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeshift.llm.common import stored
+from lakeshift.llm.common import spread, stored
 from lakeshift.llm.tokens import encoder
 from lakeshift.session import ship_package
 
@@ -247,7 +247,8 @@ def read_shards(shards: DataFrame, id_type: str = "long") -> DataFrame:
     offsets = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("part_base"))
     based = (shards.withColumn("inner", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
              .join(offsets, "part").select("path", (F.col("inner") + F.col("part_base")).alias("base")))
-    based = stored(based, "offsets").repartition("path")
+    # a shard is work for seconds: they are spread over as many tasks as a shuffle has, and not put together again
+    based = spread(stored(based, "offsets"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
