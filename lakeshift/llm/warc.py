@@ -17,9 +17,11 @@ record. Chunk framing is then decoded. A record that fails a check is
 returned with ``error`` and without payload; nothing is dropped.
 
 The separator, the version line that starts each record, cannot occur inside
-a written block: the writer ends a chunk within any version line of the body.
-Foreign archives that hold one inside a block fail the length check of that
-record.
+a written record: the writer ends a chunk within any ``WARC/1.1`` of the body,
+whatever follows it there (the framing and a segment's end add line ends of
+their own), and writes a target that ends in it as ``%57ARC/1.1``, which is
+the same URI. Foreign archives that hold one inside a block fail the length
+check of that record.
 
 Null payloads are empty bodies; a NULL url is written as an empty target;
 rows without id are written and read back without one; repeated rows are
@@ -52,8 +54,8 @@ PARSED_ROW = pa.schema([
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
-    """``body`` in chunk framing, with a chunk end inside every version line."""
-    cuts = {*range(size, len(body), size), *(m.start() + 2 for m in re.finditer(re.escape(VERSION + b"\r\n"), body))}
+    """``body`` in chunk framing, with a chunk end inside every ``VERSION``."""
+    cuts = {*range(size, len(body), size), *(m.start() + 2 for m in re.finditer(re.escape(VERSION), body))}
     out, at = [], 0
     for cut in [*sorted(cuts), len(body)]:
         if cut > at:
@@ -88,6 +90,7 @@ def records_of(row: dict, segment_bytes: int) -> Iterator[bytes]:
     """The records of one row, without the empty lines after each."""
     record_id = f"<urn:uuid:{uuid.uuid4()}>"
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", row["target"] or "")
+    target = re.sub(rf"W(?={re.escape(VERSION.decode())[1:]}\Z)", "%57", target)
     common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("X-Row-Id", row["row_id"]),
               ("WARC-Payload-Digest", f"sha1:{row['digest']}"), ("X-Payload-Length", row["payload_length"])]
     if row["refers_to"] is not None:

@@ -89,3 +89,21 @@ def test_no_record_is_lost_at_splits(spark, folder):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("body", [b"see WARC/1.1", b"x" * 8184 + b"WARC/1.1 y", b"WARC/1.1" * 3000])
+def test_framing_adds_no_version_line(body):
+    framed = warc.chunked(body)
+    assert warc.dechunked(framed) == body and b"WARC/1.1" not in framed
+
+
+def test_version_before_any_cut_round_trips(spark, folder):
+    bodies = ["see WARC/1.1", "x" * 8184 + "WARC/1.1 y", *["x" * n + "WARC/1.1 y" + "z" * 9000 for n in range(7180, 7320)]]
+    urls = ["http://a/WARC/1.1", "http://a/WARC/1.1/b", "WARC/1.1"]
+    rows = [*((i, "u", b) for i, b in enumerate(bodies)), *((1000 + i, u, "short") for i, u in enumerate(urls))]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder,
+                        segment_bytes=7300, min_bytes=10 ** 9)
+    got = {r.row_id: r for r in warc.read_archives(spark, folder).collect()}
+    assert all(r.error is None for r in got.values())
+    assert {i: bytes(r.payload).decode() for i, r in got.items()} == {i: b for i, _, b in rows}
+    assert [got[1000 + i].target for i in range(3)] == ["http://a/%57ARC/1.1", "http://a/WARC/1.1/b", "%57ARC/1.1"]
