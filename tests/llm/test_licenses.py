@@ -1,5 +1,8 @@
 """License scan against brute force."""
+import itertools
 import re
+from re import _constants as code
+from re import _parser as parser
 
 from lakeshift.llm import licenses, queries
 
@@ -73,3 +76,41 @@ def test_query_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def spellings(pattern):
+    """Every text that ``pattern`` matches (literals, sets, alternatives and optional parts)."""
+    def of(nodes):
+        return {"".join(p) for p in itertools.product(*[one(*n) for n in nodes])}
+
+    def one(op, value):
+        if op == code.LITERAL:
+            return {chr(value)}
+        if op == code.IN:
+            return {chr(c) for _, c in value}
+        if op == code.BRANCH:
+            return set().union(*map(of, value[1]))
+        if op == code.SUBPATTERN:
+            return of(value[3])
+        if op == code.MAX_REPEAT:
+            assert value[:2] == (0, 1)
+            return {""} | of(value[2])
+        assert op in (code.ASSERT, code.ASSERT_NOT)
+        return {""}
+    return of(parser.parse(pattern))
+
+
+def test_every_spelling_holds_its_keyword_and_an_anchor():
+    anchors = licenses.anchors(RULES)
+    for rule in RULES:
+        for text in spellings(rule.pattern):
+            assert rule.keyword in text, (rule, text)
+            assert any(a in text for a in anchors) or "cc by" in text, (rule, text)
+
+
+def test_every_spelling_of_a_name_matches_brute_force(spark):
+    texts = sorted({t for _, _, name, _ in licenses.FAMILIES for t in spellings(name)} | {
+        "Released under the Expat License", "available under X11 licence", "BSL v1.0", "licensed under the BSL"})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: row(r) for r in licenses.scan(docs).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)} and all(r[5] for r in got.values())
