@@ -19,6 +19,11 @@ Only built-in functions run: pattern functions split a text into candidates
 and the rest, higher-order functions map the candidates, and the pieces are
 joined again.
 
+Values that stand side by side are read apart: a run of digit groups ends
+where a value of another kind starts, and card numbers are sought in it at
+every group, so that an expiry month, a security code or any other number
+before or after a card does not hide it.
+
 Null text stays NULL and has no pseudonyms; an empty text stays empty;
 candidates that fail validation stay as they are; repeated rows give
 repeated results; other columns pass through, apart from ``n_pseudonyms``
@@ -44,12 +49,17 @@ PATTERNS = {
     "address": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
             r"|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
              r"|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
 }
-CANDIDATE = "|".join(f"(?:{p})" for p in PATTERNS.values())
+OTHERS = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Groups of digits, 13 digits or more in all, up to a group at which a value of another kind starts.
+PATTERNS["card"] = (r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++"
+                    rf"(?:[ -](?!{OTHERS})[0-9]++)*+")
+CANDIDATE = rf"{OTHERS}|(?:{PATTERNS['card']})"
+#: Lengths of the groups of a card number as cards print it.
+PRINTED = r"^(?:1[3-9]|4 4 4 4(?: 3)?|4 6 [45])$"
 DIGITS = "0123456789"
 LOWER = DIGITS + "abcdefghijklmnopqrstuvwxyz"
 
@@ -164,6 +174,61 @@ def card_pseudonym(value: Column, digits: Column, key: str) -> Column:
     return let(permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("card"), key), check)
 
 
+def cards_in(value: Column, key: str) -> Column:
+    """Struct ``(kind, value, n)``: ``value``, groups of digits, with its card numbers replaced.
+
+    A card number is one or more whole groups, 13 to 19 digits in all, that
+    pass the Luhn check. From left to right the longest is taken, one grouped
+    as cards are printed before any other that shares a group with it.
+    """
+    def replaced(groups: Column) -> Column:
+        def run(i: Column, k: Column) -> Column:  # groups i to k - 1, the first separator left out
+            return F.regexp_replace(F.array_join(F.slice(groups, i + 1, k - i), ""), "^[ -]", "")
+
+        def passes(i: Column, k: Column) -> Column:
+            digits = let(F.regexp_replace(run(i, k), "[^0-9]", ""), lambda d: F.when(
+                F.length(d).between(13, 19), luhn_sum(d) % 10 == 0).otherwise(False))
+            return digits
+
+        def ends(i: Column) -> Column:  # 19 groups hold 19 digits at least; the longest first
+            last = F.least(i + 19, F.size(groups))
+            return F.filter(F.sequence(last, i + 1, F.lit(-1)), lambda k: passes(i, k))
+
+        def printed(i: Column, k: Column) -> Column:
+            sizes = F.transform(F.split(run(i, k), "[ -]"), lambda g: F.length(g).cast("string"))
+            return F.array_join(sizes, " ").rlike(PRINTED)
+
+        def scanned(found: Column) -> Column:
+            best = F.transform(found, lambda ks, i: F.coalesce(F.get(F.filter(ks, lambda k: printed(i, k)), F.lit(0)),
+                                                               F.lit(0)))
+
+            def chosen(best: Column) -> Column:
+                def free(i: Column, k: Column) -> Column:
+                    return ~F.exists(F.slice(best, i + 2, k - i - 1), lambda b: b > 0)
+
+                return F.transform(best, lambda b, i: F.when(b > 0, b).otherwise(F.coalesce(
+                    F.get(F.filter(F.get(found, i), lambda k: free(i, k)), F.lit(0)), F.lit(0))))
+
+            def step(state: Column, i: Column, end: Column) -> Column:
+                card = (i >= state["at"]) & (end > 0)
+                number = run(i, end)
+                sep = F.regexp_extract(F.get(groups, i), "^[ -]", 0)
+                made = F.concat(sep, card_pseudonym(number, F.regexp_replace(number, "[^0-9]", ""), key))
+                return F.struct(F.when(card, end).otherwise(state["at"]).alias("at"),
+                                (state["n"] + F.when(card, 1).otherwise(0)).cast("long").alias("n"),
+                                F.concat(state["out"], F.when(card, made).when(i >= state["at"], F.get(groups, i))
+                                         .otherwise("")).alias("out"))
+
+            start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"), F.lit("").alias("out"))
+            return let(let(best, chosen), lambda ends_at: F.aggregate(
+                F.sequence(F.lit(0), F.size(groups) - 1), start, lambda s, i: step(s, i, F.get(ends_at, i)),
+                lambda s: F.struct(F.when(s["n"] > 0, "card").alias("kind"), s["out"].alias("value"), s["n"].alias("n"))))
+
+        return let(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), ends), scanned)
+
+    return let(F.regexp_extract_all(value, F.lit("[ -]?[0-9]+"), F.lit(0)), replaced)
+
+
 def date_parts(value: Column) -> Column:
     """The date that ``value`` writes, or NULL."""
     iso = F.regexp_extract(value, r"^([0-9]{4})[-/]([0-9]{2})[-/]([0-9]{2})$", 0)
@@ -199,7 +264,7 @@ def address_pseudonym(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """Struct ``(kind, value)`` for one candidate; kind is NULL where validation fails."""
+    """Struct ``(kind, value, n)`` for one candidate; kind is NULL and n 0 where validation fails."""
     digits = F.regexp_replace(value, "[^0-9]", "")
 
     def whole(kind: str) -> Column:
@@ -214,14 +279,15 @@ def pseudonym(value: Column, key: str) -> Column:
         "secret": F.concat(prefix, permute_alnum(F.substr(value, F.length(prefix) + 1), F.lit("secret"), key)),
         "address": address_pseudonym(value, key),
         "date": date_pseudonym(value, key),
-        "card": F.when(luhn_sum(digits) % 10 == 0, card_pseudonym(value, digits, key)),
         "phone": F.when(F.length(digits).between(7, 15), weave(value, permute_digits(digits, F.lit("phone"), key))),
         "ssn": F.when(~digits.rlike("^(?:000|666|9)") & ~digits.rlike("^.{3}00") & ~digits.rlike("0000$"),
                       weave(value, permute_digits(digits, F.lit("ssn"), key))),
     }
-    found = [F.when(whole(kind), F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("value"))))
+    one, none = F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("n")
+    found = [F.when(whole(kind), F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("value"), one)))
              for kind, new in made.items()]
-    return F.coalesce(*found, F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value")))
+    return F.coalesce(*found, F.when(value.rlike("^[0-9][0-9 -]{12,}$"), cards_in(value, key)),
+                      F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value"), none))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -234,7 +300,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         woven = let(F.split(text, CANDIDATE, -1), lambda g: F.array_join(F.transform(g, lambda s, i: F.concat(
             s, F.coalesce(F.get(f, i)["value"], F.lit("")))), ""))
         kinds = F.filter(F.transform(f, lambda s: s["kind"]), lambda k: k.isNotNull())
-        return F.struct(woven.alias("text"), F.size(kinds).cast("long").alias("n"),
+        return F.struct(woven.alias("text"), F.aggregate(f, F.lit(0).cast("long"), lambda a, s: a + s["n"]).alias("n"),
                         F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds"))
 
     none = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"), F.lit("").alias("kinds"))

@@ -92,3 +92,19 @@ def test_edge_rows(spark):
     assert [r.n_pseudonyms for r in rows] == [0, 0, 0, 5000]
     assert rows[0].text is None and rows[1].text == ""
     assert pseudonyms.pseudonymize(docs.limit(0), "k").count() == 0
+
+
+def test_neighbours_do_not_hide_values(spark):
+    card, phone, date, ssn, address = "4111 1111 1111 1111", "555-123-4567", "2021-01-02", "123-45-6789", "42.144.35.254"
+    other = "5500 0000 0000 0004"
+    alone = dict(zip([card, "4111111111111111", other, phone, date, ssn, address],
+                     (r.text for r in run(spark, [card, "4111111111111111", other, phone, date, ssn, address]))))
+    cases = [("card {} 12/27", [card], 1), ("{} 123", ["4111111111111111"], 1), ("ssn {} 1234567", [ssn], 1),
+             ("{} {}", [phone, date], 2), ("{} {}", [phone, phone], 2), ("{} {}", [ssn, ssn], 2), ("1234 {}", [ssn], 1),
+             ("{} {}", [card, ssn], 2), ("{} {}", [card, address], 2), ("{} {}", [card, "4111111111111111"], 2),
+             ("{} {}", [card, other], 2), ("12 34 {} 5", [card], 1), ("1 {} 12 {} 7", [card, other], 2)]
+    got = run(spark, [form.format(*values) for form, values, _ in cases])
+    assert [r.text for r in got] == [form.format(*[alone[v] for v in values]) for form, values, _ in cases]
+    assert [r.n_pseudonyms for r in got] == [n for _, _, n in cases]
+    long = run(spark, ["1 " * 3000 + "12345678901234567890 " + card])[0]
+    assert long.text.endswith(alone[card])
