@@ -14,6 +14,10 @@ different values of a format stay different:
   and gets the check digit of its new digits. A date becomes another date of
   the 400 years from 1800-01-01 (146,097 days = 189 * 773, so the network
   never leaves the range). An address becomes another address.
+* NN/NN/NNNN and NN.NN.NNNN are read day first, and month first only where
+  the day-first reading is no date: 05/06/1990 is the 5th of June, 12/25/1990
+  Christmas. The pseudonym is written in the order in which the date was
+  read, so a month-first one may look like a day-first one.
 
 Only built-in functions run: pattern functions split a text into candidates
 and the rest, higher-order functions map the candidates, and the pieces are
@@ -229,12 +233,17 @@ def cards_in(value: Column, key: str) -> Column:
     return let(F.regexp_extract_all(value, F.lit("[ -]?[0-9]+"), F.lit(0)), replaced)
 
 
-def date_parts(value: Column) -> Column:
-    """The date that ``value`` writes, or NULL."""
+def date_read(value: Column, order: str) -> Column:
+    """The date that ``value`` writes with the year first or else in ``order`` (a replacement), or NULL."""
     iso = F.regexp_extract(value, r"^([0-9]{4})[-/]([0-9]{2})[-/]([0-9]{2})$", 0)
     year_first = F.regexp_replace(iso, "/", "-")
-    day_first = F.regexp_replace(value, r"^([0-9]{2})[./]([0-9]{2})[./]([0-9]{4})$", "$3-$2-$1")
-    return F.try_to_timestamp(F.when(iso != "", year_first).otherwise(day_first), F.lit("yyyy-MM-dd")).cast("date")
+    year_last = F.regexp_replace(value, r"^([0-9]{2})[./]([0-9]{2})[./]([0-9]{4})$", order)
+    return F.try_to_timestamp(F.when(iso != "", year_first).otherwise(year_last), F.lit("yyyy-MM-dd")).cast("date")
+
+
+def date_parts(value: Column) -> Column:
+    """The date that ``value`` writes, day first where that is a date; or NULL."""
+    return F.coalesce(date_read(value, "$3-$2-$1"), date_read(value, "$3-$1-$2"))
 
 
 def date_pseudonym(value: Column, key: str) -> Column:
@@ -247,6 +256,8 @@ def date_pseudonym(value: Column, key: str) -> Column:
         date = let(new, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * DAYS[1] + s["r"]).cast("int")))
         text = F.when(value.rlike("^[0-9]{4}-"), F.date_format(date, "yyyy-MM-dd")).when(
             value.rlike("^[0-9]{4}/"), F.date_format(date, "yyyy/MM/dd")).when(
+            date_read(value, "$3-$2-$1").isNull(), F.when(value.contains("/"), F.date_format(date, "MM/dd/yyyy"))
+            .otherwise(F.date_format(date, "MM.dd.yyyy"))).when(
             value.rlike("^[0-9]{2}/"), F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "dd.MM.yyyy"))
         return F.when((d >= 0) & (d < DAYS[0] * DAYS[1]), text)
     return let(day, write)

@@ -108,3 +108,11 @@ def test_neighbours_do_not_hide_values(spark):
     assert [r.n_pseudonyms for r in got] == [n for _, _, n in cases]
     long = run(spark, ["1 " * 3000 + "12345678901234567890 " + card])[0]
     assert long.text.endswith(alone[card])
+
+
+def test_month_first_dates(spark):
+    rows = [r.text for r in run(spark, ["1990-12-25", "12/25/1990", "12.25.1990", "25/12/1990", "05/06/1990", "1990-06-05"])]
+    y, m, d = rows[0].split("-")
+    assert rows[1:4] == [f"{m}/{d}/{y}", f"{m}.{d}.{y}", f"{d}/{m}/{y}"] and rows[0] != "1990-12-25"
+    y, m, d = rows[5].split("-")
+    assert rows[4] == f"{d}/{m}/{y}"
