@@ -19,6 +19,9 @@ each line and one ends at each line, as far as the document goes.
    order of (id, text hash, line number), are deleted. The first occurrence
    stays, and with it a run that overlaps it in the same document.
 
+A passage is found by its whole lines: these must hold ``min_words`` words.
+What repeats inside a line, or with fewer words in whole lines, stays.
+
 Null text stays NULL; a document deleted as a whole keeps its row with an
 empty text; rows equal in id and text are one document and get the same
 result; lines without a word inside a deleted passage go with it. A long
