@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshift.llm import decontaminate, licenses, linededup, packing, pseudonyms, quality, simhash, toxicity, warc, wavelet
+from lakeshift.llm import decontaminate, licenses, linededup, packing, pseudonyms, quality, resample, simhash, toxicity, warc, wavelet
 from lakeshift.llm.common import shared_path
 
 
@@ -132,6 +132,54 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the distribution of the benchmark texts."""
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10,
+                              min_words=20, size=10_000, longest=1, seed=2024)
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 of UTF-8 text bit by bit, as DuckDB has no function for it.
+SQL_CRC32 = """xor(4294967295, list_reduce(
+  [4294967295] || list_transform(range(0, octet_length(encode({0}))),
+                                 lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _:
+    CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+OP12_SQL = f"""
+WITH texts AS (
+  SELECT 0 AS part, row_number() OVER () AS id, doc_id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+  SELECT part, id, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+hashed AS (SELECT w, {SQL_CRC32.format("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM words)),
+counts AS (
+  SELECT bucket, count(*) FILTER (WHERE part = 0) AS s, count(*) FILTER (WHERE part = 1) AS t
+  FROM words JOIN hashed USING (w) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS big_s, coalesce(sum(t), 0) AS big_t FROM counts),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (big_s + 10000)::DOUBLE
+                                      / ((s + 1)::DOUBLE * (big_t + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM counts, totals),
+weights AS (
+  SELECT id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+  FROM words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE part = 0 GROUP BY id),
+scored AS (
+  SELECT t.id, t.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('2024:' || coalesce(CAST(t.doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+           / 4294967296))) AS BIGINT) AS score
+  FROM texts t LEFT JOIN weights USING (id) WHERE part = 0),
+ranked AS (
+  SELECT id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS r, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (id)
+"""
+
+
 QUERIES = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
     "op2_license_scan": op2_license_scan,
@@ -143,9 +191,11 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_subword_toxicity": op10_subword_toxicity,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 #: DuckDB twins, where SQL can express the whole result.
 ORACLE: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
