@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshift.llm import decontaminate, licenses, linededup, packing, pseudonyms, quality, resample, simhash, toxicity, warc, wavelet
+from lakeshift.llm import (
+    decontaminate, language, licenses, linededup, packing, pseudonyms, quality, resample, simhash, toxicity, trie,
+    warc, wavelet,
+)
 from lakeshift.llm.common import shared_path
 
 
@@ -132,6 +135,11 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie over the rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), every=20, most=3)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, drawn towards the distribution of the benchmark texts."""
     found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10,
@@ -146,6 +154,40 @@ SQL_CRC32 = """xor(4294967295, list_reduce(
   lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _:
     CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
 
+OP11_SQL = f"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, {SQL_CRC32.format("s")} % 4 AS h FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM turns)),
+rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS depth, role, text
+  FROM (SELECT v.c, false AS own, t.pos, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c - v.c % 20 AND t.pos <= v.h
+        UNION ALL
+        SELECT v.c, true, t.pos, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h)),
+paths AS (
+  SELECT c, depth, text, string_agg(sha256(len(role) || ':' || role || text), '')
+         OVER (PARTITION BY c ORDER BY depth ROWS UNBOUNDED PRECEDING) AS k
+  FROM rebuilt UNION ALL SELECT c, 0, '', '' FROM convs),
+nodes AS (
+  SELECT k, depth, min(c) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) AS saved
+  FROM paths GROUP BY k, depth),
+counted AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes m WHERE m.depth = n.depth + 1
+         AND left(m.k, len(n.k)) = n.k) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.k = left(n.k, len(n.k) - 64) AND n.depth > 0),
+below AS (
+  SELECT a.k, count(*) FILTER (WHERE x.n_children = 0) AS n_leaves, CAST(sum(x.saved) AS BIGINT) AS saved_tokens
+  FROM counted x JOIN paths a ON a.c = x.conv_id AND a.depth <= x.depth GROUP BY a.k),
+ended AS (
+  SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+  FROM (SELECT *, max(depth) OVER (PARTITION BY c) AS last FROM paths) WHERE depth = last GROUP BY k)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM counted JOIN below USING (k) LEFT JOIN ended USING (k)
+"""
+
 OP12_SQL = f"""
 WITH texts AS (
   SELECT 0 AS part, row_number() OVER () AS id, doc_id, text FROM documents
@@ -180,6 +222,18 @@ FROM scored LEFT JOIN ranked USING (id)
 """
 
 
+def op13_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labels outside the held-out fourth."""
+    docs = table(spark, sf_dir, "documents")
+
+    def held_out(doc_id):
+        return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+    model = language.fit(docs.filter(~held_out(F.col("doc_id"))))
+    return language.predict(docs, model).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
     "op2_license_scan": op2_license_scan,
@@ -191,11 +245,14 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_subword_toxicity": op10_subword_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_output_codes": op13_output_codes,
 }
 
 #: DuckDB twins, where SQL can express the whole result.
 ORACLE: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_importance_resampling": OP12_SQL,
 }
