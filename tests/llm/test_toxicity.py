@@ -1,7 +1,12 @@
 """Toxicity scores: held-out accuracy, unseen spellings, edge rows."""
+import math
 import random
+import re
 import zlib
 
+import numpy as np
+import pytest
+
 from lakeshift.llm import queries, toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -17,9 +22,10 @@ def test_held_out_accuracy(spark):
     toxic = [s for s, y in held if y]
     clean = [s for s, y in held if not y]
     auc = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
-    # measured here: 0.947, with some 350 toxic documents to learn from
-    assert auc > 0.9
-    assert sum(s >= 0.5 for s in clean) <= 0.05 * len(clean) and sum(s >= 0.5 for s in toxic) >= 0.7 * len(toxic)
+    # measured here: 0.947, with 352 toxic documents to learn from. Seven of the 97 held-out toxic documents score
+    # like clean ones; those looked at hold no word or n-gram that marks the others, so 0.97 is out of reach
+    assert auc > 0.94
+    assert sum(s >= 0.5 for s in clean) <= 0.05 * len(clean) and sum(s >= 0.5 for s in toxic) >= 0.85 * len(toxic)
 
 
 def docs_with(words, n, seed, rate):
@@ -64,3 +70,59 @@ def test_without_labels(spark):
     assert toxicity.score(docs, weights, bias).first().score == 0.5
     one = toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
     assert not one[0].any()
+
+
+def test_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(1)
+    emb, out, bias = rng.normal(0, 1, (6, 3)), rng.normal(0, 1, (3, 2)), rng.normal(0, 1, 2)
+    idx, val, row = rng.integers(0, 6, 15), rng.uniform(0, 1, 15), np.sort(rng.integers(0, 4, 15))
+    y = np.array([0, 1, 1, 0])
+    _, *slopes = toxicity.loss_and_slopes(emb, out, bias, idx, val, row, y)
+    for which, slope in enumerate(slopes):
+        for at in np.ndindex(slope.shape):
+            moved = [[x.copy() for x in (emb, out, bias)] for _ in range(2)]
+            moved[0][which][at] += 1e-6
+            moved[1][which][at] -= 1e-6
+            up, down = (toxicity.loss_and_slopes(*m, idx, val, row, y)[0] for m in moved)
+            assert (up - down) / 2e-6 == pytest.approx(slope[at], abs=1e-6)
+
+
+def plain_score(text, weights, bias):
+    """The score of one text from its definition: the mean over words of the mean over their buckets."""
+    words = re.findall(r"\w+", (text or "").lower())
+    total, share = 0.0, 30.0
+    for w in set(words):
+        times = 1 + math.log(words.count(w))
+        marked = f"<{w}>"
+        grams = {marked[i:i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)} | {marked}
+        total += times * sum(weights[zlib.crc32(g.encode()) % len(weights)] for g in grams) / len(grams)
+        share += times
+    return 1 / (1 + math.exp(-(bias + total / share)))
+
+
+def test_scores_match_their_definition(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
+    rng = np.random.default_rng(2)
+    weights = rng.normal(0, 20, 1 << 12)
+    got = {r.id: r.score for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), weights, -0.3).collect()}
+    for i, t in docs:
+        assert got[i] == pytest.approx(plain_score(t, weights, -0.3), rel=1e-9)
+
+
+def test_a_repeated_id_adds_no_rows(spark):
+    """A label id that a third of the rows carry is one training row."""
+    train = docs_with(["wretched", "scoundrel", "vermin"], 200, 1, 0.05)
+    frame = spark.createDataFrame(train, "doc_id long, text string, toxic int")
+    copies = spark.range(100).selectExpr("1L as doc_id", "'zz plain words only' as text", "1 as toxic")
+    more = frame.union(copies)
+    once = frame.union(copies.limit(1))
+    a = toxicity.fit(more.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    b = toxicity.fit(once.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert a[1] == b[1] and (a[0] == b[0]).all()
+
+
+def test_best_cut():
+    logits = np.array([3.0, 2.0, 1.0, 0.0, -1.0])
+    assert toxicity.best_cut(logits, np.array([1, 1, 0, 0, 0])) == 1.5
+    assert toxicity.best_cut(logits, np.array([1, 0, 1, 0, 0])) == 0.5
+    assert toxicity.best_cut(logits, np.zeros(5, int)) == 0.0 and toxicity.best_cut(logits[:0], np.zeros(0, int)) == 0.0
