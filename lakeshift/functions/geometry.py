@@ -1,13 +1,15 @@
 """Polygon expressions over ``rings ARRAY<ARRAY<ARRAY<STRUCT<x,y>>>>``.
 
 Layout: polygon -> ring (first = shell, others = holes) -> closed vertex list.
-All functions are higher-order SQL expressions; nothing leaves the JVM.
+Most functions are higher-order SQL expressions. Centroids and areas of whole
+tables come from a numpy kernel that reads Arrow batches (``shape_of``).
 """
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,7 +149,6 @@ def polar_xy(lon: Column, lat: Column) -> Column:
 def _ring_arrays(rings_arr):
     """Flatten a pyarrow ``rings`` column to vertex arrays and ring bookkeeping."""
     import numpy as np
-    import pyarrow as pa
     import pyarrow.compute as pc
     rings_arr = rings_arr.combine_chunks() if isinstance(rings_arr, pa.ChunkedArray) else rings_arr
     rings_arr = pc.fill_null(rings_arr, pa.scalar([], type=rings_arr.type)) if rings_arr.null_count else rings_arr
@@ -216,21 +217,26 @@ def centroid_area_arrays(rings_arr):
     return cx, cy, area
 
 
+_SHAPE: dict = {}
+
+
+def shape_of(rings: Column) -> Column:
+    """``struct(cx, cy, area_deg2)`` through an Arrow UDF: vectorised numpy over the
+    flattened vertex buffers of each batch. Only ``rings`` travels to Python, and
+    Catalyst prunes columns and pushes filters past it."""
+    import numpy as np
+    from ..session import ship_to_active
+    ship_to_active()
+    if "udf" not in _SHAPE:  # built lazily: it needs a live session
+        @F.arrow_udf("cx double, cy double, area_deg2 double")
+        def shape(arr: pa.Array) -> pa.Array:
+            found = [pa.array(np.where(np.isnan(v), None, v), type=pa.float64()) for v in centroid_area_arrays(arr)]
+            return pa.StructArray.from_arrays(found, names=["cx", "cy", "area_deg2"])
+        _SHAPE["udf"] = shape
+    return _SHAPE["udf"](rings)
+
+
 def with_shape_columns(lakes, rings_col: str = "rings"):
-    """Add ``cx, cy, area_deg2`` through ``mapInArrow``: vectorised numpy over the
-    flattened vertex buffers of each Arrow batch, no shuffle, partitioning kept."""
-    import pyarrow as pa
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    from ..session import ship_package
-    ship_package(lakes.sparkSession)
-    schema = StructType(lakes.schema.fields + [StructField(c, DoubleType()) for c in ("cx", "cy", "area_deg2")])
-
-    def fn(batches):
-        import numpy as np
-        for b in batches:
-            cx, cy, area = centroid_area_arrays(b.column(rings_col))
-            cols = list(b.columns) + [pa.array(np.where(np.isnan(v), None, v), type=pa.float64())
-                                      for v in (cx, cy, area)]
-            yield pa.RecordBatch.from_arrays(cols, names=list(b.schema.names) + ["cx", "cy", "area_deg2"])
-
-    return lakes.mapInArrow(fn, schema)
+    """Add ``cx, cy, area_deg2``: no shuffle, partitioning kept."""
+    shaped = lakes.withColumn("_shape", shape_of(F.col(rings_col)))
+    return shaped.select(*lakes.columns, *[F.col("_shape")[c].alias(c) for c in ("cx", "cy", "area_deg2")])

@@ -6,8 +6,12 @@ Barry & Hartigan 1993; exact recursions as in Fearnhead 2006):
 
 * each boundary between consecutive dates is a change point independently
   with prior probability ``p``;
-* each segment has its own mean and variance with a Normal-Inverse-Gamma
+* each segment has its own level and variance with a Normal-Inverse-Gamma
   prior, so a segment's marginal likelihood is closed form;
+* with ``max_order`` 1 a segment may also have a slope: it is a Bayesian
+  linear regression on time, closed form from running cross products, and
+  the two orders are averaged with equal weight, so that a steady decline is
+  one segment and not a staircase;
 * forward and backward sums over all segmentations (O(n^2) per lake, in
   log space) give P(change at t | series).
 
@@ -62,6 +66,45 @@ def segment_loglik(x: np.ndarray, mu0: float, kappa0: float = 0.01, alpha0: floa
     return np.where(j >= i, ll, -np.inf)
 
 
+def line_loglik(x: np.ndarray, at: np.ndarray, mu0: float, kappa0: float = 0.01, kappa1: float = 0.01,
+                alpha0: float = 1.0, beta0: float = 1e-3) -> np.ndarray:
+    """log marginal likelihood of every segment x[i..j] as a line over ``at``; shape (n, n), -inf below the diagonal.
+
+    Level (at the segment's first time) and slope have independent normal
+    priors of precision ``kappa0`` and ``kappa1`` times that of the noise.
+    Cumulative cross products give all segments in O(n^2) vector operations.
+    """
+    n = len(x)
+    v = x - mu0
+    sums = [np.concatenate([[0.0], np.cumsum(w)]) for w in (np.ones(n), at, at * at, v, at * v, v * v)]
+    i, j = np.arange(n)[:, None], np.arange(n)[None, :]
+    jj = np.maximum(j, i)
+    m, st, stt, sv, stv, svv = (c[jj + 1] - c[i] for c in sums)
+    t0 = at[:, None]
+    # times from the first one of the segment
+    stt, st, stv = stt - 2 * t0 * st + t0 * t0 * m, st - t0 * m, stv - t0 * sv
+    a, b, d = kappa0 + m, st, kappa1 + stt
+    det = a * d - b * b
+    explained = (d * sv * sv - 2 * b * sv * stv + a * stv * stv) / det
+    bn = beta0 + 0.5 * np.maximum(svv - explained, 0.0)
+    an = alpha0 + m / 2.0
+    table = np.array([math.lgamma(alpha0 + k / 2.0) for k in range(n + 1)])
+    ll = (table[m.astype(int)] - math.lgamma(alpha0) + alpha0 * math.log(beta0) - an * np.log(bn)
+          + 0.5 * (math.log(kappa0 * kappa1) - np.log(det)) - 0.5 * m * math.log(2 * math.pi))
+    return np.where(j >= i, ll, -np.inf)
+
+
+def evidence(x: np.ndarray, at: np.ndarray, max_order: int) -> np.ndarray:
+    """log marginal likelihood of every segment, averaged over the orders 0 to ``max_order``."""
+    mu0 = float(np.nanmean(x))
+    level = segment_loglik(x, mu0)
+    if max_order == 0:
+        return level
+    with np.errstate(invalid="ignore"):
+        both = np.logaddexp(level, line_loglik(x, at, mu0)) - math.log(2.0)
+    return np.where(np.isfinite(level), both, -np.inf)
+
+
 def _logsumexp(v: np.ndarray) -> float:
     m = v.max()
     if not np.isfinite(m):
@@ -69,16 +112,22 @@ def _logsumexp(v: np.ndarray) -> float:
     return m + math.log(np.exp(v - m).sum())
 
 
-def changepoint_probability(x: np.ndarray, p: float | None = None) -> np.ndarray:
-    """P(a segment starts at t | x) for t = 0..n-1 (0 at t = 0)."""
+def changepoint_probability(x: np.ndarray, p: float | None = None, max_order: int = 0,
+                            at: np.ndarray | None = None) -> np.ndarray:
+    """P(a segment starts at t | x) for t = 0..n-1 (0 at t = 0).
+
+    ``max_order`` 1 allows lines over the times ``at`` (by default the
+    positions, scaled to 0..1) and needs a series without gaps.
+    """
+    if max_order not in (0, 1):
+        raise ValueError("max_order is 0 (levels) or 1 (lines)")
     n = len(x)
     out = np.zeros(n)
     if n < 2 or np.isnan(x).all():
         return out
     p = p if p is not None else min(0.5, 1.0 / n)
     lp, lq = math.log(p), math.log1p(-p)
-    mu0 = float(np.nanmean(x))
-    L = segment_loglik(x, mu0)
+    L = evidence(x, np.arange(n) / (n - 1.0) if at is None else at, max_order)
     # forward: A[j] = log sum over segmentations of x[0..j-1] ending at j-1
     idx = np.arange(n + 1)
     start_pen = np.where(idx > 0, lp, 0.0)   # a segment after a boundary pays p
@@ -102,14 +151,17 @@ def changepoint_probability(x: np.ndarray, p: float | None = None) -> np.ndarray
     return np.clip(out, 0.0, 1.0)
 
 
-def valid_probability(x: np.ndarray, p: float | None = None, min_sep: int = 1) -> np.ndarray:
+def valid_probability(x: np.ndarray, p: float | None = None, min_sep: int = 1, max_order: int = 0) -> np.ndarray:
     """``changepoint_probability`` over the values that are there; 0 at missing ones.
 
+    Lines run over the places of the whole calendar grid, gaps included.
+
     A change inside a gap so belongs to the first value after it. Of several
     changes less than ``min_sep`` values apart the most probable stays.
     """
     there = ~np.isnan(x)
-    found = changepoint_probability(x[there], p)
+    at = np.arange(len(x))[there] / max(len(x) - 1.0, 1.0)
+    found = changepoint_probability(x[there], p, max_order, at)
     for t in np.lexsort((np.arange(len(found)), -found)):
         if min_sep > 1 and found[t] > 0:
             near = slice(max(0, t - min_sep + 1), t + min_sep)
@@ -125,7 +177,7 @@ PROB_SCHEMA = f"{ID} string, {DATE} date, proba double"
 
 def changepoint_probabilities(rows: DataFrame, value: str, p: float | None = None,
                               partitions: int | None = None, carry: str | None = None,
-                              min_sep: int = 1) -> DataFrame:
+                              min_sep: int = 1, max_order: int = 0) -> DataFrame:
     """``applyInPandas`` over lakes of ``(id, date, value)``; one probability per row.
 
     The task count comes from the input's partitioning by lake: prepare the
@@ -145,7 +197,7 @@ def changepoint_probabilities(rows: DataFrame, value: str, p: float | None = Non
     def per_lake(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DATE)
         x = pdf["v"].to_numpy(dtype=float, na_value=np.nan)
-        out = {ID: pdf[ID].to_numpy(), DATE: pdf[DATE].to_numpy(), "proba": valid_probability(x, p, min_sep)}
+        out = {ID: pdf[ID].to_numpy(), DATE: pdf[DATE].to_numpy(), "proba": valid_probability(x, p, min_sep, max_order)}
         if carry:
             out[carry] = pdf["_carry"].to_numpy(dtype=float, na_value=np.nan)
         return pd.DataFrame(out)
@@ -154,9 +206,11 @@ def changepoint_probabilities(rows: DataFrame, value: str, p: float | None = Non
 
 
 def bayes_breaks(prepared: DataFrame, family: Family, threshold: float = 0.5,
-                 p: float | None = None, min_sep: int = 1) -> DataFrame:
+                 p: float | None = None, min_sep: int = 1, max_order: int = 0) -> DataFrame:
     """Change points with probability above ``threshold``, ranked per lake (D2), ``min_sep`` valid dates apart.
 
+    ``max_order`` 0: segments are levels; 1: a segment may also be a line.
+
     Output: the break columns plus ``break_number`` (1 = most probable) and
     ``proba``; neighbours are calendar neighbours (NULL at the ends).
 
@@ -165,7 +219,7 @@ def bayes_breaks(prepared: DataFrame, family: Family, threshold: float = 0.5,
     (masked water is NULL and skipped), so no second read and no join.
     """
     wn, wa = norm(family.water_col), family.water_col
-    probs = changepoint_probabilities(prepared, wn, p, carry=wa, min_sep=min_sep)
+    probs = changepoint_probabilities(prepared, wn, p, carry=wa, min_sep=min_sep, max_order=max_order)
     w = Window.partitionBy(ID).orderBy(DATE)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = w.rowsBetween(1, Window.unboundedFollowing)

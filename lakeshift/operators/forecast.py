@@ -9,13 +9,18 @@
 ``arima``: grouped numpy kernel through ``applyInPandas``: ARIMA(p, d, 0)
            with p <= 2 and d <= 1 chosen by AIC (conditional least squares),
            non-seasonal. Used where the AR(1) form is too rigid.
-Both need ``min_length`` (3) non-NULL history values, else NULL.
+``arima_ml``: ARIMA(p, d, q) by exact maximum likelihood, differences by the
+           KPSS test, orders by stepwise search (``arima.py``), for batches
+           of series at a time. Used where shocks fade over a few dates,
+           which only moving-average terms describe.
+All need ``min_length`` (3) non-NULL history values, else NULL. A series
+that the kernels cannot handle (values that are not finite) gets NULL and
+the reason in ``forecast_error``; it does not fail the job.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,32 +105,90 @@ def arima_one_step(values: np.ndarray, max_p: int = 2, max_d: int = 1) -> tuple[
     return pred, pred - half, pred + half, f"arima({p},{d},0)"
 
 
-ARIMA_SCHEMA = (f"{ID} string, water_predicted double, water_predicted_lower_90 double, "
-                "water_predicted_upper_90 double, forecast_method string")
-
-
-def arima_forecast(history: DataFrame, value: str, min_length: int = MIN_LENGTH,
-                   partitions: int | None = None, max_p: int = 2, max_d: int = 1) -> DataFrame:
-    """Per-lake forecast through ``applyInPandas`` on ``(id, date, value)`` only.
-
-    The task count comes from the input's partitioning by lake (see
-    ``prepare(..., partitions=...)``); ``partitions`` adds a repartition of the
-    thin frame for inputs not partitioned by lake.
+FORECAST = ("water_predicted", "water_predicted_lower_90", "water_predicted_upper_90")
+FORECASTS = ("ar1", "arima", "arima_ml")
+#: Series that one call of the likelihood kernel takes; bounds its memory.
+BATCH = 512
+
+
+def by_least_squares(series: list[np.ndarray], **orders) -> list[tuple]:
+    return [arima_one_step(s, **orders) for s in series]
+
+
+def by_likelihood(series: list[np.ndarray], **orders) -> list[tuple]:
+    from .arima import one_step
+    found = one_step(series, **orders)
+    names = [f"arima({p},{d},{q})" for p, d, q in zip(found["p"], found["d"], found["q"])]
+    return list(zip(*(found[c].tolist() for c in ("predicted", "lower", "upper")), names))
+
+
+def forecast_rows(series: list[list[float] | None], method: str, min_length: int, orders: dict) -> list[tuple]:
+    """``(predicted, lower, upper, forecast_method, forecast_error)`` of each series; failures stay with their series."""
+    kernel = {"arima": by_least_squares, "arima_ml": by_likelihood}[method]
+    out: list[tuple] = [(None,) * 5] * len(series)
+    fit = []
+    for i, s in enumerate(series):
+        values = np.array(s or [], dtype=float)
+        if len(values) < min_length:
+            continue
+        if not np.isfinite(values).all():
+            out[i] = (None, None, None, None, "values that are not finite")
+        else:
+            fit.append((i, values))
+    for at in range(0, len(fit), BATCH):
+        part = fit[at: at + BATCH]
+        try:
+            found = kernel([v for _, v in part], **orders)
+        except (np.linalg.LinAlgError, FloatingPointError):
+            found = []
+            for _, v in part:  # one by one: the series at fault keeps its error
+                try:
+                    found += kernel([v], **orders)
+                except (np.linalg.LinAlgError, FloatingPointError) as exc:
+                    found.append((None, None, None, None, str(exc)))
+        for (i, _), row in zip(part, found):
+            out[i] = (*row, None) if len(row) == 4 else row
+    return out
+
+
+def forecast_of_series(rows: DataFrame, keys: list[str], method: str = "arima_ml", min_length: int = MIN_LENGTH,
+                       **orders) -> DataFrame:
+    """``keys``, the forecast columns, ``forecast_method`` and ``forecast_error`` of ``rows (keys, series)``.
+
+    ``series`` is an array of values in order of time, bounded by the dates
+    of a panel. The kernel reads Arrow batches; partitioning is kept.
     """
+    import pyarrow as pa
     from ..session import ship_package
-    ship_package(history.sparkSession)
+    ship_package(rows.sparkSession)
+    slim = rows.select(*keys, "series")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keys]
+    schema = ", ".join([*fields, *[f"{c} double" for c in FORECAST], "forecast_method string", "forecast_error string"])
+    names = [*keys, *FORECAST, "forecast_method", "forecast_error"]
+
+    def kernel(batches):
+        for batch in batches:
+            found = forecast_rows(batch.column(len(keys)).to_pylist(), method, min_length, orders)
+            columns = list(zip(*found)) if found else [()] * 5
+            kinds = [pa.float64()] * 3 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(keys)], *[pa.array(c, t) for c, t in zip(columns, kinds)]], names)
+
+    return slim.mapInArrow(kernel, schema)
+
+
+def arima_forecast(history: DataFrame, value: str, min_length: int = MIN_LENGTH, partitions: int | None = None,
+                   method: str = "arima", **orders) -> DataFrame:
+    """Per-lake forecast of the value after the last of ``history``, from ``(id, date, value)`` alone.
+
+    ``orders`` bound the search: ``max_p``, ``max_d`` and, for ``arima_ml``,
+    ``max_q``. The task count comes from the input's partitioning by lake
+    (see ``prepare(..., partitions=...)``); ``partitions`` adds a repartition
+    of the thin frame for inputs not partitioned by lake.
+    """
     slim = history.select(ID, DATE, F.col(value).alias("v")).filter(F.col("v").isNotNull())
     if partitions:
         slim = slim.repartition(int(partitions), ID)
-
-    def per_lake(pdf: pd.DataFrame) -> pd.DataFrame:
-        vals = pdf.sort_values(DATE)["v"].to_numpy(dtype=float)
-        lake = pdf[ID].iloc[0]
-        if len(vals) < min_length:
-            return pd.DataFrame({ID: [lake], "water_predicted": [None], "water_predicted_lower_90": [None],
-                                 "water_predicted_upper_90": [None], "forecast_method": [None]})
-        pred, lo, hi, how = arima_one_step(vals, max_p, max_d)
-        return pd.DataFrame({ID: [lake], "water_predicted": [pred], "water_predicted_lower_90": [lo],
-                             "water_predicted_upper_90": [hi], "forecast_method": [how]})
-
-    return slim.groupBy(ID).applyInPandas(per_lake, schema=ARIMA_SCHEMA)
+    pairs = F.array_sort(F.collect_list(F.struct(DATE, "v")))
+    series = slim.groupBy(ID).agg(F.transform(pairs, lambda s: s["v"]).alias("series"))
+    return forecast_of_series(series, [ID], method, min_length, **orders)

@@ -1,8 +1,8 @@
-"""Lake polygon operations.
+"""Lake polygon operations.
 
 Polygons are ``rings ARRAY<ARRAY<ARRAY<STRUCT<x,y>>>>``; every spatial test
-is a higher-order SQL expression, joins use equality keys (geohash prefix,
-grid cell) followed by an exact refine step.
+is a higher-order SQL expression, joins use equality keys (id, grid cell).
+Points are matched to lakes in ``covering.py``.
 """
 
 from __future__ import annotations
@@ -30,9 +30,41 @@ def check_bbox(west=None, south=None, east=None, north=None) -> None:
         raise ValueError("bbox_south must be <= bbox_north")
 
 
+#: Box columns that the writers add to lakes; Parquet keeps their range per row group.
+BOX = ("minx", "miny", "maxx", "maxy")
+
+
+def with_box(lakes: DataFrame) -> DataFrame:
+    """``lakes`` with the box of each polygon as columns, unless it has them."""
+    if set(BOX) <= set(lakes.columns):
+        return lakes
+    b = bounds(F.col("rings"))
+    return lakes.select("*", *[b[c].alias(c) for c in BOX])
+
+
+def box_meets(west=None, south=None, east=None, north=None) -> Column:
+    """Whether a lake's box meets the given one: plain comparisons of columns, which Parquet prunes by."""
+    tests = [(F.col("maxx") >= F.lit(float(west))) if west is not None else None,
+             (F.col("minx") <= F.lit(float(east))) if east is not None else None,
+             (F.col("maxy") >= F.lit(float(south))) if south is not None else None,
+             (F.col("miny") <= F.lit(float(north))) if north is not None else None]
+    cond = F.lit(True)
+    for t in tests:
+        cond = cond if t is None else cond & t
+    return cond
+
+
 def filter_bbox(lakes: DataFrame, west=None, south=None, east=None, north=None) -> DataFrame:
-    """Lakes whose centroid lies in the box, bounds inclusive, each optional (F1)."""
+    """Lakes whose centroid lies in the box, bounds inclusive, each optional (F1).
+
+    A centroid lies inside its polygon's box, so where the lakes have box
+    columns those outside are passed over first: by row groups in the scan
+    of a table that ``write_lakes`` clustered, row by row otherwise. The
+    exact test reads the polygons of the rest.
+    """
     check_bbox(west, south, east, north)
+    if set(BOX) <= set(lakes.columns):
+        lakes = lakes.filter(box_meets(west, south, east, north))
     cx, cy = F.col("cx"), F.col("cy")
     cond = F.lit(True)
     if west is not None:
@@ -120,52 +152,6 @@ def lonlat_grid(spark, lon_range=(-180.0, 180.0), lat_range=(60.0, 80.0), dlon=1
     return g.distinct() if nx and ny else g.limit(0)
 
 
-def _cell4(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Integer (lon, lat) index of the precision-4 geohash cell (10 bits each)."""
-    qlon = F.floor((lon - F.lit(-180.0)) / F.lit(360.0) * F.lit(1024.0)).cast("int")
-    qlat = F.floor((lat - F.lit(-90.0)) / F.lit(180.0) * F.lit(1024.0)).cast("int")
-    clamp = lambda q: F.least(F.greatest(q, F.lit(0)), F.lit(1023))
-    return clamp(qlon), clamp(qlat)
-
-
-def lake_at_points(points: DataFrame, lakes: DataFrame, lat: str = "lat", lon: str = "lon",
-                   key: str = "point_id") -> DataFrame:
-    """Lake containing each point (J8): ``(key, id_geohash or NULL)``.
-
-    The lake id is its geohash, so candidate lakes are those whose first 4
-    characters name the point's precision-4 cell or one of its 8 neighbours.
-    Both sides are keyed by the integer cell index (the lake's from its id
-    prefix, the point's by arithmetic, neighbours by index +-1 with
-    longitude wrap), an equi join refined inside the join by the lake's
-    bounding box, then by ray casting. First match = smallest id.
-    """
-    from ..functions.geohash import geohash_decode
-    pts = points.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    plon, plat = _cell4(F.col("_lat"), F.col("_lon"))
-    offsets = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"))
-                        for dj in (-1, 0, 1) for di in (-1, 0, 1)])
-    # rows past a pole are dropped (clamping would repeat a cell); the
-    # longitude wrap never repeats one, so no distinct/shuffle is needed
-    probes = (pts.select("*", plon.alias("_qlon"), plat.alias("_qlat"), F.explode(offsets).alias("_o"))
-                 .select(key, "_lat", "_lon",
-                         F.pmod(F.col("_qlon") + F.col("_o.di"), F.lit(1024)).alias("_clon"),
-                         (F.col("_qlat") + F.col("_o.dj")).alias("_clat"))
-                 .filter(F.col("_clat").between(0, 1023)))
-    b = bounds(F.col("rings"))
-    centre = geohash_decode(F.substring(ID, 1, 4))
-    llon, llat = _cell4(centre["lat"], centre["lon"])
-    cand = lakes.select(ID, "rings", llon.alias("_clon"), llat.alias("_clat"),
-                        b["minx"].alias("_minx"), b["maxx"].alias("_maxx"),
-                        b["miny"].alias("_miny"), b["maxy"].alias("_maxy"))
-    cond = ((probes["_clon"] == cand["_clon"]) & (probes["_clat"] == cand["_clat"])
-            & (probes["_lon"] >= cand["_minx"]) & (probes["_lon"] <= cand["_maxx"])
-            & (probes["_lat"] >= cand["_miny"]) & (probes["_lat"] <= cand["_maxy"]))
-    hits = (probes.join(cand, cond, "inner")
-                  .filter(contains(F.col("rings"), F.col("_lon"), F.col("_lat")))
-                  .groupBy(key).agg(F.min(ID).alias(ID)))
-    return pts.select(key).join(hits, key, "left")
-
-
 def _geohash_text(lat: float, lon: float, precision: int) -> str:
     """Driver-side geohash of one literal point (used to build pushed-down filters)."""
     from ..functions.geohash import ALPHABET
@@ -222,6 +208,16 @@ CURVE_HALF_SIDE = 12_500_000.0
 CURVE_BITS = 16
 
 
+def lake_curve(lon: Column, lat: Column) -> Column:
+    """Place of a lake on the curve: its hemisphere, then the Z-order number of its polar projection.
+
+    The southern hemisphere is projected as its mirror image.
+    """
+    xy = polar_xy(lon, F.abs(lat))
+    south = F.when(lat < 0, F.lit(1 << (2 * CURVE_BITS))).otherwise(F.lit(0)).cast("long")
+    return south + curve_key(xy["x"], xy["y"])
+
+
 def curve_key(px: Column, py: Column) -> Column:
     """Z-order number of a projected point: the bits of its two cell numbers in turn."""
     def cell(v: Column) -> Column:
@@ -251,7 +247,7 @@ def spatial_chunks(lakes: DataFrame, size: int, k: int | None = None, seed: int
     xy = polar_xy(F.col("cx"), F.col("cy"))
     pts = shaped.select(ID, xy["x"].alias("px"), xy["y"].alias("py"))
     if k is None:
-        keyed = pts.select(ID, F.lit(0).alias("cluster"), curve_key(F.col("px"), F.col("py")).alias("_curve"))
+        keyed = shaped.select(ID, F.lit(0).alias("cluster"), lake_curve(F.col("cx"), F.col("cy")).alias("_curve"))
         pos = dense_position(keyed, [], ["_curve", ID], "_pos")
     else:
         if k == 1:  # Spark's KMeans needs k >= 2

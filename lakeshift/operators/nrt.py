@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..family import DATE, ID, Family
 from ..functions.numeric import drainage_confidence, interval_text, round_even
-from .forecast import ar1_aggregates, ar1_prediction, arima_forecast
+from .forecast import FORECAST, FORECASTS, ar1_aggregates, ar1_prediction, arima_forecast, forecast_of_series
 from .panel import norm
 
 HIST = ("mean", "median", "std", "min", "max")
@@ -45,11 +45,11 @@ def _hist_stats(c: Column) -> list[Column]:
 
 
 def _finish(df: DataFrame, observed: Column, pred: Column, lower: Column, upper: Column,
-            date_col: Column, is_valid: Column) -> DataFrame:
-    """Rounding order of the reference, confidence, absolutes and interval text."""
+            date_col: Column, is_valid: Column, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rounding order of the reference, confidence, absolutes and interval text; ``extra`` columns pass through."""
     r = lambda c: round_even(c, 4)
     out = df.select(
-        ID, date_col.alias("date"), is_valid.alias("_valid"), F.col("scale"),
+        ID, date_col.alias("date"), is_valid.alias("_valid"), F.col("scale"), *extra,
         r(observed).alias("water_observed"),
         r(pred).alias("water_predicted"),
         r(lower).alias("water_predicted_lower_90"),
@@ -66,15 +66,18 @@ def _finish(df: DataFrame, observed: Column, pred: Column, lower: Column, upper:
         interval_text(F.col("water_predicted_lower_90"), F.col("water_predicted_upper_90"))
         .alias("water_predicted_ci"),
         interval_text(absolute["water_predicted_lower_90_absolute"], absolute["water_predicted_upper_90_absolute"])
-        .alias("water_predicted_ci_absolute"),
-    ).select(ID, *NRT_COLUMNS)
+        .alias("water_predicted_ci_absolute"), *extra,
+    ).select(ID, *NRT_COLUMNS, *extra)
 
 
 def nrt_breaks(prepared: DataFrame, family: Family, analysis_date, period: str = "all",
                keep_nans: bool = False, ids: DataFrame | None = None, forecast: str = "ar1",
-               min_length: int = 3, check_date: bool = True) -> DataFrame:
+               min_length: int = 3, check_date: bool = True, orders: dict | None = None) -> DataFrame:
     """NRT result for one analysis date: id + 24 columns.
 
+    ``forecast`` is ``ar1``, ``arima`` or ``arima_ml``; ``orders`` bounds the
+    search of the latter two (``max_p``, ``max_d``, ``max_q``).
+
     ``prepared`` comes from ``prepare``. Valid lakes (any variable present
     at the date) are returned; with ``keep_nans`` the other lakes too, with
     history statistics only. A date absent from the panel raises
@@ -113,11 +116,10 @@ def nrt_breaks(prepared: DataFrame, family: Family, analysis_date, period: str =
         agg = agg.filter(valid)
     if forecast == "ar1":
         pred, lower, upper = ar1_prediction(min_length)
-    elif forecast == "arima":
-        fc = arima_forecast(rows.filter(F.col("hw").isNotNull()), "hw", min_length)
-        agg = agg.join(fc.drop("forecast_method"), ID, "left")
-        pred, lower, upper = (F.col("water_predicted"), F.col("water_predicted_lower_90"),
-                              F.col("water_predicted_upper_90"))
+    elif forecast in FORECASTS:
+        fc = arima_forecast(rows.filter(F.col("hw").isNotNull()), "hw", min_length, method=forecast, **(orders or {}))
+        agg = agg.join(fc.select(ID, *FORECAST), ID, "left")
+        pred, lower, upper = (F.col(c) for c in FORECAST)
     else:
         raise ValueError(f"unknown forecast {forecast!r}")
     keep = lambda c: F.when(valid, c)
@@ -126,9 +128,15 @@ def nrt_breaks(prepared: DataFrame, family: Family, analysis_date, period: str =
 
 
 def nrt_all_dates(prepared: DataFrame, family: Family, start=None, end=None,
-                  period: str = "all", min_length: int = 3, row_filter: Column | None = None) -> DataFrame:
+                  period: str = "all", min_length: int = 3, row_filter: Column | None = None,
+                  forecast: str = "ar1", orders: dict | None = None, mark_failed: bool = False) -> DataFrame:
     """NRT result of every valid (lake, date) in [start, end] at once.
 
+    ``forecast`` is ``ar1`` (running regression sums), ``arima`` or
+    ``arima_ml`` (one kernel row per analysed lake and date, with the history
+    before it). A forecast that fails, or is not a number, is NULL and leaves
+    the other lakes alone; ``mark_failed`` adds a column ``failed``.
+
     Each row is analysed against the history before it: running window
     aggregates over the lake's rows replace the per-month loop. Work per
     lake is O(n) for sums and O(n^2) only for the running median (series
@@ -174,8 +182,39 @@ def nrt_all_dates(prepared: DataFrame, family: Family, start=None, end=None,
     if end is not None:
         stats = stats.filter(F.col(DATE) <= F.lit(parse_analysis_date(end)).cast("date"))
     stats = stats.filter(F.col("any_value"))
-    pred, lower, upper = ar1_prediction(min_length)
-    return _finish(stats, F.col("wn"), pred, lower, upper, F.col(DATE), F.lit(True))
+    if forecast == "ar1":
+        pred, lower, upper = ar1_prediction(min_length)
+    elif forecast in FORECASTS:
+        fc = forecast_of_series(histories(rows, part, start, end), [ID, DATE], forecast, min_length, **(orders or {}))
+        stats = stats.join(fc.select(ID, DATE, *FORECAST, "forecast_error"), [ID, DATE], "left")
+        pred, lower, upper = (F.col(c) for c in FORECAST)
+    else:
+        raise ValueError(f"unknown forecast {forecast!r}")
+    if not mark_failed:
+        return _finish(stats, F.col("wn"), pred, lower, upper, F.col(DATE), F.lit(True))
+    error = F.col("forecast_error").isNotNull() if forecast != "ar1" else F.lit(False)
+    stats = stats.withColumn("failed", error | F.coalesce(F.isnan(pred), F.lit(False)))
+    good = lambda c: F.when(~F.col("failed"), c)
+    return _finish(stats, F.col("wn"), good(pred), good(lower), good(upper), F.col(DATE), F.lit(True), ("failed",))
+
+
+def histories(rows: DataFrame, part: list, start=None, end=None) -> DataFrame:
+    """``(id, date, series)``: for each analysed row the values before its date, in order of time.
+
+    ``part`` is the history's group: the lake, or the lake and calendar
+    month. Arrays are bounded by the dates of a panel.
+    """
+    asked = F.col("any_value")
+    if start is not None:
+        asked = asked & (F.col(DATE) >= F.lit(parse_analysis_date(start)).cast("date"))
+    if end is not None:
+        asked = asked & (F.col(DATE) <= F.lit(parse_analysis_date(end)).cast("date"))
+    row = F.struct(F.col(DATE).alias("t"), F.col("wn").alias("v"), asked.alias("asked"))
+    keys = [c if isinstance(c, Column) else F.col(c) for c in part]
+    whole = rows.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.array_sort(F.collect_list(row)).alias("s"))
+    each = whole.select(F.col("_k0").alias(ID), "s", F.explode(F.filter("s", lambda x: x["asked"])).alias("at"))
+    earlier = F.filter("s", lambda x: (x["t"] < F.col("at.t")) & x["v"].isNotNull())
+    return each.select(ID, F.col("at.t").alias(DATE), F.transform(earlier, lambda x: x["v"]).alias("series"))
 
 
 def drained(nrt: DataFrame, threshold: float = DRAIN_THRESHOLD) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..family import DW_COLUMNS, ID, JRC_COLUMNS
+from ..session import written
 
 # JRC yearly water classes in code order 0..3.
 JRC_CLASSES = ("area_nodata", "area_land", "area_water_seasonal", "area_water_permanent")
@@ -129,60 +130,53 @@ def scene_dates(scenes: DataFrame) -> DataFrame:
 
 
 def nearest_scene(requests: DataFrame, scenes: DataFrame, key: str = "request_id", at: str = "at",
-                  bucket_seconds: int = 86400) -> DataFrame:
-    """As-of join to the nearest scene on either side.
-
-    Skew-safe and pair-free: time is cut into buckets, so a lake with a
-    third of all rows is still spread over many (lake, bucket) groups.
-
-    1. Inside each (lake, bucket) the unioned requests and scenes are sorted
-       once; the last scene at or before and the first scene at or after each
-       request come from growing-frame ``last``/``first`` windows (the "after"
-       side as a ``last`` over the reversed order, so both are O(n)).
-    2. Requests whose bucket has no scene on one side take the carry-in: the
-       last scene of any earlier bucket / first scene of any later bucket,
-       from a per-(lake, bucket) summary table (one row per bucket holding
-       scenes or requests; bounded by the time span, not by the data).
-    Ties: the earlier scene, then the smaller scene id.
+                  partitions: int | None = None) -> DataFrame:
+    """As-of join to the nearest scene on either side (J9), without pairs.
+
+    Requests and scenes are range-partitioned together by (lake, time) and
+    written once. Inside a partition one pass forward gives each request the
+    last scene before it, one pass backward the first at its time or later.
+    What lies beyond a partition's borders comes from the partitions' first
+    and last scene of each lake, carried over. A lake, or one day of it, with
+    a third of all rows lies in as many partitions as its rows fill.
+
+    Of scenes of one lake and instant the smallest id counts. Ties: the
+    earlier scene. Requests without lake or time, or whose lake has no scene,
+    get NULL.
     """
-    bucket = F.floor(F.unix_seconds(F.col("_t")) / F.lit(bucket_seconds)).cast("long")
-    scene_t = "struct<t:timestamp,s:string>"
-    req = requests.select(ID, F.col(at).alias("_t"), F.col(key).alias("_req"),
-                          F.lit(None).cast(scene_t).alias("_sc"), F.lit(0).alias("_kind"))
-    sc = scenes.select(ID, F.col("time").alias("_t"), F.lit(None).cast(requests.schema[key].dataType).alias("_req"),
-                       F.struct(F.col("time").alias("t"), F.col("scene_id").alias("s")).alias("_sc"),
-                       F.lit(1).alias("_kind"))
-    u = req.unionByName(sc).withColumn("_b", bucket)
-
-    # 1. within (lake, bucket). Equal times: the request sorts before scenes
-    # going forward and after them going backward, so a scene at exactly the
-    # request time counts as "after"; among scenes with equal times the
-    # smallest id is the one seen last in both orders.
-    fwd = Window.partitionBy(ID, "_b").orderBy("_t", "_kind", F.desc("_sc.s"))
-    bwd = Window.partitionBy(ID, "_b").orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_sc.s"))
+    spark = requests.sparkSession
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    kinds = {"_req": requests.schema[key].dataType, "_scene": scenes.schema["scene_id"].dataType}
+    asked = requests.select(ID, F.col(at).alias("_t"), F.col(key).alias("_req"),
+                            F.lit(None).cast(kinds["_scene"]).alias("_scene"), F.lit(0).alias("_kind"),
+                            F.monotonically_increasing_id().alias("_tie"))
+    # one scene per lake and instant, combined before its shuffle
+    offered = (scenes.filter(F.col(ID).isNotNull() & F.col("time").isNotNull())
+               .groupBy(ID, F.col("time").alias("_t")).agg(F.min("scene_id").alias("_scene"))
+               .select(ID, "_t", F.lit(None).cast(kinds["_req"]).alias("_req"), "_scene", F.lit(1).alias("_kind"),
+                       F.lit(0).cast("long").alias("_tie")))
+    ranged = written(asked.union(offered).repartitionByRange(n, ID, "_t", "_kind", "_tie")
+                     .withColumn("_shard", F.spark_partition_id()), "asof")
+
+    scene = F.when(F.col("_kind") == 1, F.struct(F.col("_t").alias("t"), F.col("_scene").alias("s")))
     grow = (Window.unboundedPreceding, 0)
-    inside = (u.withColumn("_before", F.last("_sc", ignorenulls=True).over(fwd.rowsBetween(*grow)))
-               .withColumn("_after", F.last("_sc", ignorenulls=True).over(bwd.rowsBetween(*grow)))
-               .filter(F.col("_kind") == 0))
-
-    # 2. carry-ins from other buckets (summary: one row per lake and bucket)
-    latest_key = F.struct(-F.unix_micros(F.col("_sc.t")), F.col("_sc.s"))
-    earliest_key = F.struct(F.unix_micros(F.col("_sc.t")), F.col("_sc.s"))
-    summary = (u.groupBy(ID, "_b")
-                .agg(F.min_by("_sc", F.when(F.col("_sc").isNotNull(), latest_key)).alias("_last_sc"),
-                     F.min_by("_sc", F.when(F.col("_sc").isNotNull(), earliest_key)).alias("_first_sc")))
-    earlier = Window.partitionBy(ID).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(ID).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (summary.withColumn("_carry_before", F.last("_last_sc", ignorenulls=True).over(earlier))
-                    .withColumn("_carry_after", F.last("_first_sc", ignorenulls=True).over(later))
-                    .select(ID, "_b", "_carry_before", "_carry_after"))
-    r = inside.join(carry, [ID, "_b"], "left")
-    b = F.coalesce(F.col("_before"), F.col("_carry_before"))
-    a = F.coalesce(F.col("_after"), F.col("_carry_after"))
+    order = ["_t", "_kind", "_tie"]  # at equal times the request first: the scene counts as after it
+    forward = Window.partitionBy("_shard", ID).orderBy(*order).rowsBetween(*grow)
+    backward = Window.partitionBy("_shard", ID).orderBy(*map(F.desc, order)).rowsBetween(*grow)
+    inside = (ranged.withColumn("_before", F.last(scene, ignorenulls=True).over(forward))
+              .withColumn("_after", F.last(scene, ignorenulls=True).over(backward)).filter("_kind = 0"))
+
+    ends = ranged.groupBy("_shard", ID).agg(F.max(scene).alias("_last"), F.min(scene).alias("_first"))
+    earlier = Window.partitionBy(ID).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(ID).orderBy(F.desc("_shard")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_shard", ID, F.last("_last", ignorenulls=True).over(earlier).alias("_left"),
+                        F.last("_first", ignorenulls=True).over(later).alias("_right"))
+    r = inside.join(carry, ["_shard", ID], "left")
+    b, a = F.coalesce("_before", "_left"), F.coalesce("_after", "_right")
     db = F.unix_micros(F.col("_t")) - F.unix_micros(b["t"])
     da = F.unix_micros(a["t"]) - F.unix_micros(F.col("_t"))
-    pick_b = a.isNull() | (b.isNotNull() & (db <= da))
-    best = F.when(pick_b, b).otherwise(a)
+    best = F.when(a.isNull() | (b.isNotNull() & (db <= da)), b).otherwise(a)
+    best = F.when(F.col(ID).isNotNull() & F.col("_t").isNotNull(), best)
     return r.select(F.col("_req").alias(key), ID, F.col("_t").alias(at),
                     best["s"].alias("scene_id"), best["t"].alias("scene_time"))
 

@@ -20,8 +20,8 @@ from ..operators.merge import merge_panels
 from ..operators.panel import gap_report
 from ..operators.rolling import rolling
 from ..functions.geohash import geohash_decode, geohash_encode, geohash_label
-from ..operators.geo import (bbox_area_km2, filter_bbox, grid_counts, lake_at_points, split_in_chunks,
-                             total_bounds)
+from ..operators.covering import lake_at_points
+from ..operators.geo import BOX, bbox_area_km2, filter_bbox, grid_counts, split_in_chunks, total_bounds
 from ..operators.views import largest_lakes
 from ..sources.derived import (SQUARE_SIDE, jrc_pixel_table, padded, pixel_table, scene_table, square_corner,
                                square_lakes)
@@ -547,7 +547,45 @@ def q_area_tables(spark, sf_dir):
     return round_output(areas_to_panel(*parts), 6)
 
 
+def q_lakes_in_box(spark, sf_dir):
+    """Lakes written with box columns along the curve, those in a box read back."""
+    from ..sinks.writers import write_lakes
+    from ..sources.readers import read_lakes
+    path = _scratch(spark, "boxed")
+    write_lakes(square_lakes(spark, sf_dir), path, rows_per_group=200)
+    return round_output(lakes_flat(read_lakes(spark, path, bbox=BBOX)), 6)
+
+
+def q_historical_run(spark, sf_dir):
+    """The written historical job, all lakes of the run (D8): a polygon per customer, a panel per supplier, a box."""
+    from ..sinks.writers import write_lakes
+    from .historical import run_historical
+    base = _scratch(spark, "historical")
+    lakes = square_lakes(spark, sf_dir).withColumn(ID, F.concat(F.lit("lk"), padded(F.col("lake_key"))))
+    write_lakes(lakes, f"{base}/lakes", rows_per_group=200)
+    run_historical(planted_panel(spark, sf_dir), spark.read.parquet(f"{base}/lakes"), f"{base}/out", bbox=HIST_BBOX,
+                   all_lakes=True)
+    return round_output(spark.read.parquet(f"{base}/out").drop("rings", *BOX))
+
+
+def q_lake_point_reads(spark, sf_dir):
+    """Thirty lakes looked up by id in a clustered table, and the row groups that a look-up reads."""
+    from ..sinks.writers import cluster_by_key
+    from ..sources.footers import parquet_footers, row_groups_holding
+    path = _scratch(spark, "points")
+    cluster_by_key(square_lakes(spark, sf_dir), path, rows_per_group=2000)
+    lakes = spark.read.parquet(path)
+    # the thirty ids are the question
+    ids = [r[0] for r in lakes.orderBy(F.md5(F.concat(ID, F.lit("42"))), ID).limit(30).select(ID).collect()]
+    touched = row_groups_holding(parquet_footers(spark, [path], key=ID), ids)
+    found = lakes.filter(F.col(ID).isin(ids)).select(ID, "lake_key", "Area_start_ha")
+    return found.join(touched, found[ID] == touched["key"]).drop("key")
+
+
 QUERIES = {
+    "lakes_in_box": q_lakes_in_box,
+    "historical_run": q_historical_run,
+    "lake_point_reads": q_lake_point_reads,
     "panel_io": q_panel_io,
     "lake_lookup": q_lake_lookup,
     "date_lists": q_date_lists,

@@ -80,6 +80,19 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def written(df, name: str):
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    Unlike a checkpoint it keeps columns and pushed filters, so that readers
+    of a part of it read only that part.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def kernel_partitions(spark: SparkSession, partitions: int | None = None) -> int:
     """Task count for CPU-bound grouped pandas kernels.
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 import datetime as dt
 import warnings
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, ByteType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType,
@@ -18,7 +16,9 @@ from pyspark.sql.types import (ArrayType, ByteType, DataType, DateType, DoubleTy
 
 from ..family import DATE, ID, Family, detect_family
 from ..functions.wkb import wkb_to_rings
+from ..operators.geo import BOX, filter_bbox
 from ..operators.panel import clean_nan
+from .footers import parquet_footers
 
 REMOTE_SCHEMES = ("s3://", "s3a://", "gs://", "gcs://", "abfs://", "abfss://", "http://", "https://", "hdfs://")
 
@@ -55,11 +55,15 @@ def read_panel(spark: SparkSession, path: str, family: Family | None = None, fmt
     return clean_nan(df.filter(F.col(ID).isNotNull()), family)
 
 
-def read_lakes(spark: SparkSession, path: str, fmt: str | None = None, order_by_area: bool = False) -> DataFrame:
+def read_lakes(spark: SparkSession, path: str, fmt: str | None = None, order_by_area: bool = False,
+               bbox: dict | None = None) -> DataFrame:
     """Lake polygons (S3): Parquet with ``rings`` or WKB ``geometry``, GeoJSON lines or collections.
 
     Rows with NULL or empty geometry are dropped, largest first on request; a
-    polygon that cannot be parsed fails the job.
+    polygon that cannot be parsed fails the job. ``bbox`` (west, south, east,
+    north, each optional) keeps the lakes whose centroid lies in it; of a
+    table that ``write_lakes`` wrote only the row groups near it are read,
+    and its box columns are not part of the result.
     """
     f = _reader_format(path, fmt)
     if f == "json":
@@ -69,6 +73,8 @@ def read_lakes(spark: SparkSession, path: str, fmt: str | None = None, order_by_
         if "rings" not in df.columns and dict(df.dtypes).get("geometry") == "binary":
             df = wkb_to_rings(df)
     df = df.filter(F.col("rings").isNotNull() & (F.size(F.flatten(F.flatten("rings"))) > 0))
+    if bbox:
+        df = filter_bbox(df, **bbox).drop(*BOX)
     if order_by_area and "Area_start_ha" in df.columns:
         df = df.orderBy(F.desc("Area_start_ha"))
     return df
@@ -124,42 +130,50 @@ def read_lakes_in(lakes: DataFrame, ids: DataFrame) -> DataFrame:
     return lakes.join(ids.select(ID).distinct(), ID, "left_semi")
 
 
-def read_break_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Merge result files (S6): union by name, types widened, empty files passed over.
+def break_file_report(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """What each result file below ``paths`` holds (S6): ``(path, n_rows, fields, id_field, problem)``.
+
+    ``problem`` is NULL for the files that ``read_break_files`` takes.
+    """
+    problem = (F.when(F.col("error").isNotNull(), F.col("error"))
+               .when(F.col("id_field").isNull(), F.lit(f"no column {ID}"))
+               .when(F.col("n_rows") == 0, F.lit("no rows")))
+    return parquet_footers(spark, paths).select("path", "n_rows", "fields", "id_field", problem.alias("problem"))
 
-    Files are grouped by their whole schema and each group is one scan, so
-    thousands of files make a handful of scans. A column whose type differs
-    between groups takes the wider numeric type, or text. Files without an
-    id column and unreadable files are reported and left out; none left is
-    an error.
+
+def read_break_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Merge result files (S6): union by name, types widened.
+
+    One job reads the footers of all files in its tasks; files of one schema
+    then make one scan, so thousands of files make a handful of scans. A
+    column whose type differs between schemas takes the wider numeric type,
+    or text. Files that are unreadable, without rows or without an id column
+    (nor an index of that name) are reported and left out; none left is an
+    error.
     """
-    groups: dict[str, list[str]] = {}
-    schemas: dict[str, StructType] = {}
-    for p in paths:
-        try:
-            schema = spark.read.parquet(p).schema
-        except (PySparkException, Py4JJavaError) as exc:
-            warnings.warn(f"{p} is left out: {str(exc).splitlines()[0]}", stacklevel=2)
-            continue
-        if ID not in schema.names:
-            warnings.warn(f"{p} is left out: it has no column {ID}", stacklevel=2)
-            continue
-        key = schema.json()
-        groups.setdefault(key, []).append(p)
-        schemas[key] = schema
+    groups: dict[tuple, list[str]] = {}
+    # one row per file that the caller lists
+    for r in sorted(break_file_report(spark, paths).collect(), key=lambda r: r.path):
+        if r.problem is not None:
+            warnings.warn(f"{r.path} is left out: {r.problem}", stacklevel=2)
+        else:
+            groups.setdefault((r.fields, r.id_field), []).append(r.path)
     if not groups:
-        raise FileNotFoundError(f"none of {len(paths)} files has a column {ID}")
+        raise FileNotFoundError(f"none of {len(paths)} paths has a file with rows and a column {ID}")
     kinds: dict[str, list] = {}
-    for schema in schemas.values():
-        for f in schema:
+    scans = []
+    for (_, id_field), files in groups.items():
+        schema = spark.read.parquet(files[0]).schema
+        scan = spark.read.schema(schema).parquet(*files)
+        if id_field != ID:
+            scan = scan.withColumnRenamed(id_field, ID)
+        scans.append(scan)
+        for f in scan.schema:
             kinds.setdefault(f.name, []).append(f.dataType)
-    frames = []
-    for key, ps in groups.items():
-        part = spark.read.schema(schemas[key]).parquet(*ps)
-        frames.append(part.select(*[F.col(f"`{c}`").cast(wider(kinds[c])).alias(c) for c in part.columns]))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    out = None
+    for scan in scans:
+        part = scan.select(*[F.col(f"`{c}`").cast(wider(kinds[c])).alias(c) for c in scan.columns])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 

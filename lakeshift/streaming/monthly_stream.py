@@ -22,10 +22,7 @@ from pyspark.sql.types import StructType
 
 from ..family import DATE, ID, Family, detect_family
 from ..operators.nrt import DRAIN_THRESHOLD
-from ..operators.stats import monthly_counts
-from ..plans.nrt_jobs import nrt_range, write_counts
-from ..session import cut_lineage
-from ..sinks.writers import write_nrt_month
+from ..plans.nrt_jobs import drained_or_failed, write_months
 
 
 def batches_path(history_path: str) -> str:
@@ -47,8 +44,9 @@ def read_history(spark: SparkSession, history_path: str) -> DataFrame:
 
 
 def process_batch(batch: DataFrame, history_path: str, out_dir: str, family: Family | None = None,
-                  threshold: float = DRAIN_THRESHOLD, batch_id: int = 0) -> None:
-    """Add batch ``batch_id`` to the history and analyse the months it carries."""
+                  threshold: float = DRAIN_THRESHOLD, batch_id: int = 0, forecast: str = "ar1",
+                  orders: dict | None = None) -> None:
+    """Add batch ``batch_id`` to the history and analyse the months it carries, with any of the forecasts."""
     spark = batch.sparkSession
     family = family or detect_family(batch)
     batch.persist()
@@ -62,20 +60,18 @@ def process_batch(batch: DataFrame, history_path: str, out_dir: str, family: Fam
     finally:
         batch.unpersist()
     panel = read_history(spark, history_path)
-    drained = cut_lineage(nrt_range(panel, months[0], months[-1], family, threshold)
-                          .filter(F.col("analysis_month").isin(months)))
-    write_nrt_month(drained, f"{out_dir}/breaks", months)
-    spine = spark.range(1).select(F.explode(F.array(*[F.lit(m) for m in months])).alias("analysis_month"))
-    write_counts(monthly_counts(drained, spine), f"{out_dir}/counts")
+    write_months(drained_or_failed(panel, months, family, threshold, forecast, orders), months, out_dir)
 
 
 def start_monthly_stream(spark: SparkSession, incoming_dir: str, schema: StructType, history_path: str,
                          out_dir: str, checkpoint: str, family: Family | None = None,
-                         threshold: float = DRAIN_THRESHOLD, available_now: bool = True):
+                         threshold: float = DRAIN_THRESHOLD, available_now: bool = True, forecast: str = "ar1",
+                         orders: dict | None = None):
     """Start the stream; with ``available_now`` it drains the folder and stops."""
     stream = spark.readStream.schema(schema).parquet(incoming_dir)
     writer = (stream.writeStream
-              .foreachBatch(lambda df, epoch: process_batch(df, history_path, out_dir, family, threshold, epoch))
+              .foreachBatch(lambda df, epoch: process_batch(df, history_path, out_dir, family, threshold, epoch,
+                                                              forecast, orders))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")
     return writer.start()

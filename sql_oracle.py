@@ -636,15 +636,32 @@ FROM pairs GROUP BY ALL"""
 
 # --------------------------------------------------------------------------- plans
 
-def historical_breaks(west: float, east: float) -> str:
-    ctes = planted_panel() + f""",{square_rows("supplier")},
- inbox AS (SELECT id_geohash FROM sq WHERE cx >= {west}e0 AND cx <= {east}e0),
+def historical_breaks(west: float, east: float, polygons: str = "supplier") -> str:
+    """Lakes with polygon, panel and centroid in the box. With a polygon per customer the ids are made alike."""
+    squares = square_rows(polygons)
+    if polygons == "customer":
+        squares += f""",
+ sqk AS (SELECT * EXCLUDE (id_geohash), {padded_key("lk", "lake_key")} AS id_geohash FROM sq)"""
+    lakes = "sqk" if polygons == "customer" else "sq"
+    ctes = planted_panel() + f""",{squares},
+ inbox AS (SELECT id_geohash FROM {lakes} WHERE cx >= {west}e0 AND cx <= {east}e0),
  panel_f AS (SELECT * FROM panel WHERE id_geohash IN (SELECT id_geohash FROM inbox))""" + prepared(src="panel_f")
     brk = simple_breaks(ctes, "water")
-    return f"""WITH {square_rows("supplier")}, b AS ({brk})
-SELECT sq.id_geohash, sq.lake_key, sq.Area_start_ha, sq.Area_end_ha, sq.NetChange_ha, sq.NetChange_perc,
+    return f"""WITH {squares}, b AS ({brk}), ids AS (WITH {planted_panel()} SELECT DISTINCT id_geohash FROM panel)
+SELECT l.id_geohash, l.lake_key, l.Area_start_ha, l.Area_end_ha, l.NetChange_ha, l.NetChange_perc,
        b.* EXCLUDE (id_geohash)
-FROM sq LEFT JOIN b ON sq.id_geohash = b.id_geohash WHERE sq.cx >= {west}e0 AND sq.cx <= {east}e0"""
+FROM {lakes} l LEFT JOIN b ON l.id_geohash = b.id_geohash
+WHERE l.cx >= {west}e0 AND l.cx <= {east}e0 AND l.id_geohash IN (SELECT id_geohash FROM ids)"""
+
+
+def padded_key(prefix: str, key: str) -> str:
+    return (f"'{prefix}' || lpad(CAST({key} AS VARCHAR), CAST(greatest(length(CAST({key} AS VARCHAR)), 6) AS INTEGER), "
+            "'0')")
+
+
+def lake_point_reads() -> str:
+    return f"""WITH {square_rows()}
+SELECT id_geohash, lake_key, Area_start_ha, 1 AS n_groups FROM sq ORDER BY md5(id_geohash || '42'), id_geohash LIMIT 30"""
 
 
 def gridded_nrt(d: str, dlon: float, dlat: float) -> str:
@@ -866,6 +883,10 @@ ORACLE: dict[str, str] = {
     "nearest_scene": nearest_scene_sql(),
     "historical_breaks": rounded(historical_breaks(-164.9, -164.3),
                                  BREAK_DOUBLES + ["Area_start_ha", "Area_end_ha", "NetChange_ha", "NetChange_perc"]),
+    "historical_run": rounded(historical_breaks(-164.9, -164.3, "customer"),
+                              BREAK_DOUBLES + ["Area_start_ha", "Area_end_ha", "NetChange_ha", "NetChange_perc"]),
+    "lakes_in_box": rounded(bbox_filter(-164.5, 61.0, -160.0, 63.0), LAKE_DOUBLES, 6),
+    "lake_point_reads": lake_point_reads(),
     "gridded_nrt": rounded(gridded_nrt("2019-06-01", 0.5, 1.0), NRT_DOUBLES + ["cell_lon", "cell_lat"]),
     "clustered_roundtrip": rounded(square_lakes(), LAKE_DOUBLES, 6),
     "month_files_roundtrip": rounded(range_drained("2018-01-01", "2021-12-01"), NRT_DOUBLES),
