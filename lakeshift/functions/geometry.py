@@ -217,9 +217,37 @@ def centroid_area_arrays(rings_arr):
     return cx, cy, area
 
 
+def box_arrays(rings_arr):
+    """Vectorised (minx, miny, maxx, maxy) for a pyarrow ``rings`` column (NaN when empty)."""
+    import numpy as np
+    x, y, vert_off, ring_row, _, n_rows = _ring_arrays(rings_arr)
+    vrow = ring_row[np.repeat(np.arange(len(vert_off) - 1), np.diff(vert_off))]  # ascending
+    rows, start = np.unique(vrow, return_index=True)
+    out = np.full((4, n_rows), np.nan)
+    if len(rows):
+        out[:, rows] = [np.minimum.reduceat(x, start), np.minimum.reduceat(y, start),
+                        np.maximum.reduceat(x, start), np.maximum.reduceat(y, start)]
+    return out
+
+
 _SHAPE: dict = {}
 
 
+def box_of(rings: Column) -> Column:
+    """``struct(minx, miny, maxx, maxy)`` as ``bounds``, through an Arrow UDF: evaluated once
+    however many expressions read it, where the SQL form would be repeated in each."""
+    import numpy as np
+    from ..session import ship_to_active
+    ship_to_active()
+    if "box" not in _SHAPE:
+        @F.arrow_udf("minx double, miny double, maxx double, maxy double")
+        def box(arr: pa.Array) -> pa.Array:
+            found = [pa.array(np.where(np.isnan(v), None, v), type=pa.float64()) for v in box_arrays(arr)]
+            return pa.StructArray.from_arrays(found, names=["minx", "miny", "maxx", "maxy"])
+        _SHAPE["box"] = box
+    return _SHAPE["box"](rings)
+
+
 def shape_of(rings: Column) -> Column:
     """``struct(cx, cy, area_deg2)`` through an Arrow UDF: vectorised numpy over the
     flattened vertex buffers of each batch. Only ``rings`` travels to Python, and

@@ -49,7 +49,7 @@ def box_level(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     level = F.lit(len(SIZES) - 1)
     for i in reversed(range(len(SIZES) - 1)):
         level = F.when(side <= F.lit(SIZES[i]), F.lit(i)).otherwise(level)
-    return level
+    return F.when(side.isNotNull(), level)
 
 
 def size_of(level: Column) -> Column:
@@ -57,9 +57,8 @@ def size_of(level: Column) -> Column:
 
 
 def covering(lakes: DataFrame) -> DataFrame:
-    """``lakes`` with box columns, plus ``level`` and the array ``cells``; lakes without a box are left out."""
-    box = [F.col(c) for c in BOX]
-    lakes = lakes.filter(F.col("minx").isNotNull()).withColumn("level", box_level(*box))
+    """``lakes`` with box columns, plus ``level`` and the array ``cells``, both NULL for lakes without a box."""
+    lakes = lakes.withColumn("level", box_level(*[F.col(c) for c in BOX]))
     size = size_of(F.col("level"))
     xs = F.sequence(cell_number(size, F.col("minx")), cell_number(size, F.col("maxx")))
     ys = F.sequence(cell_number(size, F.col("miny")), cell_number(size, F.col("maxy")))
@@ -89,7 +88,8 @@ def lake_at_points(points: DataFrame, lakes: DataFrame, lat: str = "lat", lon: s
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     pts = points.select(key, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
     boxed = with_box(lakes)
-    levels = sorted(r[0] for r in covering(boxed).select("level").distinct().collect())  # at most one per size
+    used = covering(boxed).select("level").distinct().collect()  # at most one per size
+    levels = sorted(r.level for r in used if r.level is not None)
     if not levels:
         return pts.select(key, F.lit(None).cast("string").alias(ID))
     cells = [cell_key(F.lit(i), cell_number(F.lit(SIZES[i]), F.col("_lon")), cell_number(F.lit(SIZES[i]), F.col("_lat")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..family import ID
-from ..functions.geometry import bounds, contains, polar_xy, vertices, with_shape_columns
+from ..functions.geometry import bounds, box_of, contains, polar_xy, vertices, with_shape_columns
 
 
 def with_centroid(lakes: DataFrame) -> DataFrame:
@@ -38,8 +38,8 @@ def with_box(lakes: DataFrame) -> DataFrame:
     """``lakes`` with the box of each polygon as columns, unless it has them."""
     if set(BOX) <= set(lakes.columns):
         return lakes
-    b = bounds(F.col("rings"))
-    return lakes.select("*", *[b[c].alias(c) for c in BOX])
+    boxed = lakes.withColumn("_box", box_of(F.col("rings")))
+    return boxed.select(*lakes.columns, *[F.col("_box")[c].alias(c) for c in BOX])
 
 
 def box_meets(west=None, south=None, east=None, north=None) -> Column:
