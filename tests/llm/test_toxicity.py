@@ -125,4 +125,5 @@ def test_best_cut():
     logits = np.array([3.0, 2.0, 1.0, 0.0, -1.0])
     assert toxicity.best_cut(logits, np.array([1, 1, 0, 0, 0])) == 1.5
     assert toxicity.best_cut(logits, np.array([1, 0, 1, 0, 0])) == 0.5
+    assert toxicity.best_cut(logits, np.array([1, 1, 0, 0, 0]), near=0.8) == 1.0  # cuts at 1.5 and 0.5
     assert toxicity.best_cut(logits, np.zeros(5, int)) == 0.0 and toxicity.best_cut(logits[:0], np.zeros(0, int)) == 0.0
