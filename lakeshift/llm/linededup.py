@@ -1,21 +1,26 @@
 """Line dedup: repeated runs of lines found by winnowing over line hashes.
 
-A *run* is a minimal sequence of consecutive lines that has at least
-``min_words`` words; lines without a word do not count. One run starts at
-each line and one ends at each line, as far as the document goes.
-
-1. Winnowing: each run selects its smallest line hash as fingerprint. Two
-   equal runs select the same one, wherever they stand, so that a passage of
-   ``min_words`` words or more cannot be repeated without a repeated
-   fingerprint.
-2. Positions: a fingerprint that stands at one position of the corpus only
-   is dropped with its runs. Runs of the others are matched by fingerprint
-   and 128 bits over all their lines, in groups and never in pairs, so that
-   a line which a third of the corpus shares costs one row per occurrence.
-3. Extension: runs that start inside a repeated passage extend a match to
-   the right, runs that end inside it extend it to the left; their union is
-   the whole passage down to its last line.
-4. Deletion: all lines of a run that occurs earlier in the corpus, in the
+A *window* is the shortest sequence of consecutive lines from a given line on
+that has at least ``min_words`` words; lines without a word do not count. Each
+line starts one, as far as the document goes.
+
+1. **Winnow.** Each window selects its smallest line hash, the last one where
+   it has several. Neighbouring windows mostly select the same line, so the
+   selected positions are fewer than the lines. Equal windows select the same
+   line wherever they stand: a passage of ``min_words`` words or more cannot
+   be repeated without a repeated fingerprint.
+2. **Join positions.** The table of positions has a row per selected line,
+   with its fingerprint and the windows that selected it. Positions whose
+   fingerprint stands nowhere else are dropped. The windows of the others are
+   matched by fingerprint and 128 bits over their lines, in groups and never
+   in pairs, so that a line which a third of the corpus shares costs one row
+   per occurrence.
+3. **Extend.** The windows around a position reach to the left as far as the
+   passage goes, as each of its lines starts one. To the right a repeated
+   window grows line by line while what follows its first line has fewer than
+   ``min_words`` words (beyond, the next window takes over), and each longer
+   run is matched in the same way, among repeated windows alone.
+4. **Delete.** All lines of a run that occurs earlier in the corpus, in the
    order of (id, text hash, line number), are deleted. The first occurrence
    stays, and with it a run that overlaps it in the same document.
 
@@ -52,44 +57,78 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .agg(*[F.first(c).alias(c) for c in ("words", "h1", "h2")]))
 
 
-def runs(lines: DataFrame, min_words: int = 50) -> DataFrame:
-    """The minimal runs: ``(id, hash, first, last, print, at, k1, k2)``.
+def windows(lines: DataFrame, min_words: int = 50) -> DataFrame:
+    """``(id, hash, first, last, at, print, k1, k2, more)``: the window that starts at each line.
 
-    ``print`` is the run's fingerprint and ``at`` the line where it stands;
-    ``k1``, ``k2`` hash all lines of the run.
+    ``at`` is the line it selects and ``print`` that line's hash; ``k1``,
+    ``k2`` hash all its lines; ``more`` has the lines by which it may grow.
     """
     doc = Window.partitionBy("id", "hash").orderBy("line")
     placed = (lines.withColumn("after", F.sum("words").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("before", F.col("after") - F.col("words")))
-    forward = Window.partitionBy("id", "hash").orderBy("before").rangeBetween(0, min_words - 1)
-    backward = Window.partitionBy("id", "hash").orderBy("after").rangeBetween(1 - min_words, 0)
-
-    def run(over):
-        return F.struct(F.min("line").over(over).alias("first"), F.max("line").over(over).alias("last"),
-                        F.sum("words").over(over).alias("n"), F.min(F.struct("h1", "line")).over(over).alias("low"),
-                        F.collect_list("h1").over(over).alias("l1"), F.collect_list("h2").over(over).alias("l2"))
-
-    both = (placed.select("id", "hash", run(forward).alias("f"), run(backward).alias("b"))
-            .select("id", "hash", F.explode(F.array("f", "b")).alias("r")).filter(F.col("r.n") >= min_words))
-    return both.select("id", "hash", "r.first", "r.last", F.col("r.low.h1").alias("print"),
-                       F.col("r.low.line").alias("at"), F.xxhash64("r.l1").alias("k1"), F.xxhash64("r.l2").alias("k2"))
-
-
-def repeated(found: DataFrame) -> DataFrame:
-    """``(id, hash, first, last)`` of the runs that occur earlier in the corpus."""
-    found = stored(found, "runs")
-    place = F.struct("id", "hash", "at")
-    seeds = (found.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-             .filter("low <> high").select("print"))
-    matched = stored(found.join(seeds, "print", "left_semi"), "matched")
+    over = Window.partitionBy("id", "hash").orderBy("before").rangeBetween(0, min_words - 1)
+    beyond = Window.partitionBy("id", "hash").orderBy("after").rangeBetween(0, min_words - 1)
+    low = F.min(F.struct("h1", (-F.col("line")).alias("up"))).over(over)
+    found = placed.select(
+        "id", "hash", F.col("line").alias("first"), F.max("line").over(over).alias("last"),
+        F.sum("words").over(over).alias("n"), low.alias("low"), F.collect_list("h1").over(over).alias("l1"),
+        F.collect_list("h2").over(over).alias("l2"),
+        F.collect_list(F.struct("line", "h1", "h2")).over(beyond).alias("near")).filter(F.col("n") >= min_words)
+    return found.select("id", "hash", "first", "last", (-F.col("low.up")).alias("at"), F.col("low.h1").alias("print"),
+                        F.xxhash64("l1").alias("k1"), F.xxhash64("l2").alias("k2"),
+                        F.filter("near", lambda x: x["line"] > F.col("last")).alias("more"))
+
+
+def positions(found: DataFrame) -> DataFrame:
+    """``(id, hash, at, print, windows)``: the selected lines; uses the partitioning by document."""
+    window = F.struct("first", "last", "k1", "k2", "more")
+    return found.groupBy("id", "hash", "at", "print").agg(F.collect_list(window).alias("windows"))
+
+
+def earlier(runs: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of ``runs (id, hash, first, last, key, ...)`` those whose key stands more than once, and of
+    these those that occur earlier in the corpus."""
     start = F.struct("id", "hash", "first", "last")
-    earliest = (matched.groupBy("print", "k1", "k2").agg(F.min(start).alias("low"), F.max(start).alias("high"))
+    earliest = (runs.groupBy(*key).agg(F.min(start).alias("low"), F.max(start).alias("high"))
                 .filter("low <> high").drop("high"))
     earliest = stored(earliest, "earliest")  # so that a hot run is split in the join
+    several = runs.join(earliest, key)
     # a run that overlaps the first occurrence is part of what stays
     overlaps = (F.col("id").eqNullSafe(F.col("low.id")) & (F.col("hash") == F.col("low.hash"))
                 & (F.col("first") <= F.col("low.last")))
-    return (matched.join(earliest, ["print", "k1", "k2"]).filter(~overlaps).select("id", "hash", "first", "last"))
+    return several, several.filter(~overlaps).select("id", "hash", "first", "last")
+
+
+def grown(several: DataFrame) -> DataFrame:
+    """``(id, hash, first, last, k1, k2)``: repeated windows with one or more of the lines after them."""
+    def key(own: str, name: str):
+        return lambda x, i: F.xxhash64(F.col(own), F.transform(F.slice("more", 1, i + 1), lambda y: y[name]))
+
+    longer = F.arrays_zip(F.transform("more", lambda x: x["line"]).alias("last"),
+                          F.transform("more", key("k1", "h1")).alias("k1"),
+                          F.transform("more", key("k2", "h2")).alias("k2"))
+    return several.filter(F.size("more") > 0).select("id", "hash", "first", F.inline(longer))
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """``(id, hash, first, last)`` of the runs that occur earlier in the corpus; ``found`` are positions."""
+    found = stored(found, "positions")
+    # one row per print and task before the shuffle; stored, so that a hot print is split in the join
+    seeds = stored(found.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "prints")
+    matched = (found.join(seeds, "print", "left_semi")
+               .select("id", "hash", "print", F.inline("windows")))
+    several, later = earlier(stored(matched, "matched"), ["print", "k1", "k2"])
+    _, extended = earlier(stored(grown(several), "grown"), ["k1", "k2"])
+    return later.union(extended)
+
+
+def disjoint(spans: DataFrame) -> DataFrame:
+    """``(id, hash, first, last)``: the lines of ``spans``, each in one span only."""
+    longest = spans.groupBy("id", "hash", "first").agg(F.max("last").alias("last"))
+    before = Window.partitionBy("id", "hash").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max("last").over(before), F.lit(-1))
+    rest = longest.select("id", "hash", F.greatest("first", covered + 1).alias("first"), "last")
+    return rest.filter("first <= last")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -97,9 +136,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Columns of those two names that ``docs`` already has are replaced.
     """
-    later = repeated(runs(line_table(docs, id_col, text_col), min_words))
-    cuts = (later.groupBy("id", "hash")
-            .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("cut"))
+    later = repeated(positions(windows(line_table(docs, id_col, text_col), min_words)))
+    cuts = (disjoint(later).groupBy("id", "hash").agg(F.flatten(F.collect_list(F.sequence("first", "last"))).alias("cut"))
             .withColumnsRenamed({"id": "cut_id", "hash": "cut_hash"}))
     cuts = stored(cuts, "cuts")
     text = F.col(text_col).cast("string")

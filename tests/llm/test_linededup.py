@@ -1,6 +1,8 @@
 """Line dedup against brute force and its SQL twin."""
 import random
 
+from pyspark.sql import functions as F
+
 from lakeshift.llm import linededup, queries
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +58,51 @@ def test_random_documents_match_brute_force(spark):
     assert all(r["cut"] == "c" for r in got.values())
 
 
+def test_positions_are_sparse_and_carry_the_windows(spark):
+    """Neighbouring windows select the same line, and every window hangs on the position that it selected."""
+    lines = linededup.line_table(spark.read.parquet(f"{SF}/documents.parquet")).cache()
+    found = linededup.windows(lines).cache()
+    placed = linededup.positions(found).collect()
+    assert len(placed) < 0.75 * found.count() and len(placed) < 0.75 * lines.count()
+    assert sum(len(r.windows) for r in placed) == found.count()
+    assert all(w.first <= r["at"] <= w.last for r in placed for w in r.windows)
+    hashes = {(r.id, r.hash, r.line): r.h1 for r in lines.collect()}
+    assert all(hashes[r.id, r.hash, r["at"]] == r.print for r in placed)
+
+
+def test_matches_come_through_the_fingerprints(spark, monkeypatch):
+    """Windows that select lines by anything but their content are not matched."""
+    passage = "\n".join(f"line {k} of the passage has some words here" for k in range(9))
+    docs = [(1, f"own\n{passage}"), (2, f"other one\nand two\n{passage}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sum(r.n_cut for r in linededup.dedup_lines(frame).collect()) == 9
+    by_content = linededup.windows
+
+    def by_place(lines, min_words):
+        return by_content(lines, min_words).withColumn("print", F.xxhash64("id", "first"))
+    monkeypatch.setattr(linededup, "windows", by_place)
+    assert sum(r.n_cut for r in linededup.dedup_lines(frame).collect()) == 0
+
+
+def test_growth_to_the_right(spark):
+    """A short line after the last whole window is cut where any earlier text goes on with it."""
+    base = "\n".join(" ".join(f"w{k}x{i}" for i in range(10)) for k in range(5))
+    docs = [(1, base), (2, f"{base}\nshort end"), (3, f"{base}\nshort end\nmore"), (4, f"x\n{base}\nother end")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame).collect()}
+    # no document before 2 has the end; without its first line, the passage of 3 has too few words to start anew
+    assert got == {1: base, 2: "short end", 3: "more", 4: "x\nother end"}
+    want, _ = brute(docs, 50)
+    assert [got[i] for i, _ in docs] == want
+    # a first line of 2 words: what follows it holds 50 words with the short end, so that the run starts anew there
+    longer = "two words\n" + base
+    docs = [(1, longer), (2, f"{longer}\nshort end"), (3, f"{longer}\nshort end\nmore"), (4, f"{base}\nshort end")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame).collect()}
+    want, _ = brute(docs, 50)
+    assert [got[i] for i, _ in docs] == want
+
+
 def test_passage_of_several_lines_is_cut_whole(spark):
     passage = "\n".join(f"line {k} of the passage has some words here" for k in range(9)) + "\nshort end"
     docs = [(1, f"own start\n{passage}\nown end"), (2, f"other\n\n{passage}\n\nlast"), (3, passage), (4, "line 1"), (5, passage[:40])]
