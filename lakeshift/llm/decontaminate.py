@@ -2,30 +2,39 @@
 
 Texts are lower-cased in A-Z, ASCII punctuation counts as white space, and
 words are shingled by five. Windows of an item's length slide over every
-document, an eighth of that length at a time (at least one shingle), with one
-more at the document's start and end; item lengths within a twentieth of one
-another share their windows. A shorter document is one window as a whole.
+document from its first shingle on, an eighth of that length at a time (at
+least one shingle), with one more at its end; item lengths within a twentieth
+of one another share their windows. A shorter document is one window as a
+whole. A document's windows are its own, whatever stands in its batch.
 
 * Fingerprints: a window's 64-bit SimHash is the majority, bit by bit, of its
   shingles' hashes. Running sums of the bits give all windows of a length in
   one pass.
-* Multi-index: fingerprints are cut into four blocks of 16 bits. Within
-  ``max_bits`` = 15 bits some block differs in at most three, so that items
-  are entered, per length and block, under all values up to three flips away,
-  and one look-up a block finds every pair within the radius.
+* Multi-index: fingerprints are cut into six blocks of 11 or 10 bits. Within
+  ``max_bits`` = 15 bits some block differs in at most two, so that items are
+  entered, per length and block, under all values up to two flips away (402
+  entries of two bytes an item), and one look-up a block finds every pair
+  within the radius.
 * Verification: for each pair, the weighted Jaccard similarity of the two
   bags of shingles (each with the number of times it occurs) is computed at
   every alignment between the window and its neighbours; 0.8 or more is a
-  match. An item is reported once per document, at its best place.
+  match. An item is reported once per document, at its best place (the first
+  of several).
+
+What is not certain is that a copy has a window within the radius; the share
+of pairs found is measured by similarity in ``tests/llm``.
 
 Documents are read once, in batches joined into one array, and nothing of
 them is shuffled. The benchmark is the broadcast side: it is taken in blocks
-of at most ``block_items`` items, each a pass over the documents, so that
-what a task holds is bounded however large the benchmark is.
+of about ``block_items`` items, by hash of id and text, each a pass over the
+documents. A task holds one block's index, under 1 KB an item beside its
+hashes; the driver holds the blocks' hashes (8 bytes a word).
 
 Null and empty texts match nothing; items of fewer than ``min_words`` words
-(five at least, the shingle), NULL ones too, match nothing; equal items are
-reported each; repeated rows are matched each; other columns are not used.
+(five at least, the shingle), NULL ones too, match nothing; equal items under
+several ids are reported each, items without an id as one whose id is NULL;
+repeated rows of documents are matched each; ids may have any type; other
+columns are not used.
 """
 
 from __future__ import annotations
@@ -43,7 +52,8 @@ from pyspark.sql import functions as F
 from lakeshift.session import ship_package
 
 SHINGLE = 5
-BLOCKS, BLOCK_BITS = 4, 16
+#: Widths of the blocks of a fingerprint, from its low bits on.
+WIDTHS = (11, 11, 11, 11, 10, 10)
 #: ASCII punctuation and white space become spaces, A-Z become a-z.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
               for c in range(256))
@@ -87,44 +97,77 @@ def window_size(n: int, ratio: float = 1.1) -> int:
     return max(1, round(ratio ** k))
 
 
-class Index:
-    """Items by window size, each with its fingerprint blocks."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], max_bits: int):
-        self.max_bits = max_bits
-        near = max_bits // BLOCKS
-        flips = np.array([sum(1 << b for b in c) for k in range(near + 1)
-                          for c in itertools.combinations(range(BLOCK_BITS), k)], np.uint16)
-        self.groups: dict[int, tuple] = {}
-        by_size = defaultdict(list)
-        for item_id, hashes in items:
-            by_size[window_size(len(hashes))].append((item_id, hashes))
-        for size, group in sorted(by_size.items()):
-            prints = np.concatenate([majority(bits_of(h).sum(0, dtype=np.int64)[None], np.int64(len(h))) for _, h in group])
-            tables = []
-            for b in range(BLOCKS):
-                value = (prints >> np.uint64(BLOCK_BITS * b)).astype(np.uint16)
-                keys = (value[:, None] ^ flips[None]).ravel()
+def flips(width: int, most: int) -> np.ndarray:
+    """All masks of ``width`` bits with at most ``most`` ones."""
+    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in itertools.combinations(range(width), k)],
+                    np.uint16)
+
+
+class Group:
+    """Items of one window size: fingerprints, block tables, and their shingles as sorted arrays."""
+
+    def __init__(self, numbers: list[int], hashes: list[np.ndarray], max_bits: int):
+        self.numbers, self.max_bits = np.array(numbers, np.int64), max_bits
+        self.prints = np.concatenate([majority(bits_of(h).sum(0, dtype=np.int64)[None], np.int64(len(h))) for h in hashes])
+        self.tables, shift = [], 0
+        kind = np.uint16 if len(hashes) <= 1 << 16 else np.int32
+        for width in WIDTHS:
+            masks = flips(width, max_bits // len(WIDTHS))
+            own = (self.prints >> np.uint64(shift)).astype(np.uint16) & np.uint16((1 << width) - 1)
+            # one mask at a time: the whole table of keys would be many times the index
+            count = np.zeros(1 << width, np.int64)
+            for m in masks:
+                count += np.bincount(own ^ m, minlength=1 << width)
+            start = np.concatenate([[0], np.cumsum(count)])
+            items, at = np.empty(start[-1], kind), start[:-1].copy()
+            for m in masks:
+                keys = own ^ m
                 order = np.argsort(keys, kind="stable")
-                start = np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32)
-                tables.append((np.diff(start) > 0, start, np.repeat(np.arange(len(group)), len(flips))[order]))
-            bags = [Counter(h.tolist()) for _, h in group]
-            self.groups[size] = ([i for i, _ in group], prints, tables, bags)
-
-    def pairs(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                ranked = keys[order]
+                first = np.searchsorted(ranked, ranked)
+                items[at[ranked] + np.arange(len(ranked)) - first] = order
+                at += np.bincount(keys, minlength=1 << width)
+            self.tables.append((np.uint64(shift), np.uint16((1 << width) - 1), start.astype(np.int32), items))
+            shift += width
+        parts = [np.unique(h, return_counts=True) for h in hashes]
+        self.shingles = np.concatenate([u for u, _ in parts])
+        self.times = np.concatenate([n for _, n in parts]).astype(np.int32)
+        self.ends = np.cumsum([len(u) for u, _ in parts])
+        self.kept: dict[int, Counter] = {}
+
+    def bag(self, item: int) -> Counter:
+        """The shingles of an item; those of a few thousand items met last are kept as they are."""
+        if item not in self.kept:
+            if len(self.kept) >= 4096:
+                self.kept.clear()
+            part = slice(self.ends[item - 1] if item else 0, self.ends[item])
+            self.kept[item] = Counter(dict(zip(self.shingles[part].tolist(), self.times[part].tolist())))
+        return self.kept[item]
+
+    def pairs(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) numbers within ``max_bits``."""
-        _, own, tables, _ = self.groups[size]
-        blocks = prints.astype("<u8").view("<u2").reshape(-1, BLOCKS)
         found = [np.zeros(0, np.int64)]
-        for b, (any_item, start, items) in enumerate(tables):
-            hit = np.flatnonzero(any_item[blocks[:, b]])
-            value = blocks[hit, b]
-            lo, n = start[value], start[value.astype(np.int32) + 1] - start[value]
+        for shift, mask, start, items in self.tables:
+            value = (prints >> shift).astype(np.uint16) & mask
+            n = start[value.astype(np.int32) + 1] - start[value]
+            hit = np.flatnonzero(n)
+            lo, n = start[value[hit]], n[hit]
             w = np.repeat(hit, n)
-            i = items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(w))]
-            near = np.bitwise_count(prints[w] ^ own[i]) <= self.max_bits
-            found.append(w[near] * len(own) + i[near])
-        return np.divmod(np.unique(np.concatenate(found)), len(own))
+            i = items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(w))].astype(np.int64)
+            near = np.bitwise_count(prints[w] ^ self.prints[i]) <= self.max_bits
+            found.append(w[near] * len(self.prints) + i[near])
+        return np.divmod(np.unique(np.concatenate(found)), len(self.prints))
+
+
+class Index:
+    """Items by window size."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], max_bits: int):
+        by_size = defaultdict(list)
+        for number, hashes in items:
+            by_size[window_size(len(hashes))].append((number, hashes))
+        self.groups = {size: Group([n for n, _ in group], [h for _, h in group], max_bits)
+                       for size, group in sorted(by_size.items())}
 
 
 def best_alignment(hashes: np.ndarray, bag: Counter, size: int, lo: int, hi: int) -> tuple[float, int]:
@@ -147,41 +190,45 @@ def best_alignment(hashes: np.ndarray, bag: Counter, size: int, lo: int, hi: int
     return best
 
 
+def grid(sizes: np.ndarray, first: np.ndarray, size: int, step: int) -> np.ndarray:
+    """Starts of the windows of ``size`` in joined documents: every ``step`` from each first shingle on, and the last."""
+    fit = np.flatnonzero(sizes >= size)
+    count = (sizes[fit] - size) // step + 1
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    last = fit[(sizes[fit] - size) % step > 0]
+    return np.concatenate([np.repeat(first[fit], count) + step * within, first[last] + sizes[last] - size])
+
+
 def match_batch(docs: list[np.ndarray], index: Index, threshold: float) -> list[tuple[int, int, float, int, int]]:
-    """``(document, item id, similarity, first word, words)`` of every match in a batch."""
+    """``(document, item number, similarity, first word, words)`` of every match in a batch."""
     sizes = np.array([len(d) for d in docs], np.int64)
     if not sizes.sum():
         return []
     first = np.concatenate([[0], np.cumsum(sizes)])
     joined, doc_of = np.concatenate(docs), np.repeat(np.arange(len(docs)), sizes)
-    last = first[1:] - 1
     small = max(index.groups, default=0) < 256  # differences modulo 256 are exact for windows up to 255
     ones = np.zeros((len(joined) + 1, 64), np.uint8 if small else np.uint32)
     np.cumsum(bits_of(joined), axis=0, dtype=ones.dtype, out=ones[1:])
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for size, (ids, _, _, bags) in index.groups.items():
+    for size, group in index.groups.items():
         step = max(1, size // 8)
-        # windows of the whole batch, without those that reach into the next document
-        stop = max(0, len(joined) - size + 1)
-        start = np.arange(0, stop, step)
-        prints = majority(ones[size::step][: len(start)] - ones[:stop:step], np.int64(size))
-        inside = doc_of[start] == doc_of[start + size - 1]
-        # the first and the last window of each document; shorter documents as a whole
-        fit = np.flatnonzero(sizes >= size)
-        edge = np.concatenate([first[fit], last[fit] - size + 1])
+        start = grid(sizes, first, size, step)
+        # documents somewhat shorter than the window, as a whole
         short = np.flatnonzero((sizes >= 0.7 * size) & (sizes < size))
         whole = ones[first[short] + sizes[short]] - ones[first[short]]
-        start = np.concatenate([start[inside], edge, first[short]])
-        prints = np.concatenate([prints[inside], majority(ones[edge + size] - ones[edge], np.int64(size)),
+        prints = np.concatenate([majority(ones[start + size] - ones[start], np.int64(size)),
                                  majority(whole, sizes[short][:, None])])
-        for w, i in zip(*(x.tolist() for x in index.pairs(size, prints))):
-            d, n = int(doc_of[start[w]]), bags[i].total()
+        start = np.concatenate([start, first[short]])
+        for w, i in zip(*(x.tolist() for x in group.pairs(prints))):
+            bag = group.bag(i)
+            d, n, number = int(doc_of[start[w]]), bag.total(), int(group.numbers[i])
             at, end = int(start[w] - first[d]), max(0, int(sizes[d]) - n)
             reach = step + abs(n - size)
             lo, hi = max(0, min(at - reach, end)), min(at + reach, end)
-            similarity, where = best_alignment(docs[d], bags[i], n, lo, hi)
-            if similarity >= threshold and similarity > best.get((d, ids[i]), (0.0,))[0]:
-                best[d, ids[i]] = (similarity, where, min(n, int(sizes[d])) + SHINGLE - 1)
+            similarity, where = best_alignment(docs[d], bag, n, lo, hi)
+            known = best.get((d, number), (0.0, 0))
+            if similarity >= threshold and (similarity, -where) > (known[0], -known[1]):
+                best[d, number] = (similarity, where, min(n, int(sizes[d])) + SHINGLE - 1)
     return [(d, i, *found) for (d, i), found in best.items()]
 
 
@@ -199,15 +246,18 @@ def hits_of(texts: pa.Array, index: Index, threshold: float, batch_shingles: int
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, min_words: int, block_items: int) -> Iterator:
-    """The items of the benchmark, hashed and broadcast, at most about ``block_items`` at a time."""
+    """The items of the benchmark, at most about ``block_items`` at a time: broadcast (ids, numbered hashes)."""
     spark = benchmark.sparkSession
-    items = (benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-             .filter("item is not null and text is not null"))
+    items = (benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
+             .filter("text is not null").distinct())
     blocks = max(1, -(-items.count() // block_items))
     for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        hashed = [(r.item, shingle_hashes(r.text)) for r in part]
-        yield spark.sparkContext.broadcast([(i, h) for i, h in hashed if len(h) >= max(1, min_words - SHINGLE + 1)])
+        part = items.filter(F.pmod(F.xxhash64(F.col("item").cast("string"), "text"), F.lit(blocks)) == block).toArrow()
+        ids = part.column("item").combine_chunks()
+        number: dict = {}  # rows of one id are one item
+        hashed = [(number.setdefault(i, k), shingle_hashes(t)) for k, (i, t) in
+                  enumerate(zip(ids.to_pylist(), part.column("text").to_pylist()))]
+        yield spark.sparkContext.broadcast((ids, [(k, h) for k, h in hashed if len(h) >= max(1, min_words - SHINGLE + 1)]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -216,20 +266,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """``(id, item_id, similarity, first_word, n_words)`` of every item found in a document."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind, item_kind = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
 
     def searched(shared) -> DataFrame:
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, max_bits)
+            ids, items = shared.value
+            index = Index(items, max_bits)
             for batch in batches:
                 hits = hits_of(batch.column(1), index, threshold, batch_shingles)
                 if hits:
                     d, i, s, f, n = zip(*hits)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(d, pa.int64())), pa.array(i, pa.int64()),
+                        [batch.column(0).take(pa.array(d, pa.int64())), ids.take(pa.array(i, pa.int64())),
                          pa.array(s, pa.float64()), pa.array(f, pa.int64()), pa.array(n, pa.int64())],
                         ["id", "item_id", "similarity", "first_word", "n_words"])
-        kind = rows.schema["id"].dataType.simpleString()
-        return rows.mapInArrow(kernel, f"id {kind}, item_id long, similarity double, first_word long, n_words long")
+        return rows.mapInArrow(kernel, f"id {kind}, item_id {item_kind}, similarity double, first_word long, n_words long")
 
     return reduce(DataFrame.union, [searched(b) for b in item_blocks(benchmark, item_col, item_text_col, min_words,
                                                                      block_items)])
@@ -245,7 +296,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         at = rows.columns.index(text_col)
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, max_bits)
+            index = Index(shared.value[1], max_bits)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[d for d, *_ in hits_of(batch.column(at), index, threshold, batch_shingles)]] = False

@@ -4,8 +4,8 @@ import collections
 import pytest
 
 import corpus_pipeline as cp
-from lakeshift.llm import decontaminate as dc
 from lakeshift.llm import quality
+from test_decontaminate import brute as brute_matches
 from test_linededup import brute as brute_lines
 from test_packing import brute_pieces, check_places
 from test_simhash import brute_components, brute_print
@@ -48,14 +48,9 @@ def test_near_duplicate_stage(stages):
 
 
 def test_decontamination_stage(spark, stages):
-    items = [dc.shingle_hashes(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-
-    def leaks(text):
-        hashes = dc.shingle_hashes(text)
-        return any(len(hashes) >= 0.8 * len(i) and dc.best_alignment(
-            hashes, collections.Counter(i.tolist()), len(i), 0, max(0, len(hashes) - len(i)))[0] >= 0.8 for i in items)
-    want = {r.doc_id for r in stages[3][2] if not leaks(r.text)}
-    assert {r.doc_id for r in stages[4][2]} == want
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaks = {d for d, _ in brute_matches([(r.doc_id, r.text) for r in stages[3][2]], items)}
+    assert {r.doc_id for r in stages[4][2]} == {r.doc_id for r in stages[3][2]} - leaks
 
 
 def test_packing_stage(stages):
