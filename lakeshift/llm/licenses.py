@@ -227,29 +227,23 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(rows), kind)))
 
 
-def places(text: Column, pattern: Column) -> Column:
-    """Array of (first, last) word numbers of the matches of ``pattern`` in normalised ``text``."""
+def pieces(text: Column, pattern: Column) -> Column:
+    """``array<(gap, hit)>``: for each match of ``pattern`` in normalised ``text``, the words before and in it."""
     def words(s: Column) -> Column:  # spaces: each match and each gap holds those of its words
         return (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
 
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-
-    def step(state: Column, pair: Column) -> Column:
-        first = state["at"] + words(pair["gap"]) - 1
-        last = first + words(pair["hit"])
-        spot = F.struct(first.alias("first"), last.alias("last"))
-        return F.struct((state["at"] + words(pair["gap"]) + words(pair["hit"])).alias("at"),
-                        F.concat(state["out"], F.array(spot)).alias("out"))
-
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
-    start = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<struct<first:bigint,last:bigint>>").alias("out"))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    return F.transform(pairs, lambda p: F.struct(words(p["gap"]).alias("gap"), words(p["hit"]).alias("hit")))
 
 
 def detections(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """Every rule's matches: ``(id, hash, rule_id, label, priority, confidence, first, last)``, none suppressed."""
+    """Every rule's matches: ``(id, hash, rule_id, label, priority, confidence, first, last)``, none suppressed.
+
+    Partitioned by document; rows equal in id and text are one document. The
+    places of a rule's matches are running sums over its rows.
+    """
     rules = signature_rules() if rules is None else rules
     spark: SparkSession = docs.sparkSession
     keywords = list(dict.fromkeys(r.keyword for r in rules))
@@ -260,17 +254,19 @@ def detections(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "
     present = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains("norm", k))
     keyed = gated.select("id", "hash", "norm", F.explode(present).alias("keyword"))
     # the rule table is a constant of this module
-    return (keyed.join(F.broadcast(rule_table(spark, rules)), "keyword")
-            .select("id", "hash", "rule_id", "label", "priority", "confidence",
-                    F.explode(places(F.col("norm"), F.col("pattern"))).alias("p"))
-            .select("id", "hash", "rule_id", "label", "priority", "confidence", "p.first", "p.last"))
+    rule = ["rule_id", "label", "priority", "confidence"]
+    found = (keyed.join(F.broadcast(rule_table(spark, rules)), "keyword")
+             .select("id", "hash", *rule, F.posexplode(pieces(F.col("norm"), F.col("pattern"))).alias("at", "p"))
+             .select("id", "hash", *rule, "at", "p.gap", "p.hit"))
+    found = found.repartition("id", "hash").dropDuplicates(["id", "hash", "rule_id", "at"])
+    before = (Window.partitionBy("id", "hash", "rule_id").orderBy("at")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    end = F.sum(F.col("gap") + F.col("hit")).over(before)
+    return found.select("id", "hash", *rule, (end - F.col("hit") - 1).alias("first"), (end - 1).alias("last"))
 
 
 def resolve(found: DataFrame, levels: int = 5) -> DataFrame:
     """``found`` with ``kept``: false where the interval lies inside that of a better detection."""
-    # rows equal in id and text are one document
-    found = (found.repartition("id", "hash")
-             .dropDuplicates(["id", "hash", "rule_id", "label", "priority", "confidence", "first", "last"]))
     doc = Window.partitionBy("id", "hash")
     # before a detection come those that start earlier, and at one start the longer, then the better rule
     order = doc.orderBy("first", F.desc("last"), "priority", "rule_id")

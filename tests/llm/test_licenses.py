@@ -114,3 +114,27 @@ def test_every_spelling_of_a_name_matches_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.id: row(r) for r in licenses.scan(docs).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)} and all(r[5] for r in got.values())
+
+
+def test_many_matches_take_linear_time(spark):
+    """Four times the matches in one row: not much more than four times the time."""
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "mit license and more " * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = licenses.scan(docs).first()
+        took = time.perf_counter() - start
+        assert row.n_base == n and row.first_word == 0 and row.last_word == 4 * (n - 1)
+        return took
+    seconds(1000)
+    few = min(seconds(40_000), seconds(40_000))
+    assert seconds(160_000) <= 6 * max(few, 1.0)
+
+
+def test_places_of_matches(spark):
+    text = "MIT License, mit license; the cc by x GNU General Public License mit  license"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "mit"), (3, None)], "doc_id long, text string")
+    found = licenses.detections(docs)
+    base = sorted((r.id, r.label, r.first, r.last) for r in found.filter("priority = 4").collect())
+    assert base == [(1, "cc-by", 5, 6), (1, "gpl", 8, 11), (1, "mit", 0, 1), (1, "mit", 2, 3), (1, "mit", 12, 13)]
