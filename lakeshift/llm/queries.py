@@ -36,6 +36,18 @@ def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "refers_to", (F.col("digest").eqNullSafe(F.sha1(body)) | revisit).alias("verified"), "error")
 
 
+OP1_SQL = """
+WITH pages AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+seen AS (
+  SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest,
+         max(page_id) OVER (PARTITION BY body) AS latest FROM pages),
+kinds AS (SELECT *, payload_bytes >= 1000 AND latest <> page_id AS again FROM seen)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN latest END AS refers_to, true AS verified, CAST(NULL AS VARCHAR) AS error
+FROM kinds
+"""
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of every document."""
     found = licenses.scan(table(spark, sf_dir, "documents"))
@@ -252,6 +264,7 @@ QUERIES = {
 
 #: DuckDB twins, where SQL can express the whole result.
 ORACLE: dict[str, str] = {
+    "op1_warc_roundtrip": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
     "op11_prefix_trie": OP11_SQL,
     "op12_importance_resampling": OP12_SQL,

@@ -210,9 +210,19 @@ def reassemble(records: DataFrame) -> DataFrame:
     length = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + F.octet_length(b))
     error = (F.when(F.col("error").isNotNull(), F.col("error")).when(~gapless, "segments are missing or repeated")
              .when(F.col("total").isNull() | (F.col("total") != length), "segments and total length differ"))
-    # binary concatenation
-    block = F.aggregate(blocks, F.lit("").cast("binary"), lambda a, b: F.concat(a, b))
-    return whole.unionByName(joined.select(*own, block.alias("block"), error.alias("error")))
+    segmented = joined.select(*own, blocks.alias("blocks"), error.alias("error"))
+    kinds, names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema), whole.columns
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a record at a time: each may be large
+                part = batch.slice(i, 1)
+                columns = {n: part.column(k) for k, n in enumerate(part.schema.names)}
+                block = b"".join(columns.pop("blocks")[0].as_py())  # one copy, however many segments
+                columns["block"] = pa.array([block], pa.binary())
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    return whole.unionByName(segmented.mapInArrow(kernel, kinds))
 
 
 def payloads(records: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ import uuid
 
 import pytest
 
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 from lakeshift.llm import queries, warc
 from lakeshift.session import checkpoint_dir
 
@@ -107,3 +110,23 @@ def test_version_before_any_cut_round_trips(spark, folder):
     assert all(r.error is None for r in got.values())
     assert {i: bytes(r.payload).decode() for i, r in got.items()} == {i: b for i, _, b in rows}
     assert [got[1000 + i].target for i in range(3)] == ["http://a/%57ARC/1.1", "http://a/WARC/1.1/b", "%57ARC/1.1"]
+
+
+def test_large_records_take_linear_time(spark):
+    """A record of many segments is joined in one copy: ten times the bytes, not much more than ten times the time."""
+    import time
+
+    def seconds(megabytes):
+        size = 16384
+        n = (megabytes << 20) // size
+        parts = spark.range(n).selectExpr(
+            "0L as row_id", "'response' as record_type", "'r' as record_id", "'' as target", "null as refers_to",
+            "null as payload_length", "null as digest", "cast(id + 1 as int) as segment", "'r' as origin",
+            f"if(id = {n - 1}, {n * size}L, null) as total", f"cast(repeat(char(97 + id % 26), {size}) as binary) as block",
+            "cast(null as string) as error").select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(warc.PARSED)])
+        start = time.perf_counter()
+        row = warc.reassemble(parts).selectExpr("octet_length(block) as n", "error", "sha1(block) as h").first()
+        assert row.n == n * size and row.error is None
+        return time.perf_counter() - start
+    seconds(2)
+    assert seconds(160) <= 6 * max(seconds(40), 1.0)
