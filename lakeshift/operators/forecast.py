@@ -111,6 +111,35 @@ FORECASTS = ("ar1", "arima", "arima_ml")
 BATCH = 512
 
 
+def by_regression(series: list[np.ndarray]) -> list[tuple]:
+    """The ``ar1`` forecast of each series, as ``ar1_aggregates`` gives it."""
+    out = []
+    for v in series:
+        x, y = v[:-1], v[1:]
+        pred, sigma = float(v[-1]), 0.0
+        sxx = float(((x - x.mean()) ** 2).sum()) if len(x) else 0.0
+        if sxx > 0:
+            sxy, syy = float(((x - x.mean()) * (y - y.mean())).sum()), float(((y - y.mean()) ** 2).sum())
+            slope = sxy / sxx
+            pred = float(y.mean() - slope * x.mean() + slope * v[-1])
+            sse = syy - slope * sxy
+            sigma = 0.0 if len(x) <= 2 or sse <= 1e-12 * syy else float(np.sqrt(sse / len(x)))
+        out.append((pred, pred - Z90 * sigma, pred + Z90 * sigma, "ar1"))
+    return out
+
+
+def stats_of(values: list[float] | None) -> tuple:
+    """Mean, median, sample deviation, minimum and maximum, as the SQL aggregates give them."""
+    v = np.array(values or [], dtype=float)
+    if not len(v):
+        return (None,) * 5
+    return (float(v.mean()), float(np.median(v)), float(v.std(ddof=1)) if len(v) > 1 else None, float(v.min()),
+            float(v.max()))
+
+
+STATS = ("h_mean", "h_median", "h_std", "h_min", "h_max")
+
+
 def by_least_squares(series: list[np.ndarray], **orders) -> list[tuple]:
     return [arima_one_step(s, **orders) for s in series]
 
@@ -124,7 +153,7 @@ def by_likelihood(series: list[np.ndarray], **orders) -> list[tuple]:
 
 def forecast_rows(series: list[list[float] | None], method: str, min_length: int, orders: dict) -> list[tuple]:
     """``(predicted, lower, upper, forecast_method, forecast_error)`` of each series; failures stay with their series."""
-    kernel = {"arima": by_least_squares, "arima_ml": by_likelihood}[method]
+    kernel = {"ar1": by_regression, "arima": by_least_squares, "arima_ml": by_likelihood}[method]
     out: list[tuple] = [(None,) * 5] * len(series)
     fit = []
     for i, s in enumerate(series):
@@ -152,8 +181,9 @@ def forecast_rows(series: list[list[float] | None], method: str, min_length: int
 
 
 def forecast_of_series(rows: DataFrame, keys: list[str], method: str = "arima_ml", min_length: int = MIN_LENGTH,
-                       **orders) -> DataFrame:
-    """``keys``, the forecast columns, ``forecast_method`` and ``forecast_error`` of ``rows (keys, series)``.
+                       stats: bool = False, **orders) -> DataFrame:
+    """``keys``, the forecast columns, ``forecast_method`` and ``forecast_error`` of ``rows (keys, series)``;
+    with ``stats`` also the history's ``h_mean, h_median, h_std, h_min, h_max``.
 
     ``series`` is an array of values in order of time, bounded by the dates
     of a panel. The kernel reads Arrow batches; partitioning is kept.
@@ -163,14 +193,19 @@ def forecast_of_series(rows: DataFrame, keys: list[str], method: str = "arima_ml
     ship_package(rows.sparkSession)
     slim = rows.select(*keys, "series")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keys]
-    schema = ", ".join([*fields, *[f"{c} double" for c in FORECAST], "forecast_method string", "forecast_error string"])
-    names = [*keys, *FORECAST, "forecast_method", "forecast_error"]
+    schema = ", ".join([*fields, *[f"{c} double" for c in FORECAST], "forecast_method string", "forecast_error string",
+                        *[f"{c} double" for c in STATS if stats]])
+    names = [*keys, *FORECAST, "forecast_method", "forecast_error", *(STATS if stats else ())]
 
     def kernel(batches):
         for batch in batches:
-            found = forecast_rows(batch.column(len(keys)).to_pylist(), method, min_length, orders)
-            columns = list(zip(*found)) if found else [()] * 5
+            series = batch.column(len(keys)).to_pylist()
+            found = forecast_rows(series, method, min_length, orders)
             kinds = [pa.float64()] * 3 + [pa.string()] * 2
+            if stats:
+                found = [(*f, *stats_of(s)) for f, s in zip(found, series)]
+                kinds += [pa.float64()] * 5
+            columns = list(zip(*found)) if found else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keys)], *[pa.array(c, t) for c, t in zip(columns, kinds)]], names)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..family import DATE, ID
+from .panel import add_area
 
 # Classes merged into "vegetation" in the long view.
 VEGETATION = ("flooded_vegetation", "grass", "shrub_and_scrub", "trees")
@@ -56,6 +57,24 @@ def relative_percent(long: DataFrame, scale: DataFrame | None = None) -> DataFra
                 .drop("max_area"))
 
 
+def relative_long(panel: DataFrame, group_vegetation: bool = True) -> DataFrame:
+    """A raw panel as ``(id, date, variable, value, value_pct)`` (P6, P8): ``to_long`` with each value's share of
+    the lake's largest total area, which one window adds before the rows are unpivoted."""
+    whole = add_area(panel).drop("area_nodata", "area_data")
+    if group_vegetation:
+        veg = None
+        for c in VEGETATION:
+            veg = F.col(c) if veg is None else veg + F.col(c)
+        whole = whole.withColumn("vegetation", veg)
+        names = ["water", "vegetation", "crops", "built", "bare", "snow_and_ice"]
+    else:
+        names = ["water", "trees", "grass", "flooded_vegetation", "crops", "shrub_and_scrub", "built", "bare",
+                 "snow_and_ice"]
+    pairs = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).alias("value")) for n in names])
+    return whole.select(ID, DATE, "max_area", F.inline(pairs)).select(
+        ID, DATE, "variable", "value", (F.try_divide("value", "max_area") * F.lit(100.0)).alias("value_pct"))
+
+
 def compare_sources(dw_long: DataFrame, jrc_long: DataFrame) -> DataFrame:
     """Both families of the same lakes, tagged by ``source``."""
     return (dw_long.withColumn("source", F.lit("dynamic_world"))

@@ -147,9 +147,8 @@ def q_to_long(spark, sf_dir):
 
 
 def q_relative_percent(spark, sf_dir):
-    panel = ship_panel(spark, sf_dir)
-    scale = prepare(panel, DW, nodata_max=1.0).groupBy(ID).agg(F.max("max_area").alias("max_area"))
-    return round_output(relative_percent(to_long(panel), scale))
+    from ..operators.views import relative_long
+    return round_output(relative_long(ship_panel(spark, sf_dir)))
 
 
 def q_compare_sources(spark, sf_dir):
@@ -582,7 +581,168 @@ def q_lake_point_reads(spark, sf_dir):
     return found.join(touched, found[ID] == touched["key"]).drop("key")
 
 
+def q_grid_cells(spark, sf_dir):
+    """Every cell of a longitude and latitude grid with its number of lakes."""
+    from ..operators.geo import lonlat_grid
+    grid = lonlat_grid(spark, (-166.0, -160.0), (60.0, 66.0), 1.0, 0.5)
+    found = grid_counts(square_lakes(spark, sf_dir), dlon=1.0, dlat=0.5)
+    return (grid.join(found, (grid["lon"] == found["cell_lon"]) & (grid["lat"] == found["cell_lat"]), "left")
+                .select("lon", "lat", F.coalesce("n_lakes", F.lit(0)).alias("n_lakes")))
+
+
+def q_consolidated_months(spark, sf_dir):
+    """A written range consolidated into one table, its drained lakes joined to their polygons."""
+    from ..operators.geo import attach_geometry
+    from .nrt_jobs import consolidate, run_nrt_range
+    out = _scratch(spark, "months")
+    run_nrt_range(planted_panel(spark, sf_dir), "2019-03", "2019-08", out, DW)
+    breaks, counts = consolidate(out, spark, f"{out}/all")
+    lakes = square_lakes(spark, sf_dir, source="supplier").select(ID, "lake_key", "rings")
+    placed = attach_geometry(breaks.select("analysis_month", ID, "water_residual"), lakes, "inner")
+    rows = placed.filter(F.size("rings") > 0).select("analysis_month", ID, "lake_key", "water_residual")
+    return round_output(rows.join(counts, "analysis_month"))
+
+
+def q_request_windows(spark, sf_dir):
+    """Date windows around each order: as many days on both sides, and of a total width (M6)."""
+    from ..operators.pixels import date_window
+    day = F.col("o_orderdate").cast("date")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    each, total = date_window(day, 45, "each"), date_window(day, 45, "total")
+    return o.select("o_orderkey", each["start"].alias("each_start"), each["end"].alias("each_end"),
+                    total["start"].alias("total_start"), total["end"].alias("total_end"))
+
+
+def q_clipped_change(spark, sf_dir):
+    """The change of each lake as a map colours it: missing values filled, then clipped."""
+    from ..functions.numeric import clip_value
+    lakes = square_lakes(spark, sf_dir)
+    shown = F.when(F.col("lake_key") % 4 != 0, F.col("NetChange_ha"))
+    return round_output(lakes.select(ID, clip_value(shown, 0.0, -8.0, 8.0).alias("colour"),
+                                     clip_value(None, 1.5).alias("no_column")))
+
+
+def q_usable_polygons(spark, sf_dir):
+    """Polygons with a third coordinate, some missing or empty: the usable ones, flat."""
+    from ..functions.geometry import drop_z
+    from ..operators.geo import filter_valid_geometry
+    lakes = square_lakes(spark, sf_dir)
+    tall = F.transform("rings", lambda p: F.transform(p, lambda r: F.transform(
+        r, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), F.lit(7.0).alias("z")))))
+    empty = F.array().cast("array<array<array<struct<x:double,y:double,z:double>>>>")
+    odd = F.when(F.col("lake_key") % 10 == 3, None).when(F.col("lake_key") % 10 == 6, empty).otherwise(tall)
+    usable = filter_valid_geometry(lakes.withColumn("rings", odd))
+    return round_output(lakes_flat(usable.withColumn("rings", drop_z(F.col("rings")))), 6)
+
+
+def q_site_values(spark, sf_dir):
+    """The valid dates of one lake, two of its variables as long rows."""
+    from ..operators.panel import site_series
+    from ..operators.views import pick_variables
+    prepared = prepare(planted_panel(spark, sf_dir), DW)
+    series = site_series(prepared, "lk000003", [*DW.classes, "area_nodata"])
+    return round_output(pick_variables(to_long(series), ["water", "bare"]))
+
+
+def q_panel_keys(spark, sf_dir):
+    """Distinct lakes and dates of the ship panel, by year of the date (F16)."""
+    from ..operators.panel import dates, object_ids
+    panel = ship_panel(spark, sf_dir)
+    lakes = object_ids(panel).agg(F.count(F.lit(1)).alias("n"))
+    per_year = dates(panel).groupBy(F.year(DATE).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return per_year.unionByName(lakes.select(F.lit("lakes").alias("key"), "n"))
+
+
+def q_described_panel(spark, sf_dir):
+    """Units and families that a written panel's columns carry, with each variable's total (K8, K1)."""
+    from ..sinks.writers import describe_columns, write_panel
+    path = _scratch(spark, "described")
+    write_panel(describe_columns(ship_panel(spark, sf_dir)), path)
+    back = spark.read.parquet(path)
+    told = [f for f in back.schema if f.metadata.get("unit")]
+    totals = back.agg(*[F.sum(f.name).alias(f.name) for f in told])
+    rows = F.array(*[F.struct(F.lit(f.name).alias("variable"), F.lit(f.metadata["unit"]).alias("unit"),
+                              F.lit(f.metadata["family"]).alias("family"), F.col(f.name).alias("total")) for f in told])
+    return round_output(totals.select(F.inline(rows)))
+
+
+def q_geojson_written(spark, sf_dir):
+    """Polygons and centroid points written as GeoJSON lines and read back (K5, M9, S3)."""
+    from ..functions.geometry import with_shape_columns
+    from ..sinks.writers import write_geojsonseq
+    from ..sources.readers import read_lakes
+    path = _scratch(spark, "geojsonseq")
+    write_geojsonseq(square_lakes(spark, sf_dir), path, props=(ID, "lake_key", "Area_start_ha", "NetChange_perc"))
+    lakes = with_shape_columns(read_lakes(spark, path, fmt="json"))
+    point = "geometry struct<type: string, coordinates: array<double>>, properties struct<id_geohash: string>"
+    points = spark.read.schema(point).json(f"{path}_points").select(
+        F.col("properties.id_geohash").alias("point_id"), F.col("geometry.coordinates")[0].alias("px"),
+        F.col("geometry.coordinates")[1].alias("py"))
+    both = lakes.join(points, lakes[ID] == points["point_id"])
+    return round_output(both.select(ID, "lake_key", "Area_start_ha", "NetChange_perc", "cx", "cy", "area_deg2", "px", "py"), 6)
+
+
+def scene_pixels(spark, sf_dir):
+    """Pixels of imagery scenes from events: ten lakes, a scene per half day, the red band missing where it failed."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_type", "value")
+    half = F.floor(F.hour("ts") / 12).cast("int")
+    lake = F.concat(F.lit("px"), padded(F.col("user_id") % 10))
+    return ev.select(lake.alias(ID),
+                     F.concat_ws("-", lake, F.date_format("ts", "yyyyMMdd"), half.cast("string")).alias("scene_id"),
+                     (F.date_trunc("day", "ts") + F.make_interval(hours=half * 12)).alias("time"),
+                     F.when(F.col("event_type") != "error", F.col("value")).alias("b4"))
+
+
+def q_best_scene_of_pixels(spark, sf_dir):
+    """Per lake and day the scene with the fewest missing red pixels, counted from the pixels."""
+    from ..operators.pixels import best_scene_of_pixels
+    return best_scene_of_pixels(scene_pixels(spark, sf_dir))
+
+
+def line_panel(spark, sf_dir):
+    """A lake per supplier whose water share is a line in time, steeper for some; 48 months."""
+    sup = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    rows = sup.select("k", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("m"))
+    share = F.lit(0.9) - (F.col("m") * (F.col("k") % 5)).cast("double") * F.lit(0.002)
+    return rows.select(F.concat(F.lit("ln"), padded(F.col("k"))).alias(ID),
+                       F.add_months(F.lit("2018-01-01").cast("date"), F.col("m")).alias(DATE), share.alias("share"))
+
+
+def q_forecast_lines(spark, sf_dir):
+    """Series with a known next value: what maximum-likelihood ARIMA forecasts for lines and constants."""
+    from ..operators.forecast import arima_forecast
+    found = arima_forecast(line_panel(spark, sf_dir), "share", method="arima_ml")
+    width = F.col("water_predicted_upper_90") - F.col("water_predicted_lower_90")
+    return round_output(found.select(ID, "water_predicted", width.alias("width")))
+
+
+def q_nrt_arima_ml(spark, sf_dir):
+    """NRT rows with forecasts by maximum likelihood, moving-average terms and unit-root tests."""
+    prepared = _kernel_prepared(spark, sf_dir)
+    return round_output(nrt_breaks(prepared, DW, NRT_DATE, forecast="arima_ml", orders={"max_p": 1, "max_q": 1}))
+
+
+def q_bayes_trend_breaks(spark, sf_dir):
+    """The most probable change of each lake among levels and lines."""
+    from ..operators.bayes import bayes_breaks
+    found = bayes_breaks(_kernel_prepared(spark, sf_dir), DW, min_sep=3, max_order=1)
+    return round_output(found.filter("break_number = 1").drop("proba", "break_number"))
+
+
 QUERIES = {
+    "grid_cells": q_grid_cells,
+    "consolidated_months": q_consolidated_months,
+    "request_windows": q_request_windows,
+    "clipped_change": q_clipped_change,
+    "usable_polygons": q_usable_polygons,
+    "site_values": q_site_values,
+    "panel_keys": q_panel_keys,
+    "described_panel": q_described_panel,
+    "geojson_written": q_geojson_written,
+    "best_scene_of_pixels": q_best_scene_of_pixels,
+    "forecast_lines": q_forecast_lines,
+    "nrt_arima_ml": q_nrt_arima_ml,
+    "bayes_trend_breaks": q_bayes_trend_breaks,
     "lakes_in_box": q_lakes_in_box,
     "historical_run": q_historical_run,
     "lake_point_reads": q_lake_point_reads,

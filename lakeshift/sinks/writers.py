@@ -23,12 +23,17 @@ VIEW_PROPERTIES = {"lakes": DEFAULT_TILE_PROPERTIES, "drainage_year": DRAINAGE_Y
 
 
 def write_panel(df: DataFrame, path: str, partition_by_year: bool = True) -> None:
-    """Save a panel, overwriting (K1); partitioned by year for date pruning."""
-    w = df
+    """Save a panel, overwriting (K1); partitioned by year for date pruning.
+
+    Rows are ranged by (year, id): each year is a few files of neighbouring
+    lakes, whatever the number of tasks, and each file is sorted by lake and
+    date (O3).
+    """
     if partition_by_year:
-        w = df.withColumn("year", F.year(DATE))
+        w = df.withColumn("year", F.year(DATE)).repartitionByRange("year", ID, DATE)
         w.sortWithinPartitions("year", ID, DATE).write.mode("overwrite").partitionBy("year").parquet(path)
     else:
+        w = df.repartitionByRange(ID, DATE)
         w.sortWithinPartitions(ID, DATE).write.mode("overwrite").parquet(path)
 
 

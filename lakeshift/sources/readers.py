@@ -7,6 +7,7 @@ Everything is ``spark.read``; Hadoop file systems cover remote paths
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,28 +81,78 @@ def read_lakes(spark: SparkSession, path: str, fmt: str | None = None, order_by_
     return df
 
 
+#: What stands in front of each feature's other members, in files that give a feature's type first.
+MARK = '"Feature"'
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON lines, or of a FeatureCollection on any number of lines.
+    """Features of GeoJSON lines, or of FeatureCollections on any number of lines.
 
-    Only the properties' types are inferred. Coordinates are read as JSON
-    text, whose nesting then depends on each feature's own geometry type.
+    Collections are first split into lines by many tasks (``feature_lines``);
+    one whose features do not give their type first, or that holds the text
+    ``"Feature"`` elsewhere, is read as a whole by one task a file. Only the
+    properties' types are inferred. Coordinates are read as JSON text, whose
+    nesting then depends on each feature's own geometry type.
     """
-    lines = spark.read.json(path).schema
-    collection = "geometry" not in lines.names
-    if collection:
-        lines = spark.read.option("multiLine", "true").json(path).schema["features"].dataType.elementType
-    feature = StructType([StructField("properties", lines["properties"].dataType),
-                          StructField("geometry", StructType([StructField("type", StringType()),
-                                                              StructField("coordinates", StringType())]))])
-    if collection:
-        whole = StructType([StructField("features", ArrayType(feature))])
-        found = (spark.read.schema(whole).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-                 .select(F.explode("features").alias("f")).select("f.*"))
-    else:
-        found = spark.read.schema(feature).option("mode", "FAILFAST").json(path)
+    head = spark.read.option("lineSep", MARK).text(path).head(1)
+    if not head or '"FeatureCollection"' not in head[0].value:
+        return geojson_features_to_lakes(features_of(spark, path, spark.read.json(path).schema))
+    lines = feature_lines(spark, path)
+    if lines is not None:
+        return geojson_features_to_lakes(features_of(spark, lines, spark.read.json(lines).schema))
+    inner = spark.read.option("multiLine", "true").json(path).schema["features"].dataType.elementType
+    whole = StructType([StructField("features", ArrayType(feature_type(inner)))])
+    found = (spark.read.schema(whole).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+             .select(F.explode("features").alias("f")).select("f.*"))
     return geojson_features_to_lakes(found)
 
 
+def feature_type(schema: StructType) -> StructType:
+    return StructType([StructField("properties", schema["properties"].dataType),
+                       StructField("geometry", StructType([StructField("type", StringType()),
+                                                           StructField("coordinates", StringType())]))])
+
+
+def features_of(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(feature_type(schema)).option("mode", "FAILFAST").json(path)
+
+
+def feature_lines(spark: SparkSession, path: str) -> str | None:
+    """The features of the collections under ``path`` as GeoJSON lines: the path of a copy in the shared folder.
+
+    Spark's text reader cuts the files at ``"Feature"``, in byte ranges over
+    many tasks. What follows it, up to the end of the object it stands in, is
+    the feature. None if a piece is no whole feature with a geometry.
+    """
+    import json
+
+    import pyarrow as pa
+    from ..session import checkpoint_dir
+
+    def kernel(batches):
+        decoder = json.JSONDecoder()
+        for batch in batches:
+            out = []
+            for text in batch.column(0):
+                whole = '{"type":"Feature"' + text.as_py()
+                try:
+                    found, end = decoder.raw_decode(whole)
+                except ValueError:
+                    out.append(None)
+                    continue
+                # line ends inside strings are escaped, so these stand between tokens
+                out.append(" ".join(whole[:end].splitlines()) if {"geometry", "properties"} <= found.keys() else None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+    pieces = spark.read.option("lineSep", MARK).text(path)
+    # the piece before the first feature of a file opens the collection; the others go on after the mark
+    head = F.ltrim("value").startswith("{") & F.col("value").contains('"FeatureCollection"')
+    lines = f"{checkpoint_dir(spark).rstrip('/')}/tables/features-{uuid.uuid4().hex}"
+    pieces.filter(~head).mapInArrow(kernel, "value string").fillna("").write.text(lines)
+    broken = spark.read.text(lines).filter(F.col("value") == "").limit(1).count()
+    return None if broken else lines
+
+
 def geojson_features_to_lakes(features: DataFrame) -> DataFrame:
     """Feature rows (``geometry.coordinates`` as JSON text) -> properties and ``rings``."""
     # a polygon is ring -> vertex -> [x, y]; a multi-polygon adds a level

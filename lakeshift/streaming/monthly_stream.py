@@ -1,16 +1,16 @@
 """New months as a file-source stream (T4).
 
 New panel rows (any number of lakes, one or more months) land as Parquet
-files in a folder. Each micro-batch is added to the history table and the
-months it carries are analysed with the range NRT job (one Spark job for all
-months of the batch).
+files in a folder. Each micro-batch is added to the history table, joined to
+the per-lake state of all earlier rows (``lake_state``) and the months it
+carries are analysed, as the range job would analyse them over the whole
+panel. The history is read once, for the state before the first batch.
 
 A batch may be delivered again after a failure. Everything it writes is
-therefore keyed: the history by batch, results and counts by month, and a
-second delivery replaces the first. Rows of one lake and date in several
-batches count once, the latest batch deciding. No streaming state is needed:
-the history table is the state, and the checkpoint folder makes a restart
-resume after the last committed batch.
+therefore keyed: the history and the state by batch, results and counts by
+month, and a second delivery replaces the first. Of rows of one lake and date
+in several batches the latest batch decides. The checkpoint folder makes a
+restart resume after the last committed batch.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql.types import StructType
 
 from ..family import DATE, ID, Family, detect_family
 from ..operators.nrt import DRAIN_THRESHOLD
-from ..plans.nrt_jobs import drained_or_failed, write_months
+from ..plans.nrt_jobs import write_months
+from ..session import written
+from .lake_state import FIRST, analysed, compacted, grouped, merged, state_before, write_version
 
 
 def batches_path(history_path: str) -> str:
@@ -30,14 +32,24 @@ def batches_path(history_path: str) -> str:
     return f"{history_path.rstrip('/')}_batches"
 
 
-def read_history(spark: SparkSession, history_path: str) -> DataFrame:
-    """The first history and all batches, one row per lake and date."""
-    rows = spark.read.parquet(batches_path(history_path))
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        rows = rows.unionByName(spark.read.parquet(history_path).withColumn("batch", F.lit(-1)))
+        return spark.read.parquet(path)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
+        return None
+
+
+def read_history(spark: SparkSession, history_path: str, before: int | None = None) -> DataFrame | None:
+    """The first history and all batches (those below ``before``), one row per lake and date; None without any."""
+    first, later = read_or_none(spark, history_path), read_or_none(spark, batches_path(history_path))
+    if later is not None and before is not None:
+        later = later.filter(F.col("batch") < before)
+    parts = [p for p in (first.withColumn("batch", F.lit(-1)) if first is not None else None, later) if p is not None]
+    if not parts:
+        return None
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     values = [c for c in rows.columns if c not in (ID, DATE, "batch")]
     latest = rows.groupBy(ID, DATE).agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return latest.select(ID, DATE, "v.*")
@@ -59,8 +71,23 @@ def process_batch(batch: DataFrame, history_path: str, out_dir: str, family: Fam
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(batches_path(history_path)))
     finally:
         batch.unpersist()
-    panel = read_history(spark, history_path)
-    write_months(drained_or_failed(panel, months, family, threshold, forecast, orders), months, out_dir)
+    state = state_before(spark, history_path, batch_id)
+    if state is None:
+        state = first_state(spark, history_path, family, batch_id)
+    whole = written(merged(state, grouped(batch, family)), "merged")
+    write_version(compacted(whole), history_path, batch_id)
+    rows = analysed(whole, family, months, forecast, orders)
+    found = written(rows.filter(F.col("failed") | (F.col("water_residual") < F.lit(threshold))), "found")
+    write_months(found, months, out_dir)
+
+
+def first_state(spark: SparkSession, history_path: str, family: Family, batch_id: int) -> DataFrame | None:
+    """The state of the history and of batches before ``batch_id``, written as the first version."""
+    rows = read_history(spark, history_path, before=batch_id)
+    if rows is None:
+        return None
+    write_version(compacted(merged(None, grouped(rows, family))), history_path, FIRST)
+    return state_before(spark, history_path, batch_id)
 
 
 def start_monthly_stream(spark: SparkSession, incoming_dir: str, schema: StructType, history_path: str,

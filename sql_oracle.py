@@ -664,6 +664,74 @@ def lake_point_reads() -> str:
 SELECT id_geohash, lake_key, Area_start_ha, 1 AS n_groups FROM sq ORDER BY md5(id_geohash || '42'), id_geohash LIMIT 30"""
 
 
+def grid_cells() -> str:
+    return f"""WITH n AS ({grid_counts(1.0, 0.5)}),
+ g AS (SELECT -166.0e0 + x AS lon, 60.0e0 + y * 0.5e0 AS lat FROM range(6) a(x), range(12) b(y))
+SELECT lon, lat, coalesce(n_lakes, 0) AS n_lakes FROM g LEFT JOIN n ON n.cell_lon = g.lon AND n.cell_lat = g.lat"""
+
+
+def consolidated_months() -> str:
+    return f"""WITH {square_rows("supplier")}, d AS ({range_drained("2019-03-01", "2019-08-01")}),
+ c AS ({monthly_counts("2019-03-01", "2019-08-01")})
+SELECT d.analysis_month, d.id_geohash, sq.lake_key, d.water_residual, c.drained_lake_count
+FROM d JOIN sq ON sq.id_geohash = d.id_geohash JOIN c ON c.analysis_month = d.analysis_month"""
+
+
+def request_windows() -> str:
+    day = "CAST(o_orderdate AS DATE)"
+    return f"""SELECT o_orderkey, {day} - 45 AS each_start, {day} + 45 AS each_end,
+       {day} - 22 AS total_start, {day} + 23 AS total_end FROM orders"""
+
+
+def clipped_change() -> str:
+    return f"""WITH {square_rows()} SELECT id_geohash,
+       least(greatest(CASE WHEN lake_key % 4 <> 0 THEN NetChange_ha ELSE 0.0e0 END, -8.0e0), 8.0e0) AS colour,
+       1.5e0 AS no_column FROM sq"""
+
+
+def usable_polygons() -> str:
+    return f"WITH {square_rows()} SELECT {LAKE_FLAT} FROM sq WHERE lake_key % 10 NOT IN (3, 6)"
+
+
+def site_values() -> str:
+    return f"""WITH {planted_panel()}{prepared()}
+SELECT * FROM ({long_dw("(SELECT * FROM prep WHERE id_geohash = 'lk000003' AND area_nodata = 0)", True)}) l
+WHERE variable IN ('water', 'bare')"""
+
+
+def panel_keys() -> str:
+    return f"""WITH {ship_panel()}
+SELECT CAST(year(date) AS VARCHAR) AS key, count(DISTINCT date) AS n FROM panel GROUP BY ALL
+UNION ALL SELECT 'lakes', count(DISTINCT id_geohash) FROM panel"""
+
+
+def described_panel() -> str:
+    each = " UNION ALL ".join(f"SELECT '{c}' AS variable, 'ha' AS unit, 'dynamic_world' AS family, sum({c}) AS total "
+                              "FROM panel" for c in DW_COLUMNS)
+    return f"WITH {ship_panel()} {each}"
+
+
+def geojson_written() -> str:
+    half_even = lambda c: f"round_even({c} * 100.0e0, 0) / 100.0e0"
+    return f"""WITH {square_rows()} SELECT id_geohash, lake_key, {half_even("Area_start_ha")} AS Area_start_ha,
+       {half_even("NetChange_perc")} AS NetChange_perc, cx, cy, area_deg2, cx AS px, cy AS py FROM sq"""
+
+
+def best_scene_of_pixels() -> str:
+    lake = padded_key("px", "(user_id % 10)")
+    return f"""WITH p AS (SELECT {lake} AS id_geohash, CAST(ts AS DATE) AS day,
+   {lake} || '-' || strftime(ts, '%Y%m%d') || '-' || CAST(hour(ts) // 12 AS VARCHAR) AS scene_id,
+   event_type = 'error' OR value IS NULL AS gone FROM events),
+ s AS (SELECT id_geohash, day, scene_id, count(*) FILTER (WHERE gone) AS missing_red FROM p GROUP BY ALL)
+SELECT id_geohash, day, arg_min(scene_id, (missing_red, scene_id)) AS scene_id, min(missing_red) AS missing_red
+FROM s GROUP BY ALL"""
+
+
+def forecast_lines() -> str:
+    return f"""SELECT {padded_key("ln", "s_suppkey")} AS id_geohash,
+       0.9e0 - CAST(48 * (s_suppkey % 5) AS DOUBLE) * 0.002e0 AS water_predicted, 0.0e0 AS width FROM supplier"""
+
+
 def gridded_nrt(d: str, dlon: float, dlat: float) -> str:
     ctes = planted_panel() + f""",
  panel_h AS (SELECT * FROM panel WHERE date <= DATE '{d}')""" + prepared(src="panel_h")
@@ -887,6 +955,18 @@ ORACLE: dict[str, str] = {
                               BREAK_DOUBLES + ["Area_start_ha", "Area_end_ha", "NetChange_ha", "NetChange_perc"]),
     "lakes_in_box": rounded(bbox_filter(-164.5, 61.0, -160.0, 63.0), LAKE_DOUBLES, 6),
     "lake_point_reads": lake_point_reads(),
+    "grid_cells": grid_cells(),
+    "consolidated_months": rounded(consolidated_months(), ["water_residual"]),
+    "request_windows": request_windows(),
+    "clipped_change": rounded(clipped_change(), ["colour", "no_column"]),
+    "usable_polygons": rounded(usable_polygons(), LAKE_DOUBLES, 6),
+    "site_values": rounded(site_values(), ["value"]),
+    "panel_keys": panel_keys(),
+    "described_panel": rounded(described_panel(), ["total"]),
+    "geojson_written": rounded(geojson_written(), ["Area_start_ha", "NetChange_perc", "cx", "cy", "area_deg2", "px", "py"], 6),
+    "best_scene_of_pixels": best_scene_of_pixels(),
+    "forecast_lines": rounded(forecast_lines(), ["water_predicted", "width"]),
+    "bayes_trend_breaks": rounded(bayes_first_break(), BREAK_DOUBLES),
     "gridded_nrt": rounded(gridded_nrt("2019-06-01", 0.5, 1.0), NRT_DOUBLES + ["cell_lon", "cell_lat"]),
     "clustered_roundtrip": rounded(square_lakes(), LAKE_DOUBLES, 6),
     "month_files_roundtrip": rounded(range_drained("2018-01-01", "2021-12-01"), NRT_DOUBLES),

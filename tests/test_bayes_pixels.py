@@ -50,7 +50,7 @@ def test_mode_ties_to_smallest_label(spark):
 def test_nearest_scene_brute_force(spark):
     req = scene_requests(spark, SF_SMALL)
     sc = scene_table(spark, SF_SMALL)
-    got = {r.request_id: r.scene_id for r in nearest_scene(req, sc, bucket_seconds=3600).collect()}
+    got = {r.request_id: r.scene_id for r in nearest_scene(req, sc, partitions=7).collect()}
     scenes = sc.collect()
     for r in req.limit(200).collect():
         cands = [(abs((s.time - r["at"]).total_seconds()), s.time, s.scene_id) for s in scenes

@@ -127,3 +127,60 @@ def test_index_named_by_pandas_alone(spark, scratch):
         {"pandas": '{"columns": [{"name": "id_geohash", "field_name": "__index_level_0__"}]}'})
     pq.write_table(table, f"{scratch}/x.parquet")
     assert {r.id_geohash for r in read_break_files(spark, [f"{scratch}/x.parquet"]).collect()} == {"a", "b"}
+
+
+def collection(features, indent=None):
+    import json
+    return json.dumps({"type": "FeatureCollection", "name": "lakes", "features": features}, indent=indent)
+
+
+def feature(k, **extra):
+    ring = [[k, 60.0], [k + 0.5, 60.0], [k + 0.5, 60.5], [k, 60.5], [k, 60.0]]
+    geometry = {"type": "Polygon", "coordinates": [ring]} if k % 2 else {"type": "MultiPolygon", "coordinates": [[ring]]}
+    return {"type": "Feature", "properties": {"id_geohash": f"l{k:05d}", "v": k, "note": "a \"quoted\" {brace", **extra},
+            "geometry": geometry}
+
+
+def flat(df):
+    return sorted((r.id_geohash, r.v, r.note, r.rings[0][0][1].x) for r in df.collect())
+
+
+def test_large_collection_is_split_over_tasks(spark, scratch):
+    import json
+    features = [feature(k) for k in range(4000)]
+    with open(f"{scratch}/one.geojson", "w") as f:
+        f.write(collection(features))
+    with open(f"{scratch}/pretty.geojson", "w") as f:
+        f.write(collection(features, indent=1))
+    with open(f"{scratch}/lines.geojsonl", "w") as f:
+        f.write("\n".join(map(json.dumps, features)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        want = flat(read_lakes(spark, f"{scratch}/lines.geojsonl"))
+        assert len(want) == 4000
+        for name in ("one", "pretty"):
+            found = read_lakes(spark, f"{scratch}/{name}.geojson")
+            assert flat(found) == want
+            size = os.path.getsize(f"{scratch}/{name}.geojson")
+            assert found.rdd.getNumPartitions() >= 8 and size > 8 * 65536
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_collections_that_cannot_be_split(spark, scratch):
+    """Another order of members, or the mark inside a property: read as a whole, with the same result."""
+    features = [feature(k) for k in range(6)]
+    want = flat(read_lakes_of(spark, scratch, "plain", collection(features)))
+    turned = [dict(reversed(f.items())) for f in features]
+    assert flat(read_lakes_of(spark, scratch, "turned", collection(turned))) == want
+    marked = [feature(k, kind="Feature") for k in range(6)]
+    assert flat(read_lakes_of(spark, scratch, "marked", collection(marked))) == want
+    one = flat(read_lakes_of(spark, scratch, "single", collection(features[:1])))
+    assert one == want[:1]
+
+
+def read_lakes_of(spark, scratch, name, text):
+    with open(f"{scratch}/{name}.geojson", "w") as f:
+        f.write(text)
+    return read_lakes(spark, f"{scratch}/{name}.geojson")

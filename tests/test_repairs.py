@@ -152,8 +152,8 @@ def test_resume_reads_only_pending_months(spark, scratch, monkeypatch):
     panel = planted_panel(spark, SF)
     run_nrt_range(panel, "2019-05", "2019-06", scratch, DW)
     asked = []
-    real = nrt_jobs.nrt_range
-    monkeypatch.setattr(nrt_jobs, "nrt_range", lambda p, lo, hi, *a: asked.append((lo, hi)) or real(p, lo, hi, *a))
+    real = nrt_jobs.drained_or_failed
+    monkeypatch.setattr(nrt_jobs, "drained_or_failed", lambda p, months, *a: asked.append((months[0], months[-1])) or real(p, months, *a))
     run_nrt_range(panel, "2019-05", "2019-07", scratch, DW)
     run_nrt_range(panel, "2019-05", "2019-07", scratch, DW)
     assert asked == [("2019-07", "2019-07")]
