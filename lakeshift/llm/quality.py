@@ -8,7 +8,8 @@ fixed number of buckets. A document's score is the mean of
 ``ln p_target - ln p_raw`` over its n-grams, and every document is kept or
 rejected by one fixed threshold on that mean.
 
-Corpus counts shuffle one partial row per bucket and task. The ratios, one
+Corpus counts shuffle one partial row per bucket and task; texts are shuffled
+only where the trusted ids are too many to send to all tasks. The ratios, one
 number per bucket (parameter ``buckets``), become a literal, and statistics,
 score and verdict are computed inside each row.
 
@@ -30,6 +31,8 @@ TOKEN = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]+"
 WINDOW = 5
 BUCKETS = 1 << 16
 THRESHOLD = -0.5
+#: Up to so many trusted ids are sent to all tasks; more are joined by a shuffle of the texts.
+BROADCAST_IDS = 500_000
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -107,7 +110,8 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     """
     target = trusted.select(F.col(id_col).alias("t_id")).filter("t_id is not null").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = rows.join(target.withColumn("t", F.lit(1)).hint("shuffle_hash"), rows.id == target.t_id, "left")
+    how = "broadcast" if target.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else "shuffle_hash"
+    marked = rows.join(target.withColumn("t", F.lit(1)).hint(how), rows.id == target.t_id, "left")
     grams = marked.select(F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"), "t")
     counts = stored(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("t").alias("target")), "ngrams")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()

@@ -89,3 +89,12 @@ def test_junk_scores_below_clean(spark):
     docs = spark.createDataFrame(clean + junk, "doc_id long, text string")
     rows = quality.assess(docs, docs.filter("doc_id < 30").select("doc_id")).collect()
     assert min(r.llr for r in rows if r.doc_id < 100) > max(r.llr for r in rows if r.doc_id >= 100)
+
+
+def test_many_trusted_ids_give_the_same_ratios(spark, monkeypatch):
+    """The join by shuffle, for more ids than are sent to all tasks, counts the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").select("doc_id")
+    few = {tuple(r) for r in quality.fit(docs, good).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 3)
+    assert {tuple(r) for r in quality.fit(docs, good).collect()} == few and len(few) > 100
