@@ -38,6 +38,8 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lakeshift.llm.common import spread, stored
 from lakeshift.llm.tokens import encoder
@@ -45,10 +47,33 @@ from lakeshift.session import ship_package
 
 MAGIC = b"LSWM0001"
 BLOCK = 1 << 17  # bits
-KEY_TYPES = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+#: Schemes of Spark paths that Arrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 SHARD_ROW = pa.schema([("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
+def arrow_uri(path: str) -> str:
+    """A path as Spark names it, as Arrow does."""
+    scheme, colon, rest = path.partition(":")
+    return f"{SCHEMES[scheme]}:{rest}" if colon and scheme in SCHEMES else path
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a path, and the path inside it."""
+    return pafs.FileSystem.from_uri(arrow_uri(path))
+
+
+def packed_keys(keys: list, kind: pa.DataType) -> list | bytes:
+    """Ids for ``dump``: JSON holds whole numbers and texts, Arrow's stream format all other types."""
+    if pa.types.is_integer(kind) or pa.types.is_string(kind):
+        return keys
+    sink = pa.BufferOutputStream()
+    table = pa.table({"id": pa.array(keys, kind)})
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     """Bit-planes (packed) and zeros per plane of ``ids``."""
     seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
@@ -75,7 +100,7 @@ def restore(planes: list[np.ndarray], zeros: list[int], n: int) -> np.ndarray:
     return seq
 
 
-def dump(ids: np.ndarray, doc_keys: list, starts: np.ndarray, bits: int) -> bytes:
+def dump(ids: np.ndarray, doc_keys: list | bytes, starts: np.ndarray, bits: int) -> bytes:
     """One shard file. ``starts`` has one more entry than documents."""
     planes, zeros = build(ids, bits)
     pack = zstandard.ZstdCompressor(level=1).compress
@@ -93,7 +118,8 @@ def dump(ids: np.ndarray, doc_keys: list, starts: np.ndarray, bits: int) -> byte
         parts = [plane[i: i + BLOCK // 8] for i in range(0, len(plane), BLOCK // 8)]
         ones = np.cumsum([0, *(int(np.bitwise_count(p).sum(dtype=np.int64)) for p in parts)]).tolist()
         levels.append({"zeros": z, "ones": ones, "blocks": [add(p.tobytes()) for p in parts]})
-    head = {"n": len(ids), "bits": bits, "levels": levels, "keys": add(json.dumps(doc_keys).encode()),
+    head = {"n": len(ids), "bits": bits, "levels": levels, "arrow_keys": isinstance(doc_keys, bytes),
+            "keys": add(doc_keys if isinstance(doc_keys, bytes) else json.dumps(doc_keys).encode()),
             "starts": add(np.asarray(starts, "<i8").tobytes())}
     header = zlib.compress(json.dumps(head).encode(), 1)
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *body])
@@ -110,12 +136,14 @@ class Shard:
         self.read, self.base = read, 12 + size
         self.n, self.bits, self.levels = head["n"], head["bits"], head["levels"]
         self.unpack = zstandard.ZstdDecompressor().decompress
-        self.keys = json.loads(self.section(head["keys"]))
+        keys = self.section(head["keys"])
+        self.keys = (pa.ipc.open_stream(keys).read_all()["id"].to_pylist() if head.get("arrow_keys")
+                     else json.loads(keys))
         self.starts = np.frombuffer(self.section(head["starts"]), "<i8")
 
     @classmethod
     def open(cls, path: str) -> Shard:
-        fs, name = pafs.FileSystem.from_uri(path)
+        fs, name = file_system(path)
         file = fs.open_input_file(name)
         return cls(lambda at, size: file.read_at(size, at))
 
@@ -206,22 +234,23 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         bits = max(1, (max(encode.tokenizer.get_vocab_size(), end_id + 1) - 1).bit_length())
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
-        keys, blobs, sizes, held, seq = [], [], [], 0, 0
+        keys, blobs, sizes, held, seq, kind = [], [], [], 0, 0, pa.int64()
 
         def flush() -> pa.RecordBatch:
             nonlocal keys, blobs, sizes, held, seq
             ids = np.frombuffer(b"".join(blobs), "<u4")
             name = f"{uuid.uuid4().hex}.wm"
             with fs.open_output_stream(f"{root}/{name}") as out:
-                out.write(dump(ids, keys, np.cumsum([0, *sizes]), bits))
+                out.write(dump(ids, packed_keys(keys, kind), np.cumsum([0, *sizes]), bits))
             row = pa.RecordBatch.from_pylist(
                 [{"seq": seq, "path": f"{folder}/{name}", "n_docs": len(keys), "n_ids": len(ids)}], SHARD_ROW)
             keys, blobs, sizes, held, seq = [], [], [], 0, seq + 1
             return row
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 blob = encode.ids(text.as_py()) + end
                 keys.append(key)
@@ -238,8 +267,12 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
 
 def read_shards(shards: DataFrame, id_type: str = "long") -> DataFrame:
-    """Per document of the files: ``id, start, n_tokens, ids_crc32``; ``start`` counts the ids of all before it."""
+    """Per document of the files: ``id, start, n_tokens, ids_crc32``; ``start`` counts the ids of all before it.
+
+    ``id_type`` is the SQL type that the ids were written with.
+    """
     ship_package(shards.sparkSession)
+    key_type = to_arrow_type(StructType.fromDDL(f"id {id_type}")["id"].dataType)
     # ids before each shard: within its part, plus those of the parts before (one row per task that wrote)
     earlier = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("total"))
@@ -257,7 +290,7 @@ def read_shards(shards: DataFrame, id_type: str = "long") -> DataFrame:
                 ids, starts = memoryview(shard.ids().astype("<u4")).cast("B"), shard.starts
                 crc = [zlib.crc32(ids[4 * a: 4 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.keys, KEY_TYPES[id_type]), pa.array(starts[:-1] + row["base"]),
+                    [pa.array(shard.keys, key_type), pa.array(starts[:-1] + row["base"]),
                      pa.array(np.diff(starts)), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
     return based.mapInArrow(kernel, f"id {id_type}, start long, n_tokens long, ids_crc32 long")

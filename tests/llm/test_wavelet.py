@@ -5,9 +5,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lakeshift.llm import queries, wavelet
+from lakeshift.llm.common import shared_path
 from lakeshift.llm.tokens import Encoder
 from lakeshift.session import checkpoint_dir
 
@@ -81,3 +83,22 @@ def test_cached_ids_equal_whole_text(spark, path):
     texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
     for t in texts * 2:
         assert np.frombuffer(encoder.ids(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:50])
+
+
+@pytest.mark.parametrize("kind", ["date", "decimal(20,3)", "double", "timestamp", "boolean", "int", "string"])
+def test_ids_of_any_type(spark, kind):
+    values = {"date": ["2024-01-05", "1999-12-31"], "timestamp": ["2024-01-05 10:00:00", "1999-12-31 00:00:01"],
+              "decimal(20,3)": ["12345678901234567.125", "-0.5"], "boolean": ["true", "false"]}.get(kind, ["7", "12"])
+    docs = spark.createDataFrame([(v, f"some text {v}") for v in [*values, None]], "doc_id string, text string").select(
+        F.col("doc_id").cast(kind).alias("doc_id"), "text")
+    shards = wavelet.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "ids"))
+    back = wavelet.read_shards(shards, kind)
+    assert dict(back.dtypes)["id"] == dict(docs.dtypes)["doc_id"]
+    assert sorted(str(r.id) for r in back.collect()) == sorted(str(r.doc_id) for r in docs.collect())
+
+
+def test_schemes_as_spark_names_them(tmp_path):
+    assert wavelet.arrow_uri("s3a://bucket/folder/x") == "s3://bucket/folder/x"
+    assert wavelet.arrow_uri("hdfs://host/x") == "hdfs://host/x"
+    for path in (f"file://{tmp_path}", str(tmp_path)):
+        assert wavelet.file_system(path)[1] == str(tmp_path)
