@@ -14,7 +14,9 @@ whole. A document's windows are its own, whatever stands in its batch.
   ``max_bits`` = 15 bits some block differs in at most two, so that items are
   entered, per length and block, under all values up to two flips away (402
   entries of two bytes an item), and one look-up a block finds every pair
-  within the radius.
+  within the radius. Up to 256 items of a length are entered in four blocks of
+  16 bits under all values up to three flips away instead (2788 entries an
+  item), which gives fewer pairs to look at.
 * Verification: for each pair, the weighted Jaccard similarity of the two
   bags of shingles (each with the number of times it occurs) is computed at
   every alignment between the window and its neighbours; 0.8 or more is a
@@ -52,8 +54,9 @@ from pyspark.sql import functions as F
 from lakeshift.session import ship_package
 
 SHINGLE = 5
-#: Widths of the blocks of a fingerprint, from its low bits on.
-WIDTHS = (11, 11, 11, 11, 10, 10)
+#: Widths of the blocks of a fingerprint, from its low bits on: few wide ones for groups of up to ``FEW`` items,
+#: where every look-up is selective, and narrower ones beyond, whose index is small.
+WIDE, NARROW, FEW = (16, 16, 16, 16), (11, 11, 11, 11, 10, 10), 256
 #: ASCII punctuation and white space become spaces, A-Z become a-z.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
               for c in range(256))
@@ -110,9 +113,10 @@ class Group:
         self.numbers, self.max_bits = np.array(numbers, np.int64), max_bits
         self.prints = np.concatenate([majority(bits_of(h).sum(0, dtype=np.int64)[None], np.int64(len(h))) for h in hashes])
         self.tables, shift = [], 0
-        kind = np.uint16 if len(hashes) <= 1 << 16 else np.int32
-        for width in WIDTHS:
-            masks = flips(width, max_bits // len(WIDTHS))
+        self.widths = WIDE if len(hashes) <= FEW else NARROW
+        kind = np.uint8 if len(hashes) <= 1 << 8 else np.uint16 if len(hashes) <= 1 << 16 else np.int32
+        for width in self.widths:
+            masks = flips(width, max_bits // len(self.widths))
             own = (self.prints >> np.uint64(shift)).astype(np.uint16) & np.uint16((1 << width) - 1)
             # one mask at a time: the whole table of keys would be many times the index
             count = np.zeros(1 << width, np.int64)
@@ -127,7 +131,8 @@ class Group:
                 first = np.searchsorted(ranked, ranked)
                 items[at[ranked] + np.arange(len(ranked)) - first] = order
                 at += np.bincount(keys, minlength=1 << width)
-            self.tables.append((np.uint64(shift), np.uint16((1 << width) - 1), start.astype(np.int32), items))
+            self.tables.append((np.uint64(shift), np.uint16((1 << width) - 1), start.astype(np.int32), items,
+                                count > 0))
             shift += width
         parts = [np.unique(h, return_counts=True) for h in hashes]
         self.shingles = np.concatenate([u for u, _ in parts])
@@ -147,11 +152,13 @@ class Group:
     def pairs(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) numbers within ``max_bits``."""
         found = [np.zeros(0, np.int64)]
-        for shift, mask, start, items in self.tables:
-            value = (prints >> shift).astype(np.uint16) & mask
-            n = start[value.astype(np.int32) + 1] - start[value]
-            hit = np.flatnonzero(n)
-            lo, n = start[value[hit]], n[hit]
+        words = prints.astype("<u8").view("<u2").reshape(-1, 4) if self.widths == WIDE else None
+        for shift, mask, start, items, some in self.tables:
+            value = words[:, int(shift) // 16] if words is not None else (prints >> shift).astype(np.uint16) & mask
+            hit = np.flatnonzero(some[value])
+            value = value[hit].astype(np.int32)
+            lo = start[value]
+            n = start[value + 1] - lo
             w = np.repeat(hit, n)
             i = items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(w))].astype(np.int64)
             near = np.bitwise_count(prints[w] ^ self.prints[i]) <= self.max_bits
@@ -206,9 +213,12 @@ def match_batch(docs: list[np.ndarray], index: Index, threshold: float) -> list[
         return []
     first = np.concatenate([[0], np.cumsum(sizes)])
     joined, doc_of = np.concatenate(docs), np.repeat(np.arange(len(docs)), sizes)
-    small = max(index.groups, default=0) < 256  # differences modulo 256 are exact for windows up to 255
-    ones = np.zeros((len(joined) + 1, 64), np.uint8 if small else np.uint32)
-    np.cumsum(bits_of(joined), axis=0, dtype=ones.dtype, out=ones[1:])
+    # Running sums of the 64 bits, several to a 64-bit number: what carries over from one to the next cancels in a
+    # difference, as each count in a window fits its part (one byte for windows up to 255).
+    part = np.uint8 if max(index.groups, default=0) < 256 else np.uint32
+    lanes = bits_of(joined).astype(part, copy=False).view(np.uint64)
+    ones = np.zeros((len(joined) + 1, lanes.shape[1]), np.uint64)
+    np.cumsum(lanes, axis=0, out=ones[1:])
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for size, group in index.groups.items():
         step = max(1, size // 8)
@@ -216,8 +226,10 @@ def match_batch(docs: list[np.ndarray], index: Index, threshold: float) -> list[
         # documents somewhat shorter than the window, as a whole
         short = np.flatnonzero((sizes >= 0.7 * size) & (sizes < size))
         whole = ones[first[short] + sizes[short]] - ones[first[short]]
-        prints = np.concatenate([majority(ones[start + size] - ones[start], np.int64(size)),
-                                 majority(whole, sizes[short][:, None])])
+        inside = ones.take(start + size, 0)
+        inside -= ones.take(start, 0)
+        prints = np.concatenate([majority(inside.view(part), np.int64(size)),
+                                 majority(whole.view(part), sizes[short][:, None])])
         start = np.concatenate([start, first[short]])
         for w, i in zip(*(x.tolist() for x in group.pairs(prints))):
             bag = group.bag(i)

@@ -187,7 +187,7 @@ def test_index_of_a_large_benchmark_is_small():
     rng = np.random.default_rng(3)
     items = [(k, rng.integers(0, 2**63, n).astype(np.uint64)) for k, n in enumerate(rng.integers(20, 200, 50_000))]
     index = dc.Index(items, 15)
-    held = sum(a.nbytes for g in index.groups.values() for t in g.tables for a in t[2:])
+    held = sum(a.nbytes for g in index.groups.values() for t in g.tables for a in t[2:])  # starts, items, flags
     assert held < 1000 * len(items)
     shingle_bytes = sum(g.shingles.nbytes + g.times.nbytes for g in index.groups.values())
     assert held + shingle_bytes < 300e6
