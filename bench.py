@@ -31,6 +31,15 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def facts(spark, sf_dir: str) -> dict:
+    """Figures beside the times: row groups that a look-up by id reads, exchanges of the flagship plan."""
+    import re
+    groups = [r.n_groups for r in QUERIES["lake_point_reads"](spark, sf_dir).collect()]
+    plan = QUERIES["simple_breaks"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    return {"row_groups_per_lookup": round(sum(groups) / max(len(groups), 1), 3),
+            "simple_breaks_exchanges": len(re.findall(r"\bExchange ", plan))}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -52,7 +61,8 @@ def main() -> None:
     times = {name: round(statistics.median(v), 3) for name, v in samples.items()}
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_wall", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf, "cpus": cpus, "repeat": repeat}))
+                      "queries": times, "sf": sf, "cpus": cpus, "repeat": repeat,
+                      "facts": facts(spark, sf_dir)}))
 
 
 if __name__ == "__main__":

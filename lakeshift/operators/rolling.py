@@ -53,11 +53,3 @@ def _median_of_lags(col: Column, window: int) -> Column:
     else:
         med = (F.element_at(srt, window // 2) + F.element_at(srt, window // 2 + 1)) / F.lit(2.0)
     return F.when(n_null == 0, med)
-
-
-def previous(col: Column) -> Column:
-    return F.lag(col, 1).over(lake_order())
-
-
-def following(col: Column) -> Column:
-    return F.lead(col, 1).over(lake_order())

@@ -144,15 +144,17 @@ SQUARE_SIDE = 0.004
 def square_corner(k: Column) -> tuple[Column, Column]:
     """Lower-left corner of key ``k``: (-165 + k*0.01, 60 + (k % 100)*0.05), and every 33,000 keys, where
     the longitude would pass 165, one of ten rows 0.005 degrees further north, then a band of five degrees.
+    After five bands the 100 rows are dealt anew, one row further on.
 
-    Corners differ for all keys below 1,650,000; beyond, the latitude would pass 85 and the query fails.
+    Corners differ for all keys below 165,000,000; beyond, the query fails.
     """
     lap = F.floor(k / F.lit(33000))
     x = F.lit(-165.0) + (k % 33000).cast("double") * F.lit(0.01)
-    y = (F.lit(60.0) + (k % 100).cast("double") * F.lit(0.05) + (lap % 10).cast("double") * F.lit(0.005)
-         + F.floor(lap / F.lit(10)).cast("double") * F.lit(5.0))
-    too_far = F.raise_error(F.lit("square lakes end at key 1649999")).cast("double")
-    return x, F.when(k < 1650000, y).otherwise(too_far)
+    row = (k % 100 + F.floor(lap / F.lit(50))) % 100
+    y = (F.lit(60.0) + row.cast("double") * F.lit(0.05) + (lap % 10).cast("double") * F.lit(0.005)
+         + (F.floor(lap / F.lit(10)) % 5).cast("double") * F.lit(5.0))
+    too_far = F.raise_error(F.lit("square lakes end at key 164999999")).cast("double")
+    return x, F.when(k < 165000000, y).otherwise(too_far)
 
 
 def square_lakes(spark: SparkSession, sf_dir: str, source: str = "customer") -> DataFrame:

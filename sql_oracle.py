@@ -456,8 +456,8 @@ def square_x(key: str) -> str:
 
 
 def square_y(key: str) -> str:
-    return (f"(60.0e0 + CAST({key} % 100 AS DOUBLE) * 0.05e0 + CAST(({key} // 33000) % 10 AS DOUBLE) * 0.005e0"
-            f" + CAST({key} // 330000 AS DOUBLE) * 5.0e0)")
+    return (f"(60.0e0 + CAST(({key} % 100 + {key} // 1650000) % 100 AS DOUBLE) * 0.05e0"
+            f" + CAST(({key} // 33000) % 10 AS DOUBLE) * 0.005e0 + CAST(({key} // 330000) % 5 AS DOUBLE) * 5.0e0)")
 
 
 def square_rows(source: str = "customer") -> str:

@@ -27,7 +27,7 @@ def test_overlaps_are_counted_and_warned_about(halves):
     day = F.col("date") == F.lit("2019-06-01").cast("date")
     first = {r.id_geohash: r.water for r in a.filter(day).collect()}
     assert all(r.water == first[r.id_geohash] + 1 for r in merged.filter(day).collect())
-    with pytest.raises(MergeError, match="2 are in the first alone"):
+    with pytest.raises(MergeError, match="3 are in the first alone"):
         merge_append(a, b.filter("id_geohash > 'lk000002'"), "date")
 
 
