@@ -661,7 +661,7 @@ def padded_key(prefix: str, key: str) -> str:
 
 def lake_point_reads() -> str:
     return f"""WITH {square_rows()}
-SELECT id_geohash, lake_key, Area_start_ha, 1 AS n_groups FROM sq ORDER BY md5(id_geohash || '42'), id_geohash LIMIT 30"""
+SELECT id_geohash, lake_key, Area_start_ha, CAST(1 AS BIGINT) AS n_groups FROM sq ORDER BY md5(id_geohash || '42'), id_geohash LIMIT 30"""
 
 
 def grid_cells() -> str:
