@@ -66,16 +66,18 @@ def covering(lakes: DataFrame) -> DataFrame:
     return lakes.withColumn("cells", cells)
 
 
-def hot_cells(probes: DataFrame, parts: int) -> dict[int, int]:
-    """How many parts the cells get that hold more than a fair share of the points.
+def hot_cells(probes: DataFrame, parts: int, least: int = 10_000) -> dict[int, int]:
+    """How many parts the cells get that hold more than a fair share of the points, and more than ``least``.
 
     A fair share is one of ``parts`` tasks' rows, so fewer than ``parts``
     cells have more; the ``HOT_CELLS`` fullest of them reach the driver.
     """
-    counts = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.sum("n").alias("total"))
-    fullest = counts.orderBy(F.desc("n"), "cell").limit(HOT_CELLS).crossJoin(whole).collect()  # one row of totals
-    return {r.cell: min(parts, -(-r.n * parts // r.total)) for r in fullest if r.n * parts > r.total and r.n > 10_000}
+    counts = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+    fullest = counts.orderBy(F.desc("n"), "cell").limit(HOT_CELLS).collect()
+    if not fullest:
+        return {}
+    total = probes.count()
+    return {r.cell: min(parts, -(-r.n * parts // total)) for r in fullest if r.n * parts > total}
 
 
 def lake_at_points(points: DataFrame, lakes: DataFrame, lat: str = "lat", lon: str = "lon",

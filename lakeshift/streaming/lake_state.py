@@ -12,7 +12,8 @@ place in the array.
 A batch therefore joins its rows to the state by lake, once, and reads
 nothing older. The state is written as a version per batch. The state before
 batch k is the latest version below k, so a batch that is delivered again
-starts from the same state and replaces its own version.
+starts from the same state and replaces its own version. Versions before the
+last two are never read again and may be removed.
 """
 
 from __future__ import annotations
