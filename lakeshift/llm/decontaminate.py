@@ -106,6 +106,27 @@ def flips(width: int, most: int) -> np.ndarray:
                     np.uint16)
 
 
+def entered(own: np.ndarray, masks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Items under each of their values with a mask applied: where each value's items start, and the items."""
+    if len(own) * len(masks) <= 1 << 21:
+        keys = (own[:, None] ^ masks).ravel()
+        order = np.argsort(keys, kind="stable")
+        return np.searchsorted(keys[order], np.arange(size + 1)), (order // len(masks)).astype(np.int32)
+    # one mask at a time: all keys at once would take many times the index
+    count = np.zeros(size, np.int64)
+    for m in masks:
+        count += np.bincount(own ^ m, minlength=size)
+    start = np.concatenate([[0], np.cumsum(count)])
+    items, at = np.empty(start[-1], np.int32), start[:-1].copy()
+    for m in masks:
+        keys = own ^ m
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        items[at[ranked] + np.arange(len(ranked)) - np.searchsorted(ranked, ranked)] = order
+        at += np.bincount(keys, minlength=size)
+    return start, items
+
+
 class Group:
     """Items of one window size: fingerprints, block tables, and their shingles as sorted arrays."""
 
@@ -118,21 +139,9 @@ class Group:
         for width in self.widths:
             masks = flips(width, max_bits // len(self.widths))
             own = (self.prints >> np.uint64(shift)).astype(np.uint16) & np.uint16((1 << width) - 1)
-            # one mask at a time: the whole table of keys would be many times the index
-            count = np.zeros(1 << width, np.int64)
-            for m in masks:
-                count += np.bincount(own ^ m, minlength=1 << width)
-            start = np.concatenate([[0], np.cumsum(count)])
-            items, at = np.empty(start[-1], kind), start[:-1].copy()
-            for m in masks:
-                keys = own ^ m
-                order = np.argsort(keys, kind="stable")
-                ranked = keys[order]
-                first = np.searchsorted(ranked, ranked)
-                items[at[ranked] + np.arange(len(ranked)) - first] = order
-                at += np.bincount(keys, minlength=1 << width)
-            self.tables.append((np.uint64(shift), np.uint16((1 << width) - 1), start.astype(np.int32), items,
-                                count > 0))
+            start, items = entered(own, masks, 1 << width)
+            self.tables.append((np.uint64(shift), np.uint16((1 << width) - 1), start.astype(np.int32),
+                                items.astype(kind), np.diff(start) > 0))
             shift += width
         parts = [np.unique(h, return_counts=True) for h in hashes]
         self.shingles = np.concatenate([u for u, _ in parts])

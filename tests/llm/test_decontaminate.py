@@ -95,6 +95,22 @@ def test_index_finds_all_within_the_radius():
     assert set(zip(*(x.tolist() for x in group.pairs(prints)))) == want
 
 
+def test_entries_of_many_items_are_those_of_few(monkeypatch):
+    """The table made mask by mask holds what the one made at once holds."""
+    rng = np.random.default_rng(4)
+    masks = dc.flips(10, 2)
+    for n in (5, 300, 2500):
+        own = rng.integers(0, 1 << 10, n).astype(np.uint16)
+        start, items = dc.entered(own, masks, 1 << 10)
+        loop_start, loop_items = dc.entered(np.repeat(own, 20), masks, 1 << 10) if n == 2500 else (20 * start, np.repeat(items, 20))
+        assert (loop_start == 20 * start).all()
+        for value in range(0, 1 << 10, 37):
+            want = np.flatnonzero(np.isin(own ^ value, masks))
+            assert sorted(items[start[value]:start[value + 1]]) == want.tolist()
+            if n == 2500:
+                assert sorted(loop_items[loop_start[value]:loop_start[value + 1]] // 20) == np.repeat(want, 20).tolist()
+
+
 def test_edge_rows(spark):
     item = "one two three four five six seven"
     docs = spark.createDataFrame([(1, None), (2, ""), (3, item), (3, item), (None, f"x {item} y"), (4, "a " * 60000), (5, "one two")],
