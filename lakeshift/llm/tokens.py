@@ -16,13 +16,19 @@ import os
 import re
 import struct
 
-#: White space other than space and line feed.
-OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space other than space and line feed (none is above U+3000). Searching for each is faster than one expression.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Letters that are one code point in every normal form, perhaps followed by marks that stand alone as one piece.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: A word with the space before it, white space up to the last before a word, or white space.
 BYTE_PIECES = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
+#: White space that byte-level files do not take one by one (two line ends between words they do).
+WIDE_SPACE = ("  ", " \n", "\n ", "\n\n\n")
+#: Characters of the same class in every version of Unicode, and how byte-level files cut what is made of them.
+KNOWN = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
+BYTE_CUTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 LONGEST = 64
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(LONGEST)]
 
 
 def byte_letters() -> dict[int, str]:
@@ -54,21 +60,21 @@ class Pieces(dict):
 class Encoder:
     """``ids(text)`` encodes a whole text; ``limit`` bounds the words kept (some 170 bytes each)."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.letters = self.kind_of(path), byte_letters()
-        self.space, self.tokenize = self.letters[32], self.tokenizer.model.tokenize
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.kind, self.letters = self.kind_of(spec), byte_letters()
+        self.space, self.tokenize = self.letters[32], merger(spec["model"]) if self.kind != "other" else None
         self.bare = Pieces(self.make_bare, limit)
-        self.spaced = Pieces(self.make_spaced, limit)  # pieces after one space (byte-level files)
+        self.spaced = Pieces(self.make_spaced, limit)  # pieces after one space, or from a line end on (byte-level files)
 
     @staticmethod
-    def kind_of(path: str) -> str:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def kind_of(spec: dict) -> str:
         steps = lambda part, key: [s["type"] for s in (part or {}).get(key, [part] if part else [])]
         norm, pre = steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers")
         if spec["model"]["type"] == "BPE" and norm == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"]:
@@ -93,10 +99,10 @@ class Encoder:
             word, marks = piece, ""
         elif plain := PLAIN.fullmatch(piece):
             word, marks = plain.groups()
+        elif self.kind == "byte" and KNOWN.fullmatch(piece):
+            cuts = BYTE_CUTS.findall(piece)
+            return b"".join(map(self.bare.__getitem__, cuts)) if len(cuts) > 1 else self.merged(piece)
         else:
-            parts = piece.split("\n")
-            if len(parts) > 1 and all(parts):
-                return self.bare["\n"].join(map(self.bare.__getitem__, parts))
             return self.whole(piece) if piece else b""
         if marks:
             return self.bare[word] + self.bare[marks]
@@ -105,6 +111,8 @@ class Encoder:
         return self.merged(word)
 
     def make_spaced(self, piece: str) -> bytes:
+        if piece[:1] == "\n":
+            return self.bare["\n"] + self.bare[piece[1:]]
         if len(piece) > LONGEST:
             return self.whole(" " + piece)
         if piece.isascii() and piece.isalpha():
@@ -112,28 +120,38 @@ class Encoder:
         if plain := PLAIN.fullmatch(piece):
             word, marks = plain.groups()
             return self.spaced[word] + self.bare[marks] if marks else self.merged(word, self.space)
-        parts = piece.split("\n")
-        if len(parts) > 1 and all(parts):
-            line_end = self.bare["\n"]
-            return line_end.join([self.spaced[parts[0]], *map(self.bare.__getitem__, parts[1:])])
+        if KNOWN.fullmatch(piece):
+            first, *rest = BYTE_CUTS.findall(" " + piece)
+            if rest:
+                return self.spaced[first[1:]] + b"".join(map(self.bare.__getitem__, rest))
+            return self.merged(piece, self.space)
         return self.whole(" " + piece)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.kind == "other" or OTHER_SPACE.search(text):
+        if self.kind == "other" or any(c in text for c in OTHER_SPACE):
             return self.whole(text)
         if self.kind == "word":
             return b"".join(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
-        if "  " in text or " \n" in text or "\n " in text:
-            return b"".join([self.spaced[p[1:]] if p[0] == " " and p != " " else self.bare[p]
+        if any(w in text for w in WIDE_SPACE) or text.endswith("\n\n"):
+            return b"".join([self.spaced[p[1:]] if p[0] == " " and not p.isspace() else self.bare[p]
                              for p in BYTE_PIECES.findall(text)])
-        first, *rest = text.split(" ")
+        first, *rest = text.replace("\n", " \n").split(" ")
         return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
+def merger(model: dict):
+    """The library's merges of one word, without its cache: words come here that are in none."""
+    from tokenizers.models import BPE
+
+    options = {k: v for k, v in model.items() if k not in ("type", "vocab", "merges") and v is not None}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    return BPE(model["vocab"], merges, cache_capacity=0, **options).tokenize
+
+
 def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return PACKS[len(ids)](*ids) if len(ids) < LONGEST else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _LOADED: dict[str, Encoder] = {}

@@ -1,4 +1,5 @@
 """Wavelet shards: round trips and queries of one file."""
+import time
 import uuid
 import zlib
 
@@ -68,6 +69,35 @@ def test_file_answers_queries(tmp_path, n, top):
         assert shard.positions(t, 0, min(n, n // 50 + 3)) == where
 
 
+def masked(ids, bits):
+    """Planes as a plain twin makes them, with a mask for each value of a bit."""
+    seq, planes = ids.astype(np.uint16), []
+    for b in reversed(range(bits)):
+        bit = (seq & np.uint16(1 << b)) != 0
+        planes.append(np.packbits(bit, bitorder="little"))
+        seq = np.concatenate([seq[~bit], seq[bit]])
+    return planes
+
+
+def test_planes_cost_less_than_masks():
+    ids = np.random.default_rng(3).integers(0, 50257, 1 << 20).astype(np.uint32)
+    planes, zeros = wavelet.build(ids, 16)
+    assert all((a == b).all() for a, b in zip(planes, masked(ids, 16), strict=True))
+    assert (wavelet.restore(planes, zeros, len(ids)) == ids).all()
+
+    def cost(work):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            work()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    plain = cost(lambda: masked(ids, 16))
+    assert cost(lambda: wavelet.build(ids, 16)) < 0.7 * plain
+    assert cost(lambda: wavelet.restore(planes, zeros, len(ids))) < 0.8 * plain
+
+
 def test_broken_file_is_refused():
     with pytest.raises(ValueError):
         wavelet.Shard(lambda at, size: b"x" * size)
@@ -85,6 +115,23 @@ def test_cached_ids_equal_whole_text(spark, path):
         assert np.frombuffer(encoder.ids(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:50])
 
 
+def test_pieces_of_known_characters_need_no_whole_text():
+    tokenizer = Tokenizer.from_file(BYTES)
+    tokenizer.encode_special_tokens = True
+    encoder, taken = Encoder(BYTES), []
+    whole = encoder.whole
+    encoder.whole = lambda text: taken.append(text) or whole(text)
+    texts = ["12.5% of (a-b) x\ny ''s 's it's we'LL 'tis x'' ,'s <|endoftext|>", "né@à.com ###\n%%% 10.0.0.1:80", "_a_b_ ×÷ ª",
+             "\n", "\n\n", "a\n\nb", "a\n\n\nb", "a\n", "a\n\n", "\na", "\n\na", "a \n b", "a b ", " \n", "a\n  ", "'s\n's 's"]
+    for text in texts:
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert not [t for t in taken if any(c in t for c in "%#.@'_")]
+    rng = np.random.default_rng(5)
+    for size in rng.integers(1, 25, 4000):
+        text = "".join(rng.choice(list("aB é7'st.,_\n\n  ×ll"), size))
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("kind", ["date", "decimal(20,3)", "double", "timestamp", "boolean", "int", "string"])
 def test_ids_of_any_type(spark, kind):
     values = {"date": ["2024-01-05", "1999-12-31"], "timestamp": ["2024-01-05 10:00:00", "1999-12-31 00:00:01"],
